@@ -32,7 +32,7 @@ def floor_days(later: Column | str, earlier: Column | str) -> Column:
     midnights instead and gives other answers.
     """
     seconds = F.unix_seconds(_col(later)) - F.unix_seconds(_col(earlier))
-    return F.floor(seconds / F.lit(SECONDS_PER_DAY)).cast("bigint")
+    return F.floor(seconds / SECONDS_PER_DAY)
 
 
 def month_label(ts: Column | str) -> Column:

@@ -43,15 +43,17 @@ def value_distribution(
     fractions = [i / buckets for i in range(1, buckets)]
     shape = values.agg(
         F.struct(
-            F.percentile_approx("value", fractions, 100 * buckets).alias("edges"),
+            F.percentile_approx("value", fractions, 10 * buckets).alias("edges"),
             F.sum("weight").alias("total"),
         ).alias("shape")
     ).scalar()
-    edges, total = shape.getField("edges"), shape.getField("total")
-    placed = values.select(
-        "value",
-        "weight",
-        F.size(F.filter(edges, lambda e: e < F.col("value"))).alias("bucket"),
+    total = shape.getField("total")
+    lower = F.filter("edges", lambda e: e < F.col("value"))
+    # Never null by construction: else the join below would push a null test
+    # on it underneath the aggregate, to every row.
+    bucket = F.coalesce(F.size(lower), F.lit(0))
+    placed = values.withColumn("edges", shape.getField("edges")).select(
+        "value", "weight", bucket.alias("bucket")
     )
     in_order = Window.partitionBy("bucket").orderBy("value")
     inside = placed.withColumn(

@@ -75,40 +75,35 @@ def add_delivery(df: DataFrame) -> DataFrame:
     """
     bought, promised = "order_purchase_timestamp", "order_estimated_delivery_date"
     arrived = "order_delivered_customer_date"
-    delay = floor_days(arrived, promised)
-    return df.withColumns(
-        {
-            "delivery_time": floor_days(arrived, bought),
-            "estimated_delivery_time": floor_days(promised, bought),
-            "delivery_delay": delay,
-            "on_time_delivery": F.coalesce(delay <= 0, F.lit(False)),
-        }
-    )
+    return df.select(
+        "*",
+        floor_days(arrived, bought).alias("delivery_time"),
+        floor_days(promised, bought).alias("estimated_delivery_time"),
+        floor_days(arrived, promised).alias("delivery_delay"),
+    ).selectExpr("*", "coalesce(delivery_delay <= 0, false) AS on_time_delivery")
 
 
 def add_time(df: DataFrame, ts: str = "order_purchase_timestamp") -> DataFrame:
     """Month, week, date, hour, weekday (Monday 0), year and quarter of ``ts``."""
-    return df.withColumns(
-        {
-            "order_month": month_label(ts),
-            "order_week": week_label(ts),
-            "order_date": F.to_date(ts),
-            "order_hour": F.hour(ts),
-            "order_dayofweek": F.weekday(ts),
-            "order_year": F.year(ts),
-            "order_quarter": F.quarter(ts),
-        }
+    return df.select(
+        "*",
+        month_label(ts).alias("order_month"),
+        week_label(ts).alias("order_week"),
+        F.to_date(ts).alias("order_date"),
+        F.hour(ts).alias("order_hour"),
+        F.weekday(ts).alias("order_dayofweek"),
+        F.year(ts).alias("order_year"),
+        F.quarter(ts).alias("order_quarter"),
     )
 
 
 def add_processing(df: DataFrame) -> DataFrame:
     """Days from approval to hand-over, and from purchase to hand-over."""
     handed = "order_delivered_carrier_date"
-    return df.withColumns(
-        {
-            "processing_time": floor_days(handed, "order_approved_at"),
-            "fulfilment_time": floor_days(handed, "order_purchase_timestamp"),
-        }
+    return df.select(
+        "*",
+        floor_days(handed, "order_approved_at").alias("processing_time"),
+        floor_days(handed, "order_purchase_timestamp").alias("fulfilment_time"),
     )
 
 
@@ -171,14 +166,6 @@ def item_rollup(items: DataFrame) -> DataFrame:
     )
 
 
-def _or_zero(c: str) -> Column:
-    return F.coalesce(F.col(c), F.lit(0))
-
-
-def _at_least_one(c: str) -> Column:
-    return F.greatest(_or_zero(c), F.lit(1))
-
-
 class Star:
     """The joined model of a catalog, optionally narrowed by filters.
 
@@ -249,32 +236,27 @@ class Star:
             .join(payment_rollup(t.order_payments), "order_id", "left")
             .join(review_rollup(t.order_reviews), "order_id", "left")
         )
-        item_rows, pay_rows, review_rows = (_at_least_one(c) for c in ("n_items", "n_pay", "n_rev"))
-        df = df.withColumns(
-            {
-                "item_rows": item_rows,
-                "pay_rows": pay_rows,
-                "review_rows": review_rows,
-                "items": _or_zero("n_items"),
-                "payments": _or_zero("n_pay"),
-                "reviews": _or_zero("n_rev"),
-            }
-        )
-        item_rows, pay_rows, review_rows = (F.col(c) for c in ("item_rows", "pay_rows", "review_rows"))
-        df = df.withColumns(
-            {
-                "rows": item_rows * pay_rows * review_rows,
-                "revenue": F.col("pay_total") * item_rows * review_rows,
-                "paid_rows": _or_zero("pay_values") * item_rows * review_rows,
-                "scores": F.col("score_total") * item_rows * pay_rows,
-                "scored": _or_zero("score_count") * item_rows * pay_rows,
-                "product_rows": _or_zero("n_products") * pay_rows * review_rows,
-                "price_fanned": F.col("price_total") * pay_rows * review_rows,
-                "freight_fanned": F.col("freight_total") * pay_rows * review_rows,
-                "line_fanned": F.col("line_total") * pay_rows * review_rows,
-                "promoter_rows": _or_zero("promoters") * item_rows * pay_rows,
-                "detractor_rows": _or_zero("detractors") * item_rows * pay_rows,
-            }
+        df = df.selectExpr(
+            "*",
+            "greatest(coalesce(n_items, 0), 1) AS item_rows",
+            "greatest(coalesce(n_pay, 0), 1) AS pay_rows",
+            "greatest(coalesce(n_rev, 0), 1) AS review_rows",
+            "coalesce(n_items, 0) AS items",
+            "coalesce(n_pay, 0) AS payments",
+            "coalesce(n_rev, 0) AS reviews",
+        ).selectExpr(
+            "*",
+            "item_rows * pay_rows * review_rows AS rows",
+            "pay_total * item_rows * review_rows AS revenue",
+            "coalesce(pay_values, 0) * item_rows * review_rows AS paid_rows",
+            "score_total * item_rows * pay_rows AS scores",
+            "coalesce(score_count, 0) * item_rows * pay_rows AS scored",
+            "coalesce(promoters, 0) * item_rows * pay_rows AS promoter_rows",
+            "coalesce(detractors, 0) * item_rows * pay_rows AS detractor_rows",
+            "coalesce(n_products, 0) * pay_rows * review_rows AS product_rows",
+            "price_total * pay_rows * review_rows AS price_fanned",
+            "freight_total * pay_rows * review_rows AS freight_fanned",
+            "line_total * pay_rows * review_rows AS line_fanned",
         )
         df = add_processing(add_time(add_delivery(df)))
         return self._with_customer(df) if customer else df
@@ -297,18 +279,12 @@ class Star:
             "rows", "revenue", "scores", "scored", "paid_rows", "price_fanned",
             "freight_fanned", "line_fanned", "product_rows", "promoter_rows", "detractor_rows",
         )
-        pay_rows, review_rows = F.col("pay_rows"), F.col("review_rows")
-        df = (
-            self._items()
-            .join(order, "order_id")
-            .withColumns(
-                {
-                    "rows": pay_rows * review_rows,
-                    "revenue": F.col("pay_total") * review_rows,
-                    "scores": F.col("score_total") * pay_rows,
-                    "scored": _or_zero("score_count") * pay_rows,
-                }
-            )
+        df = self._items().join(order, "order_id").selectExpr(
+            "*",
+            "pay_rows * review_rows AS rows",
+            "pay_total * review_rows AS revenue",
+            "score_total * pay_rows AS scores",
+            "coalesce(score_count, 0) * pay_rows AS scored",
         )
         if product:
             df = df.join(

@@ -9,114 +9,107 @@ the same rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from mercato.plans.tables import Tables
 
-STATUS = {"F": "delivered", "O": "shipped", "P": "canceled"}
+# Columns used, with their types: a known schema spares a footer-reading job per table.
+SCHEMAS = {
+    "nation": "n_nationkey int, n_name string",
+    "customer": "c_custkey bigint, c_nationkey int",
+    "supplier": "s_suppkey bigint, s_nationkey int",
+    "part": "p_partkey bigint, p_brand string",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_extendedprice double, l_tax double, l_shipdate timestamp_ntz",
+}
 UNTRANSLATED_BRAND = "Brand#7"
 UNKNOWN_POPULATION_NATION = "NATION_24"
 
 
-def _cents(c: str) -> Column:
-    return F.round(F.col(c) * 100).cast("bigint")
-
-
-def _plus(ts: Column, amount: Column, seconds: int) -> Column:
-    return F.timestamp_seconds(F.unix_seconds(ts) + amount * seconds)
+def read_retail(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    """One retail table, limited to the columns used here."""
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{directory.rstrip('/')}/{name}.parquet")
 
 
 def retail_tables(spark: SparkSession, directory: str) -> Tables:
-    """Read the retail parquet files and conform them."""
-
-    def read(name: str) -> DataFrame:
-        return spark.read.parquet(f"{directory.rstrip('/')}/{name}.parquet")
-
-    nation = read("nation").select("n_nationkey", "n_name")
-    k = F.col("o_orderkey")
-    source_orders = read("orders")
-    day = F.col("o_orderdate").cast("timestamp")
-    purchase = _plus(day, (k * 7) % 24, 3600)
-    approved = _plus(purchase, k % 3, 3600)
-    carrier = _plus(approved, (k * 13) % 10, 86400)
-    delivered = _plus(purchase, ((k * 17) % 60) * 24 + (k * 11) % 24, 3600)
-    status = F.col("o_orderstatus")
-    orders = source_orders.select(
-        k.alias("order_id"),
-        F.col("o_custkey").alias("customer_id"),
-        F.when(status == "F", STATUS["F"])
-        .when(status == "O", STATUS["O"])
-        .when(status == "P", STATUS["P"])
-        .alias("order_status"),
-        purchase.alias("order_purchase_timestamp"),
-        approved.alias("order_approved_at"),
-        carrier.alias("order_delivered_carrier_date"),
-        F.when((status == "F") & (k % 50 != 0), delivered).alias("order_delivered_customer_date"),
-        _plus(day, F.lit(40 * 24 + 12), 3600).alias("order_estimated_delivery_date"),
-    )
+    """Read the retail parquet files and conform them.
 
-    price = _cents("l_extendedprice")
-    tax_percent = F.round(F.col("l_tax") * 100).cast("bigint")
-    freight = F.floor((price * tax_percent + 50) / 100)
-    items = read("lineitem").select(
-        F.col("l_orderkey").alias("order_id"),
-        F.col("l_linenumber").alias("order_item_id"),
-        F.col("l_partkey").alias("product_id"),
-        F.col("l_suppkey").alias("seller_id"),
-        F.col("l_shipdate").cast("timestamp").alias("shipping_limit_date"),
-        (price / 100).alias("price"),
-        (freight / 100).alias("freight_value"),
-    )
+    Money goes through whole cents: the freight is the taxed price rounded to
+    the cent, and every fifth order is paid 60 : 40, the rest by voucher.
+    """
 
-    total = _cents("o_totalprice")
-    main = F.when(k % 5 == 0, F.floor(total * 6 / 10)).otherwise(total)
-    one = F.struct(
-        F.lit(1).alias("payment_sequential"),
-        F.col("o_orderpriority").alias("payment_type"),
-        (main / 100).alias("payment_value"),
+    def read(name: str) -> DataFrame:
+        return read_retail(spark, directory, name)
+
+    nation, source = read("nation"), read("orders")
+    k, day = "o_orderkey", "unix_seconds(cast(o_orderdate AS timestamp))"
+    bought = f"({day} + ({k} * 7) % 24 * 3600)"
+    approved = f"({bought} + {k} % 3 * 3600)"
+    orders = source.selectExpr(
+        f"{k} AS order_id",
+        "o_custkey AS customer_id",
+        "CASE o_orderstatus WHEN 'F' THEN 'delivered' WHEN 'O' THEN 'shipped' WHEN 'P' THEN 'canceled' END"
+        " AS order_status",
+        f"timestamp_seconds({bought}) AS order_purchase_timestamp",
+        f"timestamp_seconds({approved}) AS order_approved_at",
+        f"timestamp_seconds({approved} + ({k} * 13) % 10 * 86400) AS order_delivered_carrier_date",
+        f"CASE WHEN o_orderstatus = 'F' AND {k} % 50 <> 0 THEN"
+        f" timestamp_seconds({bought} + ({k} * 17) % 60 * 86400 + ({k} * 11) % 24 * 3600) END"
+        " AS order_delivered_customer_date",
+        f"timestamp_seconds({day} + (40 * 24 + 12) * 3600) AS order_estimated_delivery_date",
     )
-    two = F.struct(
-        F.lit(2).alias("payment_sequential"),
-        F.lit("voucher").alias("payment_type"),
-        ((total - main) / 100).alias("payment_value"),
+    cents, tax = "cast(round(l_extendedprice * 100) AS bigint)", "cast(round(l_tax * 100) AS bigint)"
+    items = read("lineitem").selectExpr(
+        "l_orderkey AS order_id",
+        "l_linenumber AS order_item_id",
+        "l_partkey AS product_id",
+        "l_suppkey AS seller_id",
+        "cast(l_shipdate AS timestamp) AS shipping_limit_date",
+        f"{cents} / 100 AS price",
+        f"floor(({cents} * {tax} + 50) / 100) / 100 AS freight_value",
     )
-    payments = source_orders.select(
-        k.alias("order_id"),
-        F.inline(F.when(k % 5 == 0, F.array(one, two)).otherwise(F.array(one))),
+    due = "cast(round(o_totalprice * 100) AS bigint)"
+    main = f"(CASE WHEN {k} % 5 = 0 THEN floor({due} * 6 / 10) ELSE {due} END)"
+    payments = source.selectExpr(
+        f"{k} AS order_id",
+        f"explode(CASE WHEN {k} % 5 = 0 THEN array(1, 2) ELSE array(1) END) AS payment_sequential",
+        "o_orderpriority",
+        f"{main} AS main",
+        f"{due} AS due",
+    ).selectExpr(
+        "order_id",
+        "payment_sequential",
+        "if(payment_sequential = 1, o_orderpriority, 'voucher') AS payment_type",
+        "if(payment_sequential = 1, main, due - main) / 100 AS payment_value",
     )
-
-    n = F.col("n")
     reviews = (
-        source_orders.where(k % 10 < 9)
-        .select(k, day.alias("day"), F.explode(F.sequence(F.lit(0), F.when(k % 50 == 0, 1).otherwise(0))).alias("n"))
-        .select(
-            k.alias("order_id"),
-            (1 + (k * 31 + n) % 5).cast("int").alias("review_score"),
-            _plus(F.col("day"), 45 + n, 86400).alias("review_creation_date"),
-            _plus(F.col("day"), 47 + n, 86400).alias("review_answer_timestamp"),
+        source.where(f"{k} % 10 < 9")
+        .selectExpr(k, f"{day} AS day", f"explode(sequence(0, if({k} % 50 = 0, 1, 0))) AS n")
+        .selectExpr(
+            f"{k} AS order_id",
+            f"cast(1 + ({k} * 31 + n) % 5 AS int) AS review_score",
+            "timestamp_seconds(day + (45 + n) * 86400) AS review_creation_date",
+            "timestamp_seconds(day + (47 + n) * 86400) AS review_answer_timestamp",
         )
     )
-
-    products = read("part").select(
-        F.col("p_partkey").alias("product_id"), F.col("p_brand").alias("product_category_name")
-    )
+    products = read("part").selectExpr("p_partkey AS product_id", "p_brand AS product_category_name")
     translation = (
         products.select("product_category_name")
-        .where(F.col("product_category_name") != UNTRANSLATED_BRAND)
+        .where(f"product_category_name <> '{UNTRANSLATED_BRAND}'")
         .distinct()
-        .select(
+        .selectExpr(
             "product_category_name",
-            F.concat(F.lit("cat_"), "product_category_name").alias("product_category_name_english"),
+            "concat('cat_', product_category_name) AS product_category_name_english",
         )
     )
-    customers = read("customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"), "left").select(
-        F.col("c_custkey").alias("customer_id"),
-        F.col("c_custkey").alias("customer_unique_id"),
-        F.col("n_name").alias("customer_state"),
+    buyer, vendor = read("customer"), read("supplier")
+    customers = buyer.join(nation, buyer["c_nationkey"] == nation["n_nationkey"], "left").selectExpr(
+        "c_custkey AS customer_id", "c_custkey AS customer_unique_id", "n_name AS customer_state"
     )
-    sellers = read("supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"), "left").select(
-        F.col("s_suppkey").alias("seller_id"), F.col("n_name").alias("seller_state")
+    sellers = vendor.join(nation, vendor["s_nationkey"] == nation["n_nationkey"], "left").selectExpr(
+        "s_suppkey AS seller_id", "n_name AS seller_state"
     )
     return Tables(
         orders=orders,
@@ -133,10 +126,7 @@ def retail_tables(spark: SparkSession, directory: str) -> Tables:
 def retail_population(spark: SparkSession, directory: str) -> DataFrame:
     """An invented population per nation, one nation left out."""
     return (
-        spark.read.parquet(f"{directory.rstrip('/')}/nation.parquet")
-        .where(F.col("n_name") != UNKNOWN_POPULATION_NATION)
-        .select(
-            F.col("n_name").alias("state"),
-            ((F.col("n_nationkey") + 1) * 500000).cast("bigint").alias("population"),
-        )
+        read_retail(spark, directory, "nation")
+        .where(f"n_name <> '{UNKNOWN_POPULATION_NATION}'")
+        .selectExpr("n_name AS state", "cast((n_nationkey + 1) * 500000 AS bigint) AS population")
     )
