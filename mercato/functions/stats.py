@@ -16,20 +16,21 @@ from pyspark.sql import functions as F
 
 from mercato.functions.columns import cut_at
 
-DEFAULT_BUCKETS = 200
+DEFAULT_LEVELS = 8  # 256 buckets
 
 
 def value_distribution(
     df: DataFrame,
     value: Column | str,
     weight: Column | str | None = None,
-    buckets: int = DEFAULT_BUCKETS,
+    levels: int = DEFAULT_LEVELS,
 ) -> DataFrame:
     """One row per distinct non-null value: ``value, weight, below, total``.
 
     ``weight`` is the number of rows with the value (or the sum of the weight
     column), ``below`` the weight of all smaller values.  Repeated values are
-    combined map-side, so a hot value costs one row per task.
+    combined map-side, so a hot value costs one row per task.  The work is
+    spread over ``2 ** levels`` buckets.
     """
     value = F.col(value) if isinstance(value, str) else value
     weight = F.col(weight) if isinstance(weight, str) else weight
@@ -40,6 +41,7 @@ def value_distribution(
         .groupBy("value")
         .agg(F.sum("rows").alias("weight"))
     )
+    buckets = 2**levels
     fractions = [i / buckets for i in range(1, buckets)]
     shape = values.agg(
         F.struct(
@@ -47,14 +49,19 @@ def value_distribution(
             F.sum("weight").alias("total"),
         ).alias("shape")
     ).scalar()
-    total = shape.getField("total")
-    lower = F.filter("edges", lambda e: e < F.col("value"))
-    # Never null by construction: else the join below would push a null test
-    # on it underneath the aggregate, to every row.
-    bucket = F.coalesce(F.size(lower), F.lit(0))
-    placed = values.withColumn("edges", shape.getField("edges")).select(
-        "value", "weight", bucket.alias("bucket")
+    # The shape is attached once as a column: a subquery mentioned n times is
+    # planned n times.
+    placed = values.withColumn("shape", shape).selectExpr(
+        "value", "weight", "shape.total AS total", "shape.edges AS edges", "0 AS bucket"
     )
+    # Binary search for the number of edges below the value, one level at a
+    # time.  The result is never null, or the join below would push a null
+    # test on it underneath the aggregate, to every row.
+    for step in (2**i for i in reversed(range(levels))):
+        placed = placed.selectExpr(
+            "value", "weight", "total", "edges", f"bucket + if(edges[bucket + {step - 1}] < value, {step}, 0) AS bucket"
+        )
+    placed = placed.drop("edges")
     in_order = Window.partitionBy("bucket").orderBy("value")
     inside = placed.withColumn(
         "inside", F.sum("weight").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
@@ -66,11 +73,8 @@ def value_distribution(
         .agg(F.sum("weight").alias("bucket_weight"))
         .select("bucket", F.coalesce(F.sum("bucket_weight").over(by_bucket), F.lit(0)).alias("offset"))
     )
-    return inside.join(F.broadcast(offsets), "bucket").select(
-        "value",
-        "weight",
-        (F.col("offset") + F.coalesce("inside", F.lit(0))).alias("below"),
-        total.alias("total"),
+    return inside.join(F.broadcast(offsets), "bucket").selectExpr(
+        "value", "weight", "offset + coalesce(inside, 0) AS below", "total"
     )
 
 
@@ -79,14 +83,14 @@ def quantiles(
     value: Column | str,
     fractions: dict[str, float],
     weight: Column | str | None = None,
-    buckets: int = DEFAULT_BUCKETS,
+    levels: int = DEFAULT_LEVELS,
 ) -> DataFrame:
     """One row of exact, linearly interpolated quantiles.
 
     ``fractions`` maps output names to fractions; with ``weight`` each value
     counts as that many equal rows.  Adds ``n``, the number of rows counted.
     """
-    spread = value_distribution(df, value, weight, buckets)
+    spread = value_distribution(df, value, weight, levels)
     below, upto = F.col("below"), F.col("below") + F.col("weight")
 
     def at(position: Column) -> Column:
@@ -121,12 +125,12 @@ def qcut(
     """
     k = len(labels)
     names = {f"e{i}": i / k for i in range(1, k)}
-    edges = quantiles(df, value, names, weight).select(F.struct(*names).alias("edges")).scalar()
-    uppers = [edges.getField(n) for n in names]
-    df = df.withColumn(out, cut_at(value, uppers, list(labels)))
+    edges = quantiles(df, value, names, weight).select(F.struct(*names)).scalar()
+    uppers = [F.col(f"__edges.{n}") for n in names]
+    binned = df.withColumn("__edges", edges).withColumn(out, cut_at(value, uppers, list(labels)))
     if ordinal:
-        df = df.withColumn(ordinal, cut_at(value, uppers, list(range(k))))
-    return df
+        binned = binned.withColumn(ordinal, cut_at(value, uppers, list(range(k))))
+    return binned.drop("__edges")
 
 
 def pct_rank(df: DataFrame, value: str, out: str) -> DataFrame:
@@ -155,27 +159,25 @@ def histogram(
     Bins are ``[lo, hi)``, the last one closed.  Missing bounds are taken from
     the data; values outside given bounds are left out.  Empty bins are absent.
     """
-    v = F.col(value).cast("double")
     weight_col = F.lit(1) if weight is None else F.col(weight)
-    src = df.select(v.alias("v"), weight_col.cast("bigint").alias("w")).where(F.col("v").isNotNull())
+    src = df.select(
+        F.col(value).cast("double").alias("v"), weight_col.cast("bigint").alias("w")
+    ).where(F.col("v").isNotNull())
     if low is None or high is None:
         bounds = src.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"))).scalar()
-        lo = bounds.getField("lo") if low is None else F.lit(float(low))
-        hi = bounds.getField("hi") if high is None else F.lit(float(high))
-    else:
-        lo, hi = F.lit(float(low)), F.lit(float(high))
-    width = (hi - lo) / bins
-    slot = F.coalesce(
-        F.least(F.floor(F.try_divide(F.col("v") - lo, width)), F.lit(bins - 1)), F.lit(0)
-    ).cast("int")
+        src = src.withColumn("seen", bounds)
+    lo = F.col("seen.lo") if low is None else F.lit(float(low))
+    hi = F.col("seen.hi") if high is None else F.lit(float(high))
+    placed = src.select("v", "w", lo.alias("lo"), hi.alias("hi"))
+    slot = f"cast(coalesce(least(floor(try_divide(v - lo, (hi - lo) / {bins})), {bins - 1}), 0) AS int)"
     return (
-        src.where((F.col("v") >= lo) & (F.col("v") <= hi))
-        .groupBy(slot.alias("bin"))
-        .agg(F.sum("w").alias("rows"))
-        .select(
+        placed.where("v BETWEEN lo AND hi")
+        .groupBy(F.expr(slot).alias("bin"))
+        .agg(F.sum("w").alias("rows"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+        .selectExpr(
             "bin",
-            (lo + width * F.col("bin")).alias("bin_start"),
-            (lo + width * (F.col("bin") + 1)).alias("bin_end"),
+            f"lo + (hi - lo) / {bins} * bin AS bin_start",
+            f"lo + (hi - lo) / {bins} * (bin + 1) AS bin_end",
             "rows",
         )
         .orderBy("bin")

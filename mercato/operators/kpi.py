@@ -138,12 +138,13 @@ def dataset_overview(star: Star) -> DataFrame:
             F.min(bought).alias("first"),
             F.max(bought).alias("last"),
         )
+        .withColumn("sold", counts)
         .select(
             "rows",
             "orders",
             "customers",
-            counts.getField("sellers").alias("sellers"),
-            counts.getField("products").alias("products"),
+            "sold.sellers",
+            "sold.products",
             F.to_date("first").alias("first_date"),
             F.to_date("last").alias("last_date"),
             floor_days("last", "first").alias("span_days"),

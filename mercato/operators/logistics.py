@@ -234,7 +234,7 @@ def delivery_days(star: Star) -> DataFrame:
 def sla_stats(star: Star) -> DataFrame:
     """95th percentile, median and interquartile range of delivery days."""
     points = {"p95": 0.95, "median": 0.5, "q1": 0.25, "q3": 0.75}
-    return quantiles(delivery_days(star), "delivery_time", points, weight="rows", buckets=8).select(
+    return quantiles(delivery_days(star), "delivery_time", points, weight="rows", levels=3).select(
         F.col("n").alias("rows"), "p95", "median", (F.col("q3") - F.col("q1")).alias("iqr")
     )
 
@@ -246,20 +246,19 @@ def spread_summary(star: Star, alpha: float = 0.05) -> DataFrame:
     mean on the table of distinct days; its p-value is exp(-JB / 2).
     """
     days = delivery_days(star)
-    d, w = F.col("delivery_time"), F.col("rows")
-    mean = days.agg(F.sum(d * w).cast("double") / F.sum(w)).scalar()
-    off = d - mean
+    mean = days.agg(F.sum(F.col("delivery_time") * F.col("rows")).cast("double") / F.sum("rows")).scalar()
     order = sla_stats(star).select(F.struct("median", "iqr")).scalar()
     n = F.col("n").cast("double")
     m2, m3, m4 = (F.try_divide(F.col(f"s{i}"), n) for i in (2, 3, 4))
     skew = F.try_divide(m3, F.pow(m2, F.lit(1.5)))
     excess = F.try_divide(m4, m2 * m2) - 3
-    normal = F.col("p_value") >= alpha
     return (
-        days.agg(
-            F.sum(w).alias("n"),
-            F.max(mean).alias("mean"),
-            *[F.sum(w * F.pow(off, F.lit(i))).alias(f"s{i}") for i in (2, 3, 4)],
+        days.withColumn("mean", mean)
+        .selectExpr("rows", "mean", "delivery_time - mean AS off")
+        .agg(
+            F.sum("rows").alias("n"),
+            F.max("mean").alias("mean"),
+            *[F.expr(f"sum(rows * pow(off, {i}))").alias(f"s{i}") for i in (2, 3, 4)],
         )
         .select(
             "n",
@@ -268,12 +267,14 @@ def spread_summary(star: Star, alpha: float = 0.05) -> DataFrame:
             (n / 6 * (skew * skew + excess * excess / 4)).alias("jarque_bera"),
         )
         .withColumn("p_value", F.exp(-F.col("jarque_bera") / 2))
-        .select(
+        .withColumn("is_normal", F.col("p_value") >= alpha)
+        .withColumn("robust", order)
+        .selectExpr(
             "n",
             "jarque_bera",
             "p_value",
-            normal.alias("is_normal"),
-            F.when(normal, F.col("mean")).otherwise(order.getField("median")).alias("center"),
-            F.when(normal, F.col("sd")).otherwise(order.getField("iqr")).alias("spread"),
+            "is_normal",
+            "if(is_normal, mean, robust.median) AS center",
+            "if(is_normal, sd, robust.iqr) AS spread",
         )
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercato.functions.columns import count_when, cut, percent, ratio, total
@@ -72,13 +72,10 @@ def category_metrics(star: Star, n: int | None = 15) -> DataFrame:
 
 def bcg(star: Star, n: int = 15) -> DataFrame:
     """Portfolio quadrant of the ``n`` best categories, split at their medians."""
-    table = category_metrics(star, n)
-    medians = table.agg(
-        F.struct(F.median("revenue").alias("revenue"), F.median("orders").alias("orders"))
-    ).scalar()
-    rich = F.col("revenue") > medians.getField("revenue")
-    busy = F.col("orders") > medians.getField("orders")
-    return table.withColumn(
+    listed = Window.partitionBy()  # the n kept categories
+    rich = F.col("revenue") > F.median("revenue").over(listed)
+    busy = F.col("orders") > F.median("orders").over(listed)
+    return category_metrics(star, n).withColumn(
         "position",
         F.when(rich & busy, "Stars")
         .when(rich, "Cash Cows")
@@ -137,9 +134,9 @@ def price_tiers(star: Star) -> DataFrame:
 
     ``is_best`` marks the tier with most orders, the cheaper one on ties.
     """
+    priced = product_prices(star).where(F.col("price").isNotNull())
     tiers = (
-        qcut(product_prices(star), "price", PRICE_LABELS, "tier", ordinal="level")
-        .where(F.col("tier").isNotNull())
+        qcut(priced, "price", PRICE_LABELS, "tier", ordinal="level")
         .groupBy("level", "tier")
         .agg(
             F.count(F.lit(1)).alias("products"),
@@ -147,7 +144,7 @@ def price_tiers(star: Star) -> DataFrame:
             F.avg("price").alias("avg_price"),
         )
     )
-    best = tiers.agg(F.max_by("level", F.struct("orders", -F.col("level")))).scalar()
+    best = F.max_by("level", F.struct("orders", -F.col("level"))).over(Window.partitionBy())
     return tiers.withColumn("is_best", F.col("level") == best).orderBy("level")
 
 
