@@ -1,6 +1,6 @@
 """Marketplace analytics as PySpark DataFrame jobs."""
 
-from mercato.plans.star import Star, master, order_payments, products_en
+from mercato.plans.star import Star, master, order_payments, products_en, store
 from mercato.plans.tables import Tables
 from mercato.session import configure
 from mercato.sources.population import population
@@ -19,4 +19,5 @@ __all__ = [
     "population",
     "products_en",
     "sample_cap",
+    "store",
 ]

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mercato.operators import customers, geo, kpi, logistics, portfolio, revenue
 from mercato.operators.customers import RfmRules
 from mercato.plans.star import Star
+from mercato.sources.inline import inline_table
 
 INF = float("inf")
 
@@ -59,16 +60,26 @@ RULES_ABOVE = (
     ("growth", "imbalanced_states", 0.0, "critical", "supply_gap"),
     ("growth", "emerging_states", 5.0, "info", "emerging_markets"),
 )
-RULE_SCHEMA = (
-    "page string, metric string, low double, low_open boolean, high double, level string, alert string"
-)
+RULE_COLUMNS = {
+    "page": "string",
+    "metric": "string",
+    "low": "double",
+    "low_open": "boolean",
+    "high": "double",
+    "level": "string",
+    "alert": "string",
+}
 
 
 def default_rules(spark: SparkSession) -> DataFrame:
-    """The published thresholds as a rule table."""
-    closed = [(p, m, lo, False, hi, lv, a) for p, m, lo, hi, lv, a in RULES]
-    above = [(p, m, lo, True, INF, lv, a) for p, m, lo, lv, a in RULES_ABOVE]
-    return spark.createDataFrame(closed + above, RULE_SCHEMA)
+    """The usual thresholds as a rule table; a null limit leaves that side open."""
+
+    def limit(x: float) -> float | None:
+        return None if x in (INF, -INF) else x
+
+    closed = [(p, m, limit(lo), False, limit(hi), lv, a) for p, m, lo, hi, lv, a in RULES]
+    above = [(p, m, lo, True, None, lv, a) for p, m, lo, lv, a in RULES_ABOVE]
+    return inline_table(spark, RULE_COLUMNS, closed + above)
 
 
 def alerts(metrics: DataFrame, rules: DataFrame) -> DataFrame:
@@ -77,9 +88,9 @@ def alerts(metrics: DataFrame, rules: DataFrame) -> DataFrame:
     A rule fires when its band holds the value; a metric without a value
     fires nothing.  Both tables are a few dozen rows.
     """
-    v = F.col("value")
-    above = F.when(F.col("low_open"), v > F.col("low")).otherwise(v >= F.col("low"))
-    below = (F.col("high") == INF) | (v < F.col("high"))
+    v, low, high = F.col("value"), F.col("low"), F.col("high")
+    above = low.isNull() | F.when(F.col("low_open"), v > low).otherwise(v >= low)
+    below = high.isNull() | (v < high)
     return (
         metrics.join(rules, "metric")
         .where(v.isNotNull() & above & below)

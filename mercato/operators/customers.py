@@ -152,12 +152,10 @@ def review_classes(star: Star) -> DataFrame:
     weights = star.orders().select("order_id", (F.col("item_rows") * F.col("pay_rows")).alias("times"))
     names = F.create_map(*[F.lit(x) for pair in REVIEW_CLASSES.items() for x in pair])
     return (
-        star.tables.order_reviews.groupBy("order_id", "review_score")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("review_score").isin(list(REVIEW_CLASSES)))
+        star.tables.order_reviews.where(F.col("review_score").isin(list(REVIEW_CLASSES)))
         .join(weights, "order_id")
         .groupBy("review_score")
-        .agg(F.sum(F.col("n") * F.col("times")).alias("rows"))
+        .agg(F.sum("times").alias("rows"))
         .select("review_score", F.try_element_at(names, "review_score").alias("class"), "rows")
         .orderBy(F.col("review_score").desc())
     )

@@ -38,7 +38,7 @@ def filter_values(star: Star, column: str) -> DataFrame:
         used = star.keys().join(star.tables.orders.select("order_id", "customer_id"), "order_id")
         source = star.tables.customers.join(used, "customer_id", "left_semi")
     elif column in (CATEGORY, "product_category_name"):
-        sold = star.scoped(star._items()).select("product_id")
+        sold = star.scoped(star.items()).select("product_id")
         source = products_en(star.tables).join(sold, "product_id", "left_semi")
     else:
         source = star.orders()

@@ -146,7 +146,7 @@ def supply_demand(star: Star, how: str = "full") -> DataFrame:
     ``'full'`` keeps every state with zeros filled in (no orders but sellers
     gives infinity); ``'inner'`` keeps states having both.
     """
-    sold = star.scoped(star._items().select("order_id", "seller_id")).select("seller_id").distinct()
+    sold = star.scoped(star.items().select("order_id", "seller_id")).select("seller_id").distinct()
     supply = (
         star.tables.sellers.where(F.col("seller_state").isNotNull())
         .join(sold, "seller_id", "left_semi")

@@ -29,7 +29,7 @@ def seller_count(star: Star) -> Column:
     Sellers are made distinct map-side before the semi-join would matter, so
     only (order, seller) pairs travel.
     """
-    return star.scoped(star._items().select("order_id", "seller_id")).agg(
+    return star.scoped(star.items().select("order_id", "seller_id")).agg(
         F.count_distinct("seller_id")
     ).scalar()
 
@@ -123,7 +123,7 @@ def median_order_value(star: Star) -> DataFrame:
 def dataset_overview(star: Star) -> DataFrame:
     """Joined rows, orders, customers, sellers, products, dates and their span."""
     bought = F.col("order_purchase_timestamp")
-    sold = star.scoped(star._items().select("order_id", "seller_id", "product_id"))
+    sold = star.scoped(star.items().select("order_id", "seller_id", "product_id"))
     counts = sold.agg(
         F.struct(
             F.count_distinct("seller_id").alias("sellers"), F.count_distinct("product_id").alias("products")

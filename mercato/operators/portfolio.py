@@ -149,21 +149,29 @@ def price_tiers(star: Star) -> DataFrame:
 
 
 def price_ranges(star: Star) -> DataFrame:
-    """Lowest and highest item price per quintile over joined rows."""
+    """Joined rows, lowest and highest item price per quintile over joined rows.
+
+    Counting the rows makes the table of prices the same one the quintiles
+    are computed from, so it is shuffled once.
+    """
     prices = (
         star.lines().where(F.col("price").isNotNull()).groupBy("price").agg(F.sum("rows").alias("rows"))
     )
     return (
         qcut(prices, "price", PRICE_LABELS, "tier", weight="rows", ordinal="level")
         .groupBy("level", "tier")
-        .agg(F.min("price").alias("min_price"), F.max("price").alias("max_price"))
+        .agg(
+            F.sum("rows").alias("rows"),
+            F.min("price").alias("min_price"),
+            F.max("price").alias("max_price"),
+        )
         .orderBy("level")
     )
 
 
 def revenue_per_product(star: Star) -> DataFrame:
     """Item revenue (sum of prices, R4) per item sold and per distinct product."""
-    items = star._items().select("order_id", "product_id", "price")
+    items = star.items().select("order_id", "product_id", "price")
     return star.scoped(items).agg(
         total("price").alias("product_revenue"),
         F.count("product_id").alias("products_sold"),

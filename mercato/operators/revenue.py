@@ -159,11 +159,9 @@ def revenue_by_payment_type(star: Star) -> DataFrame:
     weights = star.orders().select("order_id", (F.col("item_rows") * F.col("review_rows")).alias("times"))
     return (
         star.tables.order_payments.where(F.col("payment_type").isNotNull())
-        .groupBy("order_id", "payment_type")
-        .agg(F.sum("payment_value").alias("paid"))
         .join(weights, "order_id")
         .groupBy("payment_type")
-        .agg(total(F.col("paid") * F.col("times")).alias("revenue"))
+        .agg(total(F.col("payment_value") * F.col("times")).alias("revenue"))
     )
 
 

@@ -52,7 +52,7 @@ def top_sellers(star: Star, n: int | None = 10) -> DataFrame:
 
 def sellers_by_state(star: Star, n: int | None = 10) -> DataFrame:
     """States with most active sellers."""
-    active = star.scoped(star._items().select("order_id", "seller_id")).select("seller_id").distinct()
+    active = star.scoped(star.items().select("order_id", "seller_id")).select("seller_id").distinct()
     counts = (
         star.tables.sellers.where(F.col("seller_state").isNotNull())
         .join(active, "seller_id", "left_semi")

@@ -31,6 +31,7 @@ dimension joins are added on request.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -166,6 +167,29 @@ def item_rollup(items: DataFrame) -> DataFrame:
     )
 
 
+# Sums over the joined rows, from the roll-ups of one order.
+ORDER_FAN_OUT = {
+    "rows": "item_rows * pay_rows * review_rows",
+    "revenue": "pay_total * item_rows * review_rows",
+    "paid_rows": "coalesce(pay_values, 0) * item_rows * review_rows",
+    "scores": "score_total * item_rows * pay_rows",
+    "scored": "coalesce(score_count, 0) * item_rows * pay_rows",
+    "promoter_rows": "coalesce(promoters, 0) * item_rows * pay_rows",
+    "detractor_rows": "coalesce(detractors, 0) * item_rows * pay_rows",
+    "product_rows": "coalesce(n_products, 0) * pay_rows * review_rows",
+    "price_fanned": "price_total * pay_rows * review_rows",
+    "freight_fanned": "freight_total * pay_rows * review_rows",
+    "line_fanned": "line_total * pay_rows * review_rows",
+}
+# The same for one item of the order.
+LINE_FAN_OUT = {
+    "rows": "pay_rows * review_rows",
+    "revenue": "pay_total * review_rows",
+    "scores": "score_total * pay_rows",
+    "scored": "coalesce(score_count, 0) * pay_rows",
+}
+
+
 class Star:
     """The joined model of a catalog, optionally narrowed by filters.
 
@@ -192,22 +216,31 @@ class Star:
     def is_filtered(self) -> bool:
         return bool(self.states or self.categories or self.window_days)
 
-    def _items(self) -> DataFrame:
-        """Items of the chosen categories."""
+    def items(self, product: bool = False) -> DataFrame:
+        """Items of the chosen categories; ``product`` adds the category names."""
         items = self.tables.order_items
-        if self.categories:
-            chosen = products_en(self.tables).where(F.col(CATEGORY).isin(list(self.categories)))
-            items = items.join(chosen.select("product_id"), "product_id", "left_semi")
-        return items
-
-    def _scoped_orders(self, window: bool = True) -> DataFrame:
-        """Orders in scope, joined to nothing but what the filters need."""
+        if not (product or self.categories):
+            return items
+        names = products_en(self.tables).select("product_id", "product_category_name", CATEGORY)
+        if not self.categories:
+            return items.join(names, "product_id", "left")
+        names = names.where(F.col(CATEGORY).isin(list(self.categories)))
+        return items.join(names if product else names.select("product_id"), "product_id")
+
+    def _scoped_orders(self, customer: bool = False, window: bool = True) -> DataFrame:
+        """Orders in scope, joined to nothing but what is needed."""
         orders = self.tables.orders
-        if self.states:
-            chosen = self.tables.customers.where(F.col(STATE).isin(list(self.states)))
-            orders = orders.join(chosen.select("customer_id"), "customer_id", "left_semi")
+        if self.states or customer:
+            dims = self.tables.customers.select("customer_id", CUSTOMER, STATE)
+            if self.states:
+                dims = dims.where(F.col(STATE).isin(list(self.states)))
+            orders = orders.join(
+                dims if customer else dims.select("customer_id"),
+                "customer_id",
+                "inner" if self.states else "left",
+            )
         if self.categories:
-            orders = scope_to(orders, self._items())
+            orders = scope_to(orders, self.items())
         if window and self.window_days:
             newest = self._scoped_orders(window=False).agg(F.max("order_purchase_timestamp")).scalar()
             start = newest - F.make_dt_interval(days=F.lit(self.window_days))
@@ -231,39 +264,22 @@ class Star:
         """
         t = self.tables
         df = (
-            self._scoped_orders()
-            .join(item_rollup(self._items()), "order_id", "left")
+            self._scoped_orders(customer)
+            .join(item_rollup(self.items()), "order_id", "left")
             .join(payment_rollup(t.order_payments), "order_id", "left")
             .join(review_rollup(t.order_reviews), "order_id", "left")
+            .selectExpr(
+                "*",
+                "greatest(coalesce(n_items, 0), 1) AS item_rows",
+                "greatest(coalesce(n_pay, 0), 1) AS pay_rows",
+                "greatest(coalesce(n_rev, 0), 1) AS review_rows",
+                "coalesce(n_items, 0) AS items",
+                "coalesce(n_pay, 0) AS payments",
+                "coalesce(n_rev, 0) AS reviews",
+            )
+            .selectExpr("*", *[f"{sql} AS {name}" for name, sql in ORDER_FAN_OUT.items()])
         )
-        df = df.selectExpr(
-            "*",
-            "greatest(coalesce(n_items, 0), 1) AS item_rows",
-            "greatest(coalesce(n_pay, 0), 1) AS pay_rows",
-            "greatest(coalesce(n_rev, 0), 1) AS review_rows",
-            "coalesce(n_items, 0) AS items",
-            "coalesce(n_pay, 0) AS payments",
-            "coalesce(n_rev, 0) AS reviews",
-        ).selectExpr(
-            "*",
-            "item_rows * pay_rows * review_rows AS rows",
-            "pay_total * item_rows * review_rows AS revenue",
-            "coalesce(pay_values, 0) * item_rows * review_rows AS paid_rows",
-            "score_total * item_rows * pay_rows AS scores",
-            "coalesce(score_count, 0) * item_rows * pay_rows AS scored",
-            "coalesce(promoters, 0) * item_rows * pay_rows AS promoter_rows",
-            "coalesce(detractors, 0) * item_rows * pay_rows AS detractor_rows",
-            "coalesce(n_products, 0) * pay_rows * review_rows AS product_rows",
-            "price_total * pay_rows * review_rows AS price_fanned",
-            "freight_total * pay_rows * review_rows AS freight_fanned",
-            "line_total * pay_rows * review_rows AS line_fanned",
-        )
-        df = add_processing(add_time(add_delivery(df)))
-        return self._with_customer(df) if customer else df
-
-    def _with_customer(self, df: DataFrame) -> DataFrame:
-        dims = self.tables.customers.select("customer_id", CUSTOMER, STATE)
-        return df.join(dims, "customer_id", "left")
+        return add_processing(add_time(add_delivery(df)))
 
     # -- item grain
 
@@ -272,29 +288,17 @@ class Star:
 
         Orders without items are absent: every item-level key drops null keys.
         ``product`` adds the category names, ``seller`` the seller state.  The
-        items are the left side, so a hot order, product or seller is split by
-        the adaptive skew join.
+        dimensions are joined first and the orders last, so the rows end up
+        lying by order.  The items are always the left side, so a hot product,
+        seller or order is split by the adaptive skew join.
         """
-        order = self.orders(customer=customer).drop(
-            "rows", "revenue", "scores", "scored", "paid_rows", "price_fanned",
-            "freight_fanned", "line_fanned", "product_rows", "promoter_rows", "detractor_rows",
-        )
-        df = self._items().join(order, "order_id").selectExpr(
-            "*",
-            "pay_rows * review_rows AS rows",
-            "pay_total * review_rows AS revenue",
-            "score_total * pay_rows AS scores",
-            "coalesce(score_count, 0) * pay_rows AS scored",
-        )
-        if product:
-            df = df.join(
-                products_en(self.tables).select("product_id", "product_category_name", CATEGORY),
-                "product_id",
-                "left",
-            )
+        order = self.orders(customer=customer).drop(*ORDER_FAN_OUT)
+        items = self.items(product)
         if seller:
-            df = df.join(self.tables.sellers.select("seller_id", "seller_state"), "seller_id", "left")
-        return df
+            items = items.join(self.tables.sellers.select("seller_id", "seller_state"), "seller_id", "left")
+        return items.join(order, "order_id").selectExpr(
+            "*", *[f"{sql} AS {name}" for name, sql in LINE_FAN_OUT.items()]
+        )
 
     def per_order(self, *keys: str, extra: Sequence[Column] = (), **dims: bool) -> DataFrame:
         """Lines collapsed to one row per order and key (null keys dropped).
@@ -320,6 +324,48 @@ class Star:
         )
 
 
+class StoredStar(Star):
+    """A star whose order and item tables were written once and are read back.
+
+    Made by :func:`store`; answers every operator like the star it came from,
+    without joining the sources again.
+    """
+
+    def __init__(self, origin: Star, orders: DataFrame, lines: DataFrame):
+        super().__init__(origin.tables, origin.states, origin.categories, origin.window_days)
+        self._orders, self._lines = orders, lines
+
+    def keys(self) -> DataFrame:
+        return self._orders.select("order_id")
+
+    def items(self, product: bool = False) -> DataFrame:
+        return self._lines
+
+    def orders(self, customer: bool = False) -> DataFrame:
+        return self._orders
+
+    def lines(self, product: bool = False, seller: bool = False, customer: bool = False) -> DataFrame:
+        return self._lines
+
+
+def store(star: Star, path: str | None = None) -> StoredStar:
+    """Write the order and item tables of ``star`` and return a star reading them.
+
+    Worth it when several operators follow: the sources are then joined once.
+    ``path`` defaults to a new folder in ``spark.checkpoint.dir``, the shared
+    folder of the cluster; written tables survive the loss of executors.
+    """
+    spark = star.tables.orders.sparkSession
+    if path is None:
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared:
+            raise ValueError("give a path or set spark.checkpoint.dir")
+        path = f"{shared.rstrip('/')}/star-{uuid.uuid4().hex}"
+    star.orders(customer=True).write.parquet(f"{path}/orders")
+    star.lines(product=True, seller=True, customer=True).write.parquet(f"{path}/lines")
+    return StoredStar(star, spark.read.parquet(f"{path}/orders"), spark.read.parquet(f"{path}/lines"))
+
+
 def mean_score() -> Column:
     """Aggregate: mean review score over the joined rows."""
     return F.try_divide(F.sum("scores").cast("double"), F.sum("scored"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mercato.sources.inline import inline_table
+
 # Inhabitants of the 27 Brazilian federal units.
 BRAZIL_POPULATION = {
     "SP": 46649132, "MG": 21411923, "RJ": 17463349, "BA": 14985284,
@@ -19,8 +21,8 @@ BRAZIL_POPULATION = {
 
 def population(spark: SparkSession, by_state: dict[str, int] | None = None) -> DataFrame:
     """``state, population``; the 27 Brazilian states unless others are given."""
-    rows = list((by_state or BRAZIL_POPULATION).items())
-    return spark.createDataFrame(rows, "state string, population long")
+    columns = {"state": "string", "population": "bigint"}
+    return inline_table(spark, columns, (by_state or BRAZIL_POPULATION).items())
 
 
 def with_population(df: DataFrame, pop: DataFrame, state: str) -> DataFrame:

@@ -1441,7 +1441,7 @@ check(
     "p9_price_ranges",
     lambda s: portfolio.price_ranges(s.star),
     oracle(
-        "SELECT level, label AS tier, min(price) AS min_price, max(price) AS max_price FROM qb GROUP BY 1, 2",
+        "SELECT level, label AS tier, count(*) AS rows, min(price) AS min_price, max(price) AS max_price FROM qb GROUP BY 1, 2",
         *_binned("m", "price", 5, _PRICE_LABELS),
     ),
 )
