@@ -169,7 +169,7 @@ def histogram(
     lo = F.col("seen.lo") if low is None else F.lit(float(low))
     hi = F.col("seen.hi") if high is None else F.lit(float(high))
     placed = src.select("v", "w", lo.alias("lo"), hi.alias("hi"))
-    slot = f"cast(coalesce(least(floor(try_divide(v - lo, (hi - lo) / {bins})), {bins - 1}), 0) AS int)"
+    slot = f"cast(least(coalesce(floor(try_divide(v - lo, (hi - lo) / {bins})), 0), {bins - 1}) AS int)"
     return (
         placed.where("v BETWEEN lo AND hi")
         .groupBy(F.expr(slot).alias("bin"))

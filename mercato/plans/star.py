@@ -32,7 +32,7 @@ dimension joins are added on request.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -209,6 +209,9 @@ class Star:
         self.states = tuple(states)
         self.categories = tuple(categories)
         self.window_days = window_days
+        # Plans already built; a star never changes, and analysing its wide
+        # frames anew for every operator would cost more than small queries.
+        self._built: dict[tuple, DataFrame] = {}
 
     # -- scope
 
@@ -227,8 +230,13 @@ class Star:
         names = names.where(F.col(CATEGORY).isin(list(self.categories)))
         return items.join(names if product else names.select("product_id"), "product_id")
 
-    def _scoped_orders(self, customer: bool = False, window: bool = True) -> DataFrame:
-        """Orders in scope, joined to nothing but what is needed."""
+    def _scoped_orders(
+        self, customer: bool = False, window: bool = True, category: bool = True
+    ) -> DataFrame:
+        """Orders in scope, joined to nothing but what is needed.
+
+        ``category=False`` leaves the category filter to a later inner join.
+        """
         orders = self.tables.orders
         if self.states or customer:
             dims = self.tables.customers.select("customer_id", CUSTOMER, STATE)
@@ -239,7 +247,7 @@ class Star:
                 "customer_id",
                 "inner" if self.states else "left",
             )
-        if self.categories:
+        if self.categories and category:
             orders = scope_to(orders, self.items())
         if window and self.window_days:
             newest = self._scoped_orders(window=False).agg(F.max("order_purchase_timestamp")).scalar()
@@ -262,10 +270,18 @@ class Star:
 
         ``customer`` adds ``customer_unique_id`` and ``customer_state``.
         """
+        return self._once(("orders", customer), lambda: self._build_orders(customer))
+
+    def _once(self, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
+        if key not in self._built:
+            self._built[key] = build()
+        return self._built[key]
+
+    def _build_orders(self, customer: bool) -> DataFrame:
         t = self.tables
         df = (
-            self._scoped_orders(customer)
-            .join(item_rollup(self.items()), "order_id", "left")
+            self._scoped_orders(customer, category=False)
+            .join(item_rollup(self.items()), "order_id", "inner" if self.categories else "left")
             .join(payment_rollup(t.order_payments), "order_id", "left")
             .join(review_rollup(t.order_reviews), "order_id", "left")
             .selectExpr(
@@ -292,6 +308,10 @@ class Star:
         lying by order.  The items are always the left side, so a hot product,
         seller or order is split by the adaptive skew join.
         """
+        key = ("lines", product, seller, customer)
+        return self._once(key, lambda: self._build_lines(product, seller, customer))
+
+    def _build_lines(self, product: bool, seller: bool, customer: bool) -> DataFrame:
         order = self.orders(customer=customer).drop(*ORDER_FAN_OUT)
         items = self.items(product)
         if seller:

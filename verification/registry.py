@@ -96,8 +96,20 @@ def settle(df: DataFrame) -> DataFrame:
     return df.select(*[col(f) for f in df.schema.fields])
 
 
+_SOURCES: dict[tuple[SparkSession, str], Source] = {}
+
+
+def source(spark: SparkSession, directory: str) -> Source:
+    """The source of a directory, its plans built once per session."""
+    key = (spark, directory)
+    if key not in _SOURCES:
+        _SOURCES.clear()
+        _SOURCES[key] = Source(spark, directory)
+    return _SOURCES[key]
+
+
 def check(name: str, build: Callable[[Source], DataFrame], sql: str | None = None) -> None:
-    QUERIES[name] = lambda spark, directory: settle(build(Source(spark, directory)))
+    QUERIES[name] = lambda spark, directory: settle(build(source(spark, directory)))
     if sql is not None:
         ORACLES[name] = sql
 
