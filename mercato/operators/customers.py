@@ -23,7 +23,7 @@ from mercato.functions.columns import (
 from mercato.functions.stats import qcut
 from mercato.operators.kpi import source_revenue
 from mercato.operators.revenue import top_k
-from mercato.plans.star import CUSTOMER, STATE, Star, mean_score
+from mercato.plans.star import CUSTOMER, STATE, Star, join_orders, mean_score
 
 # Names and edges of the customer value classes.
 VALUE_LABELS = ("Low", "Medium", "High", "VIP")
@@ -152,8 +152,7 @@ def review_classes(star: Star) -> DataFrame:
     weights = star.orders().select("order_id", (F.col("item_rows") * F.col("pay_rows")).alias("times"))
     names = F.create_map(*[F.lit(x) for pair in REVIEW_CLASSES.items() for x in pair])
     return (
-        star.tables.order_reviews.where(F.col("review_score").isin(list(REVIEW_CLASSES)))
-        .join(weights, "order_id")
+        join_orders(star.tables.order_reviews.where(F.col("review_score").isin(list(REVIEW_CLASSES))), weights)
         .groupBy("review_score")
         .agg(F.sum("times").alias("rows"))
         .select("review_score", F.try_element_at(names, "review_score").alias("class"), "rows")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from mercato.functions.columns import percent, ratio, safe_div, total, weekday_name
 from mercato.operators.kpi import source_revenue
-from mercato.plans.star import CATEGORY, STATE, Star, order_payments
+from mercato.plans.star import CATEGORY, STATE, Star, join_orders, order_payments
 from mercato.plans.tables import Tables
 
 
@@ -158,8 +158,7 @@ def revenue_by_payment_type(star: Star) -> DataFrame:
     """Revenue by payment type over joined rows (R5)."""
     weights = star.orders().select("order_id", (F.col("item_rows") * F.col("review_rows")).alias("times"))
     return (
-        star.tables.order_payments.where(F.col("payment_type").isNotNull())
-        .join(weights, "order_id")
+        join_orders(star.tables.order_payments.where(F.col("payment_type").isNotNull()), weights)
         .groupBy("payment_type")
         .agg(total(F.col("payment_value") * F.col("times")).alias("revenue"))
     )

@@ -116,9 +116,24 @@ def order_payments(t: Tables) -> DataFrame:
     )
 
 
+def join_orders(df: DataFrame, orders: DataFrame, how: str = "inner") -> DataFrame:
+    """Join child rows to one-row-per-order ``orders`` such that a hot order is split.
+
+    The adaptive skew join splits a hot key only if both sides come straight
+    from a shuffle.  ``orders`` mostly lies by order already, from its own
+    joins, so there would be none; a hash of the key as a second join column
+    makes Spark shuffle that side once more, which is narrow, one row per
+    order.  The children are shuffled once either way.
+    """
+    hashed = F.xxhash64("order_id")
+    return df.withColumn("order_hash", hashed).join(
+        orders.withColumn("order_hash", hashed), ["order_id", "order_hash"], how
+    )
+
+
 def scope_to(df: DataFrame, orders: DataFrame) -> DataFrame:
     """Rows of ``df`` that belong to one of ``orders``."""
-    return df.join(orders.select("order_id"), "order_id", "left_semi")
+    return join_orders(df, orders.select("order_id"), "left_semi").drop("order_hash")
 
 
 # --- per-order roll-ups -------------------------------------------------------
@@ -316,7 +331,7 @@ class Star:
         items = self.items(product)
         if seller:
             items = items.join(self.tables.sellers.select("seller_id", "seller_state"), "seller_id", "left")
-        return items.join(order, "order_id").selectExpr(
+        return join_orders(items, order).selectExpr(
             "*", *[f"{sql} AS {name}" for name, sql in LINE_FAN_OUT.items()]
         )
 
@@ -325,13 +340,14 @@ class Star:
 
         Counting orders by key is then a plain row count with map-side
         combine, where ``count(distinct)`` would ship every order id once more.
-        The collapse is free of a shuffle when the lines lie by order.
+        The lines lie by order, so the collapse needs no shuffle, unless a hot
+        order was split.
         """
         lines = self.lines(**dims)
         for key in keys:
             lines = lines.where(F.col(key).isNotNull())
         same = ("delivery_time", "on_time_delivery", "order_month", "order_purchase_timestamp")
-        return lines.groupBy("order_id", *keys).agg(
+        return lines.groupBy("order_id", "order_hash", *keys).agg(
             F.sum("rows").alias("rows"),
             F.sum("revenue").alias("revenue"),
             F.sum("scores").alias("scores"),

@@ -4,7 +4,10 @@ import os
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
+from mercato import Star
+from mercato.operators import revenue
 from verification.compare import compare, connect
 from verification.registry import ORACLES, QUERIES, Source
 
@@ -70,15 +73,56 @@ def test_rollups_shuffle_each_table_once_on_the_order(big):
     assert text.count("partial_count(1)") == 3  # combined before the shuffle
 
 
+def exchanges(text: str) -> list[tuple[str, ...]]:
+    """Keys of every hash shuffle."""
+    found = re.findall(r"Exchange hashpartitioning\(([^)]*), \d+\)", text)
+    return sorted(tuple(re.sub(r"#\w+", "", k).split(", ")) for k in found)
+
+
 def test_lines_need_no_item_rollup(big):
     text = plan(Source(big, DATA).star.lines().select("seller_id", "revenue"))
-    assert text.count("l_orderkey") > 0 and len(re.findall(r"Exchange hashpartitioning", text)) == 4
+    # Orders, payments and reviews meet by order; then the items and the result once each.
+    assert exchanges(text) == [("order_id",)] * 3 + [("order_id", "order_hash")] * 2
+    assert text.count("l_orderkey bigint") + text.count("l_orderkey:bigint") == 1
 
 
 def test_counting_orders_by_seller_adds_one_shuffle(big):
     text = plan(QUERIES["l5_seller_performance"](big, DATA))
-    keys = re.findall(r"Exchange hashpartitioning\((\w+)#\w+, \d+\)", text)
-    assert sorted(keys) == ["order_id"] * 4 + ["seller_id"]
+    assert exchanges(text) == [("order_id",)] * 3 + [("order_id", "order_hash")] * 2 + [("seller_id",)]
+
+
+def test_a_hot_order_is_split(spark):
+    """A third of all payments belong to one order; its join partition is divided."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.3",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "40KB",
+    }
+    hot = F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 5000)
+    real = Source(spark, DATA).t
+    payments = spark.range(0, 120_000, 1, 4).select(
+        hot.alias("order_id"),
+        F.concat(F.lit("type"), (F.col("id") % 2).cast("string")).alias("payment_type"),
+        (F.hash("id") % 100000 / 100).alias("payment_value"),
+    )
+    star = Star(real.replace(order_payments=payments))
+    want = payments.join(star.orders().selectExpr("order_id", "item_rows * review_rows AS n"), "order_id").groupBy(
+        "payment_type"
+    ).agg(F.sum(F.col("payment_value") * F.col("n")).alias("v"))
+    expected = {r.payment_type: r.v for r in want.collect()}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        df = revenue.revenue_by_payment_type(star)
+        got = {r.payment_type: r.revenue for r in df.collect()}
+        assert "skew=true" in plan(df)
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+    assert got == pytest.approx(expected)
 
 
 def test_second_purchase_is_limited_before_the_shuffle(big):
