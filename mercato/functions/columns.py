@@ -71,10 +71,12 @@ def months_between_labels(later: Column | str, earlier: Column | str) -> Column:
 def total(c: Column | str) -> Column:
     """Aggregate: sum of doubles, 0.0 when every value is null.
 
-    Rounded to 1e-4: floating sums depend on the order in which tasks finish,
-    and later steps compare them (ranks, quantile edges, top-k).
+    Rounded to 1e-4, from ten million on to the cent: floating sums depend on
+    the order in which tasks finish, and later steps compare them (ranks,
+    quantile edges, top-k).
     """
-    return F.round(F.coalesce(F.sum(_col(c)), F.lit(0.0)), 4)
+    s = F.coalesce(F.sum(_col(c)), F.lit(0.0))
+    return F.when(F.abs(s) < 1e7, F.round(s, 4)).otherwise(F.round(s, 2))
 
 
 def count_total(c: Column | str) -> Column:

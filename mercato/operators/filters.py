@@ -35,8 +35,7 @@ def apply_filters(
 def filter_values(star: Star, column: str) -> DataFrame:
     """Sorted distinct values to choose from: ``customer_state`` or a category name."""
     if column == STATE:
-        used = star.keys().join(star.tables.orders.select("order_id", "customer_id"), "order_id")
-        source = star.tables.customers.join(used, "customer_id", "left_semi")
+        source = star.tables.customers.join(star.orders().select("customer_id"), "customer_id", "left_semi")
     elif column in (CATEGORY, "product_category_name"):
         sold = star.scoped(star.items()).select("product_id")
         source = products_en(star.tables).join(sold, "product_id", "left_semi")

@@ -1,7 +1,7 @@
 """Every operator as a query on the retail tables, with its SQL twin.
 
 ``QUERIES`` maps a name to ``(spark, directory) -> DataFrame`` and ``ORACLES``
-the same name to SQL.  Both sides round doubles to four places and give dates
+the same name to SQL.  Both sides round doubles to four places (two from ten million on) and give dates
 as text and whole numbers as bigint.
 """
 
@@ -83,8 +83,8 @@ def settle(df: DataFrame) -> DataFrame:
     def col(f: T.StructField):
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            rounded = F.floor(c * 10000 + 0.5).cast("double") / 10000
-            c = F.when(F.abs(c) < 1e14, rounded).otherwise(c)
+            fine, coarse = (F.floor(c * k + 0.5).cast("double") / k for k in (10000, 100))
+            c = F.when(F.abs(c) < 1e7, fine).when(F.abs(c) < 1e15, coarse).otherwise(c)
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("bigint")
         elif isinstance(f.dataType, T.DateType):

@@ -78,8 +78,10 @@ def oracle(body: str, *ctes: str) -> str:
 
 
 def r4(x: str) -> str:
-    """Round to four places by the same double arithmetic as the Spark side."""
-    return f"floor(({x}) * 10000 + 0.5) / 10000"
+    """Round to four places, two from ten million on, by the same double arithmetic as the Spark side."""
+    return (
+        f"(CASE WHEN abs({x}) < 1e7 THEN floor(({x}) * 10000 + 0.5) / 10000 ELSE floor(({x}) * 100 + 0.5) / 100 END)"
+    )
 
 
 def money(x: str, where: str | None = None) -> str:
