@@ -25,7 +25,7 @@ from itertools import chain
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
 
-from mercato.llm.chunks import PRE_TOKEN, ChunkTable, slices
+from mercato.llm.chunks import ChunkTable, pre_tokens, slices
 
 NEVER = 1 << 60
 
@@ -192,7 +192,7 @@ class Encoder:
         words = _Words(self.automaton)
 
         def encode(pieces: list[str]) -> list[bytes]:
-            return [b"".join([words[x] for x in PRE_TOKEN.findall(piece)]) for piece in pieces]
+            return [b"".join([words[x] for x in pre_tokens(piece)]) for piece in pieces]
 
         specials = {text: array("I", [i]).tobytes() for text, i in self.automaton.specials.items()}
         self.table = ChunkTable(encode, specials)

@@ -57,7 +57,7 @@ class ChunkTable:
         self,
         encode: Callable[[list[str]], list],
         specials: dict[str, object],
-        limit: int = 400_000,
+        limit: int = 1_000_000,
         frequent: dict[str, object] | None = None,
     ):
         self.encode, self.specials, self.limit = encode, specials, limit
@@ -97,6 +97,11 @@ class ChunkTable:
             yield chain(map(head, heads), map(tail, tails))
 
 
+def pre_tokens(piece: str) -> list[str]:
+    """Pre-tokens of a piece; most pieces are a blank and letters, which is one."""
+    return [piece] if piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()) else PRE_TOKEN.findall(piece)
+
+
 def with_blank(piece: str) -> str:
     return piece if piece[:1] == "\n" else " " + piece
 
@@ -117,7 +122,7 @@ def library_encoder(tokenizer, newline: int, typecode: str) -> Callable[[list[st
         return [np.array(x.ids, typecode).tobytes() for x in found]
 
     def encode(pieces: list[str]) -> list[bytes]:
-        cut = [PRE_TOKEN.findall(piece) for piece in pieces]
+        cut = [pre_tokens(piece) for piece in pieces]
         if len(kept) > 200_000:
             kept.clear()
         words = list(set(chain.from_iterable(cut)).difference(kept))

@@ -1,6 +1,7 @@
 """Toxicity by weak supervision.
 
-Voters are lexicon terms (words and word beginnings) and patterns.  The
+Voters are lexicon terms (words and word beginnings) and
+patterns, one of them that no term occurs.  The
 lexicon is mined from a bounded sample of labelled training rows.  A
 generative label model over the votes of all documents then estimates by
 expectation maximisation how often each voter fires on toxic and on clean
@@ -24,8 +25,13 @@ from mercato.llm.common import written
 #: Labelled documents of each class that the lexicon and the classifier are fitted on, about at most.
 SAMPLE = 3_000
 TERMS = 56
-#: Documents of the sample in which a term occurs at least, and how much likelier in toxic ones.
-LEAST, LIFT = 5, 8.0
+#: Share of the training rows with a term that are toxic, for the term to vote.
+RIGHT = 0.8
+#: Patterns of votes that the classifier is fitted on at most, the most frequent ones.
+FITTED = 20_000
+#: How much likelier a term is in toxic documents at least, and among how many
+#: terms one that isn't may be taken for such by chance.
+LIFT, CHANCE = 8.0, 1e7
 STEMS = range(4, 8)
 ROUNDS = 5
 THRESHOLD = 0.7
@@ -33,7 +39,7 @@ THRESHOLD = 0.7
 _LETTERS = re.compile(r"\w+")
 #: Pattern voters: strings whose presence is a vote, and tests on the hits.
 MARKS = ("!!", "?!", "**", "@#")
-PATTERNS = len(MARKS) + 2
+PATTERNS = len(MARKS) + 3
 
 
 def held_out(doc_id: Column | str, parts: int, part: int) -> Column:
@@ -78,7 +84,9 @@ def mine_terms(sample: DataFrame, most: int = TERMS) -> list[str]:
     total = {row["toxic"]: row["n"] for row in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad_all, good_all = total.get(1, 0), total.get(0, 0)
     counted = sample.select("text", "toxic").mapInArrow(run, "term string, bad long, good long")
-    counted = counted.groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).filter(F.col("bad") >= LEAST)
+    # A term that has nothing to do with toxicity is in `least` toxic and no other documents with probability 1 / CHANCE.
+    least = math.ceil(math.log(CHANCE) / math.log((bad_all + good_all) / bad_all)) if bad_all and good_all else 5
+    counted = counted.groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).filter(F.col("bad") >= least)
     lift = ((F.col("bad") + 0.5) / (bad_all + 1)) / ((F.col("good") + 0.5) / (good_all + 1))
     gain = (F.col("bad") * F.log(lift)).alias("gain")
     found = counted.filter(lift >= LIFT).select("term", gain).orderBy(F.desc("gain"), F.desc(F.length("term")), "term").limit(20 * most)
@@ -126,56 +134,61 @@ class Voters:
             out.append(self.terms + len(MARKS))
         if len(text) > 3 and text.isupper():
             out.append(self.terms + len(MARKS) + 1)
+        if not hits:
+            out.append(self.terms + len(MARKS) + 2)
         return out
 
 
 @dataclass
 class LabelModel:
-    """Prior, rates of the voters on toxic and clean documents, and their weights after dependences."""
+    """Prior, rates of the voters on toxic and clean documents, and how much they depend on one another (0 to 1)."""
 
     prior: float
     bad: list[float]
     good: list[float]
-    share: list[float]
+    depends: list[list[float]]
 
     def log_odds(self, votes):
-        """Of a 0/1 matrix of votes the log odds of toxic."""
+        """Of a 0/1 matrix of votes the log odds of toxic.
+
+        A voter that doesn't fire abstains; dependent ones that fire together share their weight.
+        """
         import numpy as np
 
-        bad, good, share = map(np.array, (self.bad, self.good, self.share))
-        on, off = np.log(bad / good), np.log((1 - bad) / (1 - good))
-        return math.log(self.prior / (1 - self.prior)) + votes @ ((on - off) * share) + (off * share).sum()
+        weight = votes * np.log(np.array(self.bad) / np.array(self.good))
+        return math.log(self.prior / (1 - self.prior)) + (weight / (1 + votes @ np.array(self.depends))).sum(1)
 
 
-def vote_patterns(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """Sets of votes (``votes`` array) over all documents and how many documents cast them (``n``)."""
+def vote_patterns(docs: DataFrame, known: DataFrame, terms: list[str]) -> DataFrame:
+    """Over all documents the sets of votes (``votes`` array), the label if a training row (``toxic``), and how many (``n``)."""
 
     def run(batches):
         import pyarrow as pa
 
-        voters, counts = Voters(terms), Counter()
-        kind = pa.list_(pa.int32())
+        voters = Voters(terms)
+        for batch in batches:
+            votes = [voters.votes(text or "") for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.list_(pa.int32()))], ["doc_id", "votes"])
 
-        def given():
-            return pa.RecordBatch.from_arrays([pa.array([list(x) for x in counts], kind), pa.array(list(counts.values()), pa.int64())], ["votes", "n"])
+    cast = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, votes array<int>")
+    return cast.join(known, "doc_id", "left").groupBy("votes", "toxic").agg(F.count(F.lit(1)).alias("n"))
 
-        for batch in batches:
-            counts.update(tuple(voters.votes(text or "")) for text in batch.column(0).to_pylist())
-            if len(counts) > 100_000:
-                yield given()
-                counts.clear()
-        yield given()
 
-    counted = docs.select("text").mapInArrow(run, "votes array<int>, n long")
-    return counted.groupBy("votes").agg(F.sum("n").alias("n"))
+def reliable(patterns: DataFrame, terms: list[str]) -> list[str]:
+    """Of ``terms`` those that are right on most of all training rows where they occur."""
+    seen = patterns.filter("toxic is not null").select(F.explode("votes").alias("vote"), "toxic", "n")
+    right = F.sum(F.col("toxic") * F.col("n")) / F.sum("n")
+    held = seen.filter(F.col("vote") < len(terms)).groupBy("vote").agg(right.alias("right")).filter(F.col("right") >= RIGHT)
+    kept = {row["vote"] for row in held.collect()}  # at most one row per term
+    return [term for i, term in enumerate(terms) if i in kept]
 
 
 def fit_label_model(patterns: DataFrame, start: LabelModel, rounds: int = ROUNDS) -> LabelModel:
     """Expectation maximisation over the vote patterns of all documents.
 
-    Each round sums, over the posterior of the last, how often voters fire
+    Training rows have their label for a posterior.  Each round sums, over the posterior of the last, how often voters fire
     alone and in pairs: a matrix of bounded size.  Pairs that fire together
-    more often than their rates explain are dependent and share weight.
+    more often than their rates explain are dependent.
     """
     import numpy as np
 
@@ -188,8 +201,9 @@ def fit_label_model(patterns: DataFrame, start: LabelModel, rounds: int = ROUNDS
 
             sums = np.zeros((2, size + 1, size + 1))
             for batch in batches:
-                votes, n = _matrix(batch.column(0).to_pylist(), size), np.asarray(batch.column(1), float)
-                p = 1 / (1 + np.exp(-model.log_odds(votes)))
+                votes, n = _matrix(batch.column(0).to_pylist(), size), np.asarray(batch.column(2), float)
+                label = np.array([np.nan if x is None else x for x in batch.column(1).to_pylist()], float)
+                p = np.where(np.isnan(label), 1 / (1 + np.exp(-model.log_odds(votes))), label)
                 ones = np.hstack([votes, np.ones((len(votes), 1))])
                 for k, weight in enumerate((n * p, n * (1 - p))):
                     sums[k] += ones.T @ (ones * weight[:, None])
@@ -214,10 +228,9 @@ def fit_label_model(patterns: DataFrame, start: LabelModel, rounds: int = ROUNDS
         depends = np.clip((sums[0, :size, :size] / toxic - np.outer(rate, rate)) / np.outer(spread, spread), 0, 1)
         np.fill_diagonal(depends, 0)
         depends[depends < 0.3] = 0
-        share = 1 / (1 + depends.sum(1))
         clip = lambda x: np.clip(x, 1e-6, 1 - 1e-6)
         prior = float(np.clip((n[0] + 1) / (n.sum() + 2), 1e-4, 0.9))
-        model = LabelModel(prior, clip(bad).tolist(), clip(good).tolist(), share.tolist())
+        model = LabelModel(prior, clip(bad).tolist(), clip(good).tolist(), depends.tolist())
     return model
 
 
@@ -237,19 +250,19 @@ class Classifier:
     bias: float
 
 
-def fit_linear(votes, target, l2: float = 1e-3, rounds: int = 25) -> tuple[list[float], float]:
-    """Logistic regression on soft labels by Newton steps."""
+def fit_linear(votes, target, n, l2: float = 0.3, rounds: int = 60) -> tuple[list[float], float]:
+    """Logistic regression on soft labels, each row weighing ``n``, by Newton steps."""
     import numpy as np
 
     x = np.hstack([votes, np.ones((len(votes), 1))])
     w = np.zeros(x.shape[1])
     w[-1] = -2.0
-    ridge = np.full(x.shape[1], l2 * max(len(x), 1))
-    ridge[-1] = 1e-6
+    ridge = np.full(x.shape[1], l2)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (p - target) + ridge * w
-        step = np.linalg.solve((x * (p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(ridge), slope)
+        slope = x.T @ (n * (p - target)) + ridge * w
+        step = np.linalg.solve((x * (n * p * (1 - p) + 1e-6)[:, None]).T @ x + np.diag(ridge), slope)
+        step *= min(1.0, 1.0 / max(np.abs(step).max(), 1e-9))  # short steps, so that it can't run off
         w -= step
         if np.abs(step).max() < 1e-6:
             break
@@ -269,7 +282,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
     chosen = F.broadcast(sampled(known, "toxic", sample))  # about 2 * sample rows
     rows = docs.select("doc_id", "text").filter("text is not null").join(chosen, "doc_id")
     rows = written(rows.dropDuplicates(["text"]).select("text", "toxic"), "toxic-sample")
-    terms = mine_terms(rows)
+    terms = reliable(vote_patterns(docs, known, mined := mine_terms(rows)), mined)
     size = len(terms) + PATTERNS
 
     def vote(batches):
@@ -288,19 +301,22 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
     n1, n0 = truth.sum(), (1 - truth).sum()
     if n1 == 0:
         return Classifier(terms, [0.0] * size, -6.0)
+    patterns = written(vote_patterns(docs, known, terms), "toxic-votes")
     # Rates on the sample, for the start; the share of toxic documents among the labelled ones is the prior.
     counts = {row["toxic"]: row["n"] for row in known.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     prior = counts.get(1, 0) / max(sum(counts.values()), 1)
     start = LabelModel(
         min(max(prior, 1e-4), 0.9),
         ((truth @ votes + 0.5) / (n1 + 1)).tolist(),
-        (((1 - truth) @ votes + 0.1) / (n0 + 10)).tolist(),
-        [1.0] * size,
+        (((1 - truth) @ votes + 0.5) / (n0 + 1)).tolist(),
+        np.zeros((size, size)).tolist(),
     )
-    patterns = written(vote_patterns(docs, terms), "toxic-votes")
     model = fit_label_model(patterns, start)
+    # The classifier learns the posterior on the most frequent patterns.
+    common = patterns.groupBy("votes").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "votes").limit(FITTED).collect()
+    votes = _matrix([row["votes"] for row in common], size)
     posterior = 1 / (1 + np.exp(-np.clip(model.log_odds(votes), -30, 30)))
-    weights, bias = fit_linear(votes, posterior)
+    weights, bias = fit_linear(votes, posterior, np.sqrt([row["n"] for row in common]))
     return Classifier(terms, weights, bias)
 
 
