@@ -8,11 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm import bpe, exact_dedup, minhash, mixing, token_counts, token_files, toxicity
+from mercato.llm import bpe, embedding_dedup, exact_dedup, language, minhash, mixing, pii, token_counts, token_files, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
 LIMIT = 512
+#: The key of the surrogates; a real corpus has its own, kept secret.
+KEY = "mercato"
 
 
 def tokenizer_path() -> str:
@@ -40,6 +42,11 @@ def op2(spark: SparkSession, directory: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out("doc_id", 3, 1).alias("held_out"), "score", "predicted")
 
 
+def op3(spark: SparkSession, directory: str) -> DataFrame:
+    replaced = pii.replace_private(table(spark, directory, "documents"), KEY)
+    return replaced.select("doc_id", F.size("kinds").alias("n_found"), "kinds", "text")
+
+
 def op4(spark: SparkSession, directory: str) -> DataFrame:
     docs = table(spark, directory, "documents")
     return token_files.ids_crc32(token_files.token_files(docs, tokenizer_path(), END_ID))
@@ -69,6 +76,17 @@ def op8(spark: SparkSession, directory: str) -> DataFrame:
     return round_trip(table(spark, directory, "documents"))
 
 
+def op7(spark: SparkSession, directory: str) -> DataFrame:
+    return embedding_dedup.linked_vectors(table(spark, directory, "embeddings"))
+
+
+def op9(spark: SparkSession, directory: str) -> DataFrame:
+    docs = table(spark, directory, "documents")
+    held_out = toxicity.held_out("doc_id", 4, 2)
+    crf = language.train(docs, ~held_out)
+    return language.predict(docs, crf).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op10(spark: SparkSession, directory: str) -> DataFrame:
     counted = token_counts.count_tokens(table(spark, directory, "documents"), tokenizer_path())
     return counted.withColumn("over_limit", F.col("n_tokens") > LIMIT)
@@ -77,10 +95,13 @@ def op10(spark: SparkSession, directory: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1,
     "op2_toxicity": op2,
+    "op3_pii": op3,
     "op4_token_files": op4,
     "op5_exact_dedup": op5,
     "op6_minhash": op6,
+    "op7_embedding_dedup": op7,
     "op8_bpe": op8,
+    "op9_language": op9,
     "op10_token_counts": op10,
 }
 
