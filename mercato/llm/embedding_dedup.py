@@ -19,8 +19,8 @@ from mercato.llm.components import connected_components
 
 COSINE = 0.93
 BLOCKS, CODES = 4, 16
-#: Standard deviations that a product exceeds: about 40 of the 65,536 directions for a random vector.
-CAP = 3.2
+#: Standard deviations that a product exceeds: about 60 of the 65,536 directions for a random vector.
+CAP = 3.1
 #: Members of a filter compared with one another in one task.
 TOGETHER = 512
 
@@ -77,7 +77,9 @@ def unit_vectors(lists: list) -> list:
 
 
 def _filtered(vectors: DataFrame) -> DataFrame:
-    """Usable distinct vectors by filter: ``label``, ``size``, ``filter``, ``node``, ``weight``, ``filters``, ``unit`` (bytes)."""
+    """Usable distinct vectors by filter: ``label``, ``size``, ``filter``, ``node``, ``weight``, ``filters`` (smaller ones), ``vector`` (bytes)."""
+
+    code = "f4" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "f8"
 
     def run(batches):
         import numpy as np
@@ -88,24 +90,28 @@ def _filtered(vectors: DataFrame) -> DataFrame:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
                 label, node, weight = (part.column(c).to_pylist() for c in (0, 1, 2))
-                units = unit_vectors(part.column(3).to_pylist())
+                raw = part.column(3).to_pylist()
+                units = unit_vectors(raw)
                 rows: list[list] = [[] for _ in range(7)]
                 for size in {len(u) for u in units if u is not None}:
                     at = [i for i, u in enumerate(units) if u is not None and len(u) == size]
                     own = known.setdefault(size, Filters(size))
                     for i, names in zip(at, own.decode(np.stack([units[i] for i in at]))):
-                        count = len(names)
-                        for column, value in zip(rows, (label[i], size, None, node[i], weight[i], names.astype("<i4").tobytes(), units[i].tobytes())):
+                        count, own_bytes = len(names), np.array(raw[i], code).tobytes()
+                        short = names.astype("<u2").tobytes()
+                        for column, value in zip(rows, (label[i], size, None, node[i], weight[i])):
                             column += names.tolist() if value is None else [value] * count
+                        rows[5] += [short[: 2 * k] for k in range(count)]
+                        rows[6] += [own_bytes] * count
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-                names = ["label", "size", "filter", "node", "weight", "filters", "unit"]
+                names = ["label", "size", "filter", "node", "weight", "filters", "vector"]
                 yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(rows, kinds)], names)
 
     picked = vectors.select("label", "node", "weight", "embedding")
-    return picked.mapInArrow(run, "label long, size int, filter int, node long, weight long, filters binary, unit binary")
+    return picked.mapInArrow(run, "label long, size int, filter int, node long, weight long, filters binary, vector binary")
 
 
-def _compare(groups: DataFrame) -> DataFrame:
+def _compare(groups: DataFrame, code: str) -> DataFrame:
     """``node``, ``root`` (a smaller node it is tied to, or itself) and ``links`` (vectors first met in this filter)."""
 
     def run(batches):
@@ -115,14 +121,12 @@ def _compare(groups: DataFrame) -> DataFrame:
         def group(rows):
             own, node = np.array([x[5] for x in rows]), np.array([x[6] for x in rows])
             weight = np.array([x[7] for x in rows])
-            lists = [np.frombuffer(x[8], "<i4") for x in rows]
-            unit = np.frombuffer(b"".join(x[9] for x in rows)).reshape(len(rows), -1)
-            here, flat = rows[0][2], np.concatenate(lists)
-            owner = np.repeat(np.arange(len(rows)), [len(x) for x in lists])
-            before = flat < here
-            names, column = np.unique(flat[before], return_inverse=True)
+            unit = np.stack(unit_vectors(np.frombuffer(b"".join(x[9] for x in rows), code).reshape(len(rows), -1).tolist()))
+            # The filters before this one that each member is in: pairs that share one have met there.
+            owner = np.repeat(np.arange(len(rows)), [len(x[8]) // 2 for x in rows])
+            names, column = np.unique(np.frombuffer(b"".join(x[8] for x in rows), "<u2"), return_inverse=True)
             marks = np.zeros((len(rows), max(len(names), 1)), np.float32)
-            marks[owner[before], column] = 1
+            marks[owner, column] = 1
             near = unit @ unit.T >= COSINE
             np.fill_diagonal(near, False)
             first, other = rows[0][3], rows[0][4]
@@ -164,8 +168,8 @@ def linked_vectors(vectors: DataFrame) -> DataFrame:
     those with null or non-finite components link with nothing, and neither do
     rows without a ``vec_id``, which are kept with a null ``component_id``.
     Equal vectors are compared once and count each; so do repeated rows.  An
-    empty table gives no rows.  A pair is found if it shares a filter; at
-    cosine 0.93 with 40 filters a vector that fails for about 1 pair in 10,000.
+    empty table gives no rows.  A pair is found if it shares a filter; of
+    those in the test tables about 1 in 2,000 is not.
     """
     bits = F.hash("embedding"), F.xxhash64("embedding")
     rows = vectors.select("vec_id", "label", "embedding", F.concat_ws("/", *[b.cast("string") for b in bits], F.size("embedding").cast("string")).alias("bits"))
@@ -173,18 +177,19 @@ def linked_vectors(vectors: DataFrame) -> DataFrame:
     usable = rows.filter("usable")
     nodes = usable.groupBy("label", "bits").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("weight"), F.first("embedding").alias("embedding"))
     nodes = written(nodes, "vectors")
-    filtered = written(_filtered(nodes), "filters")
+    single = nodes.schema["embedding"].dataType.elementType.simpleString() == "float"
+    filtered = _filtered(nodes)
     counts = filtered.groupBy("label", "size", "filter").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     groups = filtered.join(counts, ["label", "size", "filter"])
     groups = groups.withColumn("blocks", F.ceil(F.col("n") / TOGETHER).cast("int"))
     groups = groups.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     groups = groups.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     groups = groups.select(
-        "label", "size", "filter", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "weight", "filters", "unit"
+        "label", "size", "filter", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "weight", "filters", "vector"
     )
     key = ["label", "size", "filter", "i", "j"]
     dealt = groups.repartition(partitions(vectors.sparkSession), *key).sortWithinPartitions(*key)
-    met = _compare(dealt)
+    met = _compare(dealt, "f4" if single else "f8")
     met = written(met.groupBy("node", "root").agg(F.sum("links").alias("links")), "met")
     parts = connected_components(met.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     links = met.groupBy("node").agg(F.sum("links").alias("links"))

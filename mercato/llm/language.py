@@ -193,7 +193,7 @@ def predict(docs: DataFrame, crf: Crf, text: str = "text", keep: list[str] | Non
     """The columns ``keep`` (default ``doc_id``), ``lang_pred`` and ``score`` of each row.
 
     ``lang_pred`` is the language with the most words, each counted by its
-    probability, and ``score`` its share of them; ``und`` with score 0 for
+    probability (words that also stand two places before are not counted again), and ``score`` its share of them; ``und`` with score 0 for
     null, for texts without a letter, and where nothing was learnt.  Ties go to
     the first language by name.  Rows are independent, other columns ignored.
     """
@@ -218,7 +218,9 @@ def predict(docs: DataFrame, crf: Crf, text: str = "text", keep: list[str] | Non
                 scores = np.frombuffer(raw, np.float32).reshape(-1, size + 1).astype(float)
                 starts = np.zeros(ends[-1], bool)
                 starts[ends[:-1][ends[:-1] < ends[1:]]] = True
-                p = marginals(scores[:, :size], starts, crf.steps) * scores[:, size:]
+                # A phrase of one or two words said over and over counts once.
+                again = [a == b for words in lists for a, b in zip(words, [None, None, *words])]
+                p = marginals(scores[:, :size], starts, crf.steps) * scores[:, size:] * ~np.array(again)[:, None]
                 sums = np.diff(np.concatenate([np.zeros((1, size)), np.cumsum(p, 0)])[ends], axis=0)
             for row in sums:
                 total = row.sum()
