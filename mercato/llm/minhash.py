@@ -26,10 +26,14 @@ from mercato.llm.components import connected_components
 SHINGLE = 5
 CHUNKS, WIDTH = 10, 4
 SYMBOLS = CHUNKS * WIDTH
-#: Symbols in which pairs may differ to be confirmed; a linked pair differs in more with probability 1e-9.
-DISTANCE = 27
+#: Symbols in which pairs may differ to be confirmed; a linked pair differs in more with probability 2e-6.
+DISTANCE = 24
+#: The same for pairs with the smallest document of a key, up to which a pair of similarity 0.5 passes.
+HUB_DISTANCE = 34
 #: Members of a key that are compared with one another in one place, and links of one document checked in one place.
 TOGETHER = 512
+#: Distance (1 - likeness) of linked documents, with a margin for rounding.
+GAP = 0.25 + 1e-9
 #: Words hashed at a time.
 WORDS = 50_000
 
@@ -183,7 +187,7 @@ def _close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
         for batch in batches:
             if batch.num_rows:
                 apart = (_symbols(batch.column(2)) != _symbols(batch.column(3))).sum(1)
-                yield batch.filter(pa.array(apart <= DISTANCE)).select(["a", "b"])
+                yield batch.filter(pa.array(apart <= HUB_DISTANCE)).select(["a", "b"])
 
     of_a = nodes.select(F.col("node").alias("a"), F.col("signature").alias("s"))
     of_b = nodes.select(F.col("node").alias("b"), F.col("signature").alias("t"))
@@ -191,7 +195,10 @@ def _close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
-    """Those of ``pairs`` (``a``, ``b``; distinct) with 100 * intersection >= 75 * union of their full sets.
+    """``pairs`` (``a``, ``b``; distinct) with ``likeness``, intersection by union of their full sets, and ``linked``.
+
+    Linked are pairs with 100 * intersection >= 75 * union; pairs whose sizes
+    alone keep them from a likeness of 0.5 are left out.
 
     The sets of ``a`` are sent to where ``b`` is; a ``b`` with many pairs is
     sent to several places, each with at most ``TOGETHER`` or so of them.
@@ -225,7 +232,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
 
         here, held = None, []
         for batch in batches:
-            found_a, found_b = [], []
+            found = []
             for b, salt, kind, a, raw in zip(*(column.to_pylist() for column in batch.columns)):
                 if here != (b, salt):
                     here, held = (b, salt), []
@@ -235,19 +242,21 @@ def confirm(pairs: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
                     continue
                 for other in held:
                     small, large = (own, other) if len(own) < len(other) else (other, own)
-                    if not len(small) or 100 * len(small) < 75 * len(large):
+                    if not len(small) or 2 * len(small) < len(large):
                         continue
                     at = np.searchsorted(large, small)
                     at[at == len(large)] = 0
                     both = int((large[at] == small).sum())
-                    if 100 * both >= 75 * (len(small) + len(large) - both):
-                        found_a.append(a)
-                        found_b.append(b)
-                        break
-            yield pa.RecordBatch.from_pydict({"a": pa.array(found_a, pa.int64()), "b": pa.array(found_b, pa.int64())})
+                    every = len(small) + len(large) - both
+                    found.append((a, b, both / every, 100 * both >= 75 * every))
+            columns = list(zip(*found)) if found else [[]] * 4
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.bool_())
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds)], ["a", "b", "likeness", "linked"])
 
     dealt = centres.unionByName(others).repartition(partitions(docs.sparkSession), "b", "salt").sortWithinPartitions("b", "salt", "kind")
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+    measured = dealt.mapInArrow(compare, "a long, b long, likeness double, linked boolean")
+    # Several rows only where rows share a doc_id: the best of their texts.
+    return measured.groupBy("a", "b").agg(F.max("likeness").alias("likeness"), F.max("linked").alias("linked"))
 
 
 def _shared(members: DataFrame) -> DataFrame:
@@ -256,28 +265,39 @@ def _shared(members: DataFrame) -> DataFrame:
 
 
 def _across(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Close pairs between components that meet under a key.
+    """Close pairs between components that meet under a key, but for pairs with its hub.
 
-    ``members`` has ``key``, ``node`` and ``component``.  Large keys are cut
+    ``members`` has ``key``, ``node``, ``component``, ``hub_component``, and
+    bounds ``low`` and ``high`` of the distance (1 - likeness) from the key's
+    hub.  That distance is a metric, so two documents whose distances from the
+    hub differ by more than 0.25 can't be linked: strangers under a key need
+    not be compared with the many close copies of its hub.  Large keys are cut
     further by chunks of other symbols: a pair within ``2 * CHUNKS - 1`` errors
     meets there again.  What still is large is compared block by block.
     """
+    stranger = F.col("component") != F.col("hub_component")
+    strangers = members.filter(stranger).groupBy("key").agg(F.min("low").alias("least"), F.max("high").alias("most"))
+    near = (F.col("high") >= F.col("least") - GAP) & (F.col("low") <= F.col("most") + GAP)
+    members = members.join(strangers, "key").filter(stranger | near)
 
     def mixed(some: DataFrame) -> DataFrame:
         counted = some.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n"))
         return some.join(counted.filter("x <> y").select("key", "n"), "key")
 
+    columns = ["key", "node", "component", "low", "high", "n", "signature"]
     first = mixed(members).join(nodes.select("node", "signature"), "node")
-    first = written(first.select("key", "node", "component", "n", "signature"), "mixed")
+    first = written(first.select(columns), "mixed")
     small, large = first.filter(F.col("n") <= TOGETHER), first.filter(F.col("n") > TOGETHER)
     inner = keys(large.select("node", "signature", F.col("key").alias("within")), across=True).distinct()
-    inner = mixed(inner.join(large.select("node", "component", "signature").dropDuplicates(["node"]), "node"))
-    groups = small.unionByName(inner.select("key", "node", "component", "n", "signature"))
+    known = large.select("node", "component", "signature").dropDuplicates(["node"])
+    # The inner keys have other hubs, from which nothing is known.
+    inner = mixed(inner.join(known, "node")).withColumns({"low": F.lit(0.0), "high": F.lit(1.0)})
+    groups = small.unionByName(inner.select(columns))
     blocks = F.ceil(F.col("n") / TOGETHER).cast("int")
     groups = groups.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     groups = groups.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     groups = groups.select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "signature"
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "low", "high", "signature"
     )
 
     def compare(batches):
@@ -287,7 +307,8 @@ def _across(members: DataFrame, nodes: DataFrame) -> DataFrame:
         def pairs_of(rows):
             own = np.array([x[3] for x in rows])
             node, part = np.array([x[4] for x in rows]), np.array([x[5] for x in rows])
-            symbols = np.frombuffer(b"".join(x[6] for x in rows), "<u2").reshape(-1, SYMBOLS)
+            low, high = np.array([x[6] for x in rows]), np.array([x[7] for x in rows])
+            symbols = np.frombuffer(b"".join(x[8] for x in rows), "<u2").reshape(-1, SYMBOLS)
             first = own == own.min()
             left, right = (np.flatnonzero(first), np.flatnonzero(~first)) if rows[0][1] != rows[0][2] else (np.arange(len(rows)),) * 2
             for at in range(0, len(left), 256):
@@ -295,7 +316,9 @@ def _across(members: DataFrame, nodes: DataFrame) -> DataFrame:
                 apart = np.zeros((len(some), len(right)), np.uint8)
                 for k in range(SYMBOLS):
                     apart += symbols[some, k][:, None] != symbols[right, k][None, :]
-                x, y = np.nonzero((apart <= DISTANCE) & (part[some][:, None] != part[right][None, :]))
+                fit = (apart <= DISTANCE) & (part[some][:, None] != part[right][None, :])
+                fit &= (low[some][:, None] <= high[right][None, :] + GAP) & (low[right][None, :] <= high[some][:, None] + GAP)
+                x, y = np.nonzero(fit)
                 a, b = node[some][x], node[right][y]
                 keep = a != b
                 yield np.maximum(a, b)[keep], np.minimum(a, b)[keep]
@@ -332,18 +355,25 @@ def near_groups(docs: DataFrame, text: str = "text") -> DataFrame:
     sets = usable.groupBy("print").agg(F.min("doc_id").alias("node"), F.min("signature").alias("signature"))
     nodes = written(sets, "nodes")
     every = keys(nodes)
-    members = written(every.join(_shared(every).select("key", "hub", "n"), "key"), "members")
+    members = written(every.join(_shared(every).select("key", "hub"), "key"), "members")
     spokes = members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    links = confirm(_close(spokes, nodes), docs, text)
-    links = written(links, "links")
-    parts = connected_components(links)
-    placed = members.select("key", "node").join(parts, "node", "left")
-    placed = placed.select("key", "node", F.coalesce("component", "node").alias("component"))
-    # Pairs with a hub have been checked.
-    rest = _across(placed, nodes).join(spokes, ["a", "b"], "left_anti")
+    measured = written(confirm(_close(spokes, nodes), docs, text), "measured")
+    links = measured.filter("linked").select("a", "b")
+    parts = written(connected_components(links), "components")
+    of_hub = parts.select(F.col("node").alias("hub"), F.col("component").alias("hub_component"))
+    placed = members.join(parts, "node", "left").join(of_hub, "hub", "left")
+    placed = placed.join(measured.select(F.col("a").alias("node"), F.col("b").alias("hub"), "likeness"), ["node", "hub"], "left")
+    # A pair with a hub that wasn't measured is of a likeness below 0.5.
+    known = F.when(F.col("node") == F.col("hub"), 0.0).otherwise(1 - F.col("likeness"))
+    placed = placed.select(
+        "key", "node", F.coalesce("component", "node").alias("component"), F.coalesce("hub_component", "hub").alias("hub_component"),
+        F.coalesce(known, F.lit(0.5)).alias("low"), F.coalesce(known, F.lit(1.0)).alias("high"),
+    )
+    rest = _across(placed, nodes).join(measured.select("a", "b"), ["a", "b"], "left_anti")
     rest = written(rest, "across")
     if not rest.isEmpty():
-        parts = connected_components(links.unionByName(confirm(rest, docs, text)))
+        links = links.unionByName(confirm(rest, docs, text).filter("linked").select("a", "b"))
+        parts = written(connected_components(links), "components")
     named = nodes.select("print", "node").join(parts, "node", "left").select("print", F.coalesce("component", "node").alias("found"))
     # Rows that share a doc_id lie in one component through its node.
     out = rows.join(named, "print", "left")
