@@ -57,7 +57,7 @@ class ChunkTable:
         self,
         encode: Callable[[list[str]], list],
         specials: dict[str, object],
-        limit: int = 1_000_000,
+        limit: int = 700_000,
         frequent: dict[str, object] | None = None,
     ):
         self.encode, self.specials, self.limit = encode, specials, limit
