@@ -9,7 +9,8 @@ and two documents meet under a key exactly if their chunks differ there at
 most.  A pair of similarity 0.75 fails to meet with probability 1.5e-6.
 
 Documents that meet are candidates; a link is confirmed on the full sets.
-Within a key the documents are first compared with its smallest one.  Where
+Within a key the documents are first compared with its hub, the one that meets
+most others.  Where
 that leaves several components under a key, pairs between those components
 are compared by signature and confirmed, so no link is lost and no group is
 expanded into all its pairs.
@@ -28,7 +29,7 @@ CHUNKS, WIDTH = 10, 4
 SYMBOLS = CHUNKS * WIDTH
 #: Symbols in which pairs may differ to be confirmed; a linked pair differs in more with probability 2e-6.
 DISTANCE = 24
-#: The same for pairs with the smallest document of a key, up to which a pair of similarity 0.5 passes.
+#: The same for pairs with the hub of a key, up to which a pair of similarity 0.5 passes.
 HUB_DISTANCE = 34
 #: Members of a key that are compared with one another in one place, and links of one document checked in one place.
 TOGETHER = 512
@@ -259,11 +260,6 @@ def confirm(pairs: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     return measured.groupBy("a", "b").agg(F.max("likeness").alias("likeness"), F.max("linked").alias("linked"))
 
 
-def _shared(members: DataFrame) -> DataFrame:
-    """Of ``members`` (``key``, ``node``) the keys with several nodes: ``key``, smallest ``hub`` and ``n``."""
-    return members.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-
-
 def _across(members: DataFrame, nodes: DataFrame) -> DataFrame:
     """Close pairs between components that meet under a key, but for pairs with its hub.
 
@@ -355,7 +351,13 @@ def near_groups(docs: DataFrame, text: str = "text") -> DataFrame:
     sets = usable.groupBy("print").agg(F.min("doc_id").alias("node"), F.min("signature").alias("signature"))
     nodes = written(sets, "nodes")
     every = keys(nodes)
-    members = written(every.join(_shared(every).select("key", "hub"), "key"), "members")
+    shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = written(every.join(shared, "key"), "shared")
+    # The document that meets most others is the hub of its keys: an original
+    # is like all its copies, while two copies may differ too much.
+    met = members.groupBy("node").agg(F.sum("n").alias("met"))
+    hubs = members.join(met, "node").groupBy("key").agg(F.max_by("node", F.struct("met", -F.col("node"))).alias("hub"))
+    members = written(members.select("key", "node").join(hubs, "key"), "members")
     spokes = members.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     measured = written(confirm(_close(spokes, nodes), docs, text), "measured")
     links = measured.filter("linked").select("a", "b")
@@ -369,7 +371,9 @@ def near_groups(docs: DataFrame, text: str = "text") -> DataFrame:
         "key", "node", F.coalesce("component", "node").alias("component"), F.coalesce("hub_component", "hub").alias("hub_component"),
         F.coalesce(known, F.lit(0.5)).alias("low"), F.coalesce(known, F.lit(1.0)).alias("high"),
     )
-    rest = _across(placed, nodes).join(measured.select("a", "b"), ["a", "b"], "left_anti")
+    rest = _across(placed, nodes).join(
+        measured.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"
+    )
     rest = written(rest, "across")
     if not rest.isEmpty():
         links = links.unionByName(confirm(rest, docs, text).filter("linked").select("a", "b"))
