@@ -69,14 +69,14 @@ def months_between_labels(later: Column | str, earlier: Column | str) -> Column:
 
 
 def total(c: Column | str) -> Column:
-    """Aggregate: sum of doubles, 0.0 when every value is null.
+    """Aggregate: exact sum of amounts, 0.0 when every value is null.
 
-    Rounded to 1e-4, from ten million on to the cent: floating sums depend on
-    the order in which tasks finish, and later steps compare them (ranks,
-    quantile edges, top-k).
+    Amounts are taken to a millionth and summed as decimals, whatever their
+    size, so the sum doesn't depend on the order in which tasks finish and
+    later steps (ranks, quantile edges, top-k) compare the same digits.  Values
+    from 1e22 on don't fit.
     """
-    s = F.coalesce(F.sum(_col(c)), F.lit(0.0))
-    return F.when(F.abs(s) < 1e7, F.round(s, 4)).otherwise(F.round(s, 2))
+    return F.coalesce(F.sum(_col(c).cast("decimal(28,6)")).cast("double"), F.lit(0.0))
 
 
 def count_total(c: Column | str) -> Column:

@@ -93,3 +93,12 @@ def test_pct_change_carries_values_forward(spark):
     rows = [("1", 1.0), ("2", None), ("3", 3.0), ("4", 0.0), ("5", 5.0)]
     df = spark.createDataFrame(rows, "order_month string, v double").withColumn("g", pct_change("v"))
     assert [r.g for r in df.orderBy("order_month").collect()] == [None, 0.0, 200.0, -100.0, None]
+
+
+def test_total_is_exact_at_every_size(spark):
+    for scale in (1e3, 1e7, 1e12):
+        rows = [(0.1 + i % 7 * 0.01,) for i in range(2000)] + [(scale + 0.002,), (-scale,)]
+        frames = [spark.createDataFrame(part, "v double").repartition(n) for part, n in ((rows, 1), (rows[::-1], 5))]
+        sums = {df.agg(total("v").alias("s")).first()["s"] for df in frames}
+        exact = sum(round(v * 10**6) for (v,) in rows) / 10**6
+        assert sums == {exact}
