@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,27 @@ OPTIONAL_TABLES = frozenset({"geolocation"})
 BYTE_ORDER_MARK = "﻿"
 
 
-def read_table(spark: SparkSession, path: str, table: str, fmt: str = "csv") -> DataFrame:
+def read_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """CSV files as text columns by the names in each file's own header.
+
+    A quoted line break is part of its record, as is a doubled quote; a file
+    is then read by one task, so large tables are better kept as Parquet or in
+    many files.  ``multiline=False`` splits files, where no record holds a line
+    break.  Files may order their columns differently or lack some.
+    """
+    options = dict(header=True, quote='"', escape='"', multiLine=multiline)
+    frames = []
+    for file in spark.read.text(path).inputFiles() or [path]:
+        raw = spark.read.options(**options).csv(file)
+        frames.append(raw.toDF(*[c.lstrip(BYTE_ORDER_MARK).strip() for c in raw.columns]))
+    by_header: dict[tuple[str, ...], list[DataFrame]] = {}
+    for frame in frames:
+        by_header.setdefault(tuple(frame.columns), []).append(frame)
+    first, *rest = [reduce(DataFrame.union, same) for same in by_header.values()]
+    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), rest, first)
+
+
+def read_table(spark: SparkSession, path: str, table: str, fmt: str = "csv", multiline: bool = True) -> DataFrame:
     """Read one table and give its known columns their types.
 
     ``path`` may be any URI Spark reads (local, ``hdfs:``, ``s3a:``, ``gs:``,
@@ -27,8 +48,7 @@ def read_table(spark: SparkSession, path: str, table: str, fmt: str = "csv") ->
     the first header is removed, or the join key below it would never match.
     """
     if fmt == "csv":
-        raw = spark.read.options(header=True, quote='"', escape='"', multiLine=False).csv(path)
-        raw = raw.toDF(*[c.lstrip(BYTE_ORDER_MARK).strip() for c in raw.columns])
+        raw = read_csv(spark, path, multiline)
     else:
         raw = spark.read.format(fmt).load(path)
     return conform(raw, table)

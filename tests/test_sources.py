@@ -110,3 +110,13 @@ def test_jdbc_needs_bounds(spark):
 def test_views(spark, toy):
     toy.register("toy_")
     assert spark.sql("SELECT count(*) FROM toy_orders").first()[0] == 5
+
+
+def test_csv_records_across_lines_and_headers_by_file(spark, tmp_path):
+    (tmp_path / "a_reviews.csv").write_text(
+        'review_id,order_id,review_score,comment,review_creation_date,review_answer_timestamp\nr1,o1,5,"two\nlines, a ""quote""",2018-01-20,\nr2,o2,4,,2018-01-21,\n'
+    )
+    (tmp_path / "b_reviews.csv").write_text("order_id,review_answer_timestamp,review_creation_date,review_score\no3,,2018-02-01,1\n")
+    got = read_table(spark, f"{tmp_path}/*reviews*", "order_reviews")
+    rows = {r["order_id"]: (r["review_score"], str(r["review_creation_date"])[:10]) for r in got.collect()}
+    assert rows == {"o1": (5, "2018-01-20"), "o2": (4, "2018-01-21"), "o3": (1, "2018-02-01")}
