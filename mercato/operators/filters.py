@@ -35,9 +35,9 @@ def apply_filters(
 def filter_values(star: Star, column: str) -> DataFrame:
     """Sorted distinct values to choose from: ``customer_state`` or a category name."""
     if column == STATE:
-        source = star.tables.customers.join(star.orders().select("customer_id"), "customer_id", "left_semi")
+        source = star.tables.customers.join(star.orders().select("customer_id").distinct(), "customer_id", "left_semi")
     elif column in (CATEGORY, "product_category_name"):
-        sold = star.scoped(star.items()).select("product_id")
+        sold = star.scoped(star.items()).select("product_id").distinct()
         source = products_en(star.tables).join(sold, "product_id", "left_semi")
     else:
         source = star.orders()

@@ -91,7 +91,7 @@ def market_coverage(star: Star, pop: DataFrame, by: str = "penetration") -> Data
 
 def active_states(star: Star) -> DataFrame:
     """Distinct states of the customers in scope."""
-    bought = star.orders().select("customer_id")
+    bought = star.orders().select("customer_id").distinct()
     return (
         star.tables.customers.where(F.col(STATE).isNotNull())
         .join(bought, "customer_id", "left_semi")

@@ -263,7 +263,7 @@ class Star:
                 "inner" if self.states else "left",
             )
         if self.categories and category:
-            orders = scope_to(orders, self.items())
+            orders = scope_to(orders, self.items().select("order_id").distinct())
         if window and self.window_days:
             newest = self._scoped_orders(window=False).agg(F.max("order_purchase_timestamp")).scalar()
             start = newest - F.make_dt_interval(days=F.lit(self.window_days))
