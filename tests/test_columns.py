@@ -1,4 +1,5 @@
 from datetime import datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -100,5 +101,5 @@ def test_total_is_exact_at_every_size(spark):
         rows = [(0.1 + i % 7 * 0.01,) for i in range(2000)] + [(scale + 0.002,), (-scale,)]
         frames = [spark.createDataFrame(part, "v double").repartition(n) for part, n in ((rows, 1), (rows[::-1], 5))]
         sums = {df.agg(total("v").alias("s")).first()["s"] for df in frames}
-        exact = sum(round(v * 10**6) for (v,) in rows) / 10**6
+        exact = float(sum(Decimal(repr(v)).quantize(Decimal("0.000001")) for (v,) in rows))
         assert sums == {exact}
