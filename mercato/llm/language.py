@@ -23,8 +23,8 @@ from mercato.llm.toxicity import sampled
 SAMPLE, LONGEST = 150, 20_000
 STRETCH = 64
 ROUNDS = 30
-#: Words whose label scores a worker keeps.
-KEPT = 600_000
+#: Words whose label scores a worker keeps between texts, and words scored together.
+KEPT, TOGETHER = 600_000, 20_000
 
 
 def clean(word: str) -> str:
@@ -42,7 +42,7 @@ def features(word: str) -> list[str]:
     if not word:
         return []
     marked = f"^{word}$"
-    grams = {marked[i : i + n] for n in (2, 3) for i in range(len(marked) - n + 1)}
+    grams = dict.fromkeys([marked[i : i + n] for n in (2, 3) for i in range(len(marked) - n + 1)])
     affixes = [f"<{word[:n]}" for n in (1, 4)] + [f"{word[-n:]}>" for n in (1, 4)]
     return [*grams, *affixes, f"={word}"]
 
@@ -54,18 +54,22 @@ class Crf:
     weights: object  # features by languages
     steps: object  # languages by languages
 
-    def scores(self, word: str):
-        """Label scores of a word and, last, whether it has a letter, as bytes."""
+    def scores(self, words: list[str]):
+        """Label scores of each word and, last, whether it has a letter."""
         import numpy as np
 
-        word = clean(word)
-        out = np.zeros(len(self.languages) + 1, np.float32)
-        if word:
-            at = [self.index[f] for f in features(word) if f in self.index]
-            if at:
-                out[:-1] = self.weights[at].sum(0)
-            out[-1] = 1
-        return out.tobytes()
+        cleaned = [clean(word) for word in words]
+        flat, counts = [], []
+        for word in cleaned:
+            found = [at for at in map(self.index.get, features(word)) if at is not None]
+            flat += found
+            counts.append(len(found))
+        out = np.empty((len(words), len(self.languages) + 1), np.float32)
+        owner, at = np.repeat(np.arange(len(words)), counts), np.array(flat, int)
+        for label in range(len(self.languages)):
+            out[:, label] = np.bincount(owner, self.weights[at, label], len(words))
+        out[:, -1] = [bool(word) for word in cleaned]
+        return out
 
 
 def marginals(scores, starts, steps):
@@ -176,17 +180,30 @@ def train(docs: DataFrame, may_learn, text: str = "text", language: str = "lang"
 
 
 class _Scores(dict):
+    """Label scores by word, as bytes, kept between texts."""
+
     def __init__(self, crf: Crf):
         self.crf = crf
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= KEPT:
-            for key in list(self)[: KEPT // 2]:
+    def of(self, lists: list[list[str]]):
+        """Rows of scores of all words of ``lists``; words not known yet are scored together."""
+        import numpy as np
+
+        if len(self) > KEPT:
+            for key in list(self)[: len(self) - KEPT // 2]:
                 del self[key]
-        found = self.crf.scores(word)
-        if len(word) <= 64:
-            self[word] = found
-        return found
+        new = list(dict.fromkeys(word for words in lists for word in words if word not in self))
+        width = 4 * (len(self.crf.languages) + 1)
+        for start in range(0, len(new), TOGETHER):
+            some = new[start : start + TOGETHER]
+            raw = self.crf.scores(some).tobytes()
+            for i, word in enumerate(some):
+                self[word] = raw[width * i : width * (i + 1)]
+        raw = b"".join([self[word] for words in lists for word in words])
+        for word in new:
+            if len(word) > 64:
+                del self[word]
+        return np.frombuffer(raw, np.float32).reshape(-1, len(self.crf.languages) + 1).astype(float)
 
 
 def predict(docs: DataFrame, crf: Crf, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -214,8 +231,7 @@ def predict(docs: DataFrame, crf: Crf, text: str = "text", keep: list[str] | Non
             ends = np.cumsum([0, *map(len, lists)])
             sums = np.zeros((len(part), size))
             if ends[-1] and size:
-                raw = b"".join([table[word] for words in lists for word in words])
-                scores = np.frombuffer(raw, np.float32).reshape(-1, size + 1).astype(float)
+                scores = table.of(lists)
                 starts = np.zeros(ends[-1], bool)
                 starts[ends[:-1][ends[:-1] < ends[1:]]] = True
                 # A phrase of one or two words said over and over counts once.
