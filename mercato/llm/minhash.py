@@ -35,6 +35,8 @@ HUB_DISTANCE = 34
 TOGETHER = 512
 #: Distance (1 - likeness) of linked documents, with a margin for rounding.
 GAP = 0.25 + 1e-9
+#: Bits that number the places of an error.
+PLACE = 6
 #: Words hashed at a time.
 WORDS = 50_000
 
@@ -149,7 +151,8 @@ def keys(nodes: DataFrame, across: bool = False) -> DataFrame:
     """``key`` and ``node``: for each chunk and place of an error the hash of the other symbols.
 
     ``across`` takes chunks of symbols that lie apart, and puts the key in the
-    context of a former one (column ``within``).
+    context of a former one (column ``within``).  The last bits of a key are
+    its place (chunk and symbol left out), before them those of the former one.
     """
 
     def run(batches):
@@ -168,8 +171,10 @@ def keys(nodes: DataFrame, across: bool = False) -> DataFrame:
                 for gone in range(WIDTH):
                     rest = [k for k in range(WIDTH) if k != gone]
                     packed = (cut[:, :, rest[0]] << np.uint64(32)) | (cut[:, :, rest[1]] << np.uint64(16)) | cut[:, :, rest[2]]
-                    place = (np.arange(CHUNKS, dtype=np.uint64) * np.uint64(WIDTH) + np.uint64(gone)) << np.uint64(48)
-                    out[:, :, gone] = own._mix((packed | place) ^ own._mix(base + np.uint64(1))[:, None])
+                    place = np.arange(CHUNKS, dtype=np.uint64) * np.uint64(WIDTH) + np.uint64(gone)
+                    found = own._mix((packed | place << np.uint64(48)) ^ own._mix(base + np.uint64(1))[:, None])
+                    places = (base[:, None] % np.uint64(1 << PLACE)) << np.uint64(PLACE) | place
+                    out[:, :, gone] = found >> np.uint64(2 * PLACE) << np.uint64(2 * PLACE) | places
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out.reshape(-1).view(np.int64)), pa.array(np.repeat(np.asarray(part.column(0)), CHUNKS * WIDTH))],
                     ["key", "node"],
@@ -269,7 +274,9 @@ def _across(members: DataFrame, nodes: DataFrame) -> DataFrame:
     hub differ by more than 0.25 can't be linked: strangers under a key need
     not be compared with the many close copies of its hub.  Large keys are cut
     further by chunks of other symbols: a pair within ``2 * CHUNKS - 1`` errors
-    meets there again.  What still is large is compared block by block.
+    meets there again.  What still is large is compared block by block.  Of
+    the keys that a pair shares, seen from its signatures, only the first one
+    gives it: where a bound drops it there, it can't be linked anyway.
     """
     stranger = F.col("component") != F.col("hub_component")
     strangers = members.filter(stranger).groupBy("key").agg(F.min("low").alias("least"), F.max("high").alias("most"))
@@ -288,19 +295,31 @@ def _across(members: DataFrame, nodes: DataFrame) -> DataFrame:
     known = large.select("node", "component", "signature").dropDuplicates(["node"])
     # The inner keys have other hubs, from which nothing is known.
     inner = mixed(inner.join(known, "node")).withColumns({"low": F.lit(0.0), "high": F.lit(1.0)})
-    groups = small.unionByName(inner.select(columns))
+    groups = small.select(*columns, F.lit(False).alias("inner")).unionByName(inner.select(*columns, F.lit(True).alias("inner")))
     blocks = F.ceil(F.col("n") / TOGETHER).cast("int")
     groups = groups.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     groups = groups.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     groups = groups.select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "low", "high", "signature"
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "low", "high", "signature", "inner"
     )
 
     def compare(batches):
         import numpy as np
         import pyarrow as pa
 
+        numbers = np.arange(SYMBOLS)
+        outer_chunks, inner_chunks = numbers.reshape(CHUNKS, WIDTH), numbers.reshape(WIDTH, CHUNKS).T
+
+        def earlier(differ, chunks, place):
+            chunk, gone = divmod(place, WIDTH)
+            met = np.zeros(differ.shape[1:], bool)
+            for symbols in chunks[:chunk]:
+                met |= differ[symbols].sum(0, dtype=np.uint8) <= 1
+            return met | ~differ[chunks[chunk]].any(0) if gone else met
+
         def pairs_of(rows):
+            key, inner = rows[0][0], rows[0][9]
+            places = divmod(key % (1 << 2 * PLACE), 1 << PLACE)
             own = np.array([x[3] for x in rows])
             node, part = np.array([x[4] for x in rows]), np.array([x[5] for x in rows])
             low, high = np.array([x[6] for x in rows]), np.array([x[7] for x in rows])
@@ -309,11 +328,13 @@ def _across(members: DataFrame, nodes: DataFrame) -> DataFrame:
             left, right = (np.flatnonzero(first), np.flatnonzero(~first)) if rows[0][1] != rows[0][2] else (np.arange(len(rows)),) * 2
             for at in range(0, len(left), 256):
                 some = left[at : at + 256]
-                apart = np.zeros((len(some), len(right)), np.uint8)
-                for k in range(SYMBOLS):
-                    apart += symbols[some, k][:, None] != symbols[right, k][None, :]
-                fit = (apart <= DISTANCE) & (part[some][:, None] != part[right][None, :])
+                differ = symbols[some].T[:, :, None] != symbols[right].T[:, None, :]
+                fit = (differ.sum(0, dtype=np.uint8) <= DISTANCE) & (part[some][:, None] != part[right][None, :])
                 fit &= (low[some][:, None] <= high[right][None, :] + GAP) & (low[right][None, :] <= high[some][:, None] + GAP)
+                if fit.any():
+                    fit &= ~earlier(differ, outer_chunks, places[0] if inner else places[1])
+                    if inner:
+                        fit &= ~earlier(differ, inner_chunks, places[1])
                 x, y = np.nonzero(fit)
                 a, b = node[some][x], node[right][y]
                 keep = a != b
