@@ -31,7 +31,7 @@ SYMBOLS = CHUNKS * WIDTH
 DISTANCE = 24
 #: The same for pairs with the hub of a key, up to which a pair of similarity 0.5 passes.
 HUB_DISTANCE = 34
-#: Members of a key that are compared with one another in one place, and links of one document checked in one place.
+#: Members of a key that are compared with one another in one place; twice the documents whose links are checked in one place.
 TOGETHER = 512
 #: Distance (1 - likeness) of linked documents, with a margin for rounding.
 GAP = 0.25 + 1e-9
@@ -206,11 +206,15 @@ def confirm(pairs: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     Linked are pairs with 100 * intersection >= 75 * union; pairs whose sizes
     alone keep them from a likeness of 0.5 are left out.
 
-    The sets of ``a`` are sent to where ``b`` is; a ``b`` with many pairs is
-    sent to several places, each with at most ``TOGETHER`` or so of them.
+    The ``b`` are dealt into blocks of about ``TOGETHER // 2``, and the set of
+    an ``a`` is sent once to each block it has a pair in.  A block with many
+    pairs is sent to several places, which share its ``a``.
     """
     pairs = written(pairs, "pairs")
-    degree = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("d")).withColumn("salts", F.ceil(F.col("d") / (TOGETHER // 2)).cast("int"))
+    centres = pairs.select("b").distinct()
+    blocks = 1 + centres.count() // (TOGETHER // 2)
+    block = F.pmod(F.xxhash64("b"), F.lit(blocks)).alias("block")
+    places = pairs.groupBy(block).agg(F.ceil(F.count(F.lit(1)) / (TOGETHER * TOGETHER // 8)).cast("int").alias("salts"))
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
 
     def collect(batches):
@@ -224,29 +228,32 @@ def confirm(pairs: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col(text).alias("__text"))
     # Copies of a text have one node; of the rest of the texts none is needed.
     sets = written(texts.join(needed, "node", "left_semi").mapInArrow(collect, "node long, set binary"), "sets")
-    salted = pairs.join(degree, "b")
-    others = salted.join(sets.select(F.col("node").alias("a"), "set"), "a").select(
-        "b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("kind"), "a", "set"
+    salt = F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt")
+    lists = pairs.groupBy("a", block).agg(F.collect_list("b").alias("with")).join(places, "block").select("block", salt, "a", "with")
+    others = lists.join(sets.select(F.col("node").alias("a"), "set"), "a").select(
+        "block", "salt", F.lit(1).alias("kind"), F.col("a").alias("node"), "with", "set"
     )
-    centres = degree.join(sets.select(F.col("node").alias("b"), "set"), "b").select(
-        "b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("a"), "set"
+    dealt = centres.select("b", block).join(places, "block").join(sets.select(F.col("node").alias("b"), "set"), "b")
+    held_by = dealt.select(
+        "block", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), F.col("b").alias("node"),
+        F.lit(None).cast("array<long>").alias("with"), "set",
     )
 
     def compare(batches):
         import numpy as np
         import pyarrow as pa
 
-        here, held = None, []
+        here, held = None, {}
         for batch in batches:
             found = []
-            for b, salt, kind, a, raw in zip(*(column.to_pylist() for column in batch.columns)):
-                if here != (b, salt):
-                    here, held = (b, salt), []
+            for block, salt, kind, node, others, raw in zip(*(column.to_pylist() for column in batch.columns)):
+                if here != (block, salt):
+                    here, held = (block, salt), {}
                 own = np.frombuffer(raw, np.uint64)
                 if kind == 0:
-                    held.append(own)
+                    held.setdefault(node, []).append(own)
                     continue
-                for other in held:
+                for b, other in ((b, other) for b in others for other in held.get(b, ())):
                     small, large = (own, other) if len(own) < len(other) else (other, own)
                     if not len(small) or 2 * len(small) < len(large):
                         continue
@@ -254,12 +261,12 @@ def confirm(pairs: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
                     at[at == len(large)] = 0
                     both = int((large[at] == small).sum())
                     every = len(small) + len(large) - both
-                    found.append((a, b, both / every, 100 * both >= 75 * every))
+                    found.append((node, b, both / every, 100 * both >= 75 * every))
             columns = list(zip(*found)) if found else [[]] * 4
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.bool_())
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds)], ["a", "b", "likeness", "linked"])
 
-    dealt = centres.unionByName(others).repartition(partitions(docs.sparkSession), "b", "salt").sortWithinPartitions("b", "salt", "kind")
+    dealt = held_by.unionByName(others).repartition(partitions(docs.sparkSession), "block", "salt").sortWithinPartitions("block", "salt", "kind")
     measured = dealt.mapInArrow(compare, "a long, b long, likeness double, linked boolean")
     # Several rows only where rows share a doc_id: the best of their texts.
     return measured.groupBy("a", "b").agg(F.max("likeness").alias("likeness"), F.max("linked").alias("linked"))
