@@ -10,10 +10,10 @@ most.  A pair of similarity 0.75 fails to meet with probability 1.5e-6.
 
 Documents that meet are candidates; a link is confirmed on the full sets.
 Within a key the documents are first compared with its hub, the one that meets
-most others.  Where
-that leaves several components under a key, pairs between those components
-are compared by signature and confirmed, so no link is lost and no group is
-expanded into all its pairs.
+most others.  Where that leaves several components under a key, documents of
+different components are compared block by block by the parities of their
+sets, which rule out nearly all pairs that aren't linked and none that is; only
+the pairs left are written and confirmed.
 """
 
 from __future__ import annotations
@@ -27,16 +27,16 @@ from mercato.llm.components import connected_components
 SHINGLE = 5
 CHUNKS, WIDTH = 10, 4
 SYMBOLS = CHUNKS * WIDTH
-#: Symbols in which pairs may differ to be confirmed; a linked pair differs in more with probability 2e-6.
-DISTANCE = 24
-#: The same for pairs with the hub of a key, up to which a pair of similarity 0.5 passes.
+#: Symbols in which a document and the hub of a key may differ to be measured, up to which a pair of similarity 0.5 passes.
 HUB_DISTANCE = 34
-#: Members of a key that are compared with one another in one place; twice the documents whose links are checked in one place.
-TOGETHER = 512
+#: Members of a key on either side of a block in which strangers are compared.
+SIDE = 2048
+#: Documents whose links are checked in one place.
+TOGETHER = 256
+#: Bits of the parities of a set: the power of two from twice its size on, within these bounds.
+FEWEST, MOST = 64, 8192
 #: Distance (1 - likeness) of linked documents, with a margin for rounding.
 GAP = 0.25 + 1e-9
-#: Bits that number the places of an error.
-PLACE = 6
 #: Words hashed at a time.
 WORDS = 50_000
 
@@ -106,6 +106,20 @@ class Hasher:
             least = low if least is None else np.minimum(least, low)
         return (self._mix(least) >> np.uint64(48)).astype("<u2")
 
+    @staticmethod
+    def parities(shingles):
+        """For each value of the low bits, whether an odd number of shingles has it (an odd sketch).
+
+        A shingle that only one of two sets has changes one parity, so sets
+        differ in at least as many shingles as in parities.  Folding the halves
+        of a sketch gives the sketch of half its width.
+        """
+        import numpy as np
+
+        width = min(MOST, max(FEWEST, 1 << (2 * len(shingles) - 1).bit_length()))
+        odd = np.bincount((shingles & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
+        return np.packbits(odd.astype(np.uint8), bitorder="little")
+
 
 _HASHER: list[Hasher] = []
 
@@ -117,7 +131,7 @@ def hasher() -> Hasher:
 
 
 def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``print`` (128-bit hash of the set, null when empty) and ``signature`` of each row."""
+    """``doc_id``, ``n_shingles``, ``print`` (128-bit hash of the set, null when empty), ``signature`` and ``parity`` of each row."""
 
     def run(batches):
         from hashlib import blake2b
@@ -126,19 +140,18 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
 
         own = hasher()
         for batch in batches:
-            sizes, prints, marks = [], [], []
+            sizes, prints, marks, parities = [], [], [], []
             for value in batch.column(1).to_pylist():
                 found = own.shingles(value)
                 sizes.append(len(found))
                 prints.append(blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
                 marks.append(own.signature(found).tobytes() if len(found) else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), pa.array(marks, pa.binary())],
-                ["doc_id", "n_shingles", "print", "signature"],
-            )
+                parities.append(own.parities(found).tobytes() if len(found) else None)
+            hashes = [pa.array(x, pa.binary()) for x in (prints, marks, parities)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), *hashes], ["doc_id", "n_shingles", "print", "signature", "parity"])
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text)
-    return picked.mapInArrow(run, "doc_id long, n_shingles long, print binary, signature binary")
+    return picked.mapInArrow(run, "doc_id long, n_shingles long, print binary, signature binary, parity binary")
 
 
 def _symbols(column):
@@ -147,13 +160,8 @@ def _symbols(column):
     return np.frombuffer(b"".join(column.to_pylist()), "<u2").reshape(-1, SYMBOLS)
 
 
-def keys(nodes: DataFrame, across: bool = False) -> DataFrame:
-    """``key`` and ``node``: for each chunk and place of an error the hash of the other symbols.
-
-    ``across`` takes chunks of symbols that lie apart, and puts the key in the
-    context of a former one (column ``within``).  The last bits of a key are
-    its place (chunk and symbol left out), before them those of the former one.
-    """
+def keys(nodes: DataFrame) -> DataFrame:
+    """``key`` and ``node``: for each chunk and place of an error the hash of the other symbols."""
 
     def run(batches):
         import numpy as np
@@ -163,25 +171,19 @@ def keys(nodes: DataFrame, across: bool = False) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 20_000):
                 part = batch.slice(start, 20_000)
-                symbols = _symbols(part.column(1)).astype(np.uint64)
-                rows = len(symbols)
-                cut = symbols.reshape(rows, WIDTH, CHUNKS).swapaxes(1, 2) if across else symbols.reshape(rows, CHUNKS, WIDTH)
-                base = np.asarray(part.column(2)).astype(np.int64).view(np.uint64) if across else np.zeros(rows, np.uint64)
-                out = np.empty((rows, CHUNKS, WIDTH), np.uint64)
+                cut = _symbols(part.column(1)).astype(np.uint64).reshape(-1, CHUNKS, WIDTH)
+                out = np.empty((len(cut), CHUNKS, WIDTH), np.uint64)
                 for gone in range(WIDTH):
                     rest = [k for k in range(WIDTH) if k != gone]
                     packed = (cut[:, :, rest[0]] << np.uint64(32)) | (cut[:, :, rest[1]] << np.uint64(16)) | cut[:, :, rest[2]]
                     place = np.arange(CHUNKS, dtype=np.uint64) * np.uint64(WIDTH) + np.uint64(gone)
-                    found = own._mix((packed | place << np.uint64(48)) ^ own._mix(base + np.uint64(1))[:, None])
-                    places = (base[:, None] % np.uint64(1 << PLACE)) << np.uint64(PLACE) | place
-                    out[:, :, gone] = found >> np.uint64(2 * PLACE) << np.uint64(2 * PLACE) | places
+                    out[:, :, gone] = own._mix(packed | place << np.uint64(48))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out.reshape(-1).view(np.int64)), pa.array(np.repeat(np.asarray(part.column(0)), CHUNKS * WIDTH))],
                     ["key", "node"],
                 )
 
-    columns = ["node", "signature", "within"] if across else ["node", "signature"]
-    return nodes.select(columns).mapInArrow(run, "key long, node long")
+    return nodes.select("node", "signature").mapInArrow(run, "key long, node long")
 
 
 def _close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -206,15 +208,15 @@ def confirm(pairs: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     Linked are pairs with 100 * intersection >= 75 * union; pairs whose sizes
     alone keep them from a likeness of 0.5 are left out.
 
-    The ``b`` are dealt into blocks of about ``TOGETHER // 2``, and the set of
+    The ``b`` are dealt into blocks of about ``TOGETHER``, and the set of
     an ``a`` is sent once to each block it has a pair in.  A block with many
     pairs is sent to several places, which share its ``a``.
     """
     pairs = written(pairs, "pairs")
     centres = pairs.select("b").distinct()
-    blocks = 1 + centres.count() // (TOGETHER // 2)
+    blocks = 1 + centres.count() // TOGETHER
     block = F.pmod(F.xxhash64("b"), F.lit(blocks)).alias("block")
-    places = pairs.groupBy(block).agg(F.ceil(F.count(F.lit(1)) / (TOGETHER * TOGETHER // 8)).cast("int").alias("salts"))
+    places = pairs.groupBy(block).agg(F.ceil(F.count(F.lit(1)) / (TOGETHER * TOGETHER // 2)).cast("int").alias("salts"))
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
 
     def collect(batches):
@@ -273,92 +275,82 @@ def confirm(pairs: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _across(members: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Close pairs between components that meet under a key, but for pairs with its hub.
+    """Pairs between components that meet under a key and may be linked, but for pairs with its hub.
 
     ``members`` has ``key``, ``node``, ``component``, ``hub_component``, and
     bounds ``low`` and ``high`` of the distance (1 - likeness) from the key's
     hub.  That distance is a metric, so two documents whose distances from the
     hub differ by more than 0.25 can't be linked: strangers under a key need
-    not be compared with the many close copies of its hub.  Large keys are cut
-    further by chunks of other symbols: a pair within ``2 * CHUNKS - 1`` errors
-    meets there again.  What still is large is compared block by block.  Of
-    the keys that a pair shares, seen from its signatures, only the first one
-    gives it: where a bound drops it there, it can't be linked anyway.
+    not be compared with the many close copies of its hub.  The rest is
+    compared block by block.  A pair is dropped there only where sizes, bounds
+    or parities (``Hasher.parities``) rule a link out for certain.
     """
     stranger = F.col("component") != F.col("hub_component")
     strangers = members.filter(stranger).groupBy("key").agg(F.min("low").alias("least"), F.max("high").alias("most"))
     near = (F.col("high") >= F.col("least") - GAP) & (F.col("low") <= F.col("most") + GAP)
     members = members.join(strangers, "key").filter(stranger | near)
-
-    def mixed(some: DataFrame) -> DataFrame:
-        counted = some.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n"))
-        return some.join(counted.filter("x <> y").select("key", "n"), "key")
-
-    columns = ["key", "node", "component", "low", "high", "n", "signature"]
-    first = mixed(members).join(nodes.select("node", "signature"), "node")
-    first = written(first.select(columns), "mixed")
-    small, large = first.filter(F.col("n") <= TOGETHER), first.filter(F.col("n") > TOGETHER)
-    inner = keys(large.select("node", "signature", F.col("key").alias("within")), across=True).distinct()
-    known = large.select("node", "component", "signature").dropDuplicates(["node"])
-    # The inner keys have other hubs, from which nothing is known.
-    inner = mixed(inner.join(known, "node")).withColumns({"low": F.lit(0.0), "high": F.lit(1.0)})
-    groups = small.select(*columns, F.lit(False).alias("inner")).unionByName(inner.select(*columns, F.lit(True).alias("inner")))
-    blocks = F.ceil(F.col("n") / TOGETHER).cast("int")
-    groups = groups.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    counted = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n"))
+    mixed = members.join(counted.filter("x <> y").select("key", "n"), "key").join(nodes.select("node", "n_shingles", "parity"), "node")
+    blocks = F.ceil(F.col("n") / SIDE).cast("int")
+    groups = mixed.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     groups = groups.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     groups = groups.select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "low", "high", "signature", "inner"
+        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "low", "high", "n_shingles", "parity"
     )
 
+    def folded(parity, bits):
+        while parity.shape[1] * 64 > bits:
+            half = parity.shape[1] // 2
+            parity = parity[:, :half] ^ parity[:, half:]
+        return parity
+
     def compare(batches):
         import numpy as np
         import pyarrow as pa
 
-        numbers = np.arange(SYMBOLS)
-        outer_chunks, inner_chunks = numbers.reshape(CHUNKS, WIDTH), numbers.reshape(WIDTH, CHUNKS).T
-
-        def earlier(differ, chunks, place):
-            chunk, gone = divmod(place, WIDTH)
-            met = np.zeros(differ.shape[1:], bool)
-            for symbols in chunks[:chunk]:
-                met |= differ[symbols].sum(0, dtype=np.uint8) <= 1
-            return met | ~differ[chunks[chunk]].any(0) if gone else met
-
         def pairs_of(rows):
-            key, inner = rows[0][0], rows[0][9]
-            places = divmod(key % (1 << 2 * PLACE), 1 << PLACE)
-            own = np.array([x[3] for x in rows])
-            node, part = np.array([x[4] for x in rows]), np.array([x[5] for x in rows])
-            low, high = np.array([x[6] for x in rows]), np.array([x[7] for x in rows])
-            symbols = np.frombuffer(b"".join(x[8] for x in rows), "<u2").reshape(-1, SYMBOLS)
+            own, node, part, low, high, size = (np.array([x[c] for x in rows]) for c in range(3, 9))
+            bits = np.array([8 * len(x[9]) for x in rows])
             first = own == own.min()
-            left, right = (np.flatnonzero(first), np.flatnonzero(~first)) if rows[0][1] != rows[0][2] else (np.arange(len(rows)),) * 2
-            for at in range(0, len(left), 256):
-                some = left[at : at + 256]
-                differ = symbols[some].T[:, :, None] != symbols[right].T[:, None, :]
-                fit = (differ.sum(0, dtype=np.uint8) <= DISTANCE) & (part[some][:, None] != part[right][None, :])
-                fit &= (low[some][:, None] <= high[right][None, :] + GAP) & (low[right][None, :] <= high[some][:, None] + GAP)
-                if fit.any():
-                    fit &= ~earlier(differ, outer_chunks, places[0] if inner else places[1])
-                    if inner:
-                        fit &= ~earlier(differ, inner_chunks, places[1])
-                x, y = np.nonzero(fit)
-                a, b = node[some][x], node[right][y]
-                keep = a != b
-                yield np.maximum(a, b)[keep], np.minimum(a, b)[keep]
+            sides = (first, ~first) if rows[0][1] != rows[0][2] else (first, first)
+            for p in np.unique(bits[sides[0]]):
+                left = np.flatnonzero(sides[0] & (bits == p))
+                ours = np.frombuffer(b"".join(rows[x][9] for x in left), np.uint64).reshape(len(left), -1)
+                # Sizes of a linked pair differ by a third at most, so their widths by one step.
+                for q in (p // 2, p, 2 * p):
+                    right = np.flatnonzero(sides[1] & (bits == q))
+                    if not len(right):
+                        continue
+                    theirs = np.frombuffer(b"".join(rows[x][9] for x in right), np.uint64).reshape(len(right), -1)
+                    mine, theirs = folded(ours, min(p, q)), folded(theirs, min(p, q))
+                    for at in range(0, len(left), 256):
+                        some = left[at : at + 256]
+                        apart = np.zeros((len(some), len(right)), np.uint16)
+                        for word in range(mine.shape[1]):
+                            apart += np.bitwise_count(mine[at : at + 256, word, None] ^ theirs[None, :, word])
+                        both = size[some][:, None] + size[right][None, :]
+                        fit = (7 * apart.astype(np.int64) <= both) & (part[some][:, None] != part[right][None, :])
+                        x, y = np.nonzero(fit)
+                        x, y = some[x], right[y]
+                        keep = (4 * size[x] >= 3 * size[y]) & (4 * size[y] >= 3 * size[x]) & (node[x] != node[y])
+                        keep &= (low[x] <= high[y] + GAP) & (low[y] <= high[x] + GAP)
+                        x, y = node[x[keep]], node[y[keep]]
+                        yield np.maximum(x, y), np.minimum(x, y)
+
+        def found(rows):
+            for a, b in pairs_of(rows):
+                if len(a):
+                    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         held = []
         for batch in batches:
-            out = []
             for row in zip(*(column.to_pylist() for column in batch.columns)):
                 if held and held[-1][:3] != row[:3]:
-                    out += pairs_of(held)
+                    yield from found(held)
                     held = []
                 held.append(row)
-            for a, b in out:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-        for a, b in pairs_of(held) if held else ():
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        if held:
+            yield from found(held)
 
     dealt = groups.repartition(partitions(nodes.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
     return dealt.mapInArrow(compare, "a long, b long").distinct()
@@ -376,8 +368,8 @@ def near_groups(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     rows = written(signatures(docs, text), "signatures")
     usable = rows.filter("print is not null and doc_id is not null")
-    sets = usable.groupBy("print").agg(F.min("doc_id").alias("node"), F.min("signature").alias("signature"))
-    nodes = written(sets, "nodes")
+    same = [F.min(c).alias(c) for c in ("n_shingles", "signature", "parity")]  # of equal sets
+    nodes = written(usable.groupBy("print").agg(F.min("doc_id").alias("node"), *same), "nodes")
     every = keys(nodes)
     shared = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     members = written(every.join(shared, "key"), "shared")
