@@ -33,6 +33,8 @@ HUB_DISTANCE = 34
 SIDE = 2048
 #: Documents whose links are checked in one place.
 TOGETHER = 256
+#: Bits in which the documents to compare are marked: 4 MB.
+BITS = 1 << 25
 #: Bits of the parities of a set: the power of two from twice its size on, within these bounds.
 FEWEST, MOST = 64, 8192
 #: Distance (1 - likeness) of linked documents, with a margin for rounding.
@@ -202,6 +204,22 @@ def _close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "s", "t").mapInArrow(run, "a long, b long").distinct()
 
 
+def _marked(texts: DataFrame, needed: DataFrame) -> DataFrame:
+    """``node`` and ``__text`` of ``texts`` whose hash is that of a ``needed`` node, and so a few others.
+
+    The hashes are marked in a bitmap of ``BITS`` bits whatever the number of
+    nodes, so it may be broadcast and no text is shuffled.  Where it fills up,
+    more of the others pass.
+    """
+    at = F.pmod(F.xxhash64("node"), F.lit(BITS))
+    slot, place = F.shiftright(at, 15).alias("slot"), at.bitwiseAND(F.lit((1 << 15) - 1)).alias("place")
+    dealt = needed.select(slot, place).repartition(partitions(texts.sparkSession), "slot")
+    bits = dealt.groupBy("slot").agg(F.bitmap_construct_agg("place").alias("bits"))
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(place div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    marked = byte.bitwiseAND(F.expr("shiftleft(1, cast(place % 8 as int))")) != 0
+    return texts.select("node", "__text", slot, place).join(F.broadcast(bits), "slot").filter(marked).select("node", "__text")
+
+
 def confirm(pairs: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     """``pairs`` (``a``, ``b``; distinct) with ``likeness``, intersection by union of their full sets, and ``linked``.
 
@@ -217,7 +235,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
     blocks = 1 + centres.count() // TOGETHER
     block = F.pmod(F.xxhash64("b"), F.lit(blocks)).alias("block")
     places = pairs.groupBy(block).agg(F.ceil(F.count(F.lit(1)) / (TOGETHER * TOGETHER // 2)).cast("int").alias("salts"))
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    needed = pairs.select(F.col("a").alias("node")).union(centres.select(F.col("b").alias("node"))).distinct()
 
     def collect(batches):
         import pyarrow as pa
@@ -227,9 +245,9 @@ def confirm(pairs: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
             sets = [own.shingles(x).tobytes() for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.large_binary()).cast(pa.binary())], ["node", "set"])
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col(text).alias("__text"))
+    texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), F.col(text).alias("__text"))
     # Copies of a text have one node; of the rest of the texts none is needed.
-    sets = written(texts.join(needed, "node", "left_semi").mapInArrow(collect, "node long, set binary"), "sets")
+    sets = written(_marked(texts, needed).mapInArrow(collect, "node long, set binary"), "sets")
     salt = F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt")
     lists = pairs.groupBy("a", block).agg(F.collect_list("b").alias("with")).join(places, "block").select("block", salt, "a", "with")
     others = lists.join(sets.select(F.col("node").alias("a"), "set"), "a").select(
