@@ -20,7 +20,7 @@ import hashlib
 import json
 from array import array
 from collections.abc import Iterator
-from itertools import chain
+from itertools import accumulate, pairwise
 
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
@@ -28,6 +28,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from mercato.llm.chunks import ChunkTable, pre_tokens, slices
 
 NEVER = 1 << 60
+#: Ids decoded at a time (those of one row at least).
+IDS = 500_000
 
 
 def byte_letters() -> list[str]:
@@ -37,6 +39,19 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
 
 
+def read_labels(model: dict) -> dict[int, bytes]:
+    """The label of each id of a byte-level BPE: its bytes, those of its characters for an added token."""
+    byte = {letter: i for i, letter in enumerate(byte_letters())}
+    added = {x["id"]: x["content"].encode() for x in model["added_tokens"]}
+    return {i: bytes(byte[x] for x in token) for token, i in model["model"]["vocab"].items() if i not in added} | added
+
+
+def emit(labels: dict[int, bytes], ids) -> str:
+    """The text whose bytes are the labels of ``ids``; unknown ids have none, broken UTF-8 becomes U+FFFD."""
+    empty = b""
+    return b"".join([labels.get(i, empty) for i in ids]).decode("utf-8", "replace")
+
+
 class Automaton:
     """States, arcs and labels; see the module's text."""
 
@@ -53,12 +68,8 @@ class Automaton:
             self.specials[added["content"]] = added["id"]
         byte = {letter: i for i, letter in enumerate(byte_letters())}
         special_ids = set(self.specials.values())
-        vocab = {
-            bytes(byte[x] for x in token): i
-            for token, i in model["model"]["vocab"].items()
-            if i not in special_ids
-        }
-        self.label = {i: token for token, i in vocab.items()} | {i: x.encode() for x, i in self.specials.items()}
+        self.label = read_labels(model)
+        vocab = {token: i for i, token in self.label.items() if i not in special_ids}
         pairs = [x.split(" ") if isinstance(x, str) else x for x in model["model"]["merges"]]
         self._compile(vocab, [tuple(vocab[bytes(byte[c] for c in x)] for x in pair) for pair in pairs])
 
@@ -117,7 +128,7 @@ class Automaton:
             token, until = self.left[token], self.made[token]
 
     def _keep(self, key: int) -> bool:
-        if len(self.arcs) > 1_000_000:
+        if len(self.arcs) > 500_000:
             self.arcs.clear()
         found = self.arcs[key] = self._find(key >> 20, key & 0xFFFFF)
         return found
@@ -166,9 +177,7 @@ class Automaton:
         return path
 
     def decode(self, ids) -> str:
-        """The text whose bytes are the labels of ``ids``; unknown ids have none, broken UTF-8 becomes U+FFFD."""
-        empty = b""
-        return b"".join([self.label.get(i, empty) for i in ids]).decode("utf-8", "replace")
+        return emit(self.label, ids)
 
 
 class _Words(dict):
@@ -195,7 +204,7 @@ class Encoder:
             return [b"".join([words[x] for x in pre_tokens(piece)]) for piece in pieces]
 
         specials = {text: array("I", [i]).tobytes() for text, i in self.automaton.specials.items()}
-        self.table = ChunkTable(encode, specials)
+        self.table = ChunkTable(encode, specials, limit=400_000)
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Of each text the ids as bytes of 32-bit integers; null as empty."""
@@ -265,19 +274,21 @@ def decode(frame: DataFrame, tokenizer: str, ids: str = "token_ids") -> DataFram
     def run(batches):
         import pyarrow as pa
 
-        automaton = _encoder(spec.value).automaton
+        # The labels are all that decoding takes; the automaton isn't compiled for it.
+        labels = read_labels(json.loads(spec.value))
         at = frame_columns.index(ids)
-        empty = b""
         for batch in batches:
-            lists, get = batch.column(at), automaton.label.get
-            flat = [get(i, empty) for i in lists.flatten().to_pylist()]
-            ends = chain([0], lists.value_lengths().fill_null(0).to_pylist())
-            texts, start = [], 0
-            next(ends)
-            for n in ends:
-                texts.append(b"".join(flat[start : start + n]).decode("utf-8", "replace"))
-                start += n
-            arrays = [pa.array(texts) if name == "decoded" else batch.column(frame_columns.index(name)) for name in names]
-            yield pa.RecordBatch.from_arrays(arrays, names)
+            start = size = 0
+            lengths = batch.column(at).value_lengths().fill_null(0).to_pylist()
+            for row, n in enumerate([*lengths, IDS]):
+                if start < row and (size + n > IDS or row == len(lengths)):
+                    part = batch.slice(start, row - start)
+                    flat = part.column(at).flatten().to_numpy(zero_copy_only=False).tolist()
+                    ends = [0, *accumulate(lengths[start:row])]
+                    texts = pa.array([emit(labels, flat[x:y]) for x, y in pairwise(ends)], pa.string())
+                    arrays = [texts if name == "decoded" else part.column(frame_columns.index(name)) for name in names]
+                    yield pa.RecordBatch.from_arrays(arrays, names)
+                    start, size = row, 0
+                size += n
 
     return frame.mapInArrow(run, schema)
