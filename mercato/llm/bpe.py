@@ -128,7 +128,7 @@ class Automaton:
             token, until = self.left[token], self.made[token]
 
     def _keep(self, key: int) -> bool:
-        if len(self.arcs) > 500_000:
+        if len(self.arcs) > 250_000:
             self.arcs.clear()
         found = self.arcs[key] = self._find(key >> 20, key & 0xFFFFF)
         return found
@@ -187,7 +187,7 @@ class _Words(dict):
         self.encode = automaton.encode
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         found = self[word] = array("I", self.encode(word.encode())).tobytes()
         return found
@@ -204,7 +204,7 @@ class Encoder:
             return [b"".join([words[x] for x in pre_tokens(piece)]) for piece in pieces]
 
         specials = {text: array("I", [i]).tobytes() for text, i in self.automaton.specials.items()}
-        self.table = ChunkTable(encode, specials, limit=400_000)
+        self.table = ChunkTable(encode, specials, limit=200_000)
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Of each text the ids as bytes of 32-bit integers; null as empty."""
