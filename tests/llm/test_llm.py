@@ -7,6 +7,7 @@ import os
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 np = pytest.importorskip("numpy")
@@ -144,6 +145,19 @@ def test_near_groups_are_those_of_brute_force(docs):
     assert minhash.drop_near_copies(docs).columns == docs.columns
 
 
+def test_parities_never_exceed_the_shingles_that_differ():
+    rng = np.random.default_rng(3)
+    for n in (1, 31, 40, 300, 9_000):
+        both = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        one, other = (np.unique(np.r_[both, rng.integers(0, 1 << 63, n // 4, dtype=np.uint64)]) for _ in "ab")
+        x, y = minhash.Hasher.parities(one), minhash.Hasher.parities(other)
+        assert len(x) == len(y) and len(x) * 8 <= minhash.MOST
+        assert np.bitwise_count(x ^ y).sum() <= len(np.setxor1d(one, other))
+        half = len(x) // 2
+        odd = np.bincount((one % np.uint64(half * 8)).astype(int), minlength=half * 8) & 1
+        assert (np.unpackbits(x[:half] ^ x[half:], bitorder="little") == odd).all()
+
+
 def test_components_of_a_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(100, 101), (101, 101), (None, 3)], "a long, b long")
     got = {r["node"]: r["component"] for r in connected_components(links).collect()}
