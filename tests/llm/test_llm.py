@@ -237,6 +237,24 @@ def test_linked_vectors_are_those_of_brute_force(spark):
     assert got[None]["kept"] and got[None]["component_id"] is None
 
 
+def test_isolated_pairs_near_the_threshold_are_found(spark):
+    spark.sparkContext.environment["PYTHONPATH"] = ROOT
+    rng = np.random.default_rng(11)
+    one, aside = rng.standard_normal((2, 400, 64))
+    one /= np.linalg.norm(one, axis=1, keepdims=True)
+    aside -= (aside * one).sum(1, keepdims=True) * one
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    cosine = np.linspace(0.931, 0.95, 400)[:, None]
+    other = cosine * one + np.sqrt(1 - cosine**2) * aside
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([one, other]))]
+    got = {r["vec_id"]: r for r in embedding_dedup.linked_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    assert sum(got[i]["n_links"] == 1 and got[i + 400]["component_id"] == i for i in range(400)) >= 399
+    # Vectors of few coordinates are all compared.
+    turns = [(i, [float(np.cos(i / 9)), float(np.sin(i / 9))], 1) for i in range(40)]
+    links = embedding_dedup.linked_vectors(spark.createDataFrame(turns, "vec_id long, embedding array<float>, label int")).collect()
+    assert all(r["n_links"] == sum(np.cos((j - r["vec_id"]) / 9) >= 0.93 for j in range(40) if j != r["vec_id"]) for r in links)
+
+
 def test_languages_of_code_switched_texts(spark):
     spark.sparkContext.environment["PYTHONPATH"] = ROOT
     rng = random.Random(6)
