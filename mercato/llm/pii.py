@@ -5,17 +5,48 @@ all strings of its format (a Feistel network over its letters and digits), so
 the same entity has the same surrogate in every document, two entities never
 share one, and nothing has to be gathered or joined.  Letters stay letters of
 their alphabet and case, digits digits, addresses and card numbers valid;
-names keep their title and ending, by which gender is told.
+names keep their title and ending, by which gender is told.  The words of a
+name found behind a title are replaced in all of its document.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import unicodedata
+from functools import lru_cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+
+def _ranges(*categories: str) -> str:
+    """Inside of a character class: all characters of the Unicode categories; of the third plane up, CJK letters."""
+    own, out = set(categories), []
+    for code in range(0x20000):
+        if unicodedata.category(chr(code)) in own:
+            if out and out[-1][1] == code - 1:
+                out[-1][1] = code
+            else:
+                out.append([code, code])
+    if "Lo" in own:
+        out.append([0x20000, 0x323AF])
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in out)
+
+
+_CAPITAL, _UNCASED, _MARKS = _ranges("Lu", "Lt"), _ranges("Lo", "Lm"), _ranges("Mn", "Mc")
+_LETTER = f"[{_CAPITAL}{_UNCASED}{_MARKS}{_ranges('Ll')}]"
+_TITLE = "(?:Mrs|Mr|Ms|Miss|Dr|Professor|Prof|Herr|Frau|Madame|Monsieur|Mme|Señora|Señor|Sra|Sr)"
+_GAP = r"[^\S\n]+"
+_JOINED = f"(?:['’ʼ‐‑-](?!s(?!{_LETTER})){_LETTER}+)*"
+_INITIALS = f"(?:[{_CAPITAL}][{_MARKS}]*\\.-?)+"
+_PARTICLE = "(?:von|vom|van|zu|zum|zur|de|der|den|dem|des|del|della|di|da|das|do|dos|du|d|la|las|le|les|lo|los|el|al|bin|ben|ibn|ter|ten|te|y|af|av)"
+_FIRST = f"(?:{_INITIALS}(?:{_LETTER}+{_JOINED})?|{_LETTER}+{_JOINED})"
+_CAPITALISED = f"(?!{_TITLE}\\b)(?:{_INITIALS}(?:{_LETTER}+{_JOINED})?|(?:(?:d|l|al|el)['’-])?[{_CAPITAL}]{_LETTER}*{_JOINED})"
+_MORE = f"(?:{_GAP}(?:{_PARTICLE}{_GAP})*{_CAPITALISED})*"
+#: Titles, then a word, all capitalised words behind it and up to three words of a script without capitals.
+_NAME = rf"\b(?:{_TITLE}(?:\.[^\S\n]*|{_GAP}))+(?P<who>(?!{_TITLE}\b){_FIRST}{_MORE}(?:{_GAP}[{_UNCASED}]{_LETTER}*{_JOINED}){{0,3}}{_MORE})"
+
 PATTERNS = {
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
@@ -25,10 +56,23 @@ PATTERNS = {
     "card": r"(?<![\d-])(?:\d{4}[ -]){3}\d{4}(?![\d-])|(?<![\d.-])\d{13,19}(?![\d-])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "phone": r"(?<![\w+])\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|(?<![\w(])\(\d{3}\) ?\d{3}-\d{4}(?!\d)",
-    "name": r"(?:\b(?:Mrs|Mr|Ms|Miss|Dr|Herr|Frau|Madame|Monsieur|Mme|Señora|Señor|Sra|Sr)\.? )(?P<who>[^\W\d_]+(?: [A-ZÀ-ÖØ-Þ][^\W\d_]+)?)",
+    "name": _NAME,
 }
 FOUND = re.compile("|".join(f"(?P<{kind}>{pattern})" for kind, pattern in PATTERNS.items()))
-ANY = re.compile(r"[\d@]|\b(?:Mrs|Mr|Ms|Miss|Dr|Herr|Frau|Madame|Monsieur|Mme|Señora|Señor|Sra|Sr)\b|(?i:password|passwd|pwd|secret|token|api)")
+ANY = re.compile(rf"[\d@]|\b{_TITLE}\b|(?i:password|passwd|pwd|secret|token|api)")
+#: Runs of letters, apart for Han, Hiragana and Katakana, whose change ends a word.
+WORDS = re.compile(f"[\u3005\u3400-\u9fff\U00020000-\U000323af]+|[\u3041-\u309f]+|[\u30a1-\u30ff]+|(?:(?![\u3005\u3041-\u309f\u30a1-\u30ff\u3400-\u9fff\U00020000-\U000323af]){_LETTER})+")
+#: Words that are no names by themselves, when found without a title.
+COMMON = frozenset(
+    "A An And As At But By For From He Her His I If In It No Not Of On Or She So That The Then They This To We What When Who Will With You Your "
+    "Aber Als Am Auch Das Dem Den Der Die Ein Eine Er Es Für Ich Im Ist Mit Nicht Sie Und Von Was Wir Zu "
+    "Ce Ces De Des Du Elle Elles En Est Et Il Ils Je La Le Les Mais Nous On Ou Pour Que Qui Un Une Vous "
+    "Con Del El Ella En Es Ese Esta Este La Las Lo Los No Para Pero Por Que Si Su Una Uno Y Yo Jr Sr II III IV".split()
+)
+#: Endings and particles, where they are not the whole name.
+_KANA = re.compile("[\u3041-\u309f]+")
+#: Scripts written without spaces, where a name has letters right beside it.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u2e80-\u9fff\uac00-\ud7a3\U00020000-\U000323af]{2,}")
 
 _VOWELS, _CONSONANTS = "aeiou", "bcdfghjklmnpqrstvwxyz"
 LETTERS = [
@@ -37,10 +81,12 @@ LETTERS = [
     "".join(map(chr, range(0x430, 0x450))), "".join(map(chr, range(0x410, 0x430))),
 ]
 SPOKEN = [_VOWELS, _CONSONANTS, _VOWELS.upper(), _CONSONANTS.upper(), *LETTERS[3:], LETTERS[0]]
+#: Han and Hangul.
+_LARGE = ["".join(map(chr, range(0x4E00, 0xA000))), "".join(map(chr, range(0xAC00, 0xD7A4)))]
 ROUNDS = 8
 
 
-def permute(values: list[int], sizes: list[int], key: bytes, tweak: str) -> list[int]:
+def permute(values: list[int], sizes: list[int], key: bytes, tweak: str, back: bool = False) -> list[int]:
     """A keyed permutation of all tuples of numbers below ``sizes``; one size alone is shifted."""
     half = len(values) // 2
 
@@ -58,10 +104,11 @@ def permute(values: list[int], sizes: list[int], key: bytes, tweak: str) -> list
 
     sides = [pack(values[:half], sizes[:half]), pack(values[half:], sizes[half:])]
     most = [area(sizes[:half]), area(sizes[half:])]
-    for step in range(ROUNDS):
+    for step in reversed(range(ROUNDS)) if back else range(ROUNDS):
         into, of = step % 2, 1 - step % 2
         seed = f"{step}/{tweak}/{sizes}/{sides[of] if most[of] > 1 else 0}".encode()
-        sides[into] = (sides[into] + int.from_bytes(hashlib.blake2b(seed, key=key, digest_size=64).digest(), "big")) % most[into]
+        moved = int.from_bytes(hashlib.blake2b(seed, key=key, digest_size=64).digest(), "big")
+        sides[into] = (sides[into] + (-moved if back else moved)) % most[into]
     out: list[int] = []
     for side, bases in zip(sides, (sizes[:half], sizes[half:])):
         part = []
@@ -72,6 +119,63 @@ def permute(values: list[int], sizes: list[int], key: bytes, tweak: str) -> list
     return out
 
 
+def unpermute(values: list[int], sizes: list[int], key: bytes, tweak: str) -> list[int]:
+    """The inverse of ``permute``."""
+    return permute(values, sizes, key, tweak, back=True)
+
+
+def moved_off(values: list[int], sizes: list[int], key: bytes, tweak: str) -> list[int]:
+    """A keyed permutation that leaves no tuple as it is: a shift of all tuples, seen through ``permute``."""
+    area = 1
+    for base in sizes:
+        area *= base
+    if area == 1:
+        return values
+    seed = hashlib.blake2b(f"shift/{tweak}/{sizes}".encode(), key=key, digest_size=64).digest()
+    n = 0
+    for x, base in zip(permute(values, sizes, key, tweak), sizes):
+        n = n * base + x
+    n = (n + 1 + int.from_bytes(seed, "big") % (area - 1)) % area
+    out = []
+    for base in reversed(sizes):
+        n, x = divmod(n, base)
+        out.append(x)
+    return unpermute(out[::-1], sizes, key, tweak)
+
+
+@lru_cache(maxsize=None)
+def _rows(category: str) -> dict[int, str]:
+    """The letters of a category outside the known alphabets by their 256 code points; rows of one letter are joined as -1."""
+    known, rows = set("".join([*SPOKEN, *_LARGE])), {}
+    for code in range(0x110000):
+        if unicodedata.category(chr(code)) == category and chr(code) not in known:
+            rows[code >> 8] = rows.get(code >> 8, "") + chr(code)
+    single = [row for row, some in rows.items() if len(some) == 1]
+    return rows | {row: "" for row in single} | {-1: "".join(rows[row] for row in single)}
+
+
+@lru_cache(maxsize=100_000)
+def alphabet(letter: str) -> str:
+    """The letters that a letter of a name is replaced within: its alphabet, else those of its kind in its 256 code points."""
+    for known in [*SPOKEN, *_LARGE]:
+        if letter in known:
+            return known
+    rows = _rows(unicodedata.category(letter))
+    return rows[ord(letter) >> 8] or rows[-1]
+
+
+def name_word(word: str, key: bytes) -> str:
+    """A run of letters of a name, always changed; one of a script with capitals keeps its last letter if it has more."""
+    places = [i for i, c in enumerate(word) if c.isalpha()]
+    if len(places) > 1 and unicodedata.category(word[places[-1]]) not in ("Lo", "Lm"):
+        places.pop()
+    own = [alphabet(word[i]) for i in places]
+    out = list(word)
+    for i, a, x in zip(places, own, moved_off([a.index(word[i]) for i, a in zip(places, own)], [len(a) for a in own], key, "name")):
+        out[i] = a[x]
+    return "".join(out)
+
+
 def letters(text: str, key: bytes, kind: str, alphabets: list[str] | None = None) -> str:
     """``text`` with its letters and digits permuted, each within its alphabet; other characters stay."""
     alphabets = alphabets or LETTERS
@@ -122,8 +226,8 @@ def surrogate(kind: str, entity: str, key: bytes) -> str:
     if kind == "secret":
         return letters(entity, key, "secret", ["0123456789abcdef"] if re.fullmatch("[0-9a-f]+", entity) else None)
     if kind == "name":
-        # A word of a name by itself, so that the surname alone is the same again; its ending stays.
-        return " ".join(letters(word[:-1], key, "name", SPOKEN) + word[-1:] for word in entity.split(" "))
+        # A word of a name by itself, so that the surname alone is the same again.
+        return WORDS.sub(lambda word: name_word(word[0], key), entity)
     return letters(entity, key, kind)
 
 
@@ -131,19 +235,36 @@ def replace(text: str, key: bytes) -> tuple[str, list[str]]:
     """``text`` with surrogates, and the kinds of the entities found, in order."""
     if not ANY.search(text):
         return text, []
-    out, kinds, at, known = [], [], 0, {}
+    found, names, known = [], {}, {}
     for match in FOUND.finditer(text):
         kind = match.lastgroup if match.lastgroup in PATTERNS else next(k for k in PATTERNS if match[k] is not None)
         inner = {"secret": "value", "name": "who"}.get(kind)
-        group = inner if inner and match[inner] is not None else 0
-        start, end = match.span(group)
+        start, end = match.span(inner if inner and match[inner] is not None else 0)
         entity = text[start:end]
         if (kind, entity) not in known:
             known[kind, entity] = surrogate(kind, entity, key)
-        out += [text[at:start], known[kind, entity]]
+            for word in WORDS.findall(entity) if kind == "name" else ():
+                uncased = unicodedata.category(word[0]) in ("Lo", "Lm")
+                if not word[0].islower() and (len(word) > 1 or uncased) and word not in COMMON and not (_KANA.fullmatch(word) and word != entity):
+                    names[word] = name_word(word, key)
+        found.append((kind, start, end, known[kind, entity]))
+    # Longer ones first, as a name may begin another.
+    inside = sorted((x for x in names if _UNSPACED.fullmatch(x)), key=lambda x: (-len(x), x))
+    inside = re.compile("|".join(map(re.escape, inside))) if inside else None
+    out, kinds, at = [], [], 0
+
+    def name(match):
+        word = match[0]
+        if word in names:
+            kinds.append("name")
+            return names[word]
+        return inside.sub(name, word) if inside and match.re is WORDS else word
+
+    for kind, start, end, new in found:
+        out += [WORDS.sub(name, text[at:start]) if names else text[at:start], new]
         at = end
         kinds.append(kind)
-    return "".join([*out, text[at:]]), kinds
+    return "".join([*out, WORDS.sub(name, text[at:]) if names else text[at:]]), kinds
 
 
 def replace_private(docs: DataFrame, key: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:

@@ -220,6 +220,26 @@ def test_surrogates():
     assert pii.replace("", key) == ("", [])
 
 
+def test_whole_names_are_replaced():
+    key = b"k" * 32
+    for text, gone in {
+        "Mrs. O'Brien": ["Brien", "O'"], "Mr. J. Smith came": ["Smith", "J."], "Dr. Martin Luther King spoke": ["Martin", "Luther", "King"],
+        "Ms. Smith-Jones": ["Smith", "Jones"], "Frau Dr. Anna Berg": ["Anna", "Berg"], "Herr Ludwig van der Rohe": ["Ludwig", "Rohe"],
+        "Mr. X": ["X"], "Mr. Li": ["Li"], "Dr. 山田 太郎": ["山", "田", "太", "郎"], "Mr. محمد علي": ["محمد", "علي"], "Ms. Él": ["É"],
+        "Mr. राहुल": ["र"], "Mr. Smith Mrs. Jones": ["Smith", "Jones"], "Madame Jose\u0301 Garci\u0301a": ["Jose", "Garc"],
+        "Anna Berg, then Frau Berg. Berg again, Berg's": ["Berg"], "Dr. 山田です。山田さん": ["山田"],
+    }.items():
+        done, kinds = pii.replace(text, key)
+        assert kinds and not [x for x in gone if x in done], (text, done)
+        assert len(done) == len(text)
+    done, kinds = pii.replace("Mr. Smith's dog. The bergs, Smithson. Smith left.", key)
+    word = done[4:9]
+    assert done == f"Mr. {word}'s dog. The bergs, Smithson. {word} left." and word[-1] == "h" and kinds == ["name", "name"]
+    for some in (list("ABCDEFGHIJKLMNOPQRSTUVWXYZ"), [a + "i" for a in "BCDFGHJKLMNPQRSTVWXYZ"], [chr(0x4E00 + i) for i in range(300)]):
+        out = [pii.surrogate("name", x, key) for x in some]
+        assert len(set(out)) == len(some) and not [x for x, y in zip(some, out) if x == y]
+
+
 def test_linked_vectors_are_those_of_brute_force(spark):
     spark.sparkContext.environment["PYTHONPATH"] = ROOT
     rng = np.random.default_rng(3)
