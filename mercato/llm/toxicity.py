@@ -24,11 +24,10 @@ from mercato.llm.common import written
 
 #: Labelled documents of each class that the lexicon and the classifier are fitted on, about at most.
 SAMPLE = 3_000
-TERMS = 56
 #: Share of the training rows with a term that are toxic, for the term to vote.
 RIGHT = 0.8
-#: Patterns of votes that the classifier is fitted on at most, the most frequent ones.
-FITTED = 20_000
+#: Cells of the matrix of vote patterns up to which the classifier is fitted in the driver; beyond, by sums on Spark.
+FITTED = 1_500_000
 #: How much likelier a term is in toxic documents at least, and among how many
 #: terms one that isn't may be taken for such by chance.
 LIFT, CHANCE = 8.0, 1e7
@@ -64,8 +63,8 @@ def terms_of(text: str) -> set[str]:
     return words | {word[:k] + "*" for word in words for k in STEMS if len(word) > k}
 
 
-def mine_terms(sample: DataFrame, most: int = TERMS) -> list[str]:
-    """Terms of toxic documents of the sample (``text``, ``toxic``), best first."""
+def mine_terms(sample: DataFrame) -> list[str]:
+    """All terms of toxic documents of the sample (``text``, ``toxic``) that pass the tests of chance and lift, best first."""
 
     def run(batches):
         import pyarrow as pa
@@ -89,14 +88,18 @@ def mine_terms(sample: DataFrame, most: int = TERMS) -> list[str]:
     counted = counted.groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).filter(F.col("bad") >= least)
     lift = ((F.col("bad") + 0.5) / (bad_all + 1)) / ((F.col("good") + 0.5) / (good_all + 1))
     gain = (F.col("bad") * F.log(lift)).alias("gain")
-    found = counted.filter(lift >= LIFT).select("term", gain).orderBy(F.desc("gain"), F.desc(F.length("term")), "term").limit(20 * most)
+    found = counted.filter(lift >= LIFT).select("term", gain).orderBy(F.desc("gain"), F.desc(F.length("term")), "term")
     chosen: list[str] = []
-    for row in found.collect():  # at most 20 * most rows
+    stems, heads = set(), set()
+    for row in found.collect():  # terms of the bounded sample that pass
         term = row["term"]
         plain = term.rstrip("*")
-        covered = any(plain.startswith(x.rstrip("*")) and x[-1] == "*" or x.rstrip("*").startswith(plain) for x in chosen)
-        if not covered and len(chosen) < most:
+        parts = {plain[:k] for k in range(1, len(plain) + 1)}
+        if plain not in heads and not parts & stems:
             chosen.append(term)
+            heads |= parts
+            if term[-1] == "*":
+                stems.add(plain)
     return chosen
 
 
@@ -146,7 +149,7 @@ class LabelModel:
     prior: float
     bad: list[float]
     good: list[float]
-    depends: list[list[float]]
+    depends: list[tuple[int, int, float]]
 
     def log_odds(self, votes):
         """Of a 0/1 matrix of votes the log odds of toxic.
@@ -155,8 +158,12 @@ class LabelModel:
         """
         import numpy as np
 
-        weight = votes * np.log(np.array(self.bad) / np.array(self.good))
-        return math.log(self.prior / (1 - self.prior)) + (weight / (1 + votes @ np.array(self.depends))).sum(1)
+        # By voter, one and how far the other votes of the row depend on it.
+        fired, shared = np.ascontiguousarray(votes.T), np.ones(votes.shape[::-1])
+        for i, j, by in self.depends:
+            shared[j] += by * fired[i]
+        weight = np.log(np.array(self.bad) / np.array(self.good))
+        return math.log(self.prior / (1 - self.prior)) + (weight[:, None] * fired / shared).sum(0)
 
 
 def vote_patterns(docs: DataFrame, known: DataFrame, terms: list[str]) -> DataFrame:
@@ -187,8 +194,8 @@ def fit_label_model(patterns: DataFrame, start: LabelModel, rounds: int = ROUNDS
     """Expectation maximisation over the vote patterns of all documents.
 
     Training rows have their label for a posterior.  Each round sums, over the posterior of the last, how often voters fire
-    alone and in pairs: a matrix of bounded size.  Pairs that fire together
-    more often than their rates explain are dependent.
+    alone and in pairs that occur.  Pairs that fire together more often than
+    their rates explain are dependent; only those come to the driver.
     """
     import numpy as np
 
@@ -199,25 +206,33 @@ def fit_label_model(patterns: DataFrame, start: LabelModel, rounds: int = ROUNDS
         def run(batches, model=model):
             import pyarrow as pa
 
-            sums = np.zeros((2, size + 1, size + 1))
+            # Of clean documents only the rates are used.
+            pairs, good = np.zeros((size + 1, size + 1)), np.zeros(size + 1)
             for batch in batches:
-                votes, n = _matrix(batch.column(0).to_pylist(), size), np.asarray(batch.column(2), float)
-                label = np.array([np.nan if x is None else x for x in batch.column(1).to_pylist()], float)
-                p = np.where(np.isnan(label), 1 / (1 + np.exp(-model.log_odds(votes))), label)
-                ones = np.hstack([votes, np.ones((len(votes), 1))])
-                for k, weight in enumerate((n * p, n * (1 - p))):
-                    sums[k] += ones.T @ (ones * weight[:, None])
-            k, i, j = np.nonzero(sums)
-            yield pa.RecordBatch.from_pydict({"k": pa.array(k, pa.int32()), "i": pa.array(i, pa.int32()), "j": pa.array(j, pa.int32()), "s": pa.array(sums[k, i, j], pa.float64())})
+                for at in range(0, batch.num_rows, 1_000):
+                    part = batch.slice(at, 1_000)
+                    lists, n = part.column(0).to_pylist(), np.asarray(part.column(2), float)
+                    label = np.array([np.nan if x is None else x for x in part.column(1).to_pylist()], float)
+                    p = np.where(np.isnan(label), 1 / (1 + np.exp(-np.clip(model.log_odds(_matrix(lists, size)), -700, 700))), label)
+                    ones = _matrix([[*some, size] for some in lists], size + 1)
+                    pairs += ones.T @ (ones * (n * p)[:, None])
+                    good += ones.T @ (n * (1 - p))
+            for k, some in enumerate((pairs, np.diag(good))):
+                i, j = np.nonzero(some)
+                for at in range(0, len(i), 100_000):
+                    a, b = i[at : at + 100_000], j[at : at + 100_000]
+                    yield pa.RecordBatch.from_pydict({"k": pa.array(np.full(len(a), k), pa.int32()), "i": pa.array(a, pa.int32()), "j": pa.array(b, pa.int32()), "s": pa.array(some[a, b], pa.float64())})
 
         cells = patterns.mapInArrow(run, "k int, i int, j int, s double").groupBy("k", "i", "j").agg(F.sum("s").alias("s"))
-        sums = np.zeros((2, size + 1, size + 1))
-        for row in cells.collect():  # at most 2 * (size + 1) ** 2 cells
-            sums[row["k"], row["i"], row["j"]] = row["s"]
-        n = sums[:, size, size]
+        cells = written(cells, "toxic-cells")
+        alone, n = np.zeros((2, size)), np.zeros(2)
+        for row in cells.filter("i = j").collect():  # at most 2 * (size + 1) cells
+            if row["i"] == size:
+                n[row["k"]] = row["s"]
+            else:
+                alone[row["k"], row["i"]] = row["s"]
         if n.sum() == 0:
             return model
-        alone = np.diagonal(sums, axis1=1, axis2=2)[:, :size]
         # The rates it began with weigh as a few documents.
         anchor = 20.0
         bad = (alone[0] + anchor * np.array(start.bad)) / (n[0] + anchor)
@@ -225,12 +240,14 @@ def fit_label_model(patterns: DataFrame, start: LabelModel, rounds: int = ROUNDS
         toxic = max(n[0], 1e-9)
         rate = alone[0] / toxic
         spread = np.sqrt(np.clip(rate * (1 - rate), 1e-9, None))
-        depends = np.clip((sums[0, :size, :size] / toxic - np.outer(rate, rate)) / np.outer(spread, spread), 0, 1)
-        np.fill_diagonal(depends, 0)
-        depends[depends < 0.3] = 0
+        pairs = cells.filter(f"k = 0 and i <> j and i < {size} and j < {size}")
+        of = pairs.sparkSession.createDataFrame(list(zip(range(size), rate.tolist(), spread.tolist())), "i int, rate double, spread double")
+        pairs = pairs.join(F.broadcast(of), "i").join(F.broadcast(of.toDF("j", "rate_j", "spread_j")), "j")
+        by = (F.col("s") / float(toxic) - F.col("rate") * F.col("rate_j")) / (F.col("spread") * F.col("spread_j"))
+        depends = [(x["i"], x["j"], min(x["by"], 1.0)) for x in pairs.select("i", "j", by.alias("by")).filter("by >= 0.3").orderBy("i", "j").collect()]
         clip = lambda x: np.clip(x, 1e-6, 1 - 1e-6)
         prior = float(np.clip((n[0] + 1) / (n.sum() + 2), 1e-4, 0.9))
-        model = LabelModel(prior, clip(bad).tolist(), clip(good).tolist(), depends.tolist())
+        model = LabelModel(prior, clip(bad).tolist(), clip(good).tolist(), depends)
     return model
 
 
@@ -269,6 +286,55 @@ def fit_linear(votes, target, n, l2: float = 0.3, rounds: int = 60) -> tuple[lis
     return w[:-1].tolist(), float(w[-1])
 
 
+def fit_over(patterns: DataFrame, model: LabelModel, l2: float = 0.3, rounds: int = 60) -> tuple[list[float], float]:
+    """What ``fit_linear`` fits, on all ``patterns`` (``votes``, ``n``), by sums of the loss and its slope on Spark."""
+    import numpy as np
+
+    size = len(model.bad)
+
+    def loss(w):
+        def run(batches):
+            import pyarrow as pa
+
+            total = np.zeros(size + 2)
+            parts = (batch.slice(at, 1_000) for batch in batches for at in range(0, batch.num_rows, 1_000))
+            for part in parts:
+                x, n = _matrix(part.column(0).to_pylist(), size), np.sqrt(np.asarray(part.column(1), float))
+                target = 1 / (1 + np.exp(-np.clip(model.log_odds(x), -30, 30)))
+                z = x @ w[:-1] + w[-1]
+                off = n * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target)
+                total += np.r_[x.T @ off, off.sum(), (n * (np.logaddexp(0, z) - target * z)).sum()]
+            yield pa.RecordBatch.from_pydict({"i": pa.array(range(size + 2), pa.int32()), "s": pa.array(total, pa.float64())})
+
+        total = np.zeros(size + 2)
+        for row in patterns.mapInArrow(run, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).collect():  # size + 2 rows
+            total[row["i"]] = row["s"]
+        return total[-1] + l2 / 2 * (w @ w), total[:-1] + l2 * w
+
+    # Quasi-Newton steps (L-BFGS) by the last ten changes of the slope.
+    w, changes = np.r_[np.zeros(size), -2.0], []
+    value, slope = loss(w)
+    for _ in range(rounds):
+        if np.abs(slope).max() < 1e-3:
+            break
+        step, shares = slope.copy(), []
+        for s, y in reversed(changes):
+            shares.append(s @ step / (y @ s))
+            step -= shares[-1] * y
+        step *= changes[-1][0] @ changes[-1][1] / (changes[-1][1] @ changes[-1][1]) if changes else 1 / np.linalg.norm(slope)
+        for (s, y), a in zip(changes, reversed(shares)):
+            step += s * (a - y @ step / (y @ s))
+        reach = 1.0
+        new_value, new_slope = loss(w - step)
+        while new_value > value - 1e-4 * reach * (slope @ step) and reach > 1e-4:
+            reach /= 2
+            new_value, new_slope = loss(w - reach * step)
+        if (change := -reach * step) @ (new_slope - slope) > 1e-12:
+            changes = [*changes[-9:], (change, new_slope - slope)]
+        w, value, slope = w + change, new_value, new_slope
+    return w[:-1].tolist(), float(w[-1])
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
     """Fit on ``docs`` (``doc_id``, ``text``) and ``labels`` (``doc_id``, ``toxic``).
 
@@ -309,14 +375,18 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
         min(max(prior, 1e-4), 0.9),
         ((truth @ votes + 0.5) / (n1 + 1)).tolist(),
         (((1 - truth) @ votes + 0.5) / (n0 + 1)).tolist(),
-        np.zeros((size, size)).tolist(),
+        [],
     )
     model = fit_label_model(patterns, start)
-    # The classifier learns the posterior on the most frequent patterns.
-    common = patterns.groupBy("votes").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "votes").limit(FITTED).collect()
-    votes = _matrix([row["votes"] for row in common], size)
-    posterior = 1 / (1 + np.exp(-np.clip(model.log_odds(votes), -30, 30)))
-    weights, bias = fit_linear(votes, posterior, np.sqrt([row["n"] for row in common]))
+    # The classifier learns the posterior on all patterns.
+    every = written(patterns.groupBy("votes").agg(F.sum("n").alias("n")), "toxic-patterns")
+    if every.count() * size > FITTED:
+        weights, bias = fit_over(every, model)
+    else:
+        every = every.orderBy("votes").collect()
+        votes = _matrix([row["votes"] for row in every], size)
+        posterior = 1 / (1 + np.exp(-np.clip(model.log_odds(votes), -30, 30)))
+        weights, bias = fit_linear(votes, posterior, np.sqrt([row["n"] for row in every]))
     return Classifier(terms, weights, bias)
 
 

@@ -203,6 +203,21 @@ def test_toxic_terms_are_learnt(spark):
     assert {r["doc_id"] for r in toxicity.drop_toxic(docs, marks).collect()} == {i for i in range(600) if i % 4} | {None, 601}
 
 
+def test_toxic_terms_are_not_cut_by_number(spark, monkeypatch):
+    spark.sparkContext.environment["PYTHONPATH"] = ROOT
+    rng = random.Random(5)
+    words = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    bad = [f"{chr(97 + i % 26)}{chr(97 + i // 26)}q" for i in range(66)]
+    rows = [(i, " ".join([*rng.choices(words, k=10), bad[i // 2 % 66] if i % 2 else "fine"])) for i in range(7200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    marks = spark.createDataFrame([(i, i % 2) for i in range(7200)], "doc_id long, toxic int")
+    for cells in (toxicity.FITTED, 0):  # in the driver, by sums on Spark
+        monkeypatch.setattr(toxicity, "FITTED", cells)
+        model = toxicity.train(docs, marks)
+        assert len(model.terms) >= 64
+        assert sum(r["predicted"] != r["doc_id"] % 2 for r in toxicity.score(docs, model).collect()) <= 400
+
+
 def test_surrogates():
     key = b"k" * 32
     for kind, some in {
