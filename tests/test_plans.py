@@ -148,3 +148,12 @@ def test_order_statistics_read_the_data_once(spark):
     df.collect()
     final = plan(df).split("== Initial Plan ==")[0]
     assert "ReusedExchange" in final or "ReusedSubquery" in final
+
+
+@pytest.mark.parametrize(
+    "name", ["j11_anti_join_all", "g5_untapped_all", "g8_supply_demand_matched_all", "k11_overview_all", "v4_kpis_all", "q1_null_profile_all"]
+)
+def test_whole_star_is_registered_beside_the_scope(name):
+    from verification import registry
+
+    assert name in registry.QUERIES and registry.STATE_IN not in registry.ORACLES[name]

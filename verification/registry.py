@@ -76,6 +76,12 @@ class Source:
     def pop(self) -> DataFrame:
         return retail_population(self.spark, self.directory)
 
+    @cached_property
+    def more_pop(self) -> DataFrame:
+        """The population with a state that has no customers."""
+        nowhere = self.spark.range(1).select(F.lit("NOWHERE").alias("state"), F.lit(700000).cast("bigint").alias("population"))
+        return self.pop.select("state", F.col("population").cast("bigint").alias("population")).unionByName(nowhere)
+
 
 def settle(df: DataFrame) -> DataFrame:
     """Round doubles, widen integers and write dates as text."""
@@ -306,6 +312,13 @@ check(
     lambda s: s.pop.join(geo.active_states(filters.apply_filters(s.star, states=SOME_STATES)), "state", "left_anti"),
     oracle(f"SELECT state, population FROM pop WHERE state NOT IN ({STATE_IN})"),
 )
+# All customers; a population row of a state without any makes the result non-empty.
+_NOWHERE = "popx AS (SELECT * FROM pop UNION ALL SELECT 'NOWHERE', 700000::bigint)"
+check(
+    "j11_anti_join_all",
+    lambda s: s.more_pop.join(geo.active_states(s.star), "state", "left_anti"),
+    oracle("SELECT state, population FROM popx WHERE state NOT IN (SELECT customer_state FROM m WHERE customer_state IS NOT NULL)", _NOWHERE),
+)
 check(
     "j12_lookup",
     lambda s: geo.state_metrics(s.star, s.pop).select("state", "population", "orders"),
@@ -441,6 +454,14 @@ check(
         *MF,
     ),
 )
+check(
+    "k11_overview_all",
+    lambda s: kpi.dataset_overview(s.star).select("rows", "orders", "sellers", "products", "span_days"),
+    oracle(
+        "SELECT count(*) AS rows, count(DISTINCT order_id) AS orders, count(DISTINCT seller_id) AS sellers, "
+        "count(DISTINCT product_id) AS products, floor((epoch(max(ts)) - epoch(min(ts))) / 86400)::bigint AS span_days FROM m"
+    ),
+)
 
 # --- revenue ------------------------------------------------------------------
 
@@ -488,6 +509,15 @@ check(
         *MF,
     ),
 )
+check(
+    "v4_kpis_all",
+    lambda s: revenue.scoped_kpis(s.star),
+    oracle(
+        f"SELECT {money('first_payment')} AS total_revenue, count(*) AS total_orders, "
+        f"{r4(money('first_payment') + ' / count(*)')} AS avg_order_value "
+        "FROM (SELECT DISTINCT order_id FROM m) JOIN p1 USING (order_id)"
+    ),
+)
 check(
     "v5_mom_growth",
     lambda s: revenue.mom_growth(s.star),
@@ -1285,6 +1315,11 @@ check(
     lambda s: geo.untapped(filters.apply_filters(s.star, states=SOME_STATES), s.pop),
     oracle(f"SELECT state, population FROM pop WHERE state NOT IN (SELECT customer_state FROM m WHERE customer_state IN ({STATE_IN}))"),
 )
+check(
+    "g5_untapped_all",
+    lambda s: geo.untapped(s.star, s.more_pop),
+    oracle("SELECT state, population FROM popx WHERE state NOT IN (SELECT customer_state FROM m WHERE customer_state IS NOT NULL)", _NOWHERE),
+)
 _EXPAND = (
     *_GEO,
     "ex AS (SELECT state, population, coalesce(customers, 0) AS cur, greatest(0.0::double, (SELECT avg(pen) FROM pn) / 10000 * population - coalesce(customers, 0)) AS gap "
@@ -1324,6 +1359,11 @@ check(
     lambda s: geo.supply_demand(s.scoped, "inner"),
     oracle(_SD + "sdr WHERE sellers > 0 AND orders > 0", *MF, *[c.replace("FROM m ", "FROM mf ") for c in _SUPPLY]),
 )
+check(
+    "g8_supply_demand_matched_all",
+    lambda s: geo.supply_demand(s.star, "inner"),
+    oracle(_SD + "sdr WHERE sellers > 0 AND orders > 0", *_SUPPLY),
+)
 check(
     "g9_high_potential",
     lambda s: geo.high_potential(s.star, s.pop),
@@ -1480,6 +1520,30 @@ check(
         )
     ),
 )
+# All joined columns; the view of the SQL side has some under other names, and some that are null with another one.
+_SAME_NULLS = {
+    "order_purchase_timestamp": "ts", "order_approved_at": "approved", "order_delivered_carrier_date": "carrier",
+    "order_delivered_customer_date": "delivered", "order_estimated_delivery_date": "estimated", CATEGORY: "category", "on_time_delivery": "on_time",
+    "order_item_id": "price", "shipping_limit_date": "price", "payment_sequential": "payment_value", "review_creation_date": "review_score",
+    "review_answer_timestamp": "review_score",
+}
+_JOINED = (
+    "order_id", "customer_id", "seller_id", "product_id", "order_status", "order_item_id", "shipping_limit_date", "price", "freight_value",
+    "product_category_name", "seller_state", "customer_unique_id", "customer_state", "payment_sequential", "payment_type", "payment_value",
+    "review_score", "review_creation_date", "review_answer_timestamp", "delivery_time", "estimated_delivery_time", "delivery_delay",
+    "order_month", "order_week", "order_date", "order_hour", "order_dayofweek", "order_year", "order_quarter", "processing_time", "fulfilment_time",
+    *(c for c in _SAME_NULLS if c.startswith(("order_purchase", "order_approved", "order_delivered", "order_estimated", CATEGORY, "on_time"))),
+)
+check(
+    "q1_null_profile_all",
+    lambda s: quality.null_profile(master(s.t)),
+    oracle(
+        " UNION ALL ".join(
+            f"SELECT '{n}' AS \"column\", {r4(f'avg(CASE WHEN {_SAME_NULLS.get(n, n)} IS NULL THEN 100.0::double ELSE 0.0 END)')} AS null_pct FROM m"
+            for n in _JOINED
+        )
+    ),
+)
 check(
     "q2_duplicates",
     lambda s: quality.dup_count(master(s.t), "order_id"),
