@@ -8,7 +8,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm import bpe, embedding_dedup, exact_dedup, language, minhash, mixing, pii, token_counts, token_files, toxicity
+from mercato.llm import (
+    bpe,
+    decontaminate,
+    embedding_dedup,
+    exact_dedup,
+    language,
+    merkle,
+    minhash,
+    mixing,
+    pii,
+    token_counts,
+    token_files,
+    toxicity,
+)
 
 TOKENIZER = "byte_bpe_50k.json"
 END_ID = 2
@@ -92,6 +105,14 @@ def op10(spark: SparkSession, directory: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > LIMIT)
 
 
+def op11(spark: SparkSession, directory: str) -> DataFrame:
+    return merkle.tamper_check(table(spark, directory, "documents"))
+
+
+def op13(spark: SparkSession, directory: str) -> DataFrame:
+    return decontaminate.decontamination(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1,
     "op2_toxicity": op2,
@@ -103,6 +124,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_bpe": op8,
     "op9_language": op9,
     "op10_token_counts": op10,
+    "op11_merkle": op11,
+    "op13_decontamination": op13,
 }
 
 ORACLES: dict[str, str] = {
@@ -149,4 +172,80 @@ ORACLES: dict[str, str] = {
                ((upto >> 28) - ((upto - step) >> 28)) * size as taken
         from r
     """,
+    "op11_merkle": r"""
+        with recursive d as (
+            select *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as lowered,
+                   coalesce(strlen(doc_id::varchar) || ':' || doc_id::varchar, '-') || coalesce(strlen(source) || ':' || source, '-')
+                   || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::varchar) || ':' || n_chars::varchar, '-') as head,
+                   xor(list_reduce(list_prepend(4294967295::bigint, list_transform(string_split(doc_id::varchar, ''), lambda c: ord(c)::bigint)),
+                                   lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)),
+                                                                 lambda c, i: xor(c >> 1, 3988292384 * (c & 1)))), 4294967295) % 3 = 0 as tampered
+            from documents
+        ), l as (
+            select doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) as leaf,
+                   sha256(head || coalesce(strlen(text) || ':' || (case when tampered then lowered else text end), '-')) as own
+            from d
+        ), placed as (
+            select *, dense_rank() over (order by lang nulls first) - 1 as tree,
+                   row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by lang) as n
+            from l
+        ), nodes as (
+            select tree, 0 as level, pos, n, leaf as h from placed
+            union all
+            select tree, level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' order by pos)) from nodes where n > 1 group by tree, level, pos // 8, n
+        ), upper as (
+            select 0 as level, tree as pos, (select count(distinct tree) from placed) as n, h from nodes where n = 1
+            union all
+            select level + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' order by pos)) from upper where n > 1 group by level, pos // 8, n
+        ), walk as (
+            select row_number() over () as id, tree, 0 as level, pos, n, own as h, '' as proof, doc_id, leaf from placed
+            union all
+            select w.id, w.tree, w.level + 1, w.pos // 8, (w.n + 7) // 8,
+                   sha256(string_agg(case when s.pos = w.pos then w.h else s.h end, '' order by s.pos)),
+                   w.proof || coalesce(string_agg(case when s.pos <> w.pos then s.h end, '' order by s.pos), ''), w.doc_id, w.leaf
+            from walk w join nodes s on s.tree = w.tree and s.level = w.level and s.pos // 8 = w.pos // 8
+            where w.n > 1
+            group by w.id, w.tree, w.level, w.pos, w.n, w.h, w.proof, w.doc_id, w.leaf
+        ), climb as (
+            select id, tree, 0 as level, tree as pos, (select count(distinct tree) from placed) as n, h, proof, doc_id, leaf from walk where n = 1
+            union all
+            select w.id, w.tree, w.level + 1, w.pos // 8, (w.n + 7) // 8,
+                   sha256(string_agg(case when s.pos = w.pos then w.h else s.h end, '' order by s.pos)),
+                   w.proof || coalesce(string_agg(case when s.pos <> w.pos then s.h end, '' order by s.pos), ''), w.doc_id, w.leaf
+            from climb w join upper s on s.level = w.level and s.pos // 8 = w.pos // 8
+            where w.n > 1
+            group by w.id, w.tree, w.level, w.pos, w.n, w.h, w.proof, w.doc_id, w.leaf
+        )
+        select c.doc_id, c.leaf, s.h as subroot, r.h as root, sha256(c.proof) as proof_sha256, c.h as folded_root, c.h = r.h as verified
+        from climb c join nodes s on s.tree = c.tree and s.n = 1 join upper r on r.n = 1
+        where c.n = 1
+    """,
+    "op13_decontamination": r"""
+        with d as (
+            select row_number() over () as id, doc_id,
+                   coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) as words
+            from documents
+        ), i as (
+            select item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                               '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words
+            from benchmark
+        ), w as (
+            select distinct item_id, least(len(words), 10) as size, array_to_string(words[place + 1:place + 10], ' ') as content
+            from (select *, unnest(range(greatest(len(words) - 10, 0) + 1)) as place from i where len(words) > 0)
+        ), p as (
+            select id, size, place, array_to_string(words[place + 1:place + size], ' ') as content
+            from (select id, words, size, unnest(range(greatest(len(words) - size + 1, 0))) as place from d, (select distinct size from w))
+        ), f as (
+            select id, place, p.size, item_id from p join w on p.size = w.size and p.content = w.content
+        ), h as (
+            select id, count(distinct word) as n_hit from (select id, unnest(range(place, place + size)) as word from f) group by id
+        ), t as (
+            select id, count(*) as n_items, string_agg(item, ',' order by item) as listed
+            from (select distinct id, item_id::varchar as item from f where item_id is not null) group by id
+        )
+        select doc_id, len(words)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+               sha256(coalesce(listed, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+        from d left join h using (id) left join t using (id)
+    """,
 }
