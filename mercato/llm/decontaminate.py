@@ -89,9 +89,13 @@ def _matches(sizes: list[int], bitmap: Bitmap) -> Column:
 
 
 def _shingles_at(sizes: list[int]) -> Column:
-    """The shingles of all ``sizes`` at a place."""
+    """The shingles of all ``sizes`` at a place, null for those that don't fit.
+
+    No lambda here: it would part the projection from the generator, and all
+    places of a document would wait between them with all its words each.
+    """
     each = [F.when(F.col("at") + size <= F.size("hashes"), _shingle(F.col("hashes"), F.col("at"), size)) for size in sizes]
-    return F.array_compact(F.array(*each))
+    return F.array(*each)
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
@@ -125,7 +129,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFra
     bitmap = Bitmap(wanted, wanted.count())
     places = _places(docs.select(words_of(F.col("text")).alias("words")), [])
     seen = places.filter(_matches(sizes, bitmap)).select(_shingles_at(sizes).alias("shingles")).select(F.explode("shingles").alias("shingle"))
-    counts = seen.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    counts = seen.filter("shingle is not null").groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
     ranked = shingles.join(counts, "shingle", "left")
     rarest = ranked.groupBy("id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shingle", "offset")).alias("least"), F.first("window").alias("window"))
     prefixes = rarest.filter("least.n > 0").select("id", "window", F.size("window").alias("length"), "least.shingle", "least.offset")
@@ -153,8 +157,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFra
     start = F.col("at") - F.col("offset")
     inside = (start >= 0) & (start + F.col("length") <= F.col("n_words"))
     same = F.slice("near", F.greatest(start - F.col("begin"), F.lit(0)) + 1, F.col("length")) == F.col("window")
-    candidates = places.filter("shingles is not null").select("row", "at", "n_words", "begin", "near", F.explode(F.array_distinct("shingles")).alias("shingle"))
-    found = candidates.join(prefixes, "shingle").filter(inside & same)
+    candidates = places.filter("shingles is not null").select("row", "at", "n_words", "begin", "near", F.explode("shingles").alias("shingle"))
+    found = candidates.filter("shingle is not null").join(prefixes, "shingle").filter(inside & same)
     found = written(found.select("row", start.alias("start"), (start + F.col("length")).alias("end"), "id"), "leak-found")
 
     spans = found.groupBy("row", "start").agg(F.max("end").alias("end"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mercato.llm import (
+    alignment,
     bpe,
     decontaminate,
     embedding_dedup,
@@ -24,16 +25,17 @@ from mercato.llm import (
 )
 
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 END_ID = 2
 LIMIT = 512
 #: The key of the surrogates; a real corpus has its own, kept secret.
 KEY = "mercato"
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
@@ -109,6 +111,13 @@ def op11(spark: SparkSession, directory: str) -> DataFrame:
     return merkle.tamper_check(table(spark, directory, "documents"))
 
 
+def op12(spark: SparkSession, directory: str) -> DataFrame:
+    docs = table(spark, directory, "documents")
+    aligned = alignment.align_tokenizers(docs, tokenizer_path(), tokenizer_path(PIECES))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return aligned.withColumn("groups_sha256", digest).drop("groups")
+
+
 def op13(spark: SparkSession, directory: str) -> DataFrame:
     return decontaminate.decontamination(table(spark, directory, "documents"), table(spark, directory, "benchmark"))
 
@@ -125,6 +134,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language": op9,
     "op10_token_counts": op10,
     "op11_merkle": op11,
+    "op12_alignment": op12,
     "op13_decontamination": op13,
 }
 
