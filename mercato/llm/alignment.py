@@ -14,9 +14,9 @@ the number.  Hash and vectors are broadcast only up to ``PAIRS`` distinct
 pairs; beyond, the second pass joins the counts instead.
 
 No token of either tokenizer reaches over the step from a character to a blank
-(but for blanks that the vocabulary of B holds behind others), so texts are
-aligned piece by piece, once for each distinct piece that a bounded table
-of the worker holds.
+(but for blanks that the vocabulary of B holds behind others), nor, if no piece
+of B does, from a letter to a mark; so texts are aligned piece by piece, once
+for each distinct piece that a bounded table of the worker holds.
 """
 
 from __future__ import annotations
@@ -36,12 +36,19 @@ PAIRS = 4_000_000
 #: Counts of a vector that go together, and vectors summed up in one step of the tree.
 SLICE, BRANCHES = 65_536, 8
 #: Bytes of pieces and their alignments that a worker keeps, about.
-KEPT_BYTES = 96 << 20
+KEPT_BYTES = 128 << 20
 #: Characters that go to the sentencepiece library at once (one piece at least).
 JOINED = 200_000
 #: Links of a group above which equal ids are counted instead of listed.
 LISTED = 1 << 16
 SPACE = "▁"
+MARKS = re.escape("""!"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~""")
+WORDS = r"[^\W\d_]"
+
+
+def is_word(piece: str) -> bool:
+    """Whether ``piece`` is letters, with or without a blank before them: one pre-token."""
+    return piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha())
 
 
 class Aligner:
@@ -56,7 +63,8 @@ class Aligner:
 
         library = load_library(spec)
         library.encode_special_tokens = True
-        self.encode_a = library_encoder(library, library.token_to_id("Ċ"), "uint32")
+        self.a, self.newline_a = library, library.token_to_id("Ċ")
+        self.encode_a = library_encoder(library, self.newline_a, "uint32")
         byte = {letter: i for i, letter in enumerate(byte_letters())}
         special = {x.content for x in library.get_added_tokens_decoder().values()}
         bytes_a = [b""] * library.get_vocab_size()
@@ -64,7 +72,8 @@ class Aligner:
             if token not in special:
                 bytes_a[i] = bytes(byte[x] for x in token)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model)
-        bytes_b, behind = [], set()
+        bytes_b, behind, letters_end = [], set(), True
+        mixed = re.compile(f"{WORDS}[{MARKS}]")
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
             if self.b.is_byte(i):
@@ -73,6 +82,7 @@ class Aligner:
                 bytes_b.append(b"")
             else:
                 text = piece.replace(SPACE, " ")
+                letters_end = letters_end and not mixed.search(text)
                 behind |= {y for x, y in zip(text, text[1:]) if x not in BLANK and y in BLANK}
                 if " " in behind or "\n" in text:
                     raise ValueError("a vocabulary with blanks or line ends inside of pieces is not supported")
@@ -81,7 +91,8 @@ class Aligner:
         self.head = len(self.b.encode("\n")) - 1
         stays = re.escape("".join(sorted(behind)))
         more = f"(?:[{stays}][{BLANK}]*[^{BLANK}]*)*" if stays else ""
-        self.pieces = re.compile(f"[{BLANK}]*[^{BLANK}]+{more}|[{BLANK}]+")
+        word = f"[{BLANK}]*{WORDS}++(?=[{MARKS}])|" if letters_end else ""
+        self.pieces = re.compile(f"{word}[{BLANK}]*[^{BLANK}]+{more}|[{BLANK}]+")
         self.bytes_a, self.bytes_b = pa.array(bytes_a, pa.binary()), pa.array(bytes_b, pa.binary())
         self.size_a, self.size_b = (np.array([len(x) for x in own], np.int64) for own in (bytes_a, bytes_b))
         names = [f"{i}{end}" for n, last in ((len(bytes_a), "|"), (len(bytes_b), ";")) for i in range(n) for end in (",", last)]
@@ -91,6 +102,26 @@ class Aligner:
         """The pieces of a text with a blank before it."""
         return self.pieces.findall(" " + text)
 
+    def _encode_a(self, pieces: list[str]):
+        """All ids of ``pieces`` and how many each has; the first ones, a blank and letters, go to the library as one text."""
+        import numpy as np
+
+        found, counts, at = [], [], 0
+        words = next((i for i, piece in enumerate(pieces) if not is_word(piece)), len(pieces))
+        while at < words:
+            upto = min(at + 50_000, words)
+            ids = np.array(self.a.encode_batch_fast(["\n".join(pieces[at:upto])], add_special_tokens=False)[0].ids, np.int64)
+            ends = np.append(np.flatnonzero(ids == self.newline_a), len(ids))
+            if len(ends) != upto - at:
+                raise ValueError("line ends are not tokens of their own")
+            found.append(ids[ids != self.newline_a])
+            counts.append(np.diff(ends, prepend=-1) - 1)
+            at = upto
+        coded = self.encode_a(pieces[words:])
+        found.append(np.frombuffer(b"".join(coded), np.uint32).astype(np.int64))
+        counts.append(np.array([len(x) // 4 for x in coded], np.int64))
+        return np.concatenate(found), np.concatenate(counts)
+
     def _encode_b(self, pieces: list[str]):
         """All ids of ``pieces`` and how many each has.  Line ends, tokens of their own, stand between the pieces."""
         import numpy as np
@@ -139,9 +170,7 @@ class Aligner:
         import numpy as np
         import pyarrow as pa
 
-        coded = self.encode_a(pieces)
-        count_a = np.array([len(x) // 4 for x in coded], np.int64)
-        ids_a = np.frombuffer(b"".join(coded), np.uint32).astype(np.int64)
+        ids_a, count_a = self._encode_a(pieces)
         ids_b, count_b = self._encode_b(pieces)
         good = self._whole(pieces, self.bytes_a, pa.array(ids_a), count_a) & self._whole(pieces, self.bytes_b, pa.array(ids_b), count_b)
         if not good.all():
@@ -199,31 +228,46 @@ class Aligner:
 
 
 class PieceTable:
-    """Alignments of pieces, kept between texts up to about ``limit`` bytes; ``score`` adds columns made from pairs and times."""
+    """Alignments of pieces, kept between texts up to about ``limit`` bytes; ``score`` adds columns made from pairs and times.
+
+    When there are more, the half that was used least goes.
+    """
 
     COLUMNS = ("n_a", "n_b", "n_groups", "n_links", "n_pairs")
 
     def __init__(self, aligner: Aligner, spelled: bool, score=None, limit: int = KEPT_BYTES):
-        self.aligner, self.spelled, self.score, self.limit = aligner, spelled, score, limit
-        self.columns = [*self.COLUMNS, *(["n_best", "count_sum"] if score else [])]
-        self._clear()
-
-    def _clear(self) -> None:
         import numpy as np
 
+        self.aligner, self.spelled, self.score, self.limit = aligner, spelled, score, limit
+        self.columns = [*self.COLUMNS, *(["n_best", "count_sum"] if score else [])]
         self.index: dict[str, int] = {}
         self.values = {name: np.zeros(0, np.int64) for name in self.columns}
         self.good, self.pairs, self.times = np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.used, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.groups: list[str] = []
-        self.bytes = 0
+
+    def _shrink(self) -> None:
+        """Keep the pieces used most, up to half of the bytes; older uses count less."""
+        import numpy as np
+
+        order = np.argsort(-self.used, kind="stable")
+        keep = np.zeros(len(order), bool)
+        keep[order[np.cumsum(self.size[order]) <= self.limit // 2]] = True
+        listed = np.repeat(keep, self.values["n_pairs"])
+        self.pairs, self.times = self.pairs[listed], self.times[listed]
+        self.values = {name: column[keep] for name, column in self.values.items()}
+        self.good, self.used, self.size = self.good[keep], self.used[keep] // 2, self.size[keep]
+        if self.spelled:
+            self.groups = [groups for groups, stays in zip(self.groups, keep.tolist()) if stays]
+        self.index = {piece: i for i, piece in enumerate(piece for piece, stays in zip(self.index, keep.tolist()) if stays)}
 
     def numbers(self, pieces: list[str]):
         """The place in the table of each of ``pieces``."""
         import numpy as np
 
-        if self.bytes > self.limit:
-            self._clear()
-        missing = list(set(pieces).difference(self.index))
+        if self.size.sum() > self.limit:
+            self._shrink()
+        missing = sorted(set(pieces).difference(self.index), key=is_word, reverse=True)
         if missing:
             found = self.aligner.align(missing, self.spelled)
             if self.score:
@@ -233,9 +277,16 @@ class PieceTable:
                 self.values[name] = np.concatenate([self.values[name], found[name]])
             self.good = np.concatenate([self.good, found["good"]])
             self.pairs, self.times = np.concatenate([self.pairs, found["pairs"]]), np.concatenate([self.times, found["times"]])
-            self.groups += found.get("groups", ())
-            self.bytes += 300 * len(missing) + sum(map(len, missing)) + sum(map(len, found.get("groups", ()))) + 16 * len(found["pairs"])
-        return np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+            size = 300 + np.fromiter(map(len, missing), np.int64) + 16 * found["n_pairs"]
+            if self.spelled:
+                self.groups += found["groups"]
+                size += np.fromiter(map(len, found["groups"]), np.int64)
+            self.size = np.concatenate([self.size, size])
+        places = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
+        uses = np.bincount(places, minlength=len(self.index))
+        uses[: len(self.used)] += self.used
+        self.used = uses
+        return places
 
     def texts(self, texts: list[str]):
         """The pieces of ``texts`` by number, where each text's end, and which texts have tokens."""
