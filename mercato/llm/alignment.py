@@ -94,6 +94,8 @@ class Aligner:
         word = f"[{BLANK}]*{WORDS}++(?=[{MARKS}])|" if letters_end else ""
         self.pieces = re.compile(f"{word}[{BLANK}]*[^{BLANK}]+{more}|[{BLANK}]+")
         self.bytes_a, self.bytes_b = pa.array(bytes_a, pa.binary()), pa.array(bytes_b, pa.binary())
+        if len(bytes_a) * len(bytes_b) > 1 << 31:
+            raise ValueError("vocabularies with more than 2**31 pairs of ids are not supported")
         self.size_a, self.size_b = (np.array([len(x) for x in own], np.int64) for own in (bytes_a, bytes_b))
         names = [f"{i}{end}" for n, last in ((len(bytes_a), "|"), (len(bytes_b), ";")) for i in range(n) for end in (",", last)]
         self.names = pa.array(names, pa.string())
@@ -320,12 +322,22 @@ def _aligner(shared) -> Aligner:
     return _ALIGNERS[shared.value[0]]
 
 
+def _distinct(keys):
+    """Distinct keys in order and where each begins in the sorted keys, with the end as the last place."""
+    import numpy as np
+
+    keys = np.sort(keys)
+    first = np.flatnonzero(np.concatenate([np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1]]))
+    return keys[first], np.append(first, len(keys))
+
+
 def _summed(keys, counts):
     """Distinct keys and the sums of their counts."""
     import numpy as np
 
-    distinct, place = np.unique(keys, return_inverse=True)
-    return distinct, np.bincount(place, counts, minlength=len(distinct)).astype(np.int64)
+    order = np.argsort(keys)
+    distinct, first = _distinct(keys[order])
+    return distinct, np.add.reduceat(counts[order], first[:-1]) if len(distinct) else counts
 
 
 def document_pairs(docs: DataFrame, shared, text: str = "text") -> DataFrame:
@@ -333,21 +345,23 @@ def document_pairs(docs: DataFrame, shared, text: str = "text") -> DataFrame:
 
     def run(batches) -> Iterator:
         import numpy as np
-        import pyarrow as pa
 
         table = PieceTable(_aligner(shared), spelled=False)
+        narrow = len(table.aligner.size_b)
         keys, counts, rows = [], [], 0
         for batch in batches:
             for part in slices(batch.column(0).to_pylist()):
                 flat, ends, whole = table.texts(part)
                 doc = np.repeat(np.arange(len(part)), np.diff(ends))
                 use = whole[doc]
-                held = np.unique(doc[use] * len(table.index) + flat[use])
-                pairs, _, many = table.pairs_of(held % max(len(table.index), 1))
-                distinct, place = np.unique(pairs, return_inverse=True)
-                once = np.unique(np.repeat(held // max(len(table.index), 1), many) * max(len(distinct), 1) + place)
-                keys.append(distinct)
-                counts.append(np.bincount(once % max(len(distinct), 1), minlength=len(distinct)))
+                pieces = max(len(table.index), 1)
+                held, _ = _distinct(doc[use] * pieces + flat[use])
+                pairs, _, many = table.pairs_of(held % pieces)
+                # Ids of A and B within 31 bits leave 32 for the document within the slice.
+                codes, _ = _distinct(np.repeat(held // pieces, many) << 31 | (pairs >> 32) * narrow + (pairs & 0xFFFFFFFF))
+                distinct, first = _distinct(codes & (1 << 31) - 1)
+                keys.append(distinct // narrow << 32 | distinct % narrow)
+                counts.append(np.diff(first))
                 rows += len(distinct)
                 if rows > 1_000_000:
                     key, count = _summed(np.concatenate(keys), np.concatenate(counts))
