@@ -43,7 +43,8 @@ JOINED = 200_000
 LISTED = 1 << 16
 SPACE = "▁"
 MARKS = re.escape("""!"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~""")
-WORDS = r"[^\W\d_]"
+#: Letters behind which a text may be cut before a mark.
+LETTER = "[A-Za-zÀ-ÖØ-öø-ÿ]"
 
 
 def is_word(piece: str) -> bool:
@@ -73,7 +74,7 @@ class Aligner:
                 bytes_a[i] = bytes(byte[x] for x in token)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model)
         bytes_b, behind, letters_end = [], set(), True
-        mixed = re.compile(f"{WORDS}[{MARKS}]")
+        mixed = re.compile(f"{LETTER}[{MARKS}]")
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
             if self.b.is_byte(i):
@@ -91,8 +92,9 @@ class Aligner:
         self.head = len(self.b.encode("\n")) - 1
         stays = re.escape("".join(sorted(behind)))
         more = f"(?:[{stays}][{BLANK}]*[^{BLANK}]*)*" if stays else ""
-        word = f"[{BLANK}]*{WORDS}++(?=[{MARKS}])|" if letters_end else ""
-        self.pieces = re.compile(f"{word}[{BLANK}]*[^{BLANK}]+{more}|[{BLANK}]+")
+        word = rf"[{BLANK}]*[^\W\d_]++(?<={LETTER})(?=[{MARKS}])|" if letters_end else ""
+        # A line end before a character is a token of its own for both; so are, together, a blank and letters for A.
+        self.pieces = re.compile(f"\n(?=[^{BLANK}])|{word}[{BLANK}]*[^{BLANK}]+{more}|[{BLANK}]+")
         self.bytes_a, self.bytes_b = pa.array(bytes_a, pa.binary()), pa.array(bytes_b, pa.binary())
         if len(bytes_a) * len(bytes_b) > 1 << 31:
             raise ValueError("vocabularies with more than 2**31 pairs of ids are not supported")
