@@ -68,15 +68,49 @@ def months_between_labels(later: Column | str, earlier: Column | str) -> Column:
 # --- sums and guarded division ------------------------------------------------
 
 
-def total(c: Column | str) -> Column:
-    """Aggregate: exact sum of amounts, 0.0 when every value is null.
+#: Bits of each of the three parts below 1 that ``exact_sum`` adds up.
+PART_BITS = 26
+
+
+def exact_sum(c: Column | str) -> Column:
+    """Aggregate: the sum of doubles rounded once, at the end; null when every value is null.
 
-    Amounts are taken to a millionth and summed as decimals, whatever their
-    size, so the sum doesn't depend on the order in which tasks finish and
-    later steps (ranks, quantile edges, top-k) compare the same digits.  Values
-    from 1e22 on don't fit.
+    Each value is cut, without loss down to ``2 ** -78``, into a whole number
+    and three whole numbers of 26 bits, which are added as 64-bit integers.  So
+    the sum is the double nearest to the true one whatever the order in which
+    tasks finish, and later steps (thresholds, ranks, edges, top-k) compare the
+    same digits.  NaN counts as null.  Sums beyond ``2 ** 61`` or of more than
+    ``2 ** 37`` rows in one group overflow, with an error.
     """
-    return F.coalesce(F.sum(_col(c).cast("decimal(28,6)")).cast("double"), F.lit(0.0))
+    base = float(1 << PART_BITS)
+    value = F.nanvl(_col(c).cast("double"), F.lit(None).cast("double"))
+    # Scaling by a power of two and the differences of near whole numbers are exact.
+    steps = [F.rint(value * base**k if k else value) for k in range(4)]
+    parts = [steps[0], *(fine - coarse * base for coarse, fine in zip(steps, steps[1:]))]
+    whole, high, middle, low = (F.sum(part.cast("bigint")) for part in parts)
+
+    def carry(part: Column) -> Column:
+        return F.shiftright(part, PART_BITS)
+
+    mask = (1 << PART_BITS) - 1
+    middle = middle + carry(low)
+    high = high + carry(middle)
+    whole = whole + carry(high)
+    low, middle, high = (part.bitwiseAND(mask) for part in (low, middle, high))
+    # Both operands of each addition are exact, or odd in a bit far below the result's last one, so it rounds rightly.
+    upper, lower = whole * (1 << PART_BITS) + high, middle * (1 << PART_BITS) + low
+    small = upper.cast("double") / base + lower.cast("double") / base**3
+    below = high * (1 << PART_BITS + 1) + middle * 2
+    large = whole.cast("double") + below.bitwiseOR((low > 0).cast("bigint")).cast("double") / (2 * base**2)
+    rest = high.bitwiseAND(mask >> 2).bitwiseOR(lower)
+    quarters = (whole * 4 + F.shiftright(high, PART_BITS - 2)).bitwiseOR((rest > 0).cast("bigint"))
+    size = F.abs(whole)
+    return F.when(size < 1 << 27, small).when(size < 1 << 53, large).otherwise(quarters.cast("double") / 4)
+
+
+def total(c: Column | str) -> Column:
+    """Aggregate: ``exact_sum``, 0.0 when every value is null."""
+    return F.coalesce(exact_sum(c), F.lit(0.0))
 
 
 def count_total(c: Column | str) -> Column:

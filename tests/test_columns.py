@@ -1,5 +1,6 @@
+import math
+import random
 from datetime import datetime
-from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,10 +97,31 @@ def test_pct_change_carries_values_forward(spark):
     assert [r.g for r in df.orderBy("order_month").collect()] == [None, 0.0, 200.0, -100.0, None]
 
 
-def test_total_is_exact_at_every_size(spark):
-    for scale in (1e3, 1e7, 1e12):
-        rows = [(0.1 + i % 7 * 0.01,) for i in range(2000)] + [(scale + 0.002,), (-scale,)]
-        frames = [spark.createDataFrame(part, "v double").repartition(n) for part, n in ((rows, 1), (rows[::-1], 5))]
-        sums = {df.agg(total("v").alias("s")).first()["s"] for df in frames}
-        exact = float(sum(Decimal(repr(v)).quantize(Decimal("0.000001")) for (v,) in rows))
-        assert sums == {exact}
+def _totals(spark, rows):
+    """The sums of a frame in several orders and partitionings."""
+    frames = [spark.createDataFrame([(v,) for v in part], "v double").repartition(n) for part, n in ((rows, 1), (rows[::-1], 5))]
+    return {df.agg(total("v").alias("s")).first()["s"] for df in frames}
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e3, 1e7, 1e12, 1e15])
+def test_total_is_exact_at_every_size(spark, scale):
+    rows = [(0.1 + i % 7 * 0.01) for i in range(2000)] + [scale + 0.002, -scale, scale / 3, scale / 7, -scale / 9]
+    assert _totals(spark, rows) == {math.fsum(rows)}
+
+
+def test_total_of_thirds(spark):
+    assert _totals(spark, [500 / 3] * 3) == {500.0}
+    assert _totals(spark, [1 / 3, 1 / 3, 1 / 3, None, float("nan")]) == {1.0}
+    assert _totals(spark, [None]) == {0.0}
+    assert _totals(spark, [-0.1] * 10 + [1.0]) == {math.fsum([-0.1] * 10 + [1.0])}
+
+
+def test_total_is_the_nearest_double(spark):
+    rng = random.Random(3)
+    groups = []
+    for g in range(400):
+        size = 10 ** rng.uniform(-2, 17)
+        groups += [(g, rng.choice([-1, 1, 1]) * round(rng.uniform(0, size), rng.randint(0, 12))) for _ in range(rng.randint(1, 30))]
+    got = spark.createDataFrame(groups, "g int, v double").repartition(3).groupBy("g").agg(total("v").alias("s")).collect()
+    want = {g: math.fsum(v for h, v in groups if h == g) for g in range(400)}
+    assert {r["g"]: r["s"] for r in got} == want

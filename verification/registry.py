@@ -89,8 +89,7 @@ def settle(df: DataFrame) -> DataFrame:
     def col(f: T.StructField):
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            fine, coarse = (F.floor(c * k + 0.5).cast("double") / k for k in (10000, 100))
-            c = F.when(F.abs(c) < 1e7, fine).when(F.abs(c) < 1e15, coarse).otherwise(c)
+            c = F.rint(c.cast("double") * 10000) / 10000
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("bigint")
         elif isinstance(f.dataType, T.DateType):

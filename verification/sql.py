@@ -78,16 +78,14 @@ def oracle(body: str, *ctes: str) -> str:
 
 
 def r4(x: str) -> str:
-    """Round to four places, two from ten million on, by the same double arithmetic as the Spark side."""
-    return (
-        f"(CASE WHEN abs({x}) < 1e7 THEN floor(({x}) * 10000 + 0.5) / 10000 ELSE floor(({x}) * 100 + 0.5) / 100 END)"
-    )
+    """Round to four places by the same double arithmetic as the Spark side."""
+    return f"(round_even(({x})::double * 10000, 0) / 10000)"
 
 
 def money(x: str, where: str | None = None) -> str:
-    """Aggregate: a sum of cents, free of the order of addition."""
+    """Aggregate: a sum of amounts of cents, exact and so free of the order of addition."""
     only = f" FILTER (WHERE {where})" if where else ""
-    return f"(floor(coalesce(sum({x}){only}, 0) * 100 + 0.5) / 100)"
+    return f"(coalesce(sum(({x})::decimal(28,6)){only}, 0)::double)"
 
 
 def mean(x: str) -> str:
