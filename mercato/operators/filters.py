@@ -22,14 +22,12 @@ def apply_filters(
     """A star narrowed to states, categories and the last ``window_days`` days.
 
     An empty list keeps everything.  The window counts back from the newest
-    order that passes the two other filters.
+    order that passes the two other filters.  A star that is filtered already
+    is narrowed further: lists keep what both name (none, if they share
+    nothing), and the window lies within the rows that are left.  A stored star
+    stays one.
     """
-    return Star(
-        star.tables,
-        states or star.states,
-        categories or star.categories,
-        window_days or star.window_days,
-    )
+    return star.narrow(states, categories, window_days)
 
 
 def filter_values(star: Star, column: str) -> DataFrame:

@@ -182,6 +182,7 @@ def item_rollup(items: DataFrame) -> DataFrame:
     )
 
 
+ITEM_COUNTS = {"item_rows": "greatest(coalesce(n_items, 0), 1)", "items": "coalesce(n_items, 0)"}
 # Sums over the joined rows, from the roll-ups of one order.
 ORDER_FAN_OUT = {
     "rows": "item_rows * pay_rows * review_rows",
@@ -205,25 +206,37 @@ LINE_FAN_OUT = {
 }
 
 
+def _meet(names: Sequence[str] | None, others: tuple[str, ...] | None) -> tuple[str, ...] | None:
+    """The names of a list (empty: all) that are among ``others`` (None: all), None for all."""
+    if not names:
+        return others
+    return tuple(names) if others is None else tuple(name for name in names if name in others)
+
+
 class Star:
     """The joined model of a catalog, optionally narrowed by filters.
 
-    ``states`` and ``categories`` are IN-lists (empty means all);
+    ``states`` and ``categories`` are IN-lists (None or empty means all);
     ``window_days`` keeps the last days before the newest order that passes
-    the other filters.
+    the other filters.  ``outer`` is a star of the same tables whose filters
+    hold, too: lists meet in what both name, and a window counts back from the
+    newest order that passes them as well.
     """
 
     def __init__(
         self,
         tables: Tables,
-        states: Sequence[str] = (),
-        categories: Sequence[str] = (),
+        states: Sequence[str] | None = (),
+        categories: Sequence[str] | None = (),
         window_days: int | None = None,
+        outer: Star | None = None,
     ):
         self.tables = tables
-        self.states = tuple(states)
-        self.categories = tuple(categories)
+        # None keeps all; an empty meeting of two lists keeps nothing.
+        self.states = _meet(states, outer.states if outer else None)
+        self.categories = _meet(categories, outer.categories if outer else None)
         self.window_days = window_days
+        self.outer = outer
         # Plans already built; a star never changes, and analysing its wide
         # frames anew for every operator would cost more than small queries.
         self._built: dict[tuple, DataFrame] = {}
@@ -232,15 +245,28 @@ class Star:
 
     @property
     def is_filtered(self) -> bool:
-        return bool(self.states or self.categories or self.window_days)
+        own = self.states is not None or self.categories is not None or bool(self.window_days)
+        return own or bool(self.outer and self.outer.is_filtered)
+
+    def narrow(self, states: Sequence[str] = (), categories: Sequence[str] = (), window_days: int | None = None) -> Star:
+        """This star under further filters."""
+        return Star(self.tables, states, categories, window_days, self)
+
+    def _starts(self) -> list[Column]:
+        """The first moments of the windows of this star and the ones around it."""
+        starts = self.outer._starts() if self.outer else []
+        if self.window_days:
+            newest = self._scoped_orders(window=False).agg(F.max("order_purchase_timestamp")).scalar()
+            starts.append(newest - F.make_dt_interval(days=F.lit(self.window_days)))
+        return starts
 
     def items(self, product: bool = False) -> DataFrame:
         """Items of the chosen categories; ``product`` adds the category names."""
         items = self.tables.order_items
-        if not (product or self.categories):
+        if not product and self.categories is None:
             return items
         names = products_en(self.tables).select("product_id", "product_category_name", CATEGORY)
-        if not self.categories:
+        if self.categories is None:
             return items.join(names, "product_id", "left")
         names = names.where(F.col(CATEGORY).isin(list(self.categories)))
         return items.join(names if product else names.select("product_id"), "product_id")
@@ -253,20 +279,19 @@ class Star:
         ``category=False`` leaves the category filter to a later inner join.
         """
         orders = self.tables.orders
-        if self.states or customer:
+        if self.states is not None or customer:
             dims = self.tables.customers.select("customer_id", CUSTOMER, STATE)
-            if self.states:
+            if self.states is not None:
                 dims = dims.where(F.col(STATE).isin(list(self.states)))
             orders = orders.join(
                 dims if customer else dims.select("customer_id"),
                 "customer_id",
-                "inner" if self.states else "left",
+                "left" if self.states is None else "inner",
             )
-        if self.categories and category:
+        if self.categories is not None and category:
             orders = scope_to(orders, self.items().select("order_id").distinct())
-        if window and self.window_days:
-            newest = self._scoped_orders(window=False).agg(F.max("order_purchase_timestamp")).scalar()
-            start = newest - F.make_dt_interval(days=F.lit(self.window_days))
+        starts = self._starts() if window else self.outer._starts() if self.outer else []
+        for start in starts:
             orders = orders.where(F.col("order_purchase_timestamp") >= start)
         return orders
 
@@ -296,15 +321,14 @@ class Star:
         t = self.tables
         df = (
             self._scoped_orders(customer, category=False)
-            .join(item_rollup(self.items()), "order_id", "inner" if self.categories else "left")
+            .join(item_rollup(self.items()), "order_id", "left" if self.categories is None else "inner")
             .join(payment_rollup(t.order_payments), "order_id", "left")
             .join(review_rollup(t.order_reviews), "order_id", "left")
             .selectExpr(
                 "*",
-                "greatest(coalesce(n_items, 0), 1) AS item_rows",
+                *[f"{sql} AS {name}" for name, sql in ITEM_COUNTS.items()],
                 "greatest(coalesce(n_pay, 0), 1) AS pay_rows",
                 "greatest(coalesce(n_rev, 0), 1) AS review_rows",
-                "coalesce(n_items, 0) AS items",
                 "coalesce(n_pay, 0) AS payments",
                 "coalesce(n_rev, 0) AS reviews",
             )
@@ -368,9 +392,31 @@ class StoredStar(Star):
     """
 
     def __init__(self, origin: Star, orders: DataFrame, lines: DataFrame):
-        super().__init__(origin.tables, origin.states, origin.categories, origin.window_days)
+        super().__init__(origin.tables, window_days=origin.window_days, outer=origin.outer)
+        self.states, self.categories = origin.states, origin.categories
         self._orders, self._lines = orders, lines
 
+    def narrow(self, states: Sequence[str] = (), categories: Sequence[str] = (), window_days: int | None = None) -> StoredStar:
+        """The stored rows under further filters; only a list of categories rolls items up anew, from the stored lines."""
+        orders, lines = self._orders, self._lines
+        if states:
+            orders, lines = (df.where(F.col(STATE).isin(list(states))) for df in (orders, lines))
+        if categories:
+            lines = lines.where(F.col(CATEGORY).isin(list(categories)))
+            items = item_rollup(lines)
+            same = [c for c in orders.columns if c not in {*items.columns, *ITEM_COUNTS, *ORDER_FAN_OUT} or c == "order_id"]
+            kept = orders.select(same).join(items, "order_id").selectExpr("*", *[f"{sql} AS {name}" for name, sql in ITEM_COUNTS.items()])
+            fanned = kept.selectExpr("*", *[f"{sql} AS {name}" for name, sql in ORDER_FAN_OUT.items()])
+            orders = fanned.select(orders.columns)
+            # The lines carry the counts of their order's items.
+            counts = [c for c in lines.columns if c in {*items.columns, *ITEM_COUNTS} - {"order_id"}]
+            lines = join_orders(lines.drop(*counts, "order_hash"), orders.select("order_id", *counts)).select(lines.columns)
+        if window_days:
+            newest = orders.agg(F.max("order_purchase_timestamp")).scalar()
+            start = newest - F.make_dt_interval(days=F.lit(window_days))
+            orders, lines = (df.where(F.col("order_purchase_timestamp") >= start) for df in (orders, lines))
+        return StoredStar(Star(self.tables, states, categories, window_days, self), orders, lines)
+
     def keys(self) -> DataFrame:
         return self._orders.select("order_id")
 

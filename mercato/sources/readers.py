@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mercato.plans.tables import Tables
+from mercato.sources.csv_files import read_csv
 from mercato.sources.schema import TABLE_COLUMNS, conform
 
 # Part of the file or folder name by which a table is found.
@@ -16,27 +16,6 @@ TABLE_STEMS = {name: name for name in TABLE_COLUMNS} | {
     "category_translation": "category*translation",
 }
 OPTIONAL_TABLES = frozenset({"geolocation"})
-BYTE_ORDER_MARK = "﻿"
-
-
-def read_csv(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
-    """CSV files as text columns by the names in each file's own header.
-
-    A quoted line break is part of its record, as is a doubled quote; a file
-    is then read by one task, so large tables are better kept as Parquet or in
-    many files.  ``multiline=False`` splits files, where no record holds a line
-    break.  Files may order their columns differently or lack some.
-    """
-    options = dict(header=True, quote='"', escape='"', multiLine=multiline)
-    frames = []
-    for file in spark.read.text(path).inputFiles() or [path]:
-        raw = spark.read.options(**options).csv(file)
-        frames.append(raw.toDF(*[c.lstrip(BYTE_ORDER_MARK).strip() for c in raw.columns]))
-    by_header: dict[tuple[str, ...], list[DataFrame]] = {}
-    for frame in frames:
-        by_header.setdefault(tuple(frame.columns), []).append(frame)
-    first, *rest = [reduce(DataFrame.union, same) for same in by_header.values()]
-    return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), rest, first)
 
 
 def read_table(spark: SparkSession, path: str, table: str, fmt: str = "csv", multiline: bool = True) -> DataFrame:
@@ -137,15 +116,46 @@ def load_subset(
     )
 
 
+#: Buckets of the random key in each of the two counts that place a sample's cut.
+SAMPLE_BUCKETS = 4096
+
+
 def sample_cap(df: DataFrame, n: int, seed: int = 7) -> DataFrame:
     """A uniform random sample of at most ``n`` rows.
 
-    Sorting by a random key and taking ``n`` is a top-k: every task keeps its
-    own ``n`` best rows and only those travel.
+    Rows get a random key, and those below a cut stay, in whatever task they
+    are.  The cut is the key after the ``n`` smallest: counts per bucket of the
+    key find the bucket it falls in, counts within that one a bucket 4096 times
+    as narrow, whose few keys are looked at.  Fewer rows come only if keys tie
+    at the cut.  ``df`` must give the same rows in the same partitions each
+    time it is read, as stored tables do.
     """
-    return df.orderBy(F.rand(seed)).limit(n)
+    if n <= 0:
+        return df.limit(0)
+    keys = df.select(F.rand(seed).alias("key"))
+    target = F.lit(n).cast("bigint")
+
+    def crossing(counts: DataFrame, ahead: Column) -> DataFrame:
+        """The first bucket up to which more than ``n`` rows lie, and how many lie before it."""
+        upto = F.sum("rows").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)) + ahead
+        placed = counts.withColumn("upto", upto).filter(F.col("upto") > target)
+        before = F.min_by(F.col("upto") - F.col("rows"), "bucket")
+        return placed.agg(F.struct(F.min("bucket").alias("bucket"), before.alias("before")).alias("at"))
+
+    def bucket(width: int) -> Column:
+        return F.floor(F.col("key") * width).cast("bigint")
+
+    # At most 4096 rows in each of the two windows; the tables of one row are scalar subqueries.
+    wide = crossing(keys.groupBy(bucket(SAMPLE_BUCKETS).alias("bucket")).agg(F.count(F.lit(1)).alias("rows")), F.lit(0))
+    inside = keys.withColumn("at", wide.scalar()).filter(bucket(SAMPLE_BUCKETS) == F.col("at.bucket"))
+    counts = inside.groupBy(bucket(SAMPLE_BUCKETS**2).alias("bucket")).agg(F.count(F.lit(1)).alias("rows"), F.first("at.before").alias("ahead"))
+    narrow = crossing(counts, F.col("ahead"))
+    few = keys.withColumn("at", narrow.scalar()).filter(bucket(SAMPLE_BUCKETS**2) == F.col("at.bucket"))
+    cut = few.agg(F.get(F.array_sort(F.collect_list("key")), (target - F.first("at.before")).cast("int")))
+    marked = df.withColumn("__sample_key", F.rand(seed)).withColumn("__sample_cut", cut.scalar())
+    return marked.filter("__sample_cut is null or __sample_key < __sample_cut").select(*(f"`{c}`" for c in df.columns))
 
 
 def export_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Write a result as CSV with a header line, one file per partition."""
-    df.write.mode(mode).option("header", True).csv(path)
+    """Write a result as CSV with a header line, one file per partition; quotes within values are doubled."""
+    df.write.mode(mode).options(header=True, escape='"').csv(path)

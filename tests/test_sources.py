@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from mercato import export_csv, load_jdbc, load_subset, load_tables, population, sample_cap
 from mercato.sources.inline import inline_table
+from mercato.sources.csv_files import read_csv
 from mercato.sources.readers import read_table
 from mercato.sources.schema import coerce_ts, require_columns
 
@@ -88,11 +89,19 @@ def test_subset_filter_reaches_the_scan(spark, toy, tmp_path):
     assert "GreaterThanOrEqual(order_purchase_timestamp" in plan
 
 
-def test_sample_cap(spark):
-    df = spark.range(1000)
-    assert sample_cap(df, 10).count() == 10
-    assert sample_cap(df, 2000).distinct().count() == 1000
-    assert {r.id for r in sample_cap(df, 50).collect()} <= set(range(1000))
+@pytest.mark.parametrize("n", [0, 1, 10, 999, 1000, 2000])
+def test_sample_cap(spark, n):
+    df = spark.range(1000).repartition(4)
+    assert sample_cap(df, n).distinct().count() == min(n, 1000)
+
+
+def test_sample_cap_keeps_a_large_sample_spread_out(spark):
+    df = spark.range(0, 100_000, 1, 8).selectExpr("id", "id % 2 AS `odd one`")
+    sample = sample_cap(df, 60_000)
+    sizes = [r["count"] for r in sample.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 60_000 and len(sizes) == 8 and max(sizes) < 8_000
+    assert sample.columns == ["id", "odd one"] and sample.distinct().count() == 60_000
+    assert abs(sample.agg(F.avg("id")).first()[0] - 50_000) < 1_000
 
 
 def test_export_csv(spark, tmp_path):
@@ -120,3 +129,39 @@ def test_csv_records_across_lines_and_headers_by_file(spark, tmp_path):
     got = read_table(spark, f"{tmp_path}/*reviews*", "order_reviews")
     rows = {r["order_id"]: (r["review_score"], str(r["review_creation_date"])[:10]) for r in got.collect()}
     assert rows == {"o1": (5, "2018-01-20"), "o2": (4, "2018-01-21"), "o3": (1, "2018-02-01")}
+
+
+def _csv_text(rows, end="\n"):
+    def field(value):
+        return "" if value is None else '"' + value.replace('"', '""') + '"' if any(c in value for c in ',"\n') else value
+
+    return end.join(",".join(map(field, row)) for row in rows) + end
+
+
+def test_csv_of_many_files_and_headers(spark, tmp_path):
+    want = []
+    for i in range(12):
+        names = ["a", "b", "c"] if i % 3 else ["c", "a"]
+        rows = [[f"{n}{i}-{k}" + ("\nnext, line\n" if (i, k % 5) == (4, 0) else "") + ('"q"' if k % 7 == 0 else "") for n in names] for k in range(30)]
+        (tmp_path / f"part {i}.csv").write_text(("\ufeff" if i == 5 else "") + _csv_text([names, *rows], "\r\n" if i == 7 else "\n"), newline="")
+        want += [tuple(dict(zip(names, row)).get(n) for n in "abc") for row in rows]
+    (tmp_path / "part empty.csv").write_text("")
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    got = read_csv(spark, str(tmp_path))
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(None)) - len(jobs) <= 4  # not one per file
+    assert sorted(tuple(r[n] for n in "abc") for r in got.collect()) == sorted(want, key=lambda r: (r[0], r[1] or "", r[2]))
+
+
+def test_csv_file_is_read_by_many_tasks(spark, tmp_path):
+    rows = [[str(i), "x" * (i % 50) + ("\n\n a, \"b\"\n" if i % 11 == 0 else ""), "end"] for i in range(4000)]
+    (tmp_path / "large.csv").write_text(_csv_text([["id", "note", "end"], *rows]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        got = read_csv(spark, f"{tmp_path}/large.csv")
+        assert spark.read.text(f"{tmp_path}/large.csv").rdd.getNumPartitions() > 8
+        assert sorted((r["id"], r["note"] or "", r["end"]) for r in got.collect()) == sorted(map(tuple, rows))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")

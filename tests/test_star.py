@@ -148,3 +148,42 @@ def test_filters_on_a_stored_star_keep_its_scope(spark, random_tables, tmp_path)
     star = filters.apply_filters(Star(random_tables), states=["SP"])
     narrower = filters.apply_filters(store(star, str(tmp_path / "star")), categories=["alpha"])
     assert (narrower.states, narrower.categories) == (("SP",), ("alpha",))
+
+
+@pytest.mark.parametrize(
+    "first, then",
+    [
+        (dict(states=["SP"]), dict(states=["AC"])),
+        (dict(states=["SP", "AC"]), dict(states=["AC", "nowhere"], categories=["alpha"])),
+        (dict(categories=["alpha", "beta"]), dict(categories=["beta"], window_days=200)),
+        (dict(window_days=30), dict(window_days=365)),
+        (dict(window_days=300), dict(states=["SP"], window_days=60)),
+        (dict(states=["SP"], window_days=200), dict(categories=["alpha"])),
+    ],
+)
+def test_a_second_filter_narrows_the_first(random_tables, tmp_path, first, then):
+    def rows(wide, scope):
+        if "states" in scope:
+            wide = wide.where(F.col(STATE).isin(scope["states"]))
+        if "categories" in scope:
+            wide = wide.where(F.col(CATEGORY).isin(scope["categories"]))
+        if "window_days" in scope:
+            newest = wide.agg(F.max("order_purchase_timestamp").alias("m")).first()["m"]
+            if newest:
+                wide = wide.where(F.col("order_purchase_timestamp") >= F.lit(newest) - F.expr(f"INTERVAL {scope['window_days']} DAY"))
+        return wide
+
+    want = rows(rows(master(random_tables), first), then)
+    plain = filters.apply_filters(Star(random_tables), **first)
+    stored = store(plain, str(tmp_path / "star"))
+    for star in (filters.apply_filters(plain, **then), filters.apply_filters(stored, **then)):
+        assert _grouped(star.orders(), "order_id", FANNED) == _grouped(want, "order_id", SUMS)
+        assert _grouped(star.lines(), "seller_id", FANNED) == _grouped(want, "seller_id", SUMS)
+        assert star.is_filtered
+    assert type(filters.apply_filters(stored, **then)) is type(stored)
+
+
+def test_lists_that_share_nothing_keep_nothing(star):
+    narrowed = filters.apply_filters(filters.apply_filters(star, states=["SP"]), states=["AC"])
+    assert narrowed.states == () and narrowed.orders().count() == 0 and narrowed.lines().count() == 0
+    assert filters.apply_filters(narrowed).orders().count() == 0

@@ -1,12 +1,14 @@
 """Every operator as a query on the retail tables, with its SQL twin.
 
 ``QUERIES`` maps a name to ``(spark, directory) -> DataFrame`` and ``ORACLES``
-the same name to SQL.  Both sides round doubles to four places (two from ten million on) and give dates
-as text and whole numbers as bigint.
+the same name to SQL.  Both sides round doubles to four places and give dates as text and whole
+numbers as bigint.
 """
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -14,8 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from mercato import Star, configure, load_subset, master, order_payments, products_en, sample_cap
-from mercato.functions.columns import growth, safe_div
+from mercato import Star, configure, export_csv, load_subset, master, order_payments, products_en, sample_cap
+from mercato.functions.columns import growth, safe_div, total
 from mercato.operators import (
     alerts,
     customers,
@@ -32,6 +34,7 @@ from mercato.operators import (
 )
 from mercato.operators.customers import RfmRules
 from mercato.plans.star import CATEGORY, STATE, scope_to
+from mercato.sources.readers import read_table
 from mercato.sources.retail import retail_population, retail_tables
 from mercato.sources.schema import coerce_ts
 from verification.sql import mean, money, n_orders, oracle, pct, quantile, r4
@@ -157,6 +160,42 @@ check(
 )
 
 
+def _as_csv(s: Source, df: DataFrame, table: str) -> DataFrame:
+    """``df`` written as CSV files in the shared folder and read back as ``table``."""
+    shared = s.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="mercato-")
+    path = f"{shared.rstrip('/')}/csv-{uuid.uuid4().hex}"
+    export_csv(df, path)
+    return read_table(s.spark, path, table)
+
+
+def _csv_reviews(s: Source) -> DataFrame:
+    said = F.concat(F.lit('said "'), F.col("review_score").cast("string"), F.lit('",\n'), F.col("order_id").cast("string"))
+    return _as_csv(s, s.t.order_reviews.withColumn("comment", said), "order_reviews").groupBy("review_score").agg(
+        F.count(F.lit(1)).alias("reviews"),
+        F.count_distinct("order_id").alias("orders"),
+        F.sum(F.length("comment")).alias("letters"),
+        F.max("review_creation_date").alias("latest"),
+    )
+
+
+check(
+    "io1_csv_records_across_lines",
+    _csv_reviews,
+    oracle(
+        "SELECT review_score, count(*) AS reviews, count(DISTINCT order_id) AS orders, "
+        "sum(length('said \"' || review_score || '\",' || chr(10) || order_id))::bigint AS letters, "
+        "strftime(max(created), '%Y-%m-%d %H:%M:%S') AS latest FROM r GROUP BY 1"
+    ),
+)
+check(
+    "io1_csv_items",
+    lambda s: _as_csv(s, s.t.order_items, "order_items").groupBy(F.col("seller_id").cast("bigint").alias("seller_id")).agg(
+        F.count(F.lit(1)).alias("items"), F.count_distinct("order_id").alias("orders"), total("price").alias("sold"), total("freight_value").alias("freight")
+    ),
+    oracle(f"SELECT seller_id, count(*) AS items, {n_orders()} AS orders, {money('price')} AS sold, {money('freight_value')} AS freight FROM i GROUP BY 1"),
+)
+
+
 def _coerced(s: Source) -> DataFrame:
     text = F.date_format("order_delivered_customer_date", "yyyy-MM-dd HH:mm:ss")
     broken = F.when(F.col("order_status") == "canceled", "bad").otherwise(
