@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 SECONDS_PER_DAY = 86400
 WEEKDAY_SHORT = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
@@ -72,27 +73,23 @@ def months_between_labels(later: Column | str, earlier: Column | str) -> Column:
 PART_BITS = 26
 
 
-def exact_sum(c: Column | str) -> Column:
-    """Aggregate: the sum of doubles rounded once, at the end; null when every value is null.
-
-    Each value is cut, without loss down to ``2 ** -78``, into a whole number
-    and three whole numbers of 26 bits, which are added as 64-bit integers.  So
-    the sum is the double nearest to the true one whatever the order in which
-    tasks finish, and later steps (thresholds, ranks, edges, top-k) compare the
-    same digits.  NaN counts as null.  Sums beyond ``2 ** 61`` or of more than
-    ``2 ** 37`` rows in one group overflow, with an error.
-    """
+def _parts(c: Column | str) -> list[Column]:
+    """A double as whole numbers that count 1, ``2 ** -26``, ``2 ** -52`` and ``2 ** -78``."""
     base = float(1 << PART_BITS)
     value = F.nanvl(_col(c).cast("double"), F.lit(None).cast("double"))
     # Scaling by a power of two and the differences of near whole numbers are exact.
     steps = [F.rint(value * base**k if k else value) for k in range(4)]
     parts = [steps[0], *(fine - coarse * base for coarse, fine in zip(steps, steps[1:]))]
-    whole, high, middle, low = (F.sum(part.cast("bigint")) for part in parts)
+    return [part.cast("bigint") for part in parts]
+
+
+def _nearest(whole: Column, high: Column, middle: Column, low: Column) -> Column:
+    """The double nearest to the sum of added-up parts."""
 
     def carry(part: Column) -> Column:
         return F.shiftright(part, PART_BITS)
 
-    mask = (1 << PART_BITS) - 1
+    base, mask = float(1 << PART_BITS), (1 << PART_BITS) - 1
     middle = middle + carry(low)
     high = high + carry(middle)
     whole = whole + carry(high)
@@ -108,6 +105,35 @@ def exact_sum(c: Column | str) -> Column:
     return F.when(size < 1 << 27, small).when(size < 1 << 53, large).otherwise(quarters.cast("double") / 4)
 
 
+def exact_sum(c: Column | str) -> Column:
+    """Aggregate: the sum of doubles rounded once, at the end; null when every value is null.
+
+    Each value is cut, without loss down to ``2 ** -78``, into a whole number
+    and three whole numbers of 26 bits, which are added as 64-bit integers.  So
+    the sum is the double nearest to the true one whatever the order in which
+    tasks finish, and later steps (thresholds, ranks, edges, top-k) compare the
+    same digits.  NaN counts as null.  Sums beyond ``2 ** 61`` or of more than
+    ``2 ** 37`` rows in one group overflow, with an error.
+    """
+    return _nearest(*map(F.sum, _parts(c)))
+
+
+def part_sums(c: Column | str, name: str) -> list[Column]:
+    """Aggregates that ``exact_sum`` rounds, kept as columns; ``merged_sum`` adds up those of many groups."""
+    return [F.sum(part).alias(f"{name}__{k}") for k, part in enumerate(_parts(c))]
+
+
+def merged_sum(name: str, over: WindowSpec | None = None) -> Column:
+    """Aggregate, or with ``over`` a window function: the total of the groups' ``part_sums``, 0.0 when every value is null."""
+    sums = [F.sum(f"{name}__{k}") for k in range(4)]
+    return F.coalesce(_nearest(*(x.over(over) if over else x for x in sums)), F.lit(0.0))
+
+
+def merged_row(name: str) -> Column:
+    """The total of one group's ``part_sums``."""
+    return F.coalesce(_nearest(*(F.col(f"{name}__{k}") for k in range(4))), F.lit(0.0))
+
+
 def total(c: Column | str) -> Column:
     """Aggregate: ``exact_sum``, 0.0 when every value is null."""
     return F.coalesce(exact_sum(c), F.lit(0.0))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mercato.functions.columns import (
@@ -26,8 +26,7 @@ def source_revenue(star: Star) -> Column:
 def seller_count(star: Star) -> Column:
     """Distinct sellers in scope as a scalar.
 
-    Sellers are made distinct map-side before the semi-join would matter, so
-    only (order, seller) pairs travel.
+    Only the order and the seller of each item travel to the semi-join.
     """
     return star.scoped(star.items().select("order_id", "seller_id")).agg(
         F.count_distinct("seller_id")
@@ -123,12 +122,14 @@ def median_order_value(star: Star) -> DataFrame:
 def dataset_overview(star: Star) -> DataFrame:
     """Joined rows, orders, customers, sellers, products, dates and their span."""
     bought = F.col("order_purchase_timestamp")
-    sold = star.scoped(star.items().select("order_id", "seller_id", "product_id"))
-    counts = sold.agg(
-        F.struct(
-            F.count_distinct("seller_id").alias("sellers"), F.count_distinct("product_id").alias("products")
-        )
-    ).scalar()
+    # Items become distinct pairs map-side; of these the first one of each seller and of each product is counted.
+    sold = star.scoped(star.items().select("order_id", "seller_id", "product_id")).groupBy("seller_id", "product_id").count()
+
+    def first(key: str, other: str) -> Column:
+        return (F.row_number().over(Window.partitionBy(key).orderBy(other)) == 1) & F.col(key).isNotNull()
+
+    marked = sold.withColumn("new_seller", first("seller_id", "product_id")).withColumn("new_product", first("product_id", "seller_id"))
+    counts = marked.agg(F.struct(F.count_if("new_seller").alias("sellers"), F.count_if("new_product").alias("products"))).scalar()
     return (
         star.orders(customer=True)
         .agg(

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mercato.functions.columns import count_when, cut, percent, ratio, total
+from mercato.functions.columns import count_when, cut, exact_sum, percent, ratio, total
 from mercato.functions.stats import qcut
 from mercato.operators.revenue import top_k
+from mercato.operators.sellers import category_members
 from mercato.plans.star import CATEGORY, Star, mean_score
 
 # Edges and names of the quality tiers and of the price tiers.
@@ -16,28 +17,28 @@ QUALITY_LABELS = ("Poor", "Fair", "Good", "Excellent")
 PRICE_LABELS = ("Very Low", "Low", "Medium", "High", "Premium")
 
 
-def product_sales(star: Star) -> DataFrame:
-    """Orders ("units sold"), revenue (R5) and mean score per product."""
+def product_sales(star: Star, category: bool = False) -> DataFrame:
+    """Orders ("units sold"), revenue (R5) and mean score per product; ``category`` adds its category."""
+    named = [F.max(CATEGORY).alias("category")] if category else []
     return (
-        star.per_order("product_id")
+        star.per_order("product_id", extra=named, product=category)
         .groupBy("product_id")
         .agg(
             F.count(F.lit(1)).alias("units_sold"),
             total("revenue").alias("revenue"),
             mean_score().alias("avg_rating"),
+            *([F.max("category").alias("category")] if category else []),
         )
     )
 
 
 def product_kpis(star: Star) -> DataFrame:
-    """Products, categories and the mean of the products' mean scores."""
-    categories = (
-        star.lines(product=True).where(F.col(CATEGORY).isNotNull()).agg(F.count_distinct(CATEGORY)).scalar()
-    )
-    return product_sales(star).agg(
+    """Products, categories and the mean of the products' mean scores, from one table of products."""
+    return product_sales(star, category=True).agg(
         F.count(F.lit(1)).alias("total_products"),
-        F.try_divide(F.sum("avg_rating"), F.count("avg_rating")).alias("avg_product_rating"),
-    ).select("total_products", categories.alias("total_categories"), "avg_product_rating")
+        F.count_distinct("category").alias("total_categories"),
+        F.try_divide(exact_sum("avg_rating"), F.count("avg_rating")).alias("avg_product_rating"),
+    )
 
 
 def slow_movers(star: Star, below: int = 2) -> DataFrame:
@@ -56,18 +57,9 @@ def slow_movers(star: Star, below: int = 2) -> DataFrame:
 
 def category_metrics(star: Star, n: int | None = 15) -> DataFrame:
     """Revenue (R5), orders, score, products and revenue per product of the best categories."""
-    table = (
-        star.per_order(CATEGORY, "product_id", product=True)
-        .groupBy(F.col(CATEGORY).alias("category"))
-        .agg(
-            total("revenue").alias("revenue"),
-            F.count_distinct("order_id").alias("orders"),
-            mean_score().alias("avg_rating"),
-            F.count_distinct("product_id").alias("sku_count"),
-        )
-        .withColumn("revenue_per_sku", ratio("revenue", "sku_count"))
-    )
-    return top_k(table, "revenue", n, "category")
+    table = category_members(star, "product_id", "sku_count").withColumnRenamed("avg_review", "avg_rating")
+    table = table.withColumn("revenue_per_sku", ratio("revenue", "sku_count"))
+    return top_k(table.select("category", "revenue", "orders", "avg_rating", "sku_count", "revenue_per_sku"), "revenue", n, "category")
 
 
 def bcg(star: Star, n: int = 15) -> DataFrame:

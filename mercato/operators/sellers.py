@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mercato.functions.columns import cut, floor_days, ratio, total
+from mercato.functions.columns import cut, floor_days, merged_row, merged_sum, part_sums, ratio, total
 from mercato.functions.stats import pct_rank
 from mercato.operators.revenue import top_k
 from mercato.plans.star import CATEGORY, Star, mean_over_rows, mean_score, share_of_rows
@@ -118,23 +120,29 @@ def segment_delivery(star: Star) -> DataFrame:
 
 
 def category_opportunity(star: Star, n: int | None = 15) -> DataFrame:
-    """Revenue (R5), orders, sellers, score and revenue per seller of the best categories.
+    """Revenue (R5), orders, sellers, score and revenue per seller of the best categories."""
+    table = category_members(star, "seller_id", "sellers").withColumn("revenue_per_seller", ratio("revenue", "sellers"))
+    return top_k(table.select("category", "revenue", "orders", "sellers", "avg_review", "revenue_per_seller"), "revenue", n, "category")
+
+
+def category_members(star: Star, member: str, name: str) -> DataFrame:
+    """Revenue (R5), orders, distinct members and mean score of each category.
 
-    Collapsing to (order, category, seller) first keeps the two distinct
-    counts small.
+    Rows lie by order, so the first row of each (order, category) is marked
+    there; the marks are summed per (category, member), and these rows counted.
+    Neither distinct count sends order ids or repeats a row per count.
     """
-    table = (
-        star.per_order(CATEGORY, "seller_id", product=True)
-        .groupBy(F.col(CATEGORY).alias("category"))
-        .agg(
-            total("revenue").alias("revenue"),
-            F.count_distinct("order_id").alias("orders"),
-            F.count_distinct("seller_id").alias("sellers"),
-            mean_score().alias("avg_review"),
-        )
-        .withColumn("revenue_per_seller", ratio("revenue", "sellers"))
+    lines = star.per_order(CATEGORY, member, product=True)
+    first = F.row_number().over(Window.partitionBy("order_id", "order_hash", CATEGORY).orderBy(member)) == 1
+    pairs = lines.withColumn("first", first).groupBy(F.col(CATEGORY).alias("category"), member).agg(
+        *part_sums("revenue", "revenue"), F.count_if("first").alias("orders"), F.sum("scores").alias("scores"), F.sum("scored").alias("scored")
+    )
+    return pairs.groupBy("category").agg(
+        merged_sum("revenue").alias("revenue"),
+        F.sum("orders").alias("orders"),
+        mean_score().alias("avg_review"),
+        F.count(F.lit(1)).alias(name),
     )
-    return top_k(table, "revenue", n, "category")
 
 
 def seller_size_adjusted(star: Star) -> DataFrame:
@@ -155,33 +163,31 @@ def seller_size_adjusted(star: Star) -> DataFrame:
     )
 
 
+def _difficulty(total_of: Callable[[str], Column], sellers: Column) -> tuple[Column, Column]:
+    """Margin share and difficulty 1 / margin x ln(sellers) of a category."""
+    revenue = total_of("revenue")
+    margin = ratio(revenue - total_of("price") - total_of("freight"), revenue)
+    return margin, ratio(F.lit(1.0), margin) * F.ln(sellers)
+
+
 def category_difficulty(star: Star) -> DataFrame:
     """Per category: sellers, margin share and difficulty 1 / margin x ln(sellers)."""
-    r, p, f = F.col("revenue"), F.col("price"), F.col("freight")
-    return (
-        _seller_category(star)
-        .groupBy("category")
-        .agg(
-            total("revenue").alias("revenue"),
-            total("price").alias("price"),
-            total("freight").alias("freight"),
-            F.count(F.lit(1)).alias("sellers"),
-        )
-        .withColumn("margin", ratio(r - p - f, r))
-        .withColumn("difficulty", ratio(F.lit(1.0), "margin") * F.ln("sellers"))
-        .select("category", "sellers", "margin", "difficulty")
-    )
+    sellers = F.count(F.lit(1))
+    margin, difficulty = _difficulty(merged_sum, sellers)
+    sums = _seller_category(star).groupBy("category")
+    return sums.agg(sellers.alias("sellers"), margin.alias("margin"), difficulty.alias("difficulty"))
 
 
 def _seller_category(star: Star) -> DataFrame:
+    """Per seller and category the sums of revenue, price and freight, in parts."""
     return (
         star.lines(product=True)
         .where(F.col(CATEGORY).isNotNull() & F.col("seller_id").isNotNull())
         .groupBy("seller_id", F.col(CATEGORY).alias("category"))
         .agg(
-            total("revenue").alias("revenue"),
-            total(F.col("price") * F.col("rows")).alias("price"),
-            total(F.col("freight_value") * F.col("rows")).alias("freight"),
+            *part_sums("revenue", "revenue"),
+            *part_sums(F.col("price") * F.col("rows"), "price"),
+            *part_sums(F.col("freight_value") * F.col("rows"), "freight"),
         )
     )
 
@@ -189,13 +195,11 @@ def _seller_category(star: Star) -> DataFrame:
 def category_mix_adjust(star: Star) -> DataFrame:
     """Seller revenue per category (R5) scaled by the category's difficulty.
 
-    The margin is that of the category's summed joined rows.  Both sides come
-    from one (seller, category) aggregate.
+    The margin is that of the category's summed joined rows, by a window over
+    the (seller, category) sums, a row per seller at most: items are read and
+    joined once.
     """
-    return (
-        _seller_category(star)
-        .select("seller_id", "category", "revenue")
-        .join(category_difficulty(star).select("category", "difficulty"), "category")
-        .withColumn("adjusted_revenue", F.col("revenue") * F.col("difficulty"))
-        .select("seller_id", "category", "revenue", "difficulty", "adjusted_revenue")
-    )
+    whole = Window.partitionBy("category")
+    _, difficulty = _difficulty(lambda name: merged_sum(name, whole), F.count(F.lit(1)).over(whole))
+    rows = _seller_category(star).select("seller_id", "category", merged_row("revenue").alias("revenue"), difficulty.alias("difficulty"))
+    return rows.withColumn("adjusted_revenue", F.col("revenue") * F.col("difficulty"))

@@ -157,3 +157,25 @@ def test_whole_star_is_registered_beside_the_scope(name):
     from verification import registry
 
     assert name in registry.QUERIES and registry.STATE_IN not in registry.ORACLES[name]
+
+
+@pytest.mark.parametrize("name", ["l9_category_opportunity", "p4_category_metrics", "k9_dataset_overview"])
+def test_distinct_counts_neither_repeat_rows_nor_ship_orders(big, name):
+    text = plan(QUERIES[name](big, DATA))
+    assert "Expand" not in text
+    if name != "k9_dataset_overview":
+        category = [keys for keys in exchanges(text) if "category" in str(keys)]
+        assert category and not any("order_id" in keys for keys in category)
+
+
+@pytest.mark.parametrize("name", ["l11_category_mix_adjust", "p1_product_kpis", "l9_category_opportunity", "p4_category_metrics"])
+def test_items_are_read_once(big, name):
+    text = plan(QUERIES[name](big, DATA))
+    assert text.count("ReadSchema: struct<l_orderkey") == 1
+
+
+def test_overview_reads_sellers_and_products_once(big):
+    text = plan(QUERIES["k9_dataset_overview"](big, DATA))
+    # Once for the pairs and once, with the order alone, for the number of joined rows.
+    assert len(set(re.findall(r"ReadSchema: struct<l_orderkey[^>]*>", text))) == 2
+    assert text.count("l_suppkey:bigint") == 1

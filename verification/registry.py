@@ -92,7 +92,8 @@ def settle(df: DataFrame) -> DataFrame:
     def col(f: T.StructField):
         c = F.col(f"`{f.name}`")
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            c = F.rint(c.cast("double") * 10000) / 10000
+            # What lies within rounding errors of a half goes up on both sides.
+            c = F.rint(c.cast("double") * 10000 + 0.001) / 10000
         elif isinstance(f.dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             c = c.cast("bigint")
         elif isinstance(f.dataType, T.DateType):

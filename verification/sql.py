@@ -79,7 +79,7 @@ def oracle(body: str, *ctes: str) -> str:
 
 def r4(x: str) -> str:
     """Round to four places by the same double arithmetic as the Spark side."""
-    return f"(round_even(({x})::double * 10000, 0) / 10000)"
+    return f"(round_even(({x})::double * 10000 + 0.001, 0) / 10000)"
 
 
 def money(x: str, where: str | None = None) -> str:
