@@ -46,10 +46,27 @@ def read_labels(model: dict) -> dict[int, bytes]:
     return {i: bytes(byte[x] for x in token) for token, i in model["model"]["vocab"].items() if i not in added} | added
 
 
-def emit(labels: dict[int, bytes], ids) -> str:
-    """The text whose bytes are the labels of ``ids``; unknown ids have none, broken UTF-8 becomes U+FFFD."""
-    empty = b""
-    return b"".join([labels.get(i, empty) for i in ids]).decode("utf-8", "replace")
+class Labels:
+    """Labels of ids in one table; unknown ids have none."""
+
+    def __init__(self, labels: dict[int, bytes]):
+        import pyarrow as pa
+
+        self.size = max(labels) + 1
+        self.table = pa.array([labels.get(i, b"") for i in range(self.size + 1)], pa.binary())
+
+    def emit(self, ids, ends: list[int]) -> list[str]:
+        """The texts whose bytes are the labels of ``ids`` between ``ends``; broken UTF-8 becomes U+FFFD."""
+        import numpy as np
+        import pyarrow as pa
+
+        ids = np.asarray(ids, np.int64)
+        if not len(ids):
+            return [""] * (len(ends) - 1)
+        joined = self.table.take(pa.array(np.where((ids >= 0) & (ids < self.size), ids, self.size)))
+        data = joined.buffers()[2].to_pybytes()
+        places = np.frombuffer(joined.buffers()[1], np.int32)[ends].tolist()
+        return [data[a:b].decode("utf-8", "replace") for a, b in pairwise(places)]
 
 
 class Automaton:
@@ -177,7 +194,7 @@ class Automaton:
         return path
 
     def decode(self, ids) -> str:
-        return emit(self.label, ids)
+        return Labels(self.label).emit(ids, [0, len(ids)])[0]
 
 
 class _Words(dict):
@@ -229,6 +246,45 @@ def _spec(frame: DataFrame, path: str):
         return frame.sparkSession.sparkContext.broadcast(file.read())
 
 
+def _encoded(encoder: Encoder, batches, kept: int, names: list[str]) -> Iterator:
+    """Batches of the first ``kept`` columns and the ids of the text behind them."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        rows = 0
+        for part in slices(batch.column(kept).to_pylist()):
+            found = list(encoder.encode(part))
+            ends = np.cumsum([0, *(len(x) // 4 for x in found)])
+            ids = pa.array(np.frombuffer(b"".join(found), np.int32))
+            columns = [batch.column(c).slice(rows, len(part)) for c in range(kept)]
+            rows += len(part)
+            yield pa.RecordBatch.from_arrays([*columns, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)], names)
+
+
+def _decoded(labels: Labels, batches, ids: str, names: list[str]) -> Iterator:
+    """``batches`` with the column ``decoded`` among ``names``, about ``IDS`` ids at a time."""
+    import pyarrow as pa
+
+    for batch in batches:
+        start = size = 0
+        lengths = batch.column(ids).value_lengths().fill_null(0).to_pylist()
+        for row, n in enumerate([*lengths, IDS]):
+            if start < row and (size + n > IDS or row == len(lengths)):
+                part = batch.slice(start, row - start)
+                flat = part.column(ids).flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+                texts = pa.array(labels.emit(flat, [0, *accumulate(lengths[start:row])]), pa.string())
+                yield pa.RecordBatch.from_arrays([texts if name == "decoded" else part.column(name) for name in names], names)
+                start, size = row, 0
+            size += n
+
+
+def _picked(docs: DataFrame, text: str, keep: list[str]) -> tuple[DataFrame, str]:
+    """The columns ``keep`` and the text behind them, and the types of those kept."""
+    picked = docs.select(*keep, docs[text].alias("__text"))
+    return picked, "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in picked.schema.fields[:-1])
+
+
 def encode(docs: DataFrame, tokenizer: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` (default ``doc_id``) and ``token_ids``, the ids of ``text``.
 
@@ -241,54 +297,38 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", keep: list[str]
     """
     keep = ["doc_id"] if keep is None else keep
     spec = _spec(docs, tokenizer)
-    picked = docs.select(*keep, docs[text].alias("__text"))
+    picked, kinds = _picked(docs, text, keep)
     names = [*keep, "token_ids"]
 
     def run(batches):
-        import numpy as np
-        import pyarrow as pa
+        yield from _encoded(_encoder(spec.value), batches, len(keep), names)
 
-        encoder = _encoder(spec.value)
-        for batch in batches:
-            rows = 0
-            texts = batch.column("__text").to_pylist()
-            for part in slices(texts):
-                found = list(encoder.encode(part))
-                ends = np.cumsum([0, *(len(x) // 4 for x in found)])
-                ids = pa.array(np.frombuffer(b"".join(found), np.int32))
-                kept = [batch.column(c).slice(rows, len(part)) for c in range(len(keep))]
-                rows += len(part)
-                yield pa.RecordBatch.from_arrays([*kept, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids)], names)
-
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    return picked.mapInArrow(run, f"{kinds}, token_ids array<int>")
+    return picked.mapInArrow(run, f"{kinds}token_ids array<int>")
 
 
 def decode(frame: DataFrame, tokenizer: str, ids: str = "token_ids") -> DataFrame:
     """``frame`` with a column ``decoded`` (in place of one of that name): the text of the ids, special tokens kept; null and no ids give ''."""
     spec = _spec(frame, tokenizer)
-    frame_columns = frame.columns
     schema = StructType([f for f in frame.schema.fields if f.name != "decoded"] + [StructField("decoded", StringType())])
     names = schema.names
 
     def run(batches):
-        import pyarrow as pa
-
         # The labels are all that decoding takes; the automaton isn't compiled for it.
-        labels = read_labels(json.loads(spec.value))
-        at = frame_columns.index(ids)
-        for batch in batches:
-            start = size = 0
-            lengths = batch.column(at).value_lengths().fill_null(0).to_pylist()
-            for row, n in enumerate([*lengths, IDS]):
-                if start < row and (size + n > IDS or row == len(lengths)):
-                    part = batch.slice(start, row - start)
-                    flat = part.column(at).flatten().to_numpy(zero_copy_only=False).tolist()
-                    ends = [0, *accumulate(lengths[start:row])]
-                    texts = pa.array([emit(labels, flat[x:y]) for x, y in pairwise(ends)], pa.string())
-                    arrays = [texts if name == "decoded" else part.column(frame_columns.index(name)) for name in names]
-                    yield pa.RecordBatch.from_arrays(arrays, names)
-                    start, size = row, 0
-                size += n
+        yield from _decoded(Labels(read_labels(json.loads(spec.value))), batches, ids, names)
 
     return frame.mapInArrow(run, schema)
+
+
+def encode_and_decode(docs: DataFrame, tokenizer: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """``encode``, and ``decode`` of its ids in the same worker: the columns ``keep``, ``token_ids`` and ``decoded``."""
+    keep = ["doc_id"] if keep is None else keep
+    spec = _spec(docs, tokenizer)
+    picked, kinds = _picked(docs, text, keep)
+    names = [*keep, "token_ids"]
+
+    def run(batches):
+        encoder = _encoder(spec.value)
+        coded = _encoded(encoder, batches, len(keep), names)
+        yield from _decoded(Labels(encoder.automaton.label), coded, "token_ids", [*names, "decoded"])
+
+    return picked.mapInArrow(run, f"{kinds}token_ids array<int>, decoded string")

@@ -77,8 +77,7 @@ def op6(spark: SparkSession, directory: str) -> DataFrame:
 
 def round_trip(docs: DataFrame) -> DataFrame:
     """``doc_id``, number and digest of the ids, digest of the decoded text."""
-    path = tokenizer_path()
-    coded = bpe.decode(bpe.encode(docs, path), path)
+    coded = bpe.encode_and_decode(docs, tokenizer_path())
     return coded.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),

@@ -330,3 +330,17 @@ def test_empty_tables(spark, docs):
         embedding_dedup.linked_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>, label int")),
     ):
         assert frame.count() == 0
+
+
+def test_decoding_apart_equals_decoding_at_once(docs):
+    path = tokenizer_path()
+    at_once = bpe.encode_and_decode(docs, path)
+    apart = bpe.decode(bpe.encode(docs, path), path)
+    assert at_once.columns == apart.columns
+    assert sorted(map(str, at_once.collect())) == sorted(map(str, apart.collect()))
+
+
+def test_unknown_and_null_ids_have_no_text(spark):
+    rows = [(1, [15496, 99999, -5, None, 995]), (2, None), (3, []), (4, [50256])]
+    got = bpe.decode(spark.createDataFrame(rows, "doc_id long, token_ids array<int>"), tokenizer_path())
+    assert {r["doc_id"]: r["decoded"] for r in got.collect()} == {1: "Hello world", 2: "", 3: "", 4: "<|endoftext|>"}
