@@ -16,18 +16,29 @@ from mercato.llm.toxicity import drop_toxic
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+#: Rows that go to a Python worker at once; texts may be long, and each stage finds the memory that the ones before left.
+ROWS = 1000
+
+
+def _bounded(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ROWS)
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents not predicted toxic; learnt on ``docs`` and the labels of its rows."""
+    _bounded(spark)
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One of each group of equal texts."""
+    _bounded(spark)
     return drop_copies(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One of each group of near copies."""
+    _bounded(spark)
     return drop_near_copies(docs)
 
 
@@ -38,6 +49,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per row: ``doc_id``, number and digest of the ids, digest of the text decoded from them."""
+    _bounded(spark)
     return round_trip(docs)
 
 
