@@ -84,7 +84,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     table bounded by the different sizes, and from windows inside those
     groups, so no source lies in one task.
     """
-    base = docs.select("doc_id", "source", words("text").alias("size"), _hash("doc_id").alias("hash"))
+    return _mixed(docs.select("doc_id", "source", words("text").alias("size")), weights, share, most, seed)
+
+
+def _mixed(sized: DataFrame, weights: tuple[int, ...], share: float, most: float, seed: int) -> DataFrame:
+    """``sized`` (``doc_id``, ``source``, ``size`` and more) with the columns of ``mix``."""
+    more = [c for c in sized.columns if c not in ("doc_id", "source", "size")]
+    base = sized.withColumn("hash", _hash("doc_id"))
     base = base.withColumn("slot", F.shiftright("hash", 26).cast("int"))
     counts = base.groupBy("source", "size", "slot").agg(F.count(F.lit(1)).alias("n"))
     sizes = counts.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size"))
@@ -103,7 +109,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     upto = F.col("before") + F.sum("step").over(inside)
     crossed = F.shiftright(upto, 28) - F.shiftright(upto - F.col("step"), 28)
     return rows.withColumn("copies", crossed.cast("int")).select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *more
     )
 
 
@@ -111,13 +117,12 @@ def _marked(plan: DataFrame) -> DataFrame:
     return plan.withColumnRenamed("source", "plan_source")
 
 
-def take(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: each row of ``docs`` as often as it is taken, all columns as they are.
+def take(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 7) -> DataFrame:
+    """The mix itself: each row of ``docs`` as often as ``mix`` takes it, all columns as they are, whatever their names.
 
-    Rows that share a ``doc_id`` can't be told apart by the plan; they are
-    taken as often as the first of them in the order of size.
+    Rows are taken each on its own, also those that share a ``doc_id`` or have none.
     """
-    plan = mix(docs, **options).groupBy("doc_id").agg(F.min_by("copies", "size").alias("__copies"))
-    plan = plan.filter("__copies > 0").withColumnRenamed("doc_id", "__doc_id")
-    joined = docs.join(plan, docs["doc_id"].eqNullSafe(F.col("__doc_id")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(docs.columns)
+    row = F.struct(*(docs[c] for c in docs.columns)).alias("row")
+    mixed = _mixed(docs.select("doc_id", "source", words("text").alias("size"), row), weights, share, most, seed)
+    taken = mixed.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return taken.select("row.*")

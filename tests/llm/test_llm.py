@@ -344,3 +344,15 @@ def test_unknown_and_null_ids_have_no_text(spark):
     rows = [(1, [15496, 99999, -5, None, 995]), (2, None), (3, []), (4, [50256])]
     got = bpe.decode(spark.createDataFrame(rows, "doc_id long, token_ids array<int>"), tokenizer_path())
     assert {r["doc_id"]: r["decoded"] for r in got.collect()} == {1: "Hello world", 2: "", 3: "", 4: "<|endoftext|>"}
+
+
+def test_the_mix_takes_rows_that_share_an_id_or_have_none(spark):
+    rows = [(None, f"some words here {i}", "a", 1) for i in range(40)] + [(7, "twice " * 5, "a", 2)] * 30 + [(9, "b " * 50, None, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, copies int").withColumnRenamed("copies", "__copies")
+    plan = mixing.mix(docs).groupBy("source").agg({"taken": "sum", "target": "max"}).collect()
+    taken = mixing.take(docs)
+    assert taken.columns == docs.columns
+    got = taken.withColumn("size", mixing.words("text")).groupBy("source").agg({"size": "sum"}).collect()
+    assert {r["source"]: r["sum(size)"] for r in got} == {r["source"]: r["sum(taken)"] for r in plan}
+    for r in plan:
+        assert abs(r["sum(taken)"] - r["max(target)"]) <= 50
