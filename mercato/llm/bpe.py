@@ -25,20 +25,13 @@ from itertools import accumulate, pairwise
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
 
-from mercato.llm.chunks import ChunkTable, pre_tokens, slices
+from mercato.llm.chunks import ChunkTable, byte_letters, pre_tokens, slices
 
 NEVER = 1 << 60
 #: Ids decoded at a time (those of one row at least).
 IDS = 500_000
 
 
-def byte_letters() -> list[str]:
-    """The letter that stands for each byte in vocabularies of byte-level BPE."""
-    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-    rest = iter(range(0x100, 0x200))
-    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
-
-
 def read_labels(model: dict) -> dict[int, bytes]:
     """The label of each id of a byte-level BPE: its bytes, those of its characters for an added token."""
     byte = {letter: i for i, letter in enumerate(byte_letters())}

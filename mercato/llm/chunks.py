@@ -9,6 +9,7 @@ part of the work.
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
@@ -24,18 +25,23 @@ BLANK = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 RUNS = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
 #: Runs that keep a text from the plain cut at single blanks and line ends.
 DOUBLE = ("  ", "\n\n", " \n", "\n ")
+#: Other blanks, which keep it, too, right before a single blank or line end.
+OTHERS = [x for x in map(chr, range(0x3001)) if x not in " \n" and re.match(f"[{BLANK}]", x)]
+OTHER_RUN = re.compile(f"[{''.join(OTHERS)}][ \n]")
 #: Characters of text cut, looked up and given back at a time.
 SLICE_CHARS = 4_000_000
 #: Longer pieces are encoded but not kept.
 KEPT_CHARS = 256
+#: Characters below it are cut into pre-tokens here, as every version of Unicode in use has the same letters there.
+FAR = "\u0530"
 
 
-def slices(texts: list[str | None]) -> Iterator[list[str]]:
+def slices(texts: list[str | None], chars: int = SLICE_CHARS) -> Iterator[list[str]]:
     """``texts`` in slices of bounded length (one text at least), null as empty."""
     held, size = [], 0
     for text in texts:
         text = text or ""
-        if held and size + len(text) > SLICE_CHARS:
+        if held and size + len(text) > chars:
             yield held
             held, size = [], 0
         held.append(text)
@@ -76,6 +82,8 @@ class ChunkTable:
             return heads + RUNS.findall(text[at:]), []
         if any(double in text for double in DOUBLE):
             return RUNS.findall(text), []
+        if any(other in text for other in OTHERS) and OTHER_RUN.search(text):
+            return RUNS.findall(text), []
         tails = text.replace("\n", " \n").split(" ")
         return [tails[0]] if tails[0] else [], tails[1:]
 
@@ -106,6 +114,13 @@ def with_blank(piece: str) -> str:
     return piece if piece[:1] == "\n" else " " + piece
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in vocabularies of byte-level BPE."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(0x100, 0x200))
+    return [chr(b) if b in shown else chr(next(rest)) for b in range(256)]
+
+
 def library_encoder(tokenizer, newline: int, typecode: str) -> Callable[[list[str]], list[bytes]]:
     """Ids of pieces by the tokenizers library, as bytes of an array of ``typecode``.
 
@@ -153,3 +168,133 @@ def load_library(spec: str):
     tokenizer.no_truncation()
     tokenizer.no_padding()
     return tokenizer
+
+
+class _Numbers(dict):
+    """Numbers of pieces; one that has none yet gets the next and is listed, whole, in ``new``."""
+
+    def __init__(self, owner: PieceIds, whole: Callable[[str], str], fixed: dict[str, int]):
+        super().__init__(fixed)
+        self.owner, self.whole = owner, whole
+
+    def __missing__(self, piece: str) -> int:
+        owner = self.owner
+        number = self[piece] = owner.known + len(owner.new)
+        owner.new.append(self.whole(piece))
+        return number
+
+
+class PieceIds:
+    """Ids of texts by the tokenizers library, each distinct piece encoded once while it is kept.
+
+    Pieces are numbered; their ids stand in one array, from which those of a
+    slice of texts are gathered at once.  When the pieces kept take more than
+    ``limit`` bytes, all go before the next slice.
+    """
+
+    #: Bytes that a kept piece takes beside its text: its entries, number, place and ids.
+    BESIDE = 170
+    #: Pieces whose ids are gathered together.
+    TOGETHER = 200_000
+
+    def __init__(self, tokenizer, code: str, limit: int = 192 << 20):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer, self.code, self.limit = tokenizer, code, limit
+        self.newline = tokenizer.token_to_id("Ċ")
+        self.specials = {x.content: i for i, x in tokenizer.get_added_tokens_decoder().items()}
+        self.cut = ChunkTable(lambda pieces: [], self.specials).cut
+        self.letters = dict(enumerate(byte_letters()))
+        # The same model on words given by their bytes' letters, with line ends between them.
+        self.model = Tokenizer(tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.Split(self.letters[10], "isolated")
+        self._forget()
+
+    def _forget(self) -> None:
+        import numpy as np
+
+        self.new: list[str] = []
+        self.known, self.held = len(self.specials), 0
+        self.flat = np.array(list(self.specials.values()), self.code)
+        self.begin, self.size = np.arange(self.known), np.ones(self.known, np.int64)
+        self.heads = _Numbers(self, str, {piece: i for i, piece in enumerate(self.specials)})
+        self.tails = _Numbers(self, with_blank, {})
+
+    def _encoded(self, words: list[str]) -> list:
+        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [x.ids for x in found]
+
+    def _learn(self) -> None:
+        """Encode the new pieces.
+
+        Pieces of several pre-tokens are put together from these, which are
+        pieces themselves.  Single pre-tokens go to the library's model in one
+        text, as the letters that stand for their bytes.  Pieces with
+        characters from ``FAR`` on, or with line ends, go to the whole library.
+        """
+        import numpy as np
+
+        new, plain, alone, owner, parts = self.new, [], [], [], []
+        for at, piece in enumerate(new):  # grows
+            if not piece.isascii() and max(piece) >= FAR:
+                alone.append(at)
+            else:
+                cut = pre_tokens(piece)
+                if len(cut) > 1:
+                    owner += [at] * len(cut)
+                    parts += [self.tails[x[1:]] if x[0] == " " and x[1:2] != "\n" else self.heads[x] for x in cut]
+                else:
+                    (alone if "\n" in piece else plain).append(at)
+        letters = "\n".join([new[i] for i in plain]).encode().decode("latin-1").translate(self.letters)
+        ids = np.array(self.model.encode_batch_fast([letters], add_special_tokens=False)[0].ids if plain else [], self.code)
+        ends = np.append(np.flatnonzero(ids == self.newline), len(ids))[: len(plain)]
+        rest = self._encoded([new[i] for i in alone])
+        sizes = np.array([len(x) for x in rest], np.int64)
+        begin, size = np.empty(len(new), np.int64), np.zeros(len(new), np.int64)
+        begin[plain] = np.concatenate([[0], ends + 1])[: len(plain)]
+        size[plain] = ends - begin[plain]
+        begin[alone] = len(ids) + np.cumsum(sizes) - sizes
+        size[alone] = sizes
+        self.begin = np.concatenate([self.begin, begin + len(self.flat)])
+        self.size = np.concatenate([self.size, size])
+        self.flat = np.concatenate([self.flat, ids, np.fromiter(chain.from_iterable(rest), self.code)])
+        if owner:
+            put = self._gathered(np.array(parts))
+            joined = np.bincount(owner, self.size[parts], len(new)).astype(np.int64)
+            own = np.unique(owner)
+            self.begin[self.known + own] = len(self.flat) + np.cumsum(joined[own]) - joined[own]
+            self.size[self.known + own] = joined[own]
+            self.flat = np.concatenate([self.flat, put])
+        self.known += len(new)
+        self.held += sum(map(sys.getsizeof, new)) + self.BESIDE * len(new)
+        self.new = []
+
+    def _gathered(self, numbers):
+        """The ids of pieces, one after another."""
+        import numpy as np
+
+        out = [np.zeros(0, self.code)]
+        for start in range(0, len(numbers), self.TOGETHER):
+            some = numbers[start : start + self.TOGETHER]
+            size = self.size[some]
+            ends = np.cumsum(size)
+            out.append(self.flat[np.repeat(self.begin[some] - ends + size, size) + np.arange(ends[-1])])
+        return np.concatenate(out)
+
+    def ids(self, texts: list[str]):
+        """The ids of all ``texts`` in one array, and how many each has."""
+        import numpy as np
+
+        if self.held > self.limit:
+            self._forget()
+        head, tail = self.heads.__getitem__, self.tails.__getitem__
+        numbers, counts = [np.zeros(0, np.int32)], []
+        for text in texts:
+            heads, tails = self.cut(text)
+            counts.append(len(heads) + len(tails))
+            numbers.append(np.fromiter(chain(map(head, heads), map(tail, tails)), np.int32, counts[-1]))
+        if self.new:
+            self._learn()
+        numbers = np.concatenate(numbers)
+        total = np.concatenate([[0], np.cumsum(self.size[numbers])])
+        return self._gathered(numbers), np.diff(total[np.concatenate([[0], np.cumsum(counts, dtype=int)])])

@@ -24,7 +24,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm.chunks import ChunkTable, library_encoder, load_library, slices
+from mercato.llm.chunks import PieceIds, load_library, slices
 from mercato.llm.common import partitions, scratch, written
 
 MAGIC = b"PFOR1\0\0\0"
@@ -206,21 +206,18 @@ class FileReader:
         return ids[start - first * BLOCK : end - first * BLOCK]
 
 
-_BUILT: dict[str, ChunkTable] = {}
+#: Characters of text encoded at a time by one task.
+TOGETHER = 1_000_000
+_BUILT: dict[str, PieceIds] = {}
 
 
-def _table(spec: str) -> ChunkTable:
-    import numpy as np
-
+def _pieces(spec: str) -> PieceIds:
+    """The pieces of this worker, kept between tasks."""
     key = hashlib.sha256(spec.encode()).hexdigest()
     if key not in _BUILT:
         tokenizer = load_library(spec)
-        code = "uint16" if tokenizer.get_vocab_size() <= 1 << 16 else "uint32"
-        encode = library_encoder(tokenizer, tokenizer.token_to_id("Ċ"), code)
-        specials = {x.content: np.array([i], code).tobytes() for i, x in tokenizer.get_added_tokens_decoder().items()}
         _BUILT.clear()
-        _BUILT[key] = ChunkTable(encode, specials)
-        _BUILT[key].code = code
+        _BUILT[key] = PieceIds(tokenizer, "uint16" if tokenizer.get_vocab_size() <= 1 << 16 else "uint32")
     return _BUILT[key]
 
 
@@ -244,21 +241,16 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
         import pyarrow as pa
         from pyspark import TaskContext
 
-        table = _table(spec.value)
-        code = table.code if end_id < 1 << 16 else "uint32"
-        last = np.array([end_id], code).tobytes()
-        width = np.dtype(code).itemsize
+        pieces = _pieces(spec.value)
         name = f"part-{TaskContext.get().partitionId():06d}.pfor"
         writer = FileWriter(folder, name)
         for batch in batches:
             done = 0
             doc_ids = batch.column(0).to_pylist()
-            for part in slices(batch.column(1).to_pylist()):
-                found = [b"".join(x) for x in table.values(part)]
-                if code != table.code:
-                    found = [np.frombuffer(x, table.code).astype(code).tobytes() for x in found]
-                found = [x + last for x in found]
-                writer.add(doc_ids[done : done + len(part)], [len(x) // width for x in found], np.frombuffer(b"".join(found), code).astype(np.uint32))
+            for part in slices(batch.column(1).to_pylist(), TOGETHER):
+                ids, lengths = pieces.ids(part)
+                ids = np.insert(ids.astype(np.uint32), np.cumsum(lengths), end_id)
+                writer.add(doc_ids[done : done + len(part)], (lengths + 1).tolist(), ids)
                 done += len(part)
         writer.close()
         yield pa.RecordBatch.from_pydict({"folder": [folder], "name": [name], "ids": [writer.ids]})

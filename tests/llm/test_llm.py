@@ -356,3 +356,23 @@ def test_the_mix_takes_rows_that_share_an_id_or_have_none(spark):
     assert {r["source"]: r["sum(size)"] for r in got} == {r["source"]: r["sum(taken)"] for r in plan}
     for r in plan:
         assert abs(r["sum(taken)"] - r["max(target)"]) <= 50
+
+
+def test_pieces_give_the_ids_of_the_library_for_all_characters():
+    from mercato.llm.chunks import PieceIds, load_library
+    from mercato.llm.queries import tokenizer_path
+
+    with open(tokenizer_path(), encoding="utf-8") as file:
+        library = load_library(file.read())
+    special = list(library.get_added_tokens_decoder().values())[0].content
+    letters = [chr(c) for c in [*range(0x3100), 0x4E00, 0xAC00, 0x1F600, 0x20000, 0x2FA1D]]
+    texts = [f"a {x}b x{x}1{x}y\n{x}c{x}, d{x}'s {x} {x}\n{x}c" for x in letters]
+    texts += ["", " ", "\n", " \n ", "a  b", "\t\t x\n\n\ny ", "no, no. No!", f"x{special}y {special}\n{special}", "word " * 5000]
+    for limit in (1 << 30, 20_000):  # all kept, and forgotten again and again
+        pieces = PieceIds(library, "uint16", limit)
+        for start in range(0, len(texts), 500):
+            some = texts[start : start + 500]
+            ids, lengths = pieces.ids(some)
+            ends = lengths.cumsum().tolist()
+            for text, n, end in zip(some, lengths.tolist(), ends):
+                assert ids[end - n : end].tolist() == library.encode(text, add_special_tokens=False).ids, text
