@@ -7,8 +7,8 @@ vector; they are listed by decoding block by block, keeping the best partial
 sums.  Several rotations with codes of their own give a pair several
 independent chances to meet.
 Vectors that share a filter are compared.  Nothing is emitted by pair: where
-two vectors meet in several filters only the first counts, and a task gives
-for each vector its number of links and one tie to its neighbours.
+two linked vectors meet in several filters only the first counts, and a task
+gives for each vector its number of links and one tie to its neighbours.
 """
 
 from __future__ import annotations
@@ -27,6 +27,8 @@ TURNS, BEST = 4, 16
 LEAST_BLOCK = 4
 #: Members of a filter compared with one another in one task.
 TOGETHER = 512
+#: Groups of at most so many rows are compared side by side, pairs of so many coordinates and filters at a time.
+FEW, CELLS = 48, 4_000_000
 
 
 class Filters:
@@ -80,8 +82,20 @@ def unit_vectors(lists: list) -> list:
     return out
 
 
-def _filtered(vectors: DataFrame) -> DataFrame:
-    """Usable distinct vectors by filter: ``label``, ``size``, ``filter``, ``node``, ``weight``, ``filters`` (smaller ones), ``vector`` (bytes)."""
+def _unit_rows(rows):
+    """Unit vectors of the rows of an array of usable vectors."""
+    import numpy as np
+
+    rows = rows.astype(np.float64)
+    rows /= np.abs(rows).max(1, keepdims=True)
+    return rows / np.sqrt(np.einsum("ij,ij->i", rows, rows))[:, None]
+
+
+def _filtered(vectors: DataFrame, bare: bool = False) -> DataFrame:
+    """Usable distinct vectors by filter: ``label``, ``size``, ``filter``, ``node``, ``weight``, ``filters`` (smaller ones), ``vector`` (bytes).
+
+    ``bare`` leaves all but the first three out.
+    """
 
     code = "f4" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "f8"
 
@@ -89,30 +103,128 @@ def _filtered(vectors: DataFrame) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
+        def cells(lengths, raw: bytes):
+            """Binary values of these lengths, one after another in ``raw``."""
+            ends = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+            return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(raw)])
+
         known: dict[int, Filters] = {}
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
-                label, node, weight = (part.column(c).to_pylist() for c in (0, 1, 2))
-                raw = part.column(3).to_pylist()
+                raw = part.column(0).to_pylist()
                 units = unit_vectors(raw)
-                rows: list[list] = [[] for _ in range(7)]
                 for size in {len(u) for u in units if u is not None}:
                     at = [i for i, u in enumerate(units) if u is not None and len(u) == size]
-                    own = known.setdefault(size, Filters(size))
-                    for i, names in zip(at, own.decode(np.stack([units[i] for i in at]))):
-                        count, own_bytes = len(names), np.array(raw[i], code).tobytes()
-                        short = names.astype("<u4").tobytes()
-                        for column, value in zip(rows, (label[i], size, None, node[i], weight[i])):
-                            column += names.tolist() if value is None else [value] * count
-                        rows[5] += [short[: 4 * k] for k in range(count)]
-                        rows[6] += [own_bytes] * count
-                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
-                names = ["label", "size", "filter", "node", "weight", "filters", "vector"]
-                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(rows, kinds)], names)
-
-    picked = vectors.select("label", "node", "weight", "embedding")
-    return picked.mapInArrow(run, "label long, size int, filter int, node long, weight long, filters binary, vector binary")
+                    names = known.setdefault(size, Filters(size)).decode(np.stack([units[i] for i in at]))
+                    width = names.shape[1]
+                    each = pa.array(np.repeat(at, width))
+                    columns = [part.column(1).take(each), pa.array(np.full(len(each), size, np.int32)), pa.array(names.ravel().astype(np.int32))]
+                    if not bare:
+                        before = np.tril(np.ones((width, width), bool), -1)
+                        lists = np.broadcast_to(names.astype("<u4")[:, None, :], (len(at), width, width))[:, before]
+                        own = np.array([raw[i] for i in at], code)
+                        columns += [part.column(2).take(each), part.column(3).take(each)]
+                        columns.append(cells(np.tile(4 * np.arange(width), len(at)), lists.tobytes()))
+                        columns.append(cells(np.full(len(each), own[0].nbytes), np.repeat(own, width, axis=0).tobytes()))
+                    yield pa.RecordBatch.from_arrays(columns, ["label", "size", "filter", "node", "weight", "filters", "vector"][: len(columns)])
+
+    if bare:
+        return vectors.select("embedding", "label").mapInArrow(run, "label string, size int, filter int")
+    picked = vectors.select("embedding", "label", "node", "weight")
+    return picked.mapInArrow(run, "label string, size int, filter int, node long, weight long, filters binary, vector binary")
+
+
+def _pairs_of_small(starts, counts):
+    """Places of all pairs within groups of consecutive rows, ``CELLS`` of them at most at a time."""
+    import numpy as np
+
+    for n in np.unique(counts).tolist():
+        first, second = np.triu_indices(n, 1)
+        own = starts[counts == n]
+        step = max(1, CELLS // 64 // max(1, len(first)))
+        for some in (own[i : i + step, None] for i in range(0, len(own), step)):
+            yield (some + first).ravel(), (some + second).ravel()
+
+
+def _near(unit, left, right):
+    """Which of the pairs of rows are near."""
+    import numpy as np
+
+    step = max(1, CELLS // unit.shape[1])
+    parts = [slice(i, i + step) for i in range(0, len(left), step)]
+    return np.concatenate([np.einsum("ij,ij->i", unit[left[p]], unit[right[p]]) >= COSINE for p in parts] or [np.zeros(0, bool)])
+
+
+class _Lists:
+    """Sorted lists of the smaller filters of rows, from their joined bytes and lengths."""
+
+    def __init__(self, raw: bytes, ends):
+        import numpy as np
+
+        self.flat = np.frombuffer(raw, "<u4").astype(np.int64)
+        self.begin = np.concatenate([[0], ends[:-1]])
+        self.count = ends - self.begin
+
+    def rows(self, some):
+        """Filters of ``some`` rows, one after another, and whose they are."""
+        import numpy as np
+
+        count = self.count[some]
+        ends = np.cumsum(count)
+        at = np.repeat(self.begin[some] - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)
+        return self.flat[at], np.repeat(np.arange(len(some)), count)
+
+    def strangers(self, left, right):
+        """Which of the pairs share none of their filters."""
+        import numpy as np
+
+        out = np.ones(len(left), bool)
+        step = max(1, CELLS // 64)
+        for start in range(0, len(left), step):
+            one, owner = self.rows(left[start : start + step])
+            other, whose = self.rows(right[start : start + step])
+            # Both sides by pair and filter: sorted, as pairs are and filters in them.
+            one, other = owner << 32 | one, whose << 32 | other
+            if len(one) and len(other):
+                at = np.minimum(np.searchsorted(other, one), len(other) - 1)
+                met = owner[other[at] == one]
+                out[start + met] = False
+        return out
+
+    def apart(self, some):
+        """Rows by rows: which of ``some`` share none of their filters."""
+        import numpy as np
+
+        flat, owner = self.rows(some)
+        names, column = np.unique(flat, return_inverse=True)
+        marks = np.zeros((len(some), max(len(names), 1)), np.float32)
+        marks[owner, column] = 1
+        return marks @ marks.T == 0
+
+
+def _links(unit, lists: _Lists, starts, counts, own, across):
+    """Pairs of rows that are linked and first met here, group by group; ``across`` marks rows that only meet those of another ``own``."""
+    import numpy as np
+
+    few = counts <= FEW
+    for left, right in _pairs_of_small(starts[few], counts[few]):
+        good = ~across[left] | (own[left] != own[right])
+        left, right = left[good], right[good]
+        good = _near(unit, left, right)
+        left, right = left[good], right[good]
+        good = lists.strangers(left, right)
+        yield left[good], right[good]
+    for start, count in zip(starts[~few].tolist(), counts[~few].tolist()):
+        mine = slice(start, start + count)
+        near = np.triu(unit[mine] @ unit[mine].T >= COSINE, 1)
+        if across[start]:
+            near &= own[mine, None] != own[None, mine]
+        # Only rows with a neighbour are asked for the filters before.
+        some = np.flatnonzero(near.any(0) | near.any(1))
+        if len(some):
+            left, right = np.nonzero(near[np.ix_(some, some)] & lists.apart(start + some))
+            yield start + some[left], start + some[right]
 
 
 def _compare(groups: DataFrame, code: str) -> DataFrame:
@@ -121,54 +233,86 @@ def _compare(groups: DataFrame, code: str) -> DataFrame:
     def run(batches):
         import numpy as np
         import pyarrow as pa
-
-        def group(rows):
-            own, node = np.array([x[5] for x in rows]), np.array([x[6] for x in rows])
-            weight = np.array([x[7] for x in rows])
-            unit = np.stack(unit_vectors(np.frombuffer(b"".join(x[9] for x in rows), code).reshape(len(rows), -1).tolist()))
-            # The filters before this one that each member is in: pairs that share one have met there.
-            owner = np.repeat(np.arange(len(rows)), [len(x[8]) // 4 for x in rows])
-            names, column = np.unique(np.frombuffer(b"".join(x[8] for x in rows), "<u4"), return_inverse=True)
-            marks = np.zeros((len(rows), max(len(names), 1)), np.float32)
-            marks[owner, column] = 1
-            near = unit @ unit.T >= COSINE
-            np.fill_diagonal(near, False)
-            first, other = rows[0][3], rows[0][4]
-            if first != other:
-                near &= own[:, None] != own[None, :]
-            new = near & (marks @ marks.T == 0)
-            links = new @ weight
+        import pyarrow.compute as pc
+
+        def joined(column):
+            """The bytes of a binary column and the end of each value."""
+            column = column.combine_chunks()
+            if isinstance(column, pa.ChunkedArray):
+                column = column.chunk(0) if column.num_chunks else pa.array([], pa.binary())
+            ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+            return column.buffers()[2].to_pybytes()[ends[0] : ends[-1]] if ends[-1] > ends[0] else b"", ends[1:] - ends[0]
+
+        def whole_groups(rows, changes):
+            """Compare the rows of whole groups of one size; ``changes`` are where groups begin."""
+            width = rows.column("size")[0].as_py()
+            unit = _unit_rows(np.frombuffer(joined(rows.column("vector"))[0], code).reshape(-1, width))
+            raw, ends = joined(rows.column("filters"))
+            numbers = {c: rows.column(c).to_numpy() for c in ("own", "node", "weight", "i", "j")}
+            counts = np.diff(np.append(changes, len(unit)))
+            node, weight, links = numbers["node"], numbers["weight"], np.zeros(len(unit), np.int64)
+            found = list(_links(unit, _Lists(raw, ends // 4), changes, counts, numbers["own"], numbers["i"] != numbers["j"]))
+            left, right = (np.concatenate([np.zeros(0, int), *(x[k] for x in found)]) for k in (0, 1))
+            np.add.at(links, left, weight[right])
+            np.add.at(links, right, weight[left])
             root = node.copy()
             while True:
-                least = np.minimum(root, np.where(near, root[None, :], np.iinfo(np.int64).max).min(1))
+                least = root.copy()
+                np.minimum.at(least, left, root[right])
+                np.minimum.at(least, right, root[left])
                 if (least == root).all():
                     break
                 root = least
-            keep = (root != node) | (links > 0)
-            return node[keep], root[keep], links[keep]
-
-        held = []
+            keep = np.flatnonzero(links)
+            return pa.RecordBatch.from_arrays([pa.array(x[keep], pa.int64()) for x in (node, root, links)], ["node", "root", "links"])
+
+        def by_size(rows, changes):
+            sizes = rows.column("size").to_numpy()
+            cuts = [0, *(np.flatnonzero(sizes[1:] != sizes[:-1]) + 1).tolist(), len(sizes)]
+            for a, b in zip(cuts, cuts[1:]):
+                own = changes[(changes >= a) & (changes < b)] - a
+                yield whole_groups(rows.slice(a, b - a), own)
+
+        def begins(rows):
+            """Where groups begin, the first row among them."""
+            new = np.zeros(rows.num_rows, bool)
+            new[:1] = True
+            for name in ("label", "size", "filter", "i", "j"):
+                column = rows.column(name).combine_chunks()
+                new[1:] |= pc.not_equal(column.slice(1), column.slice(0, len(column) - 1)).to_numpy(zero_copy_only=False)
+            return np.flatnonzero(new)
+
+        held = None
         for batch in batches:
-            out = []
-            for row in zip(*(column.to_pylist() for column in batch.columns)):
-                if held and held[-1][:5] != row[:5]:
-                    if len(held) > 1:
-                        out.append(group(held))
-                    held = []
-                held.append(row)
-            for columns in out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], ["node", "root", "links"])
-        if len(held) > 1:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in group(held)], ["node", "root", "links"])
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = pa.concat_tables([held, rows]).combine_chunks() if held is not None else rows
+            changes = begins(rows)
+            last = int(changes[-1])
+            if last:
+                yield from by_size(rows.slice(0, last), changes[:-1])
+            held = rows.slice(last)
+        if held is not None:
+            yield from by_size(held, np.zeros(1, int))
 
     return groups.mapInArrow(run, "node long, root long, links long")
 
 
+def _label_text(vectors: DataFrame):
+    """Labels of any type as text; both zeros of a floating type are one."""
+    label = F.col("label")
+    if vectors.schema["label"].dataType.simpleString() in ("float", "double"):
+        label = F.when(label == 0, F.abs(label)).otherwise(label)
+    return label.cast("string").alias("label")
+
+
 def linked_vectors(vectors: DataFrame) -> DataFrame:
     """For each row of ``vectors`` (``vec_id``, ``embedding``, ``label``): ``vec_id``, ``n_links``, ``component_id``, ``kept``.
 
     Linked are vectors of equal, non-null labels and equal length with cosine
-    of at least ``COSINE`` in double precision.  Null and zero vectors and
+    of at least ``COSINE`` in double precision; labels may have any type that
+    Spark casts to text.  Null and zero vectors and
     those with null or non-finite components link with nothing, and neither do
     rows without a ``vec_id``, which are kept with a null ``component_id``.
     Equal vectors are compared once and count each; so do repeated rows.  An
@@ -177,16 +321,17 @@ def linked_vectors(vectors: DataFrame) -> DataFrame:
     ``TURNS`` rotations.
     """
     bits = F.hash("embedding"), F.xxhash64("embedding")
-    rows = vectors.select("vec_id", "label", "embedding", F.concat_ws("/", *[b.cast("string") for b in bits], F.size("embedding").cast("string")).alias("bits"))
+    rows = vectors.select("vec_id", _label_text(vectors), "embedding", F.concat_ws("/", *[b.cast("string") for b in bits], F.size("embedding").cast("string")).alias("bits"))
     rows = rows.withColumn("usable", F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("embedding").isNotNull())
     usable = rows.filter("usable")
     nodes = usable.groupBy("label", "bits").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("weight"), F.first("embedding").alias("embedding"))
     nodes = written(nodes, "vectors")
     single = nodes.schema["embedding"].dataType.elementType.simpleString() == "float"
-    filtered = _filtered(nodes)
-    counts = filtered.groupBy("label", "size", "filter").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    groups = filtered.join(counts, ["label", "size", "filter"])
-    groups = groups.withColumn("blocks", F.ceil(F.col("n") / TOGETHER).cast("int"))
+    # Only filters with more vectors than are compared in one task are looked up; Spark broadcasts their table if its files are small.
+    key = ["label", "size", "filter"]
+    crowded = _filtered(nodes, bare=True).groupBy(*key).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > TOGETHER)
+    crowded = written(crowded.withColumn("blocks", F.ceil(F.col("n") / TOGETHER).cast("int")).drop("n"), "crowded")
+    groups = _filtered(nodes).join(crowded, key, "left").fillna(1, ["blocks"])
     groups = groups.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     groups = groups.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     groups = groups.select(
@@ -207,7 +352,7 @@ def linked_vectors(vectors: DataFrame) -> DataFrame:
             good = [u is not None for u in unit_vectors(batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(good)], ["label", "bits", "good"])
 
-    good = nodes.select("label", "bits", "embedding").mapInArrow(finite, "label int, bits string, good boolean").filter("good").select("label", "bits")
+    good = nodes.select("label", "bits", "embedding").mapInArrow(finite, "label string, bits string, good boolean").filter("good").select("label", "bits")
     placed = placed.join(good, ["label", "bits"], "left_semi")
     placed = placed.select("label", "bits", (F.col("weight") - 1 + F.coalesce("links", F.lit(0))).alias("links"), F.coalesce("component", "node").alias("component"))
     out = rows.join(placed, (rows["label"] == placed["label"]) & (rows["bits"] == placed["bits"]) & rows["usable"], "left")

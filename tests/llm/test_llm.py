@@ -376,3 +376,34 @@ def test_pieces_give_the_ids_of_the_library_for_all_characters():
             ends = lengths.cumsum().tolist()
             for text, n, end in zip(some, lengths.tolist(), ends):
                 assert ids[end - n : end].tolist() == library.encode(text, add_special_tokens=False).ids, text
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string", "double"])
+def test_embeddings_take_labels_of_any_type(spark, kind):
+    rng = np.random.default_rng(3)
+    base = rng.standard_normal((40, 24))
+    rows = [(i, (base[i // 3] + 0.05 * rng.standard_normal(24)).tolist(), i // 3 % 2) for i in range(120)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    frame = frame.selectExpr("vec_id", "embedding", f"if(vec_id < 110, cast(label as {kind}), null) as label")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.linked_vectors(frame).collect()}
+    assert got == {i: (2, i // 3 * 3) if i < 108 else (1, 108) if i < 110 else (0, i) for i in range(120)}
+
+
+def test_embeddings_in_tight_and_loose_clusters_equal_brute_force(spark):
+    """Groups above and below ``FEW``, above ``TOGETHER``, repeated vectors, many shared filters."""
+    rng = np.random.default_rng(9)
+    parts = []
+    for spread, n in ((0.02, 700), (0.045, 60), (0.05, 20), (0.06, 5)):
+        parts.append(rng.standard_normal(16) + spread * rng.standard_normal((n, 16)))
+    parts += [parts[0][:7], rng.standard_normal((300, 16))]
+    vectors = np.concatenate(parts)
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(vectors)]
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    near = unit @ unit.T >= embedding_dedup.COSINE
+    root = np.arange(len(near))
+    while (least := np.where(near, root[None], len(near)).min(1)).tolist() != root.tolist():
+        root = least
+    got = {r["vec_id"]: r for r in embedding_dedup.linked_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    links = np.array([got[i]["n_links"] for i in range(len(near))])
+    assert (links <= near.sum(1) - 1).all() and links.sum() >= 0.999 * (near.sum() - len(near))
+    assert [got[i]["component_id"] for i in range(785)] == root[:785].tolist()
