@@ -189,6 +189,27 @@ def letters(text: str, key: bytes, kind: str, alphabets: list[str] | None = None
     return "".join(out)
 
 
+_HEX = "0123456789abcdef"
+
+
+def secret_text(text: str, key: bytes) -> str:
+    """A secret with every character replaced within its alphabet or kind, signs included, and always changed as a whole.
+
+    Secrets of hex digits stay such, and no other becomes one: it is moved on
+    until it isn't (so a circle of hex strings alone would lead back to it,
+    at a chance of about one in all strings of its format).
+    """
+    plain = not set(text) <= set(_HEX)
+    own = [next((a for a in LETTERS if c in a), None) or alphabet(c) for c in text] if plain else [_HEX] * len(text)
+    sizes, out = [len(a) for a in own], text
+    while out == text or (plain and set(out) <= set(_HEX)):
+        moved = moved_off([a.index(c) for a, c in zip(own, out)], sizes, key, "secret" if plain else "hex")
+        out = "".join(a[x] for a, x in zip(own, moved))
+        if out == text:
+            break
+    return out
+
+
 def _luhn(digits: str) -> int:
     """The check digit behind ``digits``."""
     total = sum(sum(divmod(2 * int(d), 10)) if i % 2 == 0 else int(d) for i, d in enumerate(reversed(digits)))
@@ -224,7 +245,7 @@ def surrogate(kind: str, entity: str, key: bytes) -> str:
         body = entity[len(head) :]
         return head + letters(body, key, "key", ["ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"] if body.isupper() else None)
     if kind == "secret":
-        return letters(entity, key, "secret", ["0123456789abcdef"] if re.fullmatch("[0-9a-f]+", entity) else None)
+        return secret_text(entity, key)
     if kind == "name":
         # A word of a name by itself, so that the surname alone is the same again.
         return WORDS.sub(lambda word: name_word(word[0], key), entity)
