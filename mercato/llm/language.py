@@ -72,13 +72,14 @@ class Crf:
         return out
 
 
-def marginals(scores, starts, steps):
+def marginals(scores, starts, steps, forward=None):
     """Label probabilities of each word by forward-backward over a chain of texts.
 
     ``scores`` are words by labels; ``starts`` marks the first word of each
     text, at which nothing is carried over.  The chain is cut into blocks whose
     products of transition matrices are taken side by side; a pass over the
     blocks then gives what enters each, and the blocks are run through again.
+    ``forward`` (words by labels) takes the probabilities given the words up to each.
     """
     import numpy as np
 
@@ -88,7 +89,8 @@ def marginals(scores, starts, steps):
     emit = np.ones((blocks * width, labels))
     emit[:count] = np.exp(scores - scores.max(1, keepdims=True))
     emit = emit.reshape(blocks, width, labels)
-    fresh = np.zeros(blocks * width, bool)
+    # What fills the last block up must tell nothing of the words before it.
+    fresh = np.ones(blocks * width, bool)
     fresh[:count] = starts
     fresh = fresh.reshape(blocks, width)
     move = np.exp(steps - steps.max())
@@ -113,6 +115,8 @@ def marginals(scores, starts, steps):
     for k in range(width):
         ahead = scaled((ahead[:, None, :] @ into(k))[:, 0] * emit[:, k])
         alpha[:, k] = ahead
+    if forward is not None:
+        forward[:] = alpha.reshape(-1, labels)[:count]
     for k in range(width - 1, -1, -1):
         mine = alpha[:, k].copy()
         alpha[:, k] = scaled(mine * behind)
@@ -120,6 +124,22 @@ def marginals(scores, starts, steps):
     return alpha.reshape(-1, labels)[:count]
 
 
+def pair_probabilities(scores, starts, steps):
+    """Label probabilities of each word, and of each word with the next by both their labels.
+
+    What the words from the next one on tell of its label is its probability
+    over that foreseen from the words before, so the forward pass and the
+    label probabilities are all that pairs need.  Pairs across texts are meaningless.
+    """
+    import numpy as np
+
+    forward = np.empty(scores.shape)
+    p = marginals(scores, starts, steps, forward)
+    move = np.exp(steps - steps.max())
+    foreseen = forward[:-1] @ move
+    return p, forward[:-1, :, None] * move * (p[1:] / foreseen)[:, None, :]
+
+
 def fit(texts: list[tuple[str, str]], rounds: int = ROUNDS, seed: int = 5) -> Crf:
     """Fit on (text, language) pairs by gradient ascent on the likelihood of the labels."""
     import numpy as np
@@ -154,12 +174,9 @@ def fit(texts: list[tuple[str, str]], rounds: int = ROUNDS, seed: int = 5) -> Cr
     for _ in range(rounds):
         emission = np.stack([np.bincount(owner, weights[flat, y], len(types)) for y in range(size)], 1)
         scores = emission[token]
-        p = marginals(scores, starts, steps)
+        p, pair = pair_probabilities(scores, starts, steps)
         slope_type = np.stack([np.bincount(token, (onehot - p)[:, y], len(types)) for y in range(size)], 1)
         slope = np.stack([np.bincount(flat, slope_type[owner, y], len(index)) for y in range(size)], 1) - 0.02 * weights
-        # Expected transitions from the marginals of neighbours.
-        pair = p[:-1, :, None] * np.exp(steps)[None] * p[1:, None, :]
-        pair /= pair.sum((1, 2), keepdims=True)
         slope_steps = (onehot[:-1][inner].T @ onehot[1:][inner]) - pair[inner].sum(0) - 0.02 * steps
         seen += slope**2
         seen_steps += slope_steps**2

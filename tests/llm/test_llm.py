@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os
 import random
 import zlib
@@ -407,3 +408,60 @@ def test_embeddings_in_tight_and_loose_clusters_equal_brute_force(spark):
     links = np.array([got[i]["n_links"] for i in range(len(near))])
     assert (links <= near.sum(1) - 1).all() and links.sum() >= 0.999 * (near.sum() - len(near))
     assert [got[i]["component_id"] for i in range(785)] == root[:785].tolist()
+
+
+def test_pair_probabilities_equal_all_paths():
+    rng = np.random.default_rng(4)
+    scores, steps = 2 * rng.standard_normal((6, 3)), 2 * rng.standard_normal((3, 3))
+    starts = np.array([True, False, False, False, True, False])
+    want, single, whole = np.zeros((5, 3, 3)), np.zeros((6, 3)), 0.0
+    for path in itertools.product(range(3), repeat=6):
+        weight = np.exp(sum(scores[t, y] for t, y in enumerate(path)) + sum(steps[path[t], path[t + 1]] for t in range(5) if not starts[t + 1]))
+        whole += weight
+        for t, y in enumerate(path):
+            single[t, y] += weight
+            if t < 5:
+                want[t, y, path[t + 1]] += weight
+    p, pair = language.pair_probabilities(scores, starts, steps)
+    assert np.allclose(p, single / whole)
+    inner = ~starts[1:]
+    assert np.allclose(pair[inner], (want / whole)[inner])
+
+
+def test_transitions_follow_the_slope_of_the_likelihood():
+    rng = np.random.default_rng(6)
+    scores, steps, gold = rng.standard_normal((200, 3)), rng.standard_normal((3, 3)), rng.integers(0, 3, 200)
+    starts = np.zeros(200, bool)
+    starts[[0, 70]] = True
+    inner = np.flatnonzero(~starts[1:])
+
+    def likelihood(steps):
+        total = scores[np.arange(200), gold].sum() + steps[gold[inner], gold[inner + 1]].sum()
+        alpha = None
+        for t in range(200):
+            if starts[t]:
+                total -= np.logaddexp.reduce(alpha) if alpha is not None else 0
+                alpha = scores[t]
+            else:
+                alpha = np.logaddexp.reduce(alpha[:, None] + steps, axis=0) + scores[t]
+        return total - np.logaddexp.reduce(alpha)
+
+    onehot = np.eye(3)[gold]
+    slope = onehot[inner].T @ onehot[inner + 1] - language.pair_probabilities(scores, starts, steps)[1][inner].sum(0)
+    for a, b in itertools.product(range(3), repeat=2):
+        small = np.zeros((3, 3))
+        small[a, b] = 1e-5
+        assert abs((likelihood(steps + small) - likelihood(steps - small)) / 2e-5 - slope[a, b]) < 1e-4
+
+
+@pytest.mark.parametrize("secret", ["!!@@##$$", "密码密码密码", "אבגדהוז", "密码密码密码1", "Tr0ub4dor&3", "0039ab54", "пароль12"])
+def test_no_character_class_leaves_a_secret_in_clear(secret):
+    out, kinds = pii.replace(f"password={secret} end", b"k" * 32)
+    assert kinds == ["secret"] and secret not in out and out.startswith("password=") and out.endswith(" end")
+    assert len(out) == len(f"password={secret} end")
+
+
+def test_hex_and_other_secrets_never_share_a_surrogate():
+    rng = random.Random(2)
+    secrets = {"".join(rng.choices("0123456789", k=6)) for _ in range(4000)} | {rng.choice("ghyz") + "".join(rng.choices("0123456789", k=5)) for _ in range(4000)}
+    assert len({pii.secret_text(x, b"k" * 32) for x in secrets}) == len(secrets)
