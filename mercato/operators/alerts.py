@@ -115,26 +115,12 @@ def _size(df: DataFrame) -> DataFrame:
 
 
 def executive_metrics(star: Star) -> DataFrame:
-    """Metrics of the executive page and of the overview panel."""
-    top = revenue.top_states(star, 1, share_of="source")
-    row_rate = kpi.on_time_rate(star, "row")
-    health = kpi.avg_review(star).select(
-        "avg_review_score", row_rate.select("on_time_rate").scalar().alias("row_on_time_rate")
-    )
+    """Metrics of the executive page and of the overview panel; the orders are read once for all but the growth."""
     fine = (F.col("row_on_time_rate") >= 90) & (F.col("avg_review_score") >= 4.2)
+    names = ("avg_review_score", "row_on_time_rate", "operations_healthy", "on_time_rate", "delivery_rate", "top_state_pct")
     return _union(
-        _long(
-            health.withColumn("healthy", fine.cast("int")),
-            {
-                "avg_review_score": "avg_review_score",
-                "row_on_time_rate": "row_on_time_rate",
-                "healthy": "operations_healthy",
-            },
-        ),
-        _long(kpi.on_time_rate(star), {"on_time_rate": "on_time_rate"}),
-        _long(kpi.delivery_rate(star), {"delivery_rate": "delivery_rate"}),
+        _long(kpi.executive_health(star).withColumn("operations_healthy", fine.cast("int")), dict(zip(names, names))),
         _long(revenue.last_growth(star), {"growth_pct": "last_growth_pct"}),
-        _long(top, {"share_pct": "top_state_pct"}),
     )
 
 
@@ -177,18 +163,9 @@ def operations_metrics(star: Star) -> DataFrame:
 
 
 def portfolio_metrics(star: Star, slow_below: int = 2) -> DataFrame:
-    """Metrics of the product page."""
-    tiers = portfolio.quality_tiers(star).agg(
-        F.count_if("low_quality").alias("low"), F.count_if("high_quality").alias("high")
-    )
-    dogs = portfolio.bcg(star).agg(F.count_if(F.col("position") == "Dogs").alias("n"))
-    return _union(
-        _long(portfolio.slow_movers(star, slow_below), {"slow_pct": "slow_pct"}),
-        _long(portfolio.product_kpis(star), {"avg_product_rating": "avg_product_rating"}),
-        _long(dogs, {"n": "dog_categories"}),
-        _long(tiers, {"low": "low_quality_categories", "high": "high_quality_categories"}),
-        _long(portfolio.cross_sell(star), {"cross_sell_rate": "cross_sell_rate"}),
-    )
+    """Metrics of the product page; the items are read once."""
+    page = portfolio.portfolio_summary(star, slow_below)
+    return _long(page, {c: c for c in page.columns})
 
 
 def growth_metrics(star: Star, pop: DataFrame) -> DataFrame:

@@ -9,13 +9,15 @@ from mercato.functions.columns import (
     count_total,
     count_when,
     floor_days,
+    merged_row,
+    part_sums,
     percent,
     ratio,
     safe_div,
     total,
 )
 from mercato.functions.stats import quantiles
-from mercato.plans.star import CUSTOMER, Star
+from mercato.plans.star import CUSTOMER, STATE, Star
 
 
 def source_revenue(star: Star) -> Column:
@@ -111,6 +113,42 @@ def on_time_rate(star: Star, grain: str = "order", base: str = "delivered") -> D
     ).withColumn("on_time_rate", percent("on_time", "base"))
 
 
+def executive_health(star: Star) -> DataFrame:
+    """One row from one reading of the orders, equal to the operators named.
+
+    ``avg_review_score`` (:func:`avg_review`), ``delivery_rate``,
+    ``on_time_rate`` by order and ``row_on_time_rate`` by joined row, and
+    ``top_state_pct``, the best state's revenue (R5) as a share of R1.  All are
+    summed per state first, a few dozen rows.
+    """
+    first, rows = F.col("first_score"), F.col("rows")
+    on_time, arrived = F.col("on_time_delivery"), F.col("order_delivered_customer_date").isNotNull()
+    states = star.orders(customer=True).groupBy(STATE).agg(
+        *part_sums("revenue", "revenue"),
+        F.sum(first).alias("scores"),
+        F.count(first).alias("scored"),
+        F.count(F.lit(1)).alias("orders"),
+        F.count_if(F.col("order_status") == "delivered").alias("delivered"),
+        F.count_if(on_time).alias("on_time"),
+        F.count_if(arrived).alias("arrived"),
+        F.sum(F.when(on_time, rows)).alias("on_time_rows"),
+        F.sum(F.when(arrived, rows)).alias("arrived_rows"),
+    )
+    sums = ("scored", "orders", "delivered", "on_time", "arrived", "on_time_rows", "arrived_rows")
+    top = F.max(F.when(F.col(STATE).isNotNull(), merged_row("revenue"))).alias("top_revenue")
+    return (
+        states.agg(F.sum("scores").alias("scores"), *[count_total(c).alias(c) for c in sums], top)
+        .withColumn("source_revenue", source_revenue(star))
+        .select(
+            F.coalesce(ratio("scores", "scored"), F.lit(0.0)).alias("avg_review_score"),
+            percent("delivered", "orders").alias("delivery_rate"),
+            percent("on_time", "arrived").alias("on_time_rate"),
+            percent("on_time_rows", "arrived_rows").alias("row_on_time_rate"),
+            (ratio("top_revenue", "source_revenue") * 100).alias("top_state_pct"),
+        )
+    )
+
+
 def median_order_value(star: Star) -> DataFrame:
     """Median over orders of the fanned order revenue; unpaid orders count as 0."""
     value = star.orders().select(F.round(F.coalesce("revenue", F.lit(0.0)), 4).alias("revenue"))

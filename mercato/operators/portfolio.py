@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mercato.functions.columns import count_when, cut, exact_sum, percent, ratio, total
+from mercato.functions.columns import count_when, cut, exact_sum, merged_sum, part_sums, percent, ratio, total
 from mercato.functions.stats import qcut
 from mercato.operators.revenue import top_k
 from mercato.operators.sellers import category_members
@@ -65,30 +65,34 @@ def category_metrics(star: Star, n: int | None = 15) -> DataFrame:
 def bcg(star: Star, n: int = 15) -> DataFrame:
     """Portfolio quadrant of the ``n`` best categories, split at their medians."""
     listed = Window.partitionBy()  # the n kept categories
-    rich = F.col("revenue") > F.median("revenue").over(listed)
-    busy = F.col("orders") > F.median("orders").over(listed)
-    return category_metrics(star, n).withColumn(
-        "position",
-        F.when(rich & busy, "Stars")
-        .when(rich, "Cash Cows")
-        .when(busy, "Question Marks")
-        .otherwise("Dogs"),
-    )
+    middle = (F.median(c).over(listed) for c in ("revenue", "orders"))
+    return category_metrics(star, n).withColumn("position", _position(*middle))
+
+
+def _position(revenue: Column, orders: Column) -> Column:
+    """Quadrant of a category against the middle revenue and number of orders."""
+    rich, busy = F.col("revenue") > revenue, F.col("orders") > orders
+    return F.when(rich & busy, "Stars").when(rich, "Cash Cows").when(busy, "Question Marks").otherwise("Dogs")
 
 
 def quality_tiers(star: Star, n: int | None = 15) -> DataFrame:
     """Quality tier of the ``n`` best categories, with low (< 3.5) and high (> 4.5) flags."""
-    rating = F.col("avg_rating")
+    low, high = _quality_flags()
     return category_metrics(star, n).select(
         "category",
         "revenue",
         "avg_rating",
         cut("avg_rating", QUALITY_EDGES, QUALITY_LABELS).alias("quality_tier"),
-        (rating < 3.5).alias("low_quality"),
-        (rating > 4.5).alias("high_quality"),
+        low.alias("low_quality"),
+        high.alias("high_quality"),
     )
 
 
+def _quality_flags() -> tuple[Column, Column]:
+    """Whether a category's mean score is low (< 3.5) or high (> 4.5)."""
+    return F.col("avg_rating") < 3.5, F.col("avg_rating") > 4.5
+
+
 def products_per_order(star: Star, grain: str = "row") -> DataFrame:
     """Orders by number of products: joined rows (``'row'``) or items (``'item'``)."""
     size = F.col("product_rows") if grain == "row" else F.coalesce("n_products", F.lit(0))
@@ -171,3 +175,72 @@ def revenue_per_product(star: Star) -> DataFrame:
     ).withColumn("revenue_per_product", ratio("product_revenue", "products_sold")).withColumn(
         "revenue_per_sku", ratio("product_revenue", "distinct_products")
     )
+
+
+def portfolio_summary(star: Star, slow_below: int = 2, n: int = 15) -> DataFrame:
+    """The indicators of the product page in one row, from one reading of the items.
+
+    ``slow_pct`` (of :func:`slow_movers`), ``avg_product_rating``
+    (:func:`product_kpis`), ``dog_categories`` (:func:`bcg`),
+    ``low_quality_categories`` and ``high_quality_categories``
+    (:func:`quality_tiers`) and ``cross_sell_rate`` (:func:`cross_sell`), each
+    equal to that of its operator.  Rows of an order lie together, where its
+    first row, and its first one of each category, is marked; the marks are
+    summed per product, the products per category.  Only the categories, a row
+    each, are ranked in one place.
+    """
+    lines = star.per_order("product_id", extra=[F.max(CATEGORY).alias("category")], product=True)
+    order, by = ("order_id", "order_hash"), ("category", "product_id")
+    whole = Window.partitionBy(*order).orderBy(*by)
+    several = (F.col("rows") > 1) | F.lead("product_id").over(whole).isNotNull()
+    marked = lines.withColumn("several", several & (F.row_number().over(whole) == 1)).withColumn(
+        "first", F.row_number().over(Window.partitionBy(*order, "category").orderBy("product_id")) == 1
+    )
+    products = (
+        marked.groupBy("category", "product_id")
+        .agg(
+            F.count(F.lit(1)).alias("units_sold"),
+            *part_sums("revenue", "revenue"),
+            F.count_if("first").alias("orders"),
+            F.count_if("several").alias("several"),
+            F.sum("scores").alias("scores"),
+            F.sum("scored").alias("scored"),
+        )
+        .withColumn("rating", F.try_divide(F.col("scores").cast("double"), F.col("scored")))
+    )
+    categories = products.groupBy("category").agg(
+        merged_sum("revenue").alias("revenue"),
+        F.sum("orders").alias("orders"),
+        mean_score().alias("avg_rating"),
+        F.count(F.lit(1)).alias("products"),
+        count_when(F.col("units_sold") < slow_below).alias("slow"),
+        F.sum("several").alias("several"),
+        *part_sums("rating", "rating"),
+        F.count("rating").alias("rated"),
+    )
+    best = Window.orderBy(F.col("category").isNull(), F.col("revenue").desc_nulls_last(), "category")
+    listed = (F.row_number().over(best) <= n) & F.col("category").isNotNull()
+    ranked = categories.withColumn("listed", listed)
+    middle = (F.median(F.when(F.col("listed"), F.col(c))).over(Window.partitionBy()) for c in ("revenue", "orders"))
+    low, high = _quality_flags()
+    return (
+        ranked.withColumn("position", _position(*middle))
+        .agg(
+            F.coalesce(F.sum("products"), F.lit(0)).alias("products"),
+            F.coalesce(F.sum("slow"), F.lit(0)).alias("slow"),
+            F.coalesce(F.sum("several"), F.lit(0)).alias("several"),
+            F.try_divide(merged_sum("rating"), F.sum("rated")).alias("avg_product_rating"),
+            F.count_if(F.col("listed") & (F.col("position") == "Dogs")).alias("dog_categories"),
+            F.count_if(F.col("listed") & low).alias("low_quality_categories"),
+            F.count_if(F.col("listed") & high).alias("high_quality_categories"),
+        )
+        .withColumn("all_orders", star.orders().agg(F.count(F.lit(1))).scalar())
+        .select(
+            percent("slow", "products").alias("slow_pct"),
+            "avg_product_rating",
+            "dog_categories",
+            "low_quality_categories",
+            "high_quality_categories",
+            percent("several", "all_orders").alias("cross_sell_rate"),
+        )
+    )

@@ -57,18 +57,39 @@ def master(t: Tables) -> DataFrame:
     """The wide joined table, one row per order x item x payment x review.
 
     For inspection and for profiling rows; the operators use :class:`Star`.
+    The dimensions are joined first, with the facts on the left.  A left join
+    cannot divide a hot key on its right side, so each child table gets a row
+    of nulls for every order it lacks, and the children meet by inner joins,
+    each behind shuffles of its own: an order with a third of the items,
+    payments or reviews is split in each.  Items, the widest, are shuffled by
+    order once.
     """
-    wide = (
-        t.orders.join(t.order_items, "order_id", "left")
-        .join(products_en(t), "product_id", "left")
-        .join(t.sellers, "seller_id", "left")
-        .join(t.customers, "customer_id", "left")
-        .join(t.order_payments, "order_id", "left")
-        .join(t.order_reviews, "order_id", "left")
-    )
+    orders = t.orders.join(t.customers, "customer_id", "left")
+    items = t.order_items.join(products_en(t), "product_id", "left").join(t.sellers, "seller_id", "left")
+    paid, reviewed = (_for_every_order(child, t.orders) for child in (t.order_payments, t.order_reviews))
+    wide = _on_order(orders, _on_order(paid, reviewed, 1), 2)
+    wide = _on_order(_for_every_order(items, t.orders), wide, 3)
+    keys = ["order_id", "customer_id", "seller_id", "product_id"]
+    parts = (t.orders, t.order_items, products_en(t), t.sellers, t.customers, t.order_payments, t.order_reviews)
+    wide = wide.select(*keys, *[c for part in parts for c in part.columns if c not in keys])
     return add_processing(add_time(add_delivery(wide)))
 
 
+def _for_every_order(children: DataFrame, orders: DataFrame) -> DataFrame:
+    """``children`` of known orders and a row of nulls for each of ``orders`` without one; ids alone are compared."""
+    children = children.where(F.col("order_id").isNotNull())
+    lone = orders.select("order_id").join(children.select("order_id").distinct(), "order_id", "left_anti")
+    return children.unionByName(lone, allowMissingColumns=True)
+
+
+def _on_order(left: DataFrame, right: DataFrame, salt: int) -> DataFrame:
+    """Inner join by order, null meeting null; ``salt`` makes both sides be shuffled for this join, so that a hot order is split."""
+    hashed = F.xxhash64("order_id", F.lit(salt))
+    right = right.withColumn("__hash", hashed).withColumnRenamed("order_id", "__order")
+    same = (F.col("order_hash") == F.col("__hash")) & F.col("order_id").eqNullSafe(F.col("__order"))
+    return left.withColumn("order_hash", hashed).join(right, same).drop("order_hash", "__hash", "__order")
+
+
 def add_delivery(df: DataFrame) -> DataFrame:
     """Delivery, estimated and delay days, and the on-time flag.
 

@@ -6,8 +6,8 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from mercato import Star
-from mercato.operators import revenue
+from mercato import Star, master
+from mercato.operators import kpi, portfolio, revenue
 from verification.compare import compare, connect
 from verification.registry import ORACLES, QUERIES, Source
 
@@ -91,16 +91,19 @@ def test_counting_orders_by_seller_adds_one_shuffle(big):
     assert exchanges(text) == [("order_id",)] * 3 + [("order_id", "order_hash")] * 2 + [("seller_id",)]
 
 
+SPLIT = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.3",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "40KB",
+}
+
+
+
 def test_a_hot_order_is_split(spark):
     """A third of all payments belong to one order; its join partition is divided."""
-    settings = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.coalescePartitions.enabled": "false",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.3",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "40KB",
-    }
     hot = F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 5000)
     real = Source(spark, DATA).t
     payments = spark.range(0, 120_000, 1, 4).select(
@@ -114,17 +117,51 @@ def test_a_hot_order_is_split(spark):
     ).agg(F.sum(F.col("payment_value") * F.col("n")).alias("v"))
     expected = {r.payment_type: r.v for r in want.collect()}
     try:
-        for key, value in settings.items():
+        for key, value in SPLIT.items():
             spark.conf.set(key, value)
         df = revenue.revenue_by_payment_type(star)
         got = {r.payment_type: r.revenue for r in df.collect()}
         assert "skew=true" in plan(df)
     finally:
-        for key in settings:
+        for key in SPLIT:
             spark.conf.unset(key)
     assert got == pytest.approx(expected)
 
 
+@pytest.mark.parametrize("child", ["order_items", "order_payments", "order_reviews"])
+def test_a_hot_order_is_split_in_the_wide_join(spark, child):
+    """A third of the rows of a child table belong to one order that has one row in the others."""
+    real = Source(spark, DATA).t
+    ids = [r.order_id for r in real.orders.select("order_id").distinct().orderBy("order_id").limit(1001).collect()]
+    many = spark.createDataFrame([(i, k) for i, k in enumerate(ids[1:])], ["slot", "order_id"])
+    made = spark.range(0, 90_000, 1, 4).withColumn("slot", F.col("id") % 1000).join(F.broadcast(many), "slot")
+    key = F.when(F.col("id") % 3 == 0, F.lit(ids[0])).otherwise(F.col("order_id")).alias("order_id")
+    amounts = {"order_items": "price", "order_payments": "payment_value", "order_reviews": "review_score"}
+    small = {name: real.orders.select("order_id").join(getattr(real, name), "order_id").dropDuplicates(["order_id"]) for name in amounts}
+    columns = getattr(real, child).schema
+    values = {"order_id": key, amounts[child]: (F.hash("id") % 100).cast(columns[amounts[child]].dataType).alias(amounts[child])}
+    hot = made.select(*[values.get(f.name, F.lit(None).cast(f.dataType).alias(f.name)) for f in columns])
+    t = real.replace(**{**small, child: hot})
+    try:
+        for name, value in SPLIT.items():
+            spark.conf.set(name, value)
+        df = master(t).agg(F.count(F.lit(1)).alias("rows"), F.count(amounts[child]).alias("known"))
+        got = df.first()
+        df.collect()
+        assert "skew=true" in plan(df)
+    finally:
+        for name in SPLIT:
+            spark.conf.unset(name)
+    assert got.known == 90_000 and got.rows == 90_000 + real.orders.count() - len(ids)
+
+
+def test_pages_read_their_tables_once(big):
+    star = Source(big, DATA).star
+    text = plan(portfolio.portfolio_summary(star))
+    assert text.count("ReadSchema: struct<l_orderkey") == 1 and "Expand" not in text and "CartesianProduct" not in text
+    assert plan(kpi.executive_health(star)).count("ReadSchema: struct<l_orderkey") == 1
+
+
 def test_second_purchase_is_limited_before_the_shuffle(big):
     text = plan(QUERIES["c21_time_to_second_order"](big, DATA))
     after = text.index("row_number(), 2, Final")

@@ -82,6 +82,51 @@ def test_item_grain_equals_joined_rows(random_tables, key):
     assert _grouped(star.lines(product=True, seller=True), key, FANNED) == _grouped(wide, key, SUMS)
 
 
+def test_wide_join_keeps_every_row(random_tables):
+    t = random_tables
+    rows = [
+        df.collect()
+        for df in (t.orders.join(t.customers, "customer_id", "left"),
+                   t.order_items.join(products_en(t), "product_id", "left").join(t.sellers, "seller_id", "left"), t.order_payments, t.order_reviews)
+    ]
+    orders, *children = [[r.asDict() for r in part] for part in rows]
+    want = []
+    for o in orders:
+        mine = [[c for c in part if c["order_id"] == o["order_id"]] or [{}] for part in children]
+        want += [(o, i, p, r) for i in mine[0] for p in mine[1] for r in mine[2]]
+    names = ("order_id", "customer_state", "product_id", CATEGORY, "seller_state", "price", "payment_value", "review_score")
+    merged = [{**i, **p, **r, **o} for o, i, p, r in want]
+    expected = sorted(repr(tuple(row.get(c) for c in names)) for row in merged)
+    wide = master(t)
+    assert sorted(repr(tuple(r)) for r in wide.select(*names).collect()) == expected
+    assert wide.columns[:4] == ["order_id", "customer_id", "seller_id", "product_id"] and len(set(wide.columns)) == len(wide.columns)
+
+
+def test_wide_join_keeps_an_order_without_an_id(build):
+    t = build(orders=[order(None, "c"), order("a", "c")], order_items=[(None, "p", "s", None, 1.0, 1.0), ("a", "p", "s", None, 2.0, 1.0)])
+    assert {(r.order_id, r.price) for r in master(t).collect()} == {(None, None), ("a", 2.0)}
+
+
+@pytest.mark.parametrize("scope", [{}, dict(states=["SP"]), dict(categories=["alpha"]), dict(window_days=1)])
+def test_pages_equal_their_operators(random_tables, tmp_path, scope):
+    star = filters.apply_filters(Star(random_tables), **scope)
+    for star in (star, store(star, str(tmp_path / "star"))):
+        page = portfolio.portfolio_summary(star, 5, 2).first()
+        tiers = portfolio.quality_tiers(star, 2).collect()
+        assert page.slow_pct == pytest.approx(portfolio.slow_movers(star, 5).first().slow_pct)
+        assert page.avg_product_rating == pytest.approx(portfolio.product_kpis(star).first().avg_product_rating)
+        assert page.dog_categories == sum(r.position == "Dogs" for r in portfolio.bcg(star, 2).collect())
+        assert (page.low_quality_categories, page.high_quality_categories) == (sum(bool(r.low_quality) for r in tiers), sum(bool(r.high_quality) for r in tiers))
+        assert page.cross_sell_rate == pytest.approx(portfolio.cross_sell(star).first().cross_sell_rate)
+        health = kpi.executive_health(star).first()
+        assert health.avg_review_score == pytest.approx(kpi.avg_review(star).first().avg_review_score)
+        assert health.delivery_rate == pytest.approx(kpi.delivery_rate(star).first().delivery_rate)
+        assert health.on_time_rate == pytest.approx(kpi.on_time_rate(star).first().on_time_rate)
+        assert health.row_on_time_rate == pytest.approx(kpi.on_time_rate(star, "row").first().on_time_rate)
+        best = revenue.top_states(star, 1, share_of="source").first()
+        assert health.top_state_pct == (pytest.approx(best.share_pct) if best else None)
+
+
 def test_other_fanned_sums(random_tables):
     wide = master(random_tables).agg(
         F.sum("price"), F.sum("freight_value"), F.sum(F.col("price") + F.col("freight_value")), F.count("product_id"),
