@@ -46,3 +46,11 @@ def partitions(spark: SparkSession) -> int:
 def one_space(text: str):
     """Column: null as empty, each run of ASCII whitespace as one space."""
     return F.regexp_replace(F.coalesce(F.col(text), F.lit("")), SPACES, " ")
+
+
+def free_name(frame: DataFrame, name: str) -> str:
+    """``name``, behind as many underscores as no column of ``frame`` has, whatever its case."""
+    taken = {c.lower() for c in frame.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercato.llm.common import one_space, partitions, written
+from mercato.llm.common import free_name, one_space, partitions, written
 
 #: Bytes of distinct texts that a table holds.
 TABLE_BYTES = 64 << 20
@@ -176,9 +176,10 @@ def drop_copies(docs: DataFrame, text: str = "text") -> DataFrame:
     shuffled again.
     """
     groups = text_groups(docs, text).filter("group_size > 1")
-    keyed_rows = docs.withColumn("__sha", F.sha2(one_space(text), 256))
-    groups = groups.select(F.col("sha").alias("__sha"), F.col("keep_id").alias("__keep"), F.lit(True).alias("__copies"))
-    joined = keyed_rows.join(groups, "__sha", "left")
-    alone = joined.filter("__copies is null").select(docs.columns)
-    chosen = joined.filter(F.col("__copies") & docs["doc_id"].eqNullSafe(F.col("__keep")))
-    return alone.unionByName(chosen.dropDuplicates(["__sha"]).select(docs.columns))
+    sha, keep, copies = (free_name(docs, name) for name in ("__sha", "__keep", "__copies"))
+    keyed_rows = docs.withColumn(sha, F.sha2(one_space(text), 256))
+    groups = groups.select(F.col("sha").alias(sha), F.col("keep_id").alias(keep), F.lit(True).alias(copies))
+    joined = keyed_rows.join(groups, sha, "left")
+    alone = joined.filter(F.col(copies).isNull()).select(docs.columns)
+    chosen = joined.filter(F.col(copies) & docs["doc_id"].eqNullSafe(F.col(keep)))
+    return alone.unionByName(chosen.dropDuplicates([sha]).select(docs.columns))

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercato.llm.common import partitions, written
+from mercato.llm.common import free_name, partitions, written
 from mercato.llm.components import connected_components
 
 SHINGLE = 5
@@ -425,6 +425,25 @@ def near_groups(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def drop_near_copies(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with one row of each group, all columns as they are; rows without a ``doc_id`` stay."""
-    dropped = near_groups(docs, text).filter("not kept").select(F.col("doc_id").alias("__doc_id")).distinct()
-    return docs.join(dropped, docs["doc_id"] == F.col("__doc_id"), "left_anti")
+    """``docs`` with one row of each group, all columns as they are; rows without a ``doc_id`` stay.
+
+    The row with the smallest ``doc_id`` of a group stays.  Rows that share a
+    ``doc_id`` are documents of their own here and each has its own group:
+    where there are any, the rows are numbered in a written copy and the
+    numbers stand for the ids.  Null and empty texts stay, and so do rows of an
+    empty table (none); extra columns may have any names.
+    """
+    known = docs.filter(F.col("doc_id").isNotNull())
+    if known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        key = free_name(docs, "__doc_id")
+        dropped = near_groups(docs, text).filter("not kept").select(F.col("doc_id").alias(key)).distinct()
+        return docs.join(dropped, docs["doc_id"] == F.col(key), "left_anti")
+    number = free_name(docs, "__row")
+    numbered = written(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    usable = numbered.filter(F.col("doc_id").isNotNull())
+    groups = near_groups(usable.select(F.col(number).alias("doc_id"), F.col(text).alias("text")))
+    ids = usable.select(F.col(number).alias("row"), F.col("doc_id").alias("id"))
+    placed = groups.select(F.col("doc_id").alias("row"), "component_id").join(ids, "row")
+    stays = placed.groupBy("component_id").agg(F.min(F.struct("id", "row")).alias("first")).select("first.row")
+    dropped = placed.join(stays, "row", "left_anti").select(F.col("row").alias(number))
+    return numbered.join(dropped, number, "left_anti").select(docs.columns)

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mercato.llm.common import written
+from mercato.llm.common import free_name, written
 
 #: Labelled documents of each class that the lexicon and the classifier are fitted on, about at most.
 SAMPLE = 3_000
@@ -394,7 +394,7 @@ def score(docs: DataFrame, model: Classifier, keep: list[str] | None = None, tex
     """The columns ``keep`` (default ``doc_id``), ``score`` (0 to 1) and ``predicted`` of each row; null scores as empty."""
     keep = ["doc_id"] if keep is None else keep
     names = [*keep, "score"]
-    picked = docs.select(*keep, docs[text].alias("__text"))
+    picked = docs.select(*keep, docs[text].alias(free_name(docs, "__text")))
 
     def run(batches):
         import pyarrow as pa

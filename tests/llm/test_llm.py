@@ -465,3 +465,67 @@ def test_hex_and_other_secrets_never_share_a_surrogate():
     rng = random.Random(2)
     secrets = {"".join(rng.choices("0123456789", k=6)) for _ in range(4000)} | {rng.choice("ghyz") + "".join(rng.choices("0123456789", k=5)) for _ in range(4000)}
     assert len({pii.secret_text(x, b"k" * 32) for x in secrets}) == len(secrets)
+
+
+def test_near_copies_are_dropped_row_by_row(spark):
+    """Of rows that share an id only those with a copy elsewhere go; hidden names of the stages may be columns."""
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(3, b), (5, a), (5, b + " more"), (7, None), (7, ""), (7, None), (None, a), (2, "a b"), (9, "a b"), (9, a)]
+    named = "doc_id long, text string, __doc_id string, __row string, ___row long, __sha string, __keep string, __copies string"
+    docs = spark.createDataFrame([(i, t, "x", "x", 1, "x", "x", "x") for i, t in rows], named)
+    got = minhash.drop_near_copies(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(repr, ((r[0], r[1]) for r in got.collect()))) == sorted(map(repr, [(3, b), (5, a), (7, None), (7, ""), (7, None), (None, a), (2, "a b")]))
+    alone = minhash.drop_near_copies(docs.filter("doc_id is null or doc_id <> 7").dropDuplicates(["doc_id"]))
+    assert alone.columns == docs.columns
+    exact = exact_dedup.drop_copies(docs)
+    assert exact.columns == docs.columns
+    assert sorted(repr((r[0], r[1])) for r in exact.collect()) == sorted(map(repr, [(3, b), (5, a), (5, b + " more"), (2, "a b"), (7, exact.filter("doc_id = 7").first()[1])]))
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    """Repeated rows, rows that share an id or have none, copies and near copies, toxic texts."""
+    import corpus_pipeline
+
+    spark.sparkContext.environment["PYTHONPATH"] = ROOT
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    rows = [(i, " ".join(rng.choices(words, k=30)), ["a", "b", None][i % 3]) for i in range(240)]
+    rows = [(i, t + " vilething" if i % 6 == 0 else t, s) for i, t, s in rows]
+    clean = [r for r in rows if r[0] % 6]
+    rows += [(300 + k, clean[k][1] + " tail", "a") for k in range(10)] + [(400 + k, clean[k][1].replace(" ", "  "), "b") for k in range(10, 20)]
+    rows += [(500, " ".join(rng.choices(words, k=30)), "a"), (500, clean[25][1] + " tail", "a"), (500, " ".join(rng.choices(words, k=30)), "a")]
+    rows += [(None, " ".join(rng.choices(words, k=30)), "b"), clean[30], clean[30], (501, None, "a"), (502, "", "a")]
+    docs = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i in range(240)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+
+    def texts(kept):
+        seen, out = {}, []
+        for i, t, _ in sorted(kept, key=lambda r: (r[0] is None, r[0] or 0)):
+            parts = (t or "").split()
+            shingles = frozenset(tuple(parts[k : k + 5]) for k in range(max(1, len(parts) - 4))) if parts else frozenset()
+            same = any(100 * len(shingles & old) >= 75 * len(shingles | old) for old in seen if shingles)
+            if not (same or (not shingles and shingles in seen)):
+                out.append(t or "")
+            seen[shingles] = True
+        return out
+
+    want = texts([r for r in rows if "vilething" not in (r[1] or "")])
+    library = tokenizers.Tokenizer.from_file(tokenizer_path())
+    digests = {hashlib.sha256(t.encode()).hexdigest(): len(library.encode(t, add_special_tokens=False).ids) for t in want}
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.decoded_sha256 for r in got} <= set(digests)
+    assert all(r.n_tokens == digests[r.decoded_sha256] for r in got)
+    before_mix = docs
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        before_mix = corpus_pipeline.written(stage(spark, before_mix, str(tmp_path)), "stage")
+    assert sorted(r.text or "" for r in before_mix.collect()) == sorted(want)
+    counts = {}
+    for r in got:
+        counts[r.decoded_sha256] = counts.get(r.decoded_sha256, 0) + 1
+    taken = {}
+    for r in corpus_pipeline.mixing(spark, before_mix, str(tmp_path)).collect():
+        digest = hashlib.sha256((r.text or "").encode()).hexdigest()
+        taken[digest] = taken.get(digest, 0) + 1
+    assert counts == taken and max(counts.values()) <= 2
