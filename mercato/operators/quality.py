@@ -14,6 +14,7 @@ from mercato.sources.schema import require_columns
 __all__ = [
     "dup_count",
     "fanout_report",
+    "joined_duplicates",
     "null_profile",
     "reconcile",
     "require_columns",
@@ -41,6 +42,12 @@ def dup_count(df: DataFrame, key: str) -> DataFrame:
     )
 
 
+def joined_duplicates(star: Star) -> DataFrame:
+    """:func:`dup_count` of the order over the joined rows, from the row counts of the orders; nothing is joined wide."""
+    rows, orders = count_total("rows"), F.count(F.lit(1))
+    return star.orders().agg(rows.alias("rows"), orders.alias("distinct_keys"), (rows - orders).alias("duplicates"))
+
+
 def revenue_check(star: Star) -> DataFrame:
     """Price plus freight summed over the joined rows."""
     return star.orders().agg(total("line_fanned").alias("item_revenue"))

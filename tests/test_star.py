@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import order, review
 from mercato import Star, master, products_en, store
-from mercato.operators import filters, kpi, portfolio, revenue, sellers
+from mercato.operators import filters, kpi, portfolio, quality, revenue, sellers
 from mercato.plans.star import CATEGORY, STATE
 
 
@@ -102,6 +102,10 @@ def test_wide_join_keeps_every_row(random_tables):
     assert wide.columns[:4] == ["order_id", "customer_id", "seller_id", "product_id"] and len(set(wide.columns)) == len(wide.columns)
 
 
+def test_repeated_orders_equal_those_of_the_wide_join(random_tables):
+    assert quality.joined_duplicates(Star(random_tables)).first() == quality.dup_count(master(random_tables), "order_id").first()
+
+
 def test_wide_join_keeps_an_order_without_an_id(build):
     t = build(orders=[order(None, "c"), order("a", "c")], order_items=[(None, "p", "s", None, 1.0, 1.0), ("a", "p", "s", None, 2.0, 1.0)])
     assert {(r.order_id, r.price) for r in master(t).collect()} == {(None, None), ("a", 2.0)}

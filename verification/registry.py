@@ -1585,7 +1585,7 @@ check(
 )
 check(
     "q2_duplicates",
-    lambda s: quality.dup_count(master(s.t), "order_id"),
+    lambda s: quality.joined_duplicates(s.star),
     oracle("SELECT count(*) AS rows, count(DISTINCT order_id) AS distinct_keys, count(*) - count(DISTINCT order_id) AS duplicates FROM m"),
 )
 check(
