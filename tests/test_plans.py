@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from mercato import Star, master
+from mercato import Star, configure, master
 from mercato.operators import kpi, portfolio, revenue
 from verification.compare import compare, connect
 from verification.registry import ORACLES, QUERIES, Source
@@ -216,3 +216,24 @@ def test_overview_reads_sellers_and_products_once(big):
     # Once for the pairs and once, with the order alone, for the number of joined rows.
     assert len(set(re.findall(r"ReadSchema: struct<l_orderkey[^>]*>", text))) == 2
     assert text.count("l_suppkey:bigint") == 1
+
+
+def test_tasks_get_bounded_parts_of_a_shuffle(spark):
+    """Adaptive execution used to put 64 MB of packed rows together for a task, whose sorts held 20 times as much."""
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.unset(size)
+    try:
+        configure(spark)
+        rows = spark.range(12_000_000).select(F.xxhash64("id").alias("key")).repartition("key")
+        largest = rows.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert 8 * largest < 16 << 20
+        for given, kept in (("8m", "8m"), ("1g", "16m"), ("67108864", "16m")):
+            spark.conf.set(size, given)
+            configure(spark)
+            assert spark.conf.get(size) in (kept, f"{int(kept[:-1]) << 20}b")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.unset(size)
+        configure(spark)
