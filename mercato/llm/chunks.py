@@ -50,6 +50,19 @@ def slices(texts: list[str | None], chars: int = SLICE_CHARS) -> Iterator[list[s
         yield held
 
 
+def column_slices(column, size: int) -> Iterator[list[str]]:
+    """Texts of an Arrow column in slices of about ``size`` bytes (one text at least), null as empty; one slice is unpacked at a time."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at, before = 0, 0
+    while at < len(ends):
+        upto = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
+        yield [text or "" for text in column.slice(at, upto - at).to_pylist()]
+        at, before = upto, int(ends[upto - 1])
+
+
 class ChunkTable:
     """Values of text pieces, kept between texts.
 
@@ -238,6 +251,8 @@ class PieceIds:
         for at, piece in enumerate(new):  # grows
             if not piece.isascii() and max(piece) >= FAR:
                 alone.append(at)
+            elif piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
+                plain.append(at)  # most pieces: pre_tokens gives the piece itself
             else:
                 cut = pre_tokens(piece)
                 if len(cut) > 1:

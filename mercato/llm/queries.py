@@ -64,7 +64,7 @@ def op3(spark: SparkSession, directory: str) -> DataFrame:
 
 def op4(spark: SparkSession, directory: str) -> DataFrame:
     docs = table(spark, directory, "documents")
-    return token_files.ids_crc32(token_files.token_files(docs, tokenizer_path(), END_ID))
+    return token_files.ids_crc32(token_files.token_files(docs, tokenizer_path(), END_ID, packed=True))
 
 
 def op5(spark: SparkSession, directory: str) -> DataFrame:

@@ -24,7 +24,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm.chunks import PieceIds, load_library, slices
+from mercato.llm.chunks import PieceIds, column_slices, load_library
 from mercato.llm.common import partitions, scratch, written
 
 MAGIC = b"PFOR1\0\0\0"
@@ -206,7 +206,7 @@ class FileReader:
         return ids[start - first * BLOCK : end - first * BLOCK]
 
 
-#: Characters of text encoded at a time by one task.
+#: Bytes of text encoded at a time by one task.
 TOGETHER = 1_000_000
 _BUILT: dict[str, PieceIds] = {}
 
@@ -247,7 +247,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
         for batch in batches:
             done = 0
             doc_ids = batch.column(0).to_pylist()
-            for part in slices(batch.column(1).to_pylist(), TOGETHER):
+            for part in column_slices(batch.column(1), TOGETHER):
                 ids, lengths = pieces.ids(part)
                 ids = np.insert(ids.astype(np.uint32), np.cumsum(lengths), end_id)
                 writer.add(doc_ids[done : done + len(part)], (lengths + 1).tolist(), ids)
@@ -260,16 +260,18 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
     return dealt.select("doc_id", "__text").mapInArrow(run, "folder string, name string, ids long")
 
 
-def read_token_files(files: DataFrame, spark: SparkSession) -> DataFrame:
+def read_token_files(files: DataFrame, spark: SparkSession, packed: bool = False) -> DataFrame:
     """Read the documents of ``files`` back: ``doc_id``, ``start`` (ids of all documents before it) and ``token_ids``.
 
     Files follow one another by name.  ``files`` has a row for each file, not
-    for each document, and tells how many ids come before.
+    for each document, and tells how many ids come before.  ``packed`` gives
+    the ids as ``token_bytes``, little-endian 32-bit integers, instead.
     """
     from pyspark.sql import Window
 
     before = Window.orderBy("name").rowsBetween(Window.unboundedPreceding, -1)
     placed = files.withColumn("before", F.coalesce(F.sum("ids").over(before), F.lit(0)))
+    column = "token_bytes binary" if packed else "token_ids array<int>"
 
     def run(batches):
         import numpy as np
@@ -285,25 +287,37 @@ def read_token_files(files: DataFrame, spark: SparkSession) -> DataFrame:
                     end = int(reader.ends[upto - 1])
                     ids = reader.read(done, end)
                     ends = np.concatenate([[done], reader.ends[first:upto]])
-                    lists = pa.ListArray.from_arrays(pa.array(ends - done, pa.int32()), pa.array(ids.astype(np.int32)))
+                    if packed:
+                        places = ((ends - done) * 4).astype(np.int32)
+                        values = pa.Array.from_buffers(
+                            pa.binary(), upto - first, [None, pa.py_buffer(places), pa.py_buffer(ids.astype("<u4", copy=False))]
+                        )
+                    else:
+                        values = pa.ListArray.from_arrays(pa.array(ends - done, pa.int32()), pa.array(ids.astype(np.int32)))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(reader.docs[first:upto], pa.int64()), pa.array(ends[:-1] + row["before"], pa.int64()), lists],
-                        ["doc_id", "start", "token_ids"],
+                        [pa.array(reader.docs[first:upto], pa.int64()), pa.array(ends[:-1] + row["before"], pa.int64()), values],
+                        ["doc_id", "start", column.split()[0]],
                     )
                     first, done = upto, end
 
     spread = placed.repartition(max(1, partitions(spark)), "name")
-    return spread.mapInArrow(run, "doc_id long, start long, token_ids array<int>")
+    return spread.mapInArrow(run, f"doc_id long, start long, {column}")
 
 
-def token_files(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text") -> DataFrame:
+def token_files(docs: DataFrame, tokenizer: str, end_id: int, text: str = "text", packed: bool = False) -> DataFrame:
     """Write ``docs`` as token files and read them back; see the two functions."""
     files = written(write_token_files(docs, tokenizer, end_id, text=text), "token-index")
-    return read_token_files(files, docs.sparkSession)
+    return read_token_files(files, docs.sparkSession, packed)
 
 
 def ids_crc32(frame: DataFrame) -> DataFrame:
-    """``doc_id``, ``start``, ``n_tokens`` and the crc32 of the ids as little-endian 32-bit integers."""
+    """``doc_id``, ``start``, ``n_tokens`` and the crc32 of the ids as little-endian 32-bit integers.
+
+    Of packed ids by built-in expressions; of arrays by a second Python worker beside the one that reads.
+    """
+    if "token_bytes" in frame.columns:
+        size = F.octet_length("token_bytes").cast("long")
+        return frame.select("doc_id", "start", F.shiftright(size, 2).alias("n_tokens"), F.crc32("token_bytes").alias("ids_crc32"))
 
     def run(batches):
         import zlib

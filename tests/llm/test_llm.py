@@ -359,6 +359,35 @@ def test_the_mix_takes_rows_that_share_an_id_or_have_none(spark):
         assert abs(r["sum(taken)"] - r["max(target)"]) <= 50
 
 
+def test_packed_ids_are_digested_without_a_second_worker(spark, docs):
+    packed = token_files.token_files(docs, tokenizer_path(), 2, packed=True)
+    got = token_files.ids_crc32(packed)
+    assert got._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    listed = token_files.token_files(docs, tokenizer_path(), 2)
+    whole = {r["start"]: r for r in listed.collect()}
+    rows = packed.collect()
+    assert len(rows) == len(whole) == docs.count()
+    for row in rows:
+        same = whole[row["start"]]
+        assert (row["doc_id"], np.frombuffer(row["token_bytes"], "<u4").tolist()) == (same["doc_id"], same["token_ids"])
+    assert got.schema == token_files.ids_crc32(listed).schema
+    assert sorted(map(str, got.collect())) == sorted(map(str, token_files.ids_crc32(listed).collect()))
+
+
+def test_texts_are_unpacked_in_slices():
+    import pyarrow as pa
+
+    from mercato.llm.chunks import column_slices
+
+    texts = ["a" * 40, None, "", "ü" * 30, "b" * 500, "c", "d" * 99, None]
+    column = pa.array(["left out", *texts]).slice(1)
+    for size in (1, 100, 10_000):
+        parts = list(column_slices(column, size))
+        assert [x for part in parts for x in part] == [x or "" for x in texts]
+        assert all(len(part) == 1 or sum(len(x.encode()) for x in part) <= size for part in parts)
+    assert list(column_slices(column.slice(0, 0), 100)) == []
+
+
 def test_pieces_give_the_ids_of_the_library_for_all_characters():
     from mercato.llm.chunks import PieceIds, load_library
     from mercato.llm.queries import tokenizer_path
