@@ -211,16 +211,17 @@ class PieceIds:
     TOGETHER = 200_000
 
     def __init__(self, tokenizer, code: str, limit: int = 192 << 20):
+        import numpy as np
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer, self.code, self.limit = tokenizer, code, limit
         self.newline = tokenizer.token_to_id("Ċ")
         self.specials = {x.content: i for i, x in tokenizer.get_added_tokens_decoder().items()}
         self.cut = ChunkTable(lambda pieces: [], self.specials).cut
-        self.letters = dict(enumerate(byte_letters()))
+        self.letters = np.array(list(map(ord, byte_letters())), "<u2")
         # The same model on words given by their bytes' letters, with line ends between them.
         self.model = Tokenizer(tokenizer.model)
-        self.model.pre_tokenizer = pre_tokenizers.Split(self.letters[10], "isolated")
+        self.model.pre_tokenizer = pre_tokenizers.Split(chr(self.letters[10]), "isolated")
         self._forget()
 
     def _forget(self) -> None:
@@ -260,7 +261,8 @@ class PieceIds:
                     parts += [self.tails[x[1:]] if x[0] == " " and x[1:2] != "\n" else self.heads[x] for x in cut]
                 else:
                     (alone if "\n" in piece else plain).append(at)
-        letters = "\n".join([new[i] for i in plain]).encode().decode("latin-1").translate(self.letters)
+        raw = "\n".join([new[i] for i in plain]).encode()
+        letters = self.letters[np.frombuffer(raw, np.uint8)].tobytes().decode("utf-16-le")
         ids = np.array(self.model.encode_batch_fast([letters], add_special_tokens=False)[0].ids if plain else [], self.code)
         ends = np.append(np.flatnonzero(ids == self.newline), len(ids))[: len(plain)]
         rest = self._encoded([new[i] for i in alone])
