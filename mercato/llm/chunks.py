@@ -11,7 +11,8 @@ from __future__ import annotations
 import re
 import sys
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
+from functools import cache
+from itertools import chain, repeat
 
 import regex
 
@@ -34,6 +35,10 @@ SLICE_CHARS = 4_000_000
 KEPT_CHARS = 256
 #: Characters below it are cut into pre-tokens here, as every version of Unicode in use has the same letters there.
 FAR = "\u0530"
+#: So is general punctuation.
+MARKS = range(0x2000, 0x2070)
+#: Classes of characters: those of a run belong together.
+SPACE, LETTER, NUMBER, OTHER, UNKNOWN = range(5)
 
 
 def slices(texts: list[str | None], chars: int = SLICE_CHARS) -> Iterator[list[str]]:
@@ -52,6 +57,12 @@ def slices(texts: list[str | None], chars: int = SLICE_CHARS) -> Iterator[list[s
 
 def column_slices(column, size: int) -> Iterator[list[str]]:
     """Texts of an Arrow column in slices of about ``size`` bytes (one text at least), null as empty; one slice is unpacked at a time."""
+    for part in column_parts(column, size):
+        yield [text or "" for text in part.to_pylist()]
+
+
+def column_parts(column, size: int) -> Iterator:
+    """Slices of an Arrow column of texts of about ``size`` bytes (one text at least), as they stand."""
     import numpy as np
     import pyarrow.compute as pc
 
@@ -59,10 +70,111 @@ def column_slices(column, size: int) -> Iterator[list[str]]:
     at, before = 0, 0
     while at < len(ends):
         upto = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
-        yield [text or "" for text in column.slice(at, upto - at).to_pylist()]
+        yield column.slice(at, upto - at)
         at, before = upto, int(ends[upto - 1])
 
 
+def column_bytes(column):
+    """The bytes of an Arrow column of texts one after another, null as empty, and where each begins (with the end)."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    column = pc.fill_null(column.cast(pa.string()), "")
+    column.validate(full=True)
+    _, places, raw = column.buffers()
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    places = np.frombuffer(places, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(raw, np.uint8) if raw else np.zeros(0, np.uint8)
+    return data[places[0] : places[-1]], places - places[0]
+
+
+@cache
+def _class_table():
+    """The class of each code point up to the last blank."""
+    import numpy as np
+
+    table = np.full(0x3001, UNKNOWN, np.uint8)
+    for code, x in enumerate(map(chr, range(len(table)))):
+        if re.match(f"[{BLANK}]", x):
+            table[code] = SPACE
+        elif x < FAR or code in MARKS:
+            table[code] = LETTER if regex.match(r"\p{L}", x) else NUMBER if regex.match(r"\p{N}", x) else OTHER
+    return table
+
+
+def byte_classes(data):
+    """The class of the character that each byte of UTF-8 belongs to; ``UNKNOWN`` beyond the table."""
+    import numpy as np
+
+    table = _class_table()
+    single = np.full(256, UNKNOWN, np.uint8)
+    single[:128] = table[:128]
+    classes = single[data]
+    lead = np.flatnonzero((data >= 0xC0) & (data < 0xE4))  # the table ends within those after 0xE3
+    first = data[lead]
+    for at, size in ((lead[first < 0xE0], 2), (lead[first >= 0xE0], 3)):
+        code = data[at].astype(np.int64) & (0x1F if size == 2 else 0x0F)
+        for beside in range(1, size):
+            code = code << 6 | data[at + beside] & 0x3F
+        found = np.where(code < len(table), table[np.minimum(code, len(table) - 1)], UNKNOWN)
+        for beside in range(size):
+            classes[at + beside] = found
+    return classes
+
+
+def pre_token_starts(data, places, classes):
+    """Marks of the bytes where the pre-tokens of ``PRE_TOKEN`` begin in texts of UTF-8 that begin at ``places`` (with the end).
+
+    What stands between blanks is left whole, with the space before it, if it has characters of ``UNKNOWN`` class.
+    """
+    import numpy as np
+
+    first = np.zeros(len(data) + 1, bool)
+    first[places] = True
+    starts = first.copy()
+    starts[1:-1] |= classes[1:] != classes[:-1]
+    # The last of the blanks before something else is a token of its own, or its beginning if it is a space.
+    runs = np.flatnonzero(starts[:-1])
+    after = runs[1:][(classes[runs[1:]] != SPACE) & (classes[runs[:-1]] == SPACE) & ~first[runs[1:]]]
+    starts[after[data[after - 1] == 0x20]] = False
+    blank = after - 1
+    for _ in range(2):  # to the first byte of a longer blank
+        blank = blank - (data[blank] & 0xC0 == 0x80)
+    starts[blank] = True
+    # 's 't 'm 'd 're 've 'll where a token begins.
+    quote = np.flatnonzero(data == 0x27)
+    quote = quote[starts[quote] & ~first[quote + 1]]
+    one = np.isin(data[quote + 1], list(b"stmd"))
+    longer = quote[~one & ~first[quote + 2]]
+    pair = data[longer + 1].astype(np.int64) << 8 | data[longer + 2]
+    longer = longer[np.isin(pair, [int.from_bytes(x, "big") for x in (b"re", b"ve", b"ll")])]
+    for found, size in ((quote[one], 2), (longer, 3)):
+        starts[found + 1] = False
+        starts[found + size] = True
+    unknown = runs[classes[runs] == UNKNOWN]
+    if len(unknown):
+        space = np.append(classes == SPACE, True)
+        stops = np.flatnonzero(first | space)
+        begins = np.flatnonzero(~space[:-1] & (first[:-1] | np.roll(space, 1)[:-1]))
+        begins = begins[np.unique(np.searchsorted(begins, unknown, "right") - 1)]
+        clear(starts, begins, stops[np.searchsorted(stops, begins, "right")])
+    return starts
+
+
+def clear(marks, begins, ends) -> None:
+    """Take away the marks between ``begins`` and ``ends`` (of ranges apart), both left out."""
+    import numpy as np
+
+    if not len(begins):
+        return
+    inside = np.zeros(len(marks) + 1, np.int8)
+    inside[begins + 1] += 1
+    inside[ends] -= 1
+    marks &= np.cumsum(inside[:-1], dtype=np.int8) == 0
+
+
 class ChunkTable:
     """Values of text pieces, kept between texts.
 
@@ -183,29 +295,17 @@ def load_library(spec: str):
     return tokenizer
 
 
-class _Numbers(dict):
-    """Numbers of pieces; one that has none yet gets the next and is listed, whole, in ``new``."""
-
-    def __init__(self, owner: PieceIds, whole: Callable[[str], str], fixed: dict[str, int]):
-        super().__init__(fixed)
-        self.owner, self.whole = owner, whole
-
-    def __missing__(self, piece: str) -> int:
-        owner = self.owner
-        number = self[piece] = owner.known + len(owner.new)
-        owner.new.append(self.whole(piece))
-        return number
-
-
 class PieceIds:
     """Ids of texts by the tokenizers library, each distinct piece encoded once while it is kept.
 
-    Pieces are numbered; their ids stand in one array, from which those of a
-    slice of texts are gathered at once.  When the pieces kept take more than
-    ``limit`` bytes, all go before the next slice.
+    A slice of texts is cut into pieces at once, as arrays of bytes, and only
+    its distinct ones are looked up.  A piece is an added token, a pre-token or
+    what ``pre_token_starts`` leaves whole.  Pieces are numbered; their ids
+    stand in one array, from which those of a slice are gathered at once.  When
+    the pieces kept take more than ``limit`` bytes, all go before the next slice.
     """
 
-    #: Bytes that a kept piece takes beside its text: its entries, number, place and ids.
+    #: Bytes that a kept piece takes beside its text: its entry, number, place and ids.
     BESIDE = 170
     #: Pieces whose ids are gathered together.
     TOGETHER = 200_000
@@ -216,8 +316,8 @@ class PieceIds:
 
         self.tokenizer, self.code, self.limit = tokenizer, code, limit
         self.newline = tokenizer.token_to_id("Ċ")
-        self.specials = {x.content: i for i, x in tokenizer.get_added_tokens_decoder().items()}
-        self.cut = ChunkTable(lambda pieces: [], self.specials).cut
+        self.specials = {x.content.encode(): i for i, x in tokenizer.get_added_tokens_decoder().items()}
+        self.special = re.compile(b"|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))))
         self.letters = np.array(list(map(ord, byte_letters())), "<u2")
         # The same model on words given by their bytes' letters, with line ends between them.
         self.model = Tokenizer(tokenizer.model)
@@ -227,64 +327,81 @@ class PieceIds:
     def _forget(self) -> None:
         import numpy as np
 
-        self.new: list[str] = []
         self.known, self.held = len(self.specials), 0
         self.flat = np.array(list(self.specials.values()), self.code)
         self.begin, self.size = np.arange(self.known), np.ones(self.known, np.int64)
-        self.heads = _Numbers(self, str, {piece: i for i, piece in enumerate(self.specials)})
-        self.tails = _Numbers(self, with_blank, {})
+        self.numbers = {piece: i for i, piece in enumerate(self.specials)}
 
-    def _encoded(self, words: list[str]) -> list:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        return [x.ids for x in found]
+    def _by_model(self, words: list[bytes]):
+        """The ids of pre-tokens without line ends, and where those of each begin and how many they are.
 
-    def _learn(self) -> None:
-        """Encode the new pieces.
-
-        Pieces of several pre-tokens are put together from these, which are
-        pieces themselves.  Single pre-tokens go to the library's model in one
-        text, as the letters that stand for their bytes.  Pieces with
-        characters from ``FAR`` on, or with line ends, go to the whole library.
+        They go to the library's model in one text, as the letters that stand
+        for their bytes, with line ends between them.
         """
         import numpy as np
 
-        new, plain, alone, owner, parts = self.new, [], [], [], []
-        for at, piece in enumerate(new):  # grows
-            if not piece.isascii() and max(piece) >= FAR:
-                alone.append(at)
-            elif piece[1:].isalpha() and (piece[0] == " " or piece[0].isalpha()):
-                plain.append(at)  # most pieces: pre_tokens gives the piece itself
-            else:
-                cut = pre_tokens(piece)
-                if len(cut) > 1:
-                    owner += [at] * len(cut)
-                    parts += [self.tails[x[1:]] if x[0] == " " and x[1:2] != "\n" else self.heads[x] for x in cut]
-                else:
-                    (alone if "\n" in piece else plain).append(at)
-        raw = "\n".join([new[i] for i in plain]).encode()
-        letters = self.letters[np.frombuffer(raw, np.uint8)].tobytes().decode("utf-16-le")
-        ids = np.array(self.model.encode_batch_fast([letters], add_special_tokens=False)[0].ids if plain else [], self.code)
-        ends = np.append(np.flatnonzero(ids == self.newline), len(ids))[: len(plain)]
-        rest = self._encoded([new[i] for i in alone])
-        sizes = np.array([len(x) for x in rest], np.int64)
-        begin, size = np.empty(len(new), np.int64), np.zeros(len(new), np.int64)
-        begin[plain] = np.concatenate([[0], ends + 1])[: len(plain)]
-        size[plain] = ends - begin[plain]
-        begin[alone] = len(ids) + np.cumsum(sizes) - sizes
-        size[alone] = sizes
+        letters = self.letters[np.frombuffer(b"\n".join(words), np.uint8)].tobytes().decode("utf-16-le")
+        ids = np.array(self.model.encode_batch_fast([letters], add_special_tokens=False)[0].ids if words else [], self.code)
+        ends = np.append(np.flatnonzero(ids == self.newline), len(ids))[: len(words)]
+        begin = np.append(0, ends + 1)[: len(words)]
+        return ids, begin, ends - begin
+
+    def _by_library(self, pieces: list[bytes]):
+        """The same of any pieces."""
+        import numpy as np
+
+        found = self.tokenizer.encode_batch_fast([piece.decode() for piece in pieces], add_special_tokens=False)
+        size = np.array([len(x) for x in found], np.int64)
+        return np.fromiter(chain.from_iterable(x.ids for x in found), self.code), np.cumsum(size) - size, size
+
+    def _learn(self, new: list[bytes], encode: Callable) -> None:
+        """Encode and number new pieces."""
+        import numpy as np
+
+        ids, begin, size = encode(new)
+        self.numbers.update(zip(new, range(self.known, self.known + len(new))))
         self.begin = np.concatenate([self.begin, begin + len(self.flat)])
         self.size = np.concatenate([self.size, size])
-        self.flat = np.concatenate([self.flat, ids, np.fromiter(chain.from_iterable(rest), self.code)])
-        if owner:
-            put = self._gathered(np.array(parts))
-            joined = np.bincount(owner, self.size[parts], len(new)).astype(np.int64)
-            own = np.unique(owner)
-            self.begin[self.known + own] = len(self.flat) + np.cumsum(joined[own]) - joined[own]
-            self.size[self.known + own] = joined[own]
-            self.flat = np.concatenate([self.flat, put])
+        self.flat = np.concatenate([self.flat, ids])
         self.known += len(new)
         self.held += sum(map(sys.getsizeof, new)) + self.BESIDE * len(new)
-        self.new = []
+
+    def _specials(self, data, places):
+        """Where added tokens begin and end."""
+        import numpy as np
+
+        raw = data.tobytes()
+        if not any(special in raw for special in self.specials):
+            return np.zeros((2, 0), np.int64)
+        ends = places.tolist()
+        spans = [found.span() for a, b in zip(ends, ends[1:]) for found in self.special.finditer(raw, a, b)]
+        return np.array(spans, np.int64).reshape(-1, 2).T
+
+    def _pieces(self, column):
+        """The numbers of the pieces of an Arrow column of texts, and how many each text has."""
+        import numpy as np
+        import pyarrow as pa
+
+        data, places = column_bytes(column)
+        classes = byte_classes(data)
+        begins, ends = self._specials(data, places)
+        marks = pre_token_starts(data, np.concatenate([places, begins, ends]), classes)
+        clear(marks, begins, ends)
+        starts = np.flatnonzero(marks[:-1])
+        cuts = pa.py_buffer(np.append(starts, len(data)).astype(np.int32))
+        pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, cuts, pa.py_buffer(data)]).dictionary_encode()
+        distinct, indices = pieces.dictionary.to_pylist(), pieces.indices.to_numpy()
+        numbers = np.fromiter(map(self.numbers.get, distinct, repeat(-1)), np.int32, len(distinct))
+        if (numbers < 0).any():
+            # Pieces with line ends or characters of unknown class, by the first of these.
+            odd = (classes == UNKNOWN) | (data == 10)
+            odd[1:] &= marks[1:-1] | ~odd[:-1]
+            other = np.zeros(len(distinct), bool)
+            other[indices[np.searchsorted(starts, np.flatnonzero(odd), "right") - 1]] = True
+            for new, encode in ((~other & (numbers < 0), self._by_model), (other & (numbers < 0), self._by_library)):
+                numbers[new] = np.arange(self.known, self.known + new.sum())
+                self._learn([distinct[i] for i in np.flatnonzero(new).tolist()], encode)
+        return numbers[indices], np.diff(np.searchsorted(starts, places))
 
     def _gathered(self, numbers):
         """The ids of pieces, one after another."""
@@ -298,20 +415,13 @@ class PieceIds:
             out.append(self.flat[np.repeat(self.begin[some] - ends + size, size) + np.arange(ends[-1])])
         return np.concatenate(out)
 
-    def ids(self, texts: list[str]):
-        """The ids of all ``texts`` in one array, and how many each has."""
+    def ids(self, texts):
+        """The ids of all ``texts`` (a list or an Arrow column) in one array, and how many each has."""
         import numpy as np
+        import pyarrow as pa
 
         if self.held > self.limit:
             self._forget()
-        head, tail = self.heads.__getitem__, self.tails.__getitem__
-        numbers, counts = [np.zeros(0, np.int32)], []
-        for text in texts:
-            heads, tails = self.cut(text)
-            counts.append(len(heads) + len(tails))
-            numbers.append(np.fromiter(chain(map(head, heads), map(tail, tails)), np.int32, counts[-1]))
-        if self.new:
-            self._learn()
-        numbers = np.concatenate(numbers)
+        numbers, counts = self._pieces(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
         total = np.concatenate([[0], np.cumsum(self.size[numbers])])
-        return self._gathered(numbers), np.diff(total[np.concatenate([[0], np.cumsum(counts, dtype=int)])])
+        return self._gathered(numbers), np.diff(total[np.concatenate([[0], np.cumsum(counts)])])

@@ -24,7 +24,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mercato.llm.chunks import PieceIds, column_slices, load_library
+from mercato.llm.chunks import PieceIds, column_parts, load_library
 from mercato.llm.common import partitions, scratch, written
 
 MAGIC = b"PFOR1\0\0\0"
@@ -207,7 +207,7 @@ class FileReader:
 
 
 #: Bytes of text encoded at a time by one task.
-TOGETHER = 1_000_000
+TOGETHER = 4_000_000
 _BUILT: dict[str, PieceIds] = {}
 
 
@@ -247,7 +247,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
         for batch in batches:
             done = 0
             doc_ids = batch.column(0).to_pylist()
-            for part in column_slices(batch.column(1), TOGETHER):
+            for part in column_parts(batch.column(1), TOGETHER):
                 ids, lengths = pieces.ids(part)
                 ids = np.insert(ids.astype(np.uint32), np.cumsum(lengths), end_id)
                 writer.add(doc_ids[done : done + len(part)], (lengths + 1).tolist(), ids)

@@ -408,6 +408,47 @@ def test_pieces_give_the_ids_of_the_library_for_all_characters():
                 assert ids[end - n : end].tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
+def test_each_distinct_pre_token_is_encoded_once():
+    """Words next to marks and line ends are the same words: op4 spends its time on distinct ones."""
+    from mercato.llm.chunks import PRE_TOKEN, PieceIds, load_library
+    from mercato.llm.queries import tokenizer_path
+
+    with open(tokenizer_path(), encoding="utf-8") as file:
+        pieces = PieceIds(load_library(file.read()), "uint16")
+    before = pieces.known
+    texts = [f" wörd{a}{mark}\n and word{b}{mark} – it's  {a}" for a in "abcdef" for b in "ghij" for mark in (",", ".", "!", "…", "")]
+    pieces.ids(texts)
+    assert pieces.known - before == len({x for text in texts for x in PRE_TOKEN.findall(text)})
+
+
+def test_pre_tokens_cut_by_bytes_are_those_of_the_library():
+    import pyarrow as pa
+
+    from mercato.llm.chunks import PieceIds, load_library
+    from mercato.llm.queries import tokenizer_path
+
+    with open(tokenizer_path(), encoding="utf-8") as file:
+        library = load_library(file.read())
+    special = list(library.get_added_tokens_decoder().values())[0].content
+    atoms = ["'", "'s", "'re", "'ll", "'d", "'", "s", "l", "ve", "S", " ", "  ", "\n", "\t", "\r", "\x00", "\x1c", "\x85", "\xa0", "\u2003", "\u2028"]
+    atoms += ["a", "bc", "é", "ß", "ж", "1", "²", "٣", "\u0301", "\u0345", "\u052f", ".", ",!", "—", "’", "…", "\u200b", "\u206f"]
+    far = ["\u0530", "Ա", "⁰", "中", "\u3000", "😀", special, special[:-1]]
+    rng = np.random.default_rng(4)
+    for limit, some in ((1 << 30, atoms), (1 << 30, atoms + far), (20_000, atoms + far)):
+        pieces = PieceIds(library, "uint16", limit)
+        for _ in range(20):
+            texts = ["".join(rng.choice(some, rng.integers(0, 14))) for _ in range(200)]
+            texts += [None, "", None, "".join(rng.choice(far, 3)), "'", "x'", "x'r", "'s"]
+            want = [x.ids for x in library.encode_batch([x or "" for x in texts], add_special_tokens=False)]
+            for given in (texts, pa.array(["left out", *texts]).slice(1), pa.array(texts, pa.large_string())):
+                ids, lengths = pieces.ids(given)
+                ends = lengths.cumsum().tolist()
+                assert [ids[end - n : end].tolist() for n, end in zip(lengths.tolist(), ends)] == want
+    for nothing in ([], [None], ["", None]):
+        ids, lengths = pieces.ids(nothing)
+        assert len(ids) == 0 and lengths.tolist() == [0] * len(nothing)
+
+
 @pytest.mark.parametrize("kind", ["bigint", "string", "double"])
 def test_embeddings_take_labels_of_any_type(spark, kind):
     rng = np.random.default_rng(3)
