@@ -25,11 +25,14 @@ from itertools import accumulate, pairwise
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
 
-from mercato.llm.chunks import ChunkTable, byte_letters, pre_tokens, slices
+from mercato.llm.chunks import ChunkTable, byte_letters, column_slices, pre_tokens, slices
+from mercato.llm.common import frugal
 
 NEVER = 1 << 60
 #: Ids decoded at a time (those of one row at least).
 IDS = 500_000
+#: Bytes of text unpacked, cut into pieces and encoded at a time (one text at least).
+SLICE_BYTES = 1 << 20
 
 
 def read_labels(model: dict) -> dict[int, bytes]:
@@ -246,7 +249,7 @@ def _encoded(encoder: Encoder, batches, kept: int, names: list[str]) -> Iterator
 
     for batch in batches:
         rows = 0
-        for part in slices(batch.column(kept).to_pylist()):
+        for part in column_slices(batch.column(kept), SLICE_BYTES):
             found = list(encoder.encode(part))
             ends = np.cumsum([0, *(len(x) // 4 for x in found)])
             ids = pa.array(np.frombuffer(b"".join(found), np.int32))
@@ -296,7 +299,7 @@ def encode(docs: DataFrame, tokenizer: str, text: str = "text", keep: list[str]
     def run(batches):
         yield from _encoded(_encoder(spec.value), batches, len(keep), names)
 
-    return picked.mapInArrow(run, f"{kinds}token_ids array<int>")
+    return picked.mapInArrow(frugal(run), f"{kinds}token_ids array<int>")
 
 
 def decode(frame: DataFrame, tokenizer: str, ids: str = "token_ids") -> DataFrame:
@@ -309,7 +312,7 @@ def decode(frame: DataFrame, tokenizer: str, ids: str = "token_ids") -> DataFram
         # The labels are all that decoding takes; the automaton isn't compiled for it.
         yield from _decoded(Labels(read_labels(json.loads(spec.value))), batches, ids, names)
 
-    return frame.mapInArrow(run, schema)
+    return frame.mapInArrow(frugal(run), schema)
 
 
 def encode_and_decode(docs: DataFrame, tokenizer: str, text: str = "text", keep: list[str] | None = None) -> DataFrame:
@@ -324,4 +327,4 @@ def encode_and_decode(docs: DataFrame, tokenizer: str, text: str = "text", keep:
         coded = _encoded(encoder, batches, len(keep), names)
         yield from _decoded(Labels(encoder.automaton.label), coded, "token_ids", [*names, "decoded"])
 
-    return picked.mapInArrow(run, f"{kinds}token_ids array<int>, decoded string")
+    return picked.mapInArrow(frugal(run), f"{kinds}token_ids array<int>, decoded string")

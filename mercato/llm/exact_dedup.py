@@ -17,7 +17,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercato.llm.common import free_name, one_space, partitions, written
+from mercato.llm.common import free_name, frugal, one_space, partitions, written
 
 #: Bytes of distinct texts that a table holds.
 TABLE_BYTES = 64 << 20
@@ -133,13 +133,13 @@ def text_groups(docs: DataFrame, text: str = "text", table_bytes: int = TABLE_BY
     """
     spark = docs.sparkSession
     records = keyed(docs, text).select(F.xxhash64("content").alias("hash"), "sha", "content", F.col("doc_id").cast("long").alias("keep_id"), F.lit(1).cast("long").alias("size"))
-    records = records.mapInArrow(_merge(table_bytes // 2, False), PARTIAL)
+    records = records.mapInArrow(frugal(_merge(table_bytes // 2, False)), PARTIAL)
     finished, level, n = [], 0, partitions(spark)
     while True:
         # Each level takes other bits: the hash of the hash and the level.
         bucket = F.pmod(F.xxhash64("hash", F.lit(level)), F.lit(n)).cast("int")
         dealt = records.drop("done").repartition(n, bucket)
-        level_table = written(dealt.mapInArrow(_merge(table_bytes, True), PARTIAL), f"grace-{level}")
+        level_table = written(dealt.mapInArrow(frugal(_merge(table_bytes, True)), PARTIAL), f"grace-{level}")
         finished.append(level_table.filter("done").select("sha", "keep_id", F.col("size").alias("group_size")))
         records = level_table.filter("not done")
         if records.isEmpty():

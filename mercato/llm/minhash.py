@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mercato.llm.common import free_name, partitions, written
+from mercato.llm.common import free_name, frugal, partitions, written
 from mercato.llm.components import connected_components
 
 SHINGLE = 5
@@ -153,7 +153,7 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), *hashes], ["doc_id", "n_shingles", "print", "signature", "parity"])
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text)
-    return picked.mapInArrow(run, "doc_id long, n_shingles long, print binary, signature binary, parity binary")
+    return picked.mapInArrow(frugal(run), "doc_id long, n_shingles long, print binary, signature binary, parity binary")
 
 
 def _symbols(column):
@@ -185,7 +185,7 @@ def keys(nodes: DataFrame) -> DataFrame:
                     ["key", "node"],
                 )
 
-    return nodes.select("node", "signature").mapInArrow(run, "key long, node long")
+    return nodes.select("node", "signature").mapInArrow(frugal(run), "key long, node long")
 
 
 def _close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -201,7 +201,7 @@ def _close(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     of_a = nodes.select(F.col("node").alias("a"), F.col("signature").alias("s"))
     of_b = nodes.select(F.col("node").alias("b"), F.col("signature").alias("t"))
-    return pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "s", "t").mapInArrow(run, "a long, b long").distinct()
+    return pairs.join(of_a, "a").join(of_b, "b").select("a", "b", "s", "t").mapInArrow(frugal(run), "a long, b long").distinct()
 
 
 def _marked(texts: DataFrame, needed: DataFrame) -> DataFrame:
@@ -247,7 +247,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
 
     texts = docs.filter("doc_id is not null").select(F.col("doc_id").cast("long").alias("node"), F.col(text).alias("__text"))
     # Copies of a text have one node; of the rest of the texts none is needed.
-    sets = written(_marked(texts, needed).mapInArrow(collect, "node long, set binary"), "sets")
+    sets = written(_marked(texts, needed).mapInArrow(frugal(collect), "node long, set binary"), "sets")
     salt = F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt")
     lists = pairs.groupBy("a", block).agg(F.collect_list("b").alias("with")).join(places, "block").select("block", salt, "a", "with")
     others = lists.join(sets.select(F.col("node").alias("a"), "set"), "a").select(
@@ -287,7 +287,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, text: str = "text") -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds)], ["a", "b", "likeness", "linked"])
 
     dealt = held_by.unionByName(others).repartition(partitions(docs.sparkSession), "block", "salt").sortWithinPartitions("block", "salt", "kind")
-    measured = dealt.mapInArrow(compare, "a long, b long, likeness double, linked boolean")
+    measured = dealt.mapInArrow(frugal(compare), "a long, b long, likeness double, linked boolean")
     # Several rows only where rows share a doc_id: the best of their texts.
     return measured.groupBy("a", "b").agg(F.max("likeness").alias("likeness"), F.max("linked").alias("linked"))
 
@@ -371,7 +371,7 @@ def _across(members: DataFrame, nodes: DataFrame) -> DataFrame:
             yield from found(held)
 
     dealt = groups.repartition(partitions(nodes.sparkSession), "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+    return dealt.mapInArrow(frugal(compare), "a long, b long").distinct()
 
 
 def near_groups(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mercato.llm.common import free_name, written
+from mercato.llm.common import free_name, frugal, written
 
 #: Labelled documents of each class that the lexicon and the classifier are fitted on, about at most.
 SAMPLE = 3_000
@@ -82,7 +82,7 @@ def mine_terms(sample: DataFrame) -> list[str]:
 
     total = {row["toxic"]: row["n"] for row in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad_all, good_all = total.get(1, 0), total.get(0, 0)
-    counted = sample.select("text", "toxic").mapInArrow(run, "term string, bad long, good long")
+    counted = sample.select("text", "toxic").mapInArrow(frugal(run), "term string, bad long, good long")
     # A term that has nothing to do with toxicity is in `least` toxic and no other documents with probability 1 / CHANCE.
     least = math.ceil(math.log(CHANCE) / math.log((bad_all + good_all) / bad_all)) if bad_all and good_all else 5
     counted = counted.groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).filter(F.col("bad") >= least)
@@ -177,7 +177,7 @@ def vote_patterns(docs: DataFrame, known: DataFrame, terms: list[str]) -> DataFr
             votes = [voters.votes(text or "") for text in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(votes, pa.list_(pa.int32()))], ["doc_id", "votes"])
 
-    cast = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, votes array<int>")
+    cast = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(frugal(run), "doc_id long, votes array<int>")
     return cast.join(known, "doc_id", "left").groupBy("votes", "toxic").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -223,7 +223,7 @@ def fit_label_model(patterns: DataFrame, start: LabelModel, rounds: int = ROUNDS
                     a, b = i[at : at + 100_000], j[at : at + 100_000]
                     yield pa.RecordBatch.from_pydict({"k": pa.array(np.full(len(a), k), pa.int32()), "i": pa.array(a, pa.int32()), "j": pa.array(b, pa.int32()), "s": pa.array(some[a, b], pa.float64())})
 
-        cells = patterns.mapInArrow(run, "k int, i int, j int, s double").groupBy("k", "i", "j").agg(F.sum("s").alias("s"))
+        cells = patterns.mapInArrow(frugal(run), "k int, i int, j int, s double").groupBy("k", "i", "j").agg(F.sum("s").alias("s"))
         cells = written(cells, "toxic-cells")
         alone, n = np.zeros((2, size)), np.zeros(2)
         for row in cells.filter("i = j").collect():  # at most 2 * (size + 1) cells
@@ -307,7 +307,7 @@ def fit_over(patterns: DataFrame, model: LabelModel, l2: float = 0.3, rounds: in
             yield pa.RecordBatch.from_pydict({"i": pa.array(range(size + 2), pa.int32()), "s": pa.array(total, pa.float64())})
 
         total = np.zeros(size + 2)
-        for row in patterns.mapInArrow(run, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).collect():  # size + 2 rows
+        for row in patterns.mapInArrow(frugal(run), "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).collect():  # size + 2 rows
             total[row["i"]] = row["s"]
         return total[-1] + l2 / 2 * (w @ w), total[:-1] + l2 * w
 
@@ -360,7 +360,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifie
             yield pa.RecordBatch.from_arrays([pa.array(votes, pa.list_(pa.int32())), batch.column(1)], ["votes", "toxic"])
 
     # The bounded sample, reduced to its votes.
-    held = rows.select("text", "toxic").mapInArrow(vote, "votes array<int>, toxic int").orderBy("votes", "toxic").collect()
+    held = rows.select("text", "toxic").mapInArrow(frugal(vote), "votes array<int>, toxic int").orderBy("votes", "toxic").collect()
     import numpy as np
 
     votes, truth = _matrix([row["votes"] for row in held], size), np.array([row["toxic"] for row in held], float)
@@ -408,7 +408,7 @@ def score(docs: DataFrame, model: Classifier, keep: list[str] | None = None, tex
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in range(len(keep))), pa.array(scores, pa.float64())], names)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    scored = picked.mapInArrow(run, f"{kinds}, score double")
+    scored = picked.mapInArrow(frugal(run), f"{kinds}, score double")
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
@@ -426,4 +426,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
             clean = [1 / (1 + math.exp(-max(-30.0, min(30.0, x)))) < THRESHOLD for x in logits]
             yield batch.filter(pa.array(clean))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(frugal(run), docs.schema)

@@ -15,7 +15,7 @@ np = pytest.importorskip("numpy")
 tokenizers = pytest.importorskip("tokenizers")
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from mercato.llm import bpe, embedding_dedup, exact_dedup, language, minhash, mixing, pii, token_counts, token_files, toxicity  # noqa: E402
+from mercato.llm import bpe, common, embedding_dedup, exact_dedup, language, minhash, mixing, pii, token_counts, token_files, toxicity  # noqa: E402
 from mercato.llm.components import connected_components  # noqa: E402
 from mercato.llm.queries import round_trip, tokenizer_path  # noqa: E402
 
@@ -599,3 +599,37 @@ def test_pipeline_equals_brute_force(spark, tmp_path):
         digest = hashlib.sha256((r.text or "").encode()).hexdigest()
         taken[digest] = taken.get(digest, 0) + 1
     assert counts == taken and max(counts.values()) <= 2
+
+
+def test_round_trip_takes_bounded_slices_and_hands_memory_back(monkeypatch):
+    import pyarrow as pa
+
+    with open(tokenizer_path(), encoding="utf-8") as file:
+        encoder = bpe.Encoder(file.read())
+    taken, handed = [], []
+    texts = [None, "", *("some words in a row " * 5_000 for _ in range(25)), "the last one"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    encode = encoder.encode
+    monkeypatch.setattr(encoder, "encode", lambda part: taken.append(sum(map(len, part))) or encode(part))
+    monkeypatch.setattr(common, "hand_back", lambda: handed.append(len(taken)))
+    names = ["doc_id", "token_ids", "decoded"]
+
+    def run(batches):
+        coded = bpe._encoded(encoder, batches, 1, names[:2])
+        yield from bpe._decoded(bpe.Labels(encoder.automaton.label), coded, "token_ids", names)
+
+    out = list(common.frugal(run)(iter([batch])))
+    assert [x for part in out for x in part.column(2).to_pylist()] == [x or "" for x in texts]
+    assert [x for part in out for x in part.column(0).to_pylist()] == list(range(len(texts)))
+    assert sum(taken) == sum(len(x or "") for x in texts) and max(taken) <= 1 << 20
+    assert handed == [len(taken)]
+
+
+def test_every_python_step_of_the_pipeline_hands_memory_back(docs, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    seen, plain = [], DataFrame.mapInArrow
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda self, run, *rest, **more: seen.append(run.__name__) or plain(self, run, *rest, **more))
+    labels = docs.selectExpr("doc_id", "cast(doc_id % 3 = 0 as int) as toxic")
+    round_trip(minhash.drop_near_copies(exact_dedup.drop_copies(toxicity.drop_toxic(docs, labels)))).collect()
+    assert set(seen) == {"frugal_run"}
