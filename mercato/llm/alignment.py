@@ -27,8 +27,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mercato.llm.chunks import BLANK, library_encoder, load_library, slices
-from mercato.llm.common import partitions, written
+from mercato.llm.chunks import BLANK, column_slices, library_encoder, load_library
+from mercato.llm.common import frugal, partitions, written
 from mercato.llm.pair_hash import PER_BUCKET, SPREAD, PairHash, build_bucket, spread
 
 #: Distinct pairs up to which hash, keys and counts are broadcast (about 17 bytes a pair).
@@ -37,6 +37,8 @@ PAIRS = 4_000_000
 SLICE, BRANCHES = 65_536, 8
 #: Bytes of pieces and their alignments that a worker keeps, about.
 KEPT_BYTES = 128 << 20
+#: Bytes of text unpacked and aligned at a time (one text at least).
+SLICE_BYTES = 1 << 20
 #: Characters that go to the sentencepiece library at once (one piece at least).
 JOINED = 200_000
 #: Links of a group above which equal ids are counted instead of listed.
@@ -352,7 +354,7 @@ def document_pairs(docs: DataFrame, shared, text: str = "text") -> DataFrame:
         narrow = len(table.aligner.size_b)
         keys, counts, rows = [], [], 0
         for batch in batches:
-            for part in slices(batch.column(0).to_pylist()):
+            for part in column_slices(batch.column(0), SLICE_BYTES):
                 flat, ends, whole = table.texts(part)
                 doc = np.repeat(np.arange(len(part)), np.diff(ends))
                 use = whole[doc]
@@ -382,7 +384,7 @@ def document_pairs(docs: DataFrame, shared, text: str = "text") -> DataFrame:
             part = slice(at, at + 100_000)
             yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(spread(key[part])), pa.array(count[part])], ["pair", "spread", "docs"])
 
-    return docs.select(text).mapInArrow(run, "pair long, spread long, docs long")
+    return docs.select(text).mapInArrow(frugal(run), "pair long, spread long, docs long")
 
 
 def hash_pairs(pairs: DataFrame) -> list[tuple] | None:
@@ -419,7 +421,7 @@ def hash_pairs(pairs: DataFrame) -> list[tuple] | None:
         if held:
             yield row(current, held)
 
-    built = dealt.mapInArrow(run, "bucket int, sizes array<int>, words binary, keys binary")
+    built = dealt.mapInArrow(frugal(run), "bucket int, sizes array<int>, words binary, keys binary")
     # At most PAIRS keys of 8 bytes and less than a byte of bits for each.
     return _buckets(buckets, [(r["bucket"], r["sizes"], r["words"], r["keys"]) for r in built.collect()])
 
@@ -477,11 +479,11 @@ def dense_counts(pairs: DataFrame, shared_hash, count: int):
             yield row(current, held)
 
     kind = "slice int, part int, counts binary"
-    vectors = written(pairs.select("pair", "docs").coalesce(tasks).mapInArrow(fill, kind), "alignment-vectors")
+    vectors = written(pairs.select("pair", "docs").coalesce(tasks).mapInArrow(frugal(fill), kind), "alignment-vectors")
     while tasks > 1:
         step = vectors.withColumn("part", F.floor(F.col("part") / BRANCHES).cast("int"))
         step = step.repartition(width, "slice", "part").sortWithinPartitions("slice", "part")
-        vectors = written(step.mapInArrow(add, kind), "alignment-vectors")
+        vectors = written(step.mapInArrow(frugal(add), kind), "alignment-vectors")
         tasks = -(-tasks // BRANCHES)
     parts = {r["slice"]: r["counts"] for r in vectors.select("slice", "counts").collect()}  # 8 bytes a pair
     return np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(parts[s], "<i8") for s in sorted(parts))])
@@ -514,7 +516,7 @@ def _second_pass(docs: DataFrame, shared, known, text: str) -> DataFrame:
         table = PieceTable(_aligner(shared), spelled=True, score=score if known else None)
         for batch in batches:
             done = 0
-            for part in slices(batch.column(1).to_pylist()):
+            for part in column_slices(batch.column(1), SLICE_BYTES):
                 flat, ends, whole = table.texts(part)
                 columns = [batch.column(0).slice(done, len(part))]
                 done += len(part)
@@ -535,7 +537,7 @@ def _second_pass(docs: DataFrame, shared, known, text: str) -> DataFrame:
     picked = docs.select("doc_id", docs[text].alias("__text"))
     kind = OUT.format(picked.schema["doc_id"].dataType.simpleString())
     kind += ", n_best long, count_sum long" if known else ", pairs array<long>, times array<long>"
-    return picked.mapInArrow(run, kind + ", groups string")
+    return picked.mapInArrow(frugal(run), kind + ", groups string")
 
 
 def align_tokenizers(docs: DataFrame, a: str, b: str, text: str = "text") -> DataFrame:

@@ -16,7 +16,7 @@ tokenizers = pytest.importorskip("tokenizers")
 sentencepiece = pytest.importorskip("sentencepiece")
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
-from mercato.llm import alignment, decontaminate, merkle  # noqa: E402
+from mercato.llm import alignment, common, decontaminate, merkle  # noqa: E402
 from mercato.llm.bpe import byte_letters  # noqa: E402
 from mercato.llm.pair_hash import SPREAD, PairHash, build_bucket, mix, spread  # noqa: E402
 from mercato.llm.queries import PIECES, tokenizer_path  # noqa: E402
@@ -297,3 +297,30 @@ def test_leaks_of_empty_tables(spark):
     assert sorted(r["n_words"] for r in decontaminate.decontamination(some, none).collect()) == sorted(len(words_of(t)) for _, t in docs[:9])
     table = spark.createDataFrame([(*row, "x", "y") for row in items], ITEMS)
     assert decontaminate.decontamination(frame(spark, []), table).count() == 0
+
+
+class Captured:
+    """Stands for a frame and keeps the function that goes to ``mapInArrow``."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+
+def test_alignment_takes_bounded_slices_and_hands_memory_back(monkeypatch):
+    import pyarrow as pa
+
+    with open(tokenizer_path(), encoding="utf-8") as spec, open(tokenizer_path(PIECES), "rb") as model:
+        shared = type("Shared", (), {"value": ("slices", spec.read(), model.read())})
+    taken, handed = [], []
+    texts_of = alignment.PieceTable.texts
+    monkeypatch.setattr(alignment.PieceTable, "texts", lambda self, texts: taken.append(sum(map(len, texts))) or texts_of(self, texts))
+    monkeypatch.setattr(common, "hand_back", lambda: handed.append(len(taken)))
+    texts = [None, "", *("some words in a row " * 5_000 for _ in range(25)), "the last one"]
+    pairs = list(alignment.document_pairs(Captured(), shared).run(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])])))
+    assert sum(taken) == sum(len(x or "") for x in texts) and max(taken) <= 1 << 20
+    assert handed == [len(taken)]
+    assert {26, 25} >= {n for batch in pairs for n in batch.column(2).to_pylist()} - {1}
