@@ -20,12 +20,12 @@ import hashlib
 import json
 from array import array
 from collections.abc import Iterator
-from itertools import accumulate, pairwise
+from itertools import accumulate, chain, pairwise
 
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StringType, StructField, StructType
 
-from mercato.llm.chunks import ChunkTable, byte_letters, column_slices, pre_tokens, slices
+from mercato.llm.chunks import Pieces, byte_letters, column_slices, pre_tokens, slices
 from mercato.llm.common import frugal
 
 NEVER = 1 << 60
@@ -33,6 +33,8 @@ NEVER = 1 << 60
 IDS = 500_000
 #: Bytes of text unpacked, cut into pieces and encoded at a time (one text at least).
 SLICE_BYTES = 1 << 20
+#: Bytes of pieces and their ids that a worker keeps, about.
+KEPT_BYTES = 128 << 20
 
 
 def read_labels(model: dict) -> dict[int, bytes]:
@@ -194,35 +196,49 @@ class Automaton:
 
 
 class _Words(dict):
-    """Ids of pre-tokens as bytes; emptied when full."""
+    """Ids of pre-tokens; emptied when full."""
 
     def __init__(self, automaton: Automaton):
         self.encode = automaton.encode
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > 100_000:
+    def __missing__(self, word: str) -> list[int]:
+        if len(self) > 50_000:
             self.clear()
-        found = self[word] = array("I", self.encode(word.encode())).tobytes()
+        found = self[word] = self.encode(word.encode())
         return found
 
 
-class Encoder:
-    """Texts to ids and back, with the caches of one worker."""
+class Encoder(Pieces):
+    """Texts to ids by the automaton, with the caches of one worker."""
 
-    def __init__(self, spec: str):
+    def __init__(self, spec: str, limit: int = KEPT_BYTES):
         self.automaton = Automaton(spec)
-        words = _Words(self.automaton)
+        self.words = _Words(self.automaton)
+        super().__init__({text.encode(): i for text, i in self.automaton.specials.items()}, "uint32", limit)
+
+    def encode_words(self, words: list[bytes]):
+        return self._flat(list(map(self.automaton.encode, words)))
+
+    def encode_others(self, pieces: list[bytes]):
+        """Cut into pre-tokens first."""
+        cut = (pre_tokens(piece.decode()) for piece in pieces)
+        return self._flat([list(chain.from_iterable(map(self.words.__getitem__, words))) for words in cut])
 
-        def encode(pieces: list[str]) -> list[bytes]:
-            return [b"".join([words[x] for x in pre_tokens(piece)]) for piece in pieces]
+    def _flat(self, found: list[list[int]]):
+        import numpy as np
 
-        specials = {text: array("I", [i]).tobytes() for text, i in self.automaton.specials.items()}
-        self.table = ChunkTable(encode, specials, limit=200_000)
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        ends = np.cumsum(size)
+        return np.fromiter(chain.from_iterable(found), self.code, int(size.sum())), ends - size, size
 
     def encode(self, texts: list[str | None]) -> Iterator[bytes]:
         """Of each text the ids as bytes of 32-bit integers; null as empty."""
+        import numpy as np
+
         for part in slices(texts):
-            yield from map(b"".join, self.table.values(part))
+            ids, counts = self.ids(part)
+            raw = ids.tobytes()
+            yield from (raw[a:b] for a, b in pairwise([0, *(4 * np.cumsum(counts)).tolist()]))
 
 
 _BUILT: dict[str, Encoder] = {}

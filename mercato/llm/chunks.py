@@ -295,35 +295,35 @@ def load_library(spec: str):
     return tokenizer
 
 
-class PieceIds:
-    """Ids of texts by the tokenizers library, each distinct piece encoded once while it is kept.
+class Pieces:
+    """Ids of texts, each distinct piece encoded once while it is kept; the classes below say how.
 
     A slice of texts is cut into pieces at once, as arrays of bytes, and only
-    its distinct ones are looked up.  A piece is an added token, a pre-token or
-    what ``pre_token_starts`` leaves whole.  Pieces are numbered; their ids
-    stand in one array, from which those of a slice are gathered at once.  When
-    the pieces kept take more than ``limit`` bytes, all go before the next slice.
+    its distinct ones are looked up.  A piece is one of the ``specials`` (an
+    added token with its id), a pre-token or what ``pre_token_starts`` leaves
+    whole.  Pieces are numbered; their ids stand in one array, from which those
+    of a slice are gathered at once.  When the pieces kept take more than
+    ``limit`` bytes, all go before the next slice.
     """
 
-    #: Bytes that a kept piece takes beside its text: its entry, number, place and ids.
+    #: Bytes that a kept piece takes beside its text and ids: its entry, number and place.
     BESIDE = 170
     #: Pieces whose ids are gathered together.
     TOGETHER = 200_000
 
-    def __init__(self, tokenizer, code: str, limit: int = 192 << 20):
-        import numpy as np
-        from tokenizers import Tokenizer, pre_tokenizers
-
-        self.tokenizer, self.code, self.limit = tokenizer, code, limit
-        self.newline = tokenizer.token_to_id("Ċ")
-        self.specials = {x.content.encode(): i for i, x in tokenizer.get_added_tokens_decoder().items()}
-        self.special = re.compile(b"|".join(map(re.escape, sorted(self.specials, key=len, reverse=True))))
-        self.letters = np.array(list(map(ord, byte_letters())), "<u2")
-        # The same model on words given by their bytes' letters, with line ends between them.
-        self.model = Tokenizer(tokenizer.model)
-        self.model.pre_tokenizer = pre_tokenizers.Split(chr(self.letters[10]), "isolated")
+    def __init__(self, specials: dict[bytes, int], code: str, limit: int):
+        self.specials, self.code, self.limit = specials, code, limit
+        self.special = re.compile(b"|".join(map(re.escape, sorted(specials, key=len, reverse=True))))
         self._forget()
 
+    def encode_words(self, words: list[bytes]):
+        """The ids of pre-tokens without line ends, and where those of each begin and how many they are."""
+        raise NotImplementedError
+
+    def encode_others(self, pieces: list[bytes]):
+        """The same of any pieces."""
+        raise NotImplementedError
+
     def _forget(self) -> None:
         import numpy as np
 
@@ -332,39 +332,19 @@ class PieceIds:
         self.begin, self.size = np.arange(self.known), np.ones(self.known, np.int64)
         self.numbers = {piece: i for i, piece in enumerate(self.specials)}
 
-    def _by_model(self, words: list[bytes]):
-        """The ids of pre-tokens without line ends, and where those of each begin and how many they are.
-
-        They go to the library's model in one text, as the letters that stand
-        for their bytes, with line ends between them.
-        """
-        import numpy as np
-
-        letters = self.letters[np.frombuffer(b"\n".join(words), np.uint8)].tobytes().decode("utf-16-le")
-        ids = np.array(self.model.encode_batch_fast([letters], add_special_tokens=False)[0].ids if words else [], self.code)
-        ends = np.append(np.flatnonzero(ids == self.newline), len(ids))[: len(words)]
-        begin = np.append(0, ends + 1)[: len(words)]
-        return ids, begin, ends - begin
-
-    def _by_library(self, pieces: list[bytes]):
-        """The same of any pieces."""
-        import numpy as np
-
-        found = self.tokenizer.encode_batch_fast([piece.decode() for piece in pieces], add_special_tokens=False)
-        size = np.array([len(x) for x in found], np.int64)
-        return np.fromiter(chain.from_iterable(x.ids for x in found), self.code), np.cumsum(size) - size, size
-
     def _learn(self, new: list[bytes], encode: Callable) -> None:
         """Encode and number new pieces."""
         import numpy as np
 
+        if not new:
+            return
         ids, begin, size = encode(new)
         self.numbers.update(zip(new, range(self.known, self.known + len(new))))
         self.begin = np.concatenate([self.begin, begin + len(self.flat)])
         self.size = np.concatenate([self.size, size])
         self.flat = np.concatenate([self.flat, ids])
         self.known += len(new)
-        self.held += sum(map(sys.getsizeof, new)) + self.BESIDE * len(new)
+        self.held += sum(map(sys.getsizeof, new)) + self.BESIDE * len(new) + ids.nbytes
 
     def _specials(self, data, places):
         """Where added tokens begin and end."""
@@ -398,7 +378,7 @@ class PieceIds:
             odd[1:] &= marks[1:-1] | ~odd[:-1]
             other = np.zeros(len(distinct), bool)
             other[indices[np.searchsorted(starts, np.flatnonzero(odd), "right") - 1]] = True
-            for new, encode in ((~other & (numbers < 0), self._by_model), (other & (numbers < 0), self._by_library)):
+            for new, encode in ((~other & (numbers < 0), self.encode_words), (other & (numbers < 0), self.encode_others)):
                 numbers[new] = np.arange(self.known, self.known + new.sum())
                 self._learn([distinct[i] for i in np.flatnonzero(new).tolist()], encode)
         return numbers[indices], np.diff(np.searchsorted(starts, places))
@@ -425,3 +405,36 @@ class PieceIds:
         numbers, counts = self._pieces(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
         total = np.concatenate([[0], np.cumsum(self.size[numbers])])
         return self._gathered(numbers), np.diff(total[np.concatenate([[0], np.cumsum(counts)])])
+
+
+class PieceIds(Pieces):
+    """Ids of texts by the tokenizers library."""
+
+    def __init__(self, tokenizer, code: str, limit: int = 192 << 20):
+        import numpy as np
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.tokenizer = tokenizer
+        self.newline = tokenizer.token_to_id("Ċ")
+        self.letters = np.array(list(map(ord, byte_letters())), "<u2")
+        # The same model on words given by their bytes' letters, with line ends between them.
+        self.model = Tokenizer(tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.Split(chr(self.letters[10]), "isolated")
+        super().__init__({x.content.encode(): i for i, x in tokenizer.get_added_tokens_decoder().items()}, code, limit)
+
+    def encode_words(self, words: list[bytes]):
+        """They go to the library's model in one text, as the letters that stand for their bytes, with line ends between them."""
+        import numpy as np
+
+        letters = self.letters[np.frombuffer(b"\n".join(words), np.uint8)].tobytes().decode("utf-16-le")
+        ids = np.array(self.model.encode_batch_fast([letters], add_special_tokens=False)[0].ids if words else [], self.code)
+        ends = np.append(np.flatnonzero(ids == self.newline), len(ids))[: len(words)]
+        begin = np.append(0, ends + 1)[: len(words)]
+        return ids, begin, ends - begin
+
+    def encode_others(self, pieces: list[bytes]):
+        import numpy as np
+
+        found = self.tokenizer.encode_batch_fast([piece.decode() for piece in pieces], add_special_tokens=False)
+        size = np.array([len(x) for x in found], np.int64)
+        return np.fromiter(chain.from_iterable(x.ids for x in found), self.code), np.cumsum(size) - size, size

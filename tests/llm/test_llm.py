@@ -633,3 +633,21 @@ def test_every_python_step_of_the_pipeline_hands_memory_back(docs, monkeypatch):
     labels = docs.selectExpr("doc_id", "cast(doc_id % 3 = 0 as int) as toxic")
     round_trip(minhash.drop_near_copies(exact_dedup.drop_copies(toxicity.drop_toxic(docs, labels)))).collect()
     assert set(seen) == {"frugal_run"}
+
+
+def test_automaton_takes_a_word_once_while_it_is_kept(monkeypatch):
+    calls, plain = [], bpe.Automaton.encode
+    monkeypatch.setattr(bpe.Automaton, "encode", lambda self, word: calls.append(len(word)) or plain(self, word))
+    with open(tokenizer_path(), encoding="utf-8") as file:
+        spec = file.read()
+    library = tokenizers.Tokenizer.from_str(spec)
+    encoder = bpe.Encoder(spec)
+    texts = [" ".join(f"{n}" for n in range(at, at + 110_000)) for at in (0, 110_000, 0)]
+    got = [next(encoder.encode([text])) for text in texts]
+    assert got[0] == got[2] and [len(x) // 4 for x in got[:2]] == [len(library.encode(x, add_special_tokens=False).ids) for x in texts[:2]]
+    assert len(calls) <= 220_100  # once more for the third text before
+    small, rng = bpe.Encoder(spec, limit=400), random.Random(3)
+    parts = ["word", " ", "  ", "\n", "don't", "日本語", "🎉", "é", "12", ",", "<|endoftext|>", "\xa0", "…", "Я"]
+    for _ in range(300):
+        odd = ["".join(rng.choices(parts, k=rng.randint(0, 20))) for _ in range(3)]
+        assert [np.frombuffer(x, np.uint32).tolist() for x in small.encode(odd)] == [library.encode(x, add_special_tokens=False).ids for x in odd]
