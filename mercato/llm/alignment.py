@@ -16,7 +16,8 @@ pairs; beyond, the second pass joins the counts instead.
 No token of either tokenizer reaches over the step from a character to a blank
 (but for blanks that the vocabulary of B holds behind others), nor, if no piece
 of B does, from a letter to a mark; so texts are aligned piece by piece, once
-for each distinct piece that a bounded table of the worker holds.
+for each distinct piece that a bounded table of the worker holds from task to
+task.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mercato.llm.chunks import BLANK, column_slices, library_encoder, load_library
+from mercato.llm.chunks import LETTER, OTHERS, SPACE, byte_classes, column_bytes, column_slices, library_encoder, load_library
 from mercato.llm.common import frugal, partitions, written
 from mercato.llm.pair_hash import PER_BUCKET, SPREAD, PairHash, build_bucket, spread
 
@@ -43,10 +44,10 @@ SLICE_BYTES = 1 << 20
 JOINED = 200_000
 #: Links of a group above which equal ids are counted instead of listed.
 LISTED = 1 << 16
-SPACE = "▁"
-MARKS = re.escape("""!"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~""")
-#: Letters behind which a text may be cut before a mark.
-LETTER = "[A-Za-zÀ-ÖØ-öø-ÿ]"
+SPACE_LETTER = "▁"
+MARKS = """!"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"""
+#: A letter behind which a text may be cut before a mark, and the mark.
+MIXED = re.compile(f"[A-Za-zÀ-ÖØ-öø-ÿ][{re.escape(MARKS)}]")
 
 
 def is_word(piece: str) -> bool:
@@ -75,8 +76,8 @@ class Aligner:
             if token not in special:
                 bytes_a[i] = bytes(byte[x] for x in token)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model)
-        bytes_b, behind, letters_end = [], set(), True
-        mixed = re.compile(f"{LETTER}[{MARKS}]")
+        bytes_b, behind, self.letters_end = [], set(), True
+        blanks = {" ", "\n", *OTHERS}
         for i in range(self.b.get_piece_size()):
             piece = self.b.id_to_piece(i)
             if self.b.is_byte(i):
@@ -84,19 +85,15 @@ class Aligner:
             elif self.b.is_control(i) or self.b.is_unknown(i) or self.b.is_unused(i):
                 bytes_b.append(b"")
             else:
-                text = piece.replace(SPACE, " ")
-                letters_end = letters_end and not mixed.search(text)
-                behind |= {y for x, y in zip(text, text[1:]) if x not in BLANK and y in BLANK}
+                text = piece.replace(SPACE_LETTER, " ")
+                self.letters_end = self.letters_end and not MIXED.search(text)
+                behind |= {y for x, y in zip(text, text[1:]) if x not in blanks and y in blanks}
                 if " " in behind or "\n" in text:
                     raise ValueError("a vocabulary with blanks or line ends inside of pieces is not supported")
                 bytes_b.append(text.encode())
         self.newline = self.b.encode("\n")[-1]
         self.head = len(self.b.encode("\n")) - 1
-        stays = re.escape("".join(sorted(behind)))
-        more = f"(?:[{stays}][{BLANK}]*[^{BLANK}]*)*" if stays else ""
-        word = rf"[{BLANK}]*[^\W\d_]++(?<={LETTER})(?=[{MARKS}])|" if letters_end else ""
-        # A line end before a character is a token of its own for both; so are, together, a blank and letters for A.
-        self.pieces = re.compile(f"\n(?=[^{BLANK}])|{word}[{BLANK}]*[^{BLANK}]+{more}|[{BLANK}]+")
+        self.stays = [x.encode() for x in sorted(behind)]
         self.bytes_a, self.bytes_b = pa.array(bytes_a, pa.binary()), pa.array(bytes_b, pa.binary())
         if len(bytes_a) * len(bytes_b) > 1 << 31:
             raise ValueError("vocabularies with more than 2**31 pairs of ids are not supported")
@@ -104,9 +101,39 @@ class Aligner:
         names = [f"{i}{end}" for n, last in ((len(bytes_a), "|"), (len(bytes_b), ";")) for i in range(n) for end in (",", last)]
         self.names = pa.array(names, pa.string())
 
-    def cut(self, text: str) -> list[str]:
-        """The pieces of a text with a blank before it."""
-        return self.pieces.findall(" " + text)
+    def cut(self, texts: list[str]):
+        """The pieces of texts with a blank before each (an empty one has none): distinct ones as bytes, the place of each piece among these, how many each text has.
+
+        A piece begins at a blank behind something else.  A line end alone between other characters is a piece of its own,
+        as it is a token of its own for both; words end before a mark, if they do so for B.
+        """
+        import numpy as np
+        import pyarrow as pa
+
+        data, places = column_bytes(pa.array([" " + text if text else "" for text in texts], pa.string()))
+        classes = byte_classes(data)
+        first = np.zeros(len(data) + 1, bool)
+        first[places] = True
+        space = np.append(classes == SPACE, True)
+        marks = first.copy()
+        marks[1:-1] |= space[1:-1] & ~space[:-2]
+        for blank in self.stays:
+            at = np.flatnonzero(marks & ~first)
+            at = at[at + len(blank) <= len(data)]
+            marks[at[np.all([data[at + i] == byte for i, byte in enumerate(blank)], axis=0)]] = False
+        line = np.flatnonzero(marks[:-1] & ~first[:-1])
+        line = line[data[line] == 10]
+        marks[line[~space[line + 1] & ~first[line + 1]] + 1] = True
+        if self.letters_end:
+            runs = np.flatnonzero(first[1:-1] | (classes[1:] != classes[:-1])) + 1
+            ends, begins = runs[1:], runs[:-1]
+            word = (classes[begins] == LETTER) & space[begins - 1] & ~first[begins] & ~first[ends] & np.isin(data[ends], list(MARKS.encode()))
+            ends = ends[word]
+            marks[ends[(data[ends - 1] < 0x80) | (data[ends - 2] == 0xC3)]] = True
+        starts = np.flatnonzero(marks[:-1])
+        cuts = pa.py_buffer(np.append(starts, len(data)).astype(np.int32))
+        pieces = pa.Array.from_buffers(pa.binary(), len(starts), [None, cuts, pa.py_buffer(data)]).dictionary_encode()
+        return pieces.dictionary.to_pylist(), pieces.indices.to_numpy(), np.diff(np.searchsorted(starts, places))
 
     def _encode_a(self, pieces: list[str]):
         """All ids of ``pieces`` and how many each has; the first ones, a blank and letters, go to the library as one text."""
@@ -246,7 +273,7 @@ class PieceTable:
 
         self.aligner, self.spelled, self.score, self.limit = aligner, spelled, score, limit
         self.columns = [*self.COLUMNS, *(["n_best", "count_sum"] if score else [])]
-        self.index: dict[str, int] = {}
+        self.index: dict[bytes, int] = {}
         self.values = {name: np.zeros(0, np.int64) for name in self.columns}
         self.good, self.pairs, self.times = np.zeros(0, bool), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.used, self.size = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -267,18 +294,18 @@ class PieceTable:
             self.groups = [groups for groups, stays in zip(self.groups, keep.tolist()) if stays]
         self.index = {piece: i for i, piece in enumerate(piece for piece, stays in zip(self.index, keep.tolist()) if stays)}
 
-    def numbers(self, pieces: list[str]):
-        """The place in the table of each of ``pieces``."""
+    def numbers(self, pieces: list[bytes]):
+        """The place in the table of each of ``pieces``, which are distinct."""
         import numpy as np
 
         if self.size.sum() > self.limit:
             self._shrink()
-        missing = sorted(set(pieces).difference(self.index), key=is_word, reverse=True)
+        missing = sorted((piece.decode() for piece in pieces if piece not in self.index), key=is_word, reverse=True)
         if missing:
             found = self.aligner.align(missing, self.spelled)
             if self.score:
                 found |= self.score(found)
-            self.index.update(zip(missing, range(len(self.index), len(self.index) + len(missing))))
+            self.index.update(zip(map(str.encode, missing), range(len(self.index), len(self.index) + len(missing))))
             for name in self.columns:
                 self.values[name] = np.concatenate([self.values[name], found[name]])
             self.good = np.concatenate([self.good, found["good"]])
@@ -288,22 +315,36 @@ class PieceTable:
                 self.groups += found["groups"]
                 size += np.fromiter(map(len, found["groups"]), np.int64)
             self.size = np.concatenate([self.size, size])
-        places = np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
-        uses = np.bincount(places, minlength=len(self.index))
-        uses[: len(self.used)] += self.used
-        self.used = uses
-        return places
+        return np.fromiter(map(self.index.__getitem__, pieces), np.int64, len(pieces))
 
     def texts(self, texts: list[str]):
         """The pieces of ``texts`` by number, where each text's end, and which texts have tokens."""
         import numpy as np
 
-        cuts = [self.aligner.cut(text) if text else [] for text in texts]
-        flat = self.numbers([piece for cut in cuts for piece in cut])
-        ends = np.cumsum([0, *map(len, cuts)])
+        distinct, places, counts = self.aligner.cut(texts)
+        flat = self.numbers(distinct)[places]
+        uses = np.bincount(flat, minlength=len(self.index))
+        uses[: len(self.used)] += self.used
+        self.used = uses
+        ends = np.concatenate([[0], np.cumsum(counts)])
         bad = np.concatenate([[0], np.cumsum(~self.good[flat])])
         return flat, ends, (bad[ends[1:]] == bad[ends[:-1]]) & (ends[1:] > ends[:-1])
 
+    def groups_of(self, flat, ends, whole) -> list[str]:
+        """The groups of the texts that have tokens, one after another; ``flat``, ``ends`` and ``whole`` as ``texts`` gives them."""
+        import numpy as np
+        import pyarrow as pa
+
+        if not len(flat):
+            return [""] * len(whole)
+        used = np.zeros(len(self.index), bool)
+        used[flat] = True
+        distinct = pa.array([self.groups[i] + ";" for i in np.flatnonzero(used).tolist()], pa.string())
+        joined = distinct.take(pa.array((np.cumsum(used) - 1)[flat]))
+        data = joined.buffers()[2].to_pybytes()
+        stops = np.frombuffer(joined.buffers()[1], np.int32)[ends].tolist()
+        return [data[a : b - 1].decode() if ok else "" for a, b, ok in zip(stops, stops[1:], whole.tolist())]
+
     def pairs_of(self, flat):
         """The pairs of each piece of ``flat`` one after another, how often each, and how many each piece has."""
         import numpy as np
@@ -326,6 +367,18 @@ def _aligner(shared) -> Aligner:
     return _ALIGNERS[shared.value[0]]
 
 
+_TABLES: dict[tuple, PieceTable] = {}
+
+
+def _table(shared, use: str, spelled: bool, score=None) -> PieceTable:
+    """One per worker, kept from task to task for the same tokenizers and ``use`` (a pass and the counts that ``score`` takes)."""
+    key = shared.value[0], use
+    if key not in _TABLES:
+        _TABLES.clear()
+        _TABLES[key] = PieceTable(_aligner(shared), spelled, score)
+    return _TABLES[key]
+
+
 def _distinct(keys):
     """Distinct keys in order and where each begins in the sorted keys, with the end as the last place."""
     import numpy as np
@@ -350,7 +403,7 @@ def document_pairs(docs: DataFrame, shared, text: str = "text") -> DataFrame:
     def run(batches) -> Iterator:
         import numpy as np
 
-        table = PieceTable(_aligner(shared), spelled=False)
+        table = _table(shared, "pairs", spelled=False)
         narrow = len(table.aligner.size_b)
         keys, counts, rows = [], [], 0
         for batch in batches:
@@ -493,7 +546,7 @@ OUT = "doc_id {}, n_a long, n_b long, n_groups long, n_links long"
 
 
 def _second_pass(docs: DataFrame, shared, known, text: str) -> DataFrame:
-    """Documents aligned again; with ``known`` (hash, counts, best count of each id of A) looked up, else with their pairs listed."""
+    """Documents aligned again; with ``known`` (a mark of its own, hash, counts, best count of each id of A) looked up, else with their pairs listed."""
     names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", *(["n_best", "count_sum"] if known else ["pairs", "times"]), "groups"]
 
     def run(batches):
@@ -501,7 +554,7 @@ def _second_pass(docs: DataFrame, shared, known, text: str) -> DataFrame:
         import pyarrow as pa
 
         def score(found):
-            numbers, counts, best = known.value
+            _, numbers, counts, best = known.value
             # Pairs without a number stand only in pieces of texts without tokens; the last count is theirs.
             count = counts[numbers.find(found["pairs"])]
             owner = np.repeat(np.arange(len(found["n_pairs"])), found["n_pairs"])
@@ -513,7 +566,7 @@ def _second_pass(docs: DataFrame, shared, known, text: str) -> DataFrame:
             np.add.at(sums[1], owner, each)
             return {"n_best": sums[0], "count_sum": sums[1]}
 
-        table = PieceTable(_aligner(shared), spelled=True, score=score if known else None)
+        table = _table(shared, known.value[0] if known else "listed", spelled=True, score=score if known else None)
         for batch in batches:
             done = 0
             for part in column_slices(batch.column(1), SLICE_BYTES):
@@ -529,9 +582,7 @@ def _second_pass(docs: DataFrame, shared, known, text: str) -> DataFrame:
                     keep = np.repeat(whole, np.diff(stops))
                     stops = np.concatenate([[0], np.cumsum(np.diff(stops) * whole)])
                     columns += [pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(x[keep])) for x in (pairs, times)]
-                words = [table.groups[i] for i in flat.tolist()]
-                spans = zip(ends[:-1].tolist(), ends[1:].tolist(), whole.tolist())
-                columns.append(pa.array([";".join(words[a:b]) if ok else "" for a, b, ok in spans], pa.string()))
+                columns.append(pa.array(table.groups_of(flat, ends, whole), pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     picked = docs.select("doc_id", docs[text].alias("__text"))
@@ -554,6 +605,7 @@ def align_tokenizers(docs: DataFrame, a: str, b: str, text: str = "text") -> Dat
     columns are ignored whatever their names.
     """
     import hashlib
+    import uuid
 
     import numpy as np
 
@@ -569,7 +621,8 @@ def align_tokenizers(docs: DataFrame, a: str, b: str, text: str = "text") -> Dat
         counts = dense_counts(pairs, spark.sparkContext.broadcast(numbers), len(numbers.keys))
         best = np.zeros(int(numbers.keys.max() >> 32) + 1 if len(numbers.keys) else 1, np.int64)
         np.maximum.at(best, numbers.keys >> 32, counts)
-        return _second_pass(docs, shared, spark.sparkContext.broadcast((numbers, np.append(counts, 0), best)), text)
+        known = spark.sparkContext.broadcast((uuid.uuid4().hex, numbers, np.append(counts, 0), best))
+        return _second_pass(docs, shared, known, text)
     return _joined_counts(_second_pass(docs, shared, None, text), pairs)
 
 

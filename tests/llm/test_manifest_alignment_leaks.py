@@ -324,3 +324,35 @@ def test_alignment_takes_bounded_slices_and_hands_memory_back(monkeypatch):
     assert sum(taken) == sum(len(x or "") for x in texts) and max(taken) <= 1 << 20
     assert handed == [len(taken)]
     assert {26, 25} >= {n for batch in pairs for n in batch.column(2).to_pylist()} - {1}
+
+
+def test_pieces_are_aligned_once_for_all_tasks_of_a_worker(monkeypatch):
+    import pyarrow as pa
+
+    with open(tokenizer_path(), encoding="utf-8") as spec, open(tokenizer_path(PIECES), "rb") as model:
+        shared = type("Shared", (), {"value": ("two tasks", spec.read(), model.read())})
+    aligned, plain = [], alignment.Aligner.align
+    monkeypatch.setattr(alignment.Aligner, "align", lambda self, pieces, spelled: aligned.extend(pieces) or plain(self, pieces, spelled))
+    texts = ["some words, some more", None, "words in two tasks"]
+    found = []
+    for _ in range(2):
+        run = alignment.document_pairs(Captured(), shared).run
+        found.append([batch.to_pydict() for batch in run(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])]))])
+    assert found[0] == found[1]
+    assert len(aligned) == len(set(aligned)) == 7
+
+
+def test_texts_cut_together_are_aligned_as_by_the_libraries():
+    with open(tokenizer_path(), encoding="utf-8") as spec, open(tokenizer_path(PIECES), "rb") as model:
+        aligner = alignment.Aligner(spec.read(), model.read())
+    rng = random.Random(4)
+    parts = ["Word", "don't", "é", "ß", "÷", "×", "½", "²", "_", ",", ".", "'s", "-", "(", " ", " ", "  ", "\n", "\n", "\r", "\r\n", "\x85", "\xa0", " ", " ", "　", "…", "é", "日本", "Я", "9"]
+    texts = ["", *("".join(rng.choices(parts, k=rng.randint(0, 25))) for _ in range(1500)), ""]
+    want = align_by_hand(texts)
+    table = alignment.PieceTable(aligner, spelled=True, limit=50_000)
+    for at in range(0, len(texts), 100):
+        flat, ends, whole = table.texts(texts[at : at + 100])
+        groups = table.groups_of(flat, ends, whole)
+        assert groups == [row[6] for row in want[at : at + 100]]
+        links = np.append(0, np.cumsum(table.values["n_links"][flat]))[ends]
+        assert (np.diff(links) * whole).tolist() == [row[3] for row in want[at : at + 100]]
