@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
 from array import array
 from collections.abc import Iterator
 from itertools import accumulate, chain, pairwise
@@ -34,7 +35,7 @@ IDS = 500_000
 #: Bytes of text unpacked, cut into pieces and encoded at a time (one text at least).
 SLICE_BYTES = 1 << 20
 #: Bytes of pieces and their ids that a worker keeps, about.
-KEPT_BYTES = 128 << 20
+KEPT_BYTES = 48 << 20
 
 
 def read_labels(model: dict) -> dict[int, bytes]:
@@ -209,7 +210,10 @@ class _Words(dict):
 
 
 class Encoder(Pieces):
-    """Texts to ids by the automaton, with the caches of one worker."""
+    """Texts to ids by the automaton, with the caches of one worker.
+
+    When too many pieces are kept, the half that was used least goes.
+    """
 
     def __init__(self, spec: str, limit: int = KEPT_BYTES):
         self.automaton = Automaton(spec)
@@ -224,6 +228,40 @@ class Encoder(Pieces):
         cut = (pre_tokens(piece.decode()) for piece in pieces)
         return self._flat([list(chain.from_iterable(map(self.words.__getitem__, words))) for words in cut])
 
+    def _forget(self) -> None:
+        import numpy as np
+
+        super()._forget()
+        self.used = np.zeros(self.known, np.int64)
+
+    def _pieces(self, column):
+        import numpy as np
+
+        numbers, counts = super()._pieces(column)
+        uses = np.bincount(numbers, minlength=self.known)
+        uses[: len(self.used)] += self.used
+        self.used = uses
+        return numbers, counts
+
+    def _shrink(self) -> None:
+        """Keep the pieces used most, up to half of the bytes; older uses count less."""
+        import numpy as np
+
+        pieces = list(self.numbers)  # in the order of their numbers
+        cost = np.fromiter(map(sys.getsizeof, pieces), np.int64, len(pieces)) + self.BESIDE + self.flat.itemsize * self.size
+        order = np.argsort(-self.used, kind="stable")
+        keep = np.zeros(self.known, bool)
+        keep[order[np.cumsum(cost[order]) <= self.limit // 2]] = True
+        fixed = len(self.specials)
+        keep[:fixed] = True
+        kept = np.flatnonzero(keep)
+        self.flat = self._gathered(kept)
+        self.size, self.used = self.size[kept], self.used[kept] // 2
+        self.begin = np.cumsum(self.size) - self.size
+        self.numbers.clear()
+        self.numbers.update((pieces[i], n) for n, i in enumerate(kept.tolist()))
+        self.known, self.held = len(kept), int(cost[kept[fixed:]].sum())
+
     def _flat(self, found: list[list[int]]):
         import numpy as np
 

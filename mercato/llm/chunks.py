@@ -303,7 +303,7 @@ class Pieces:
     added token with its id), a pre-token or what ``pre_token_starts`` leaves
     whole.  Pieces are numbered; their ids stand in one array, from which those
     of a slice are gathered at once.  When the pieces kept take more than
-    ``limit`` bytes, all go before the next slice.
+    ``limit`` bytes, all go before the next slice (if no class below keeps some).
     """
 
     #: Bytes that a kept piece takes beside its text and ids: its entry, number and place.
@@ -316,6 +316,9 @@ class Pieces:
         self.special = re.compile(b"|".join(map(re.escape, sorted(specials, key=len, reverse=True))))
         self._forget()
 
+    def _shrink(self) -> None:
+        self._forget()
+
     def encode_words(self, words: list[bytes]):
         """The ids of pre-tokens without line ends, and where those of each begin and how many they are."""
         raise NotImplementedError
@@ -401,7 +404,7 @@ class Pieces:
         import pyarrow as pa
 
         if self.held > self.limit:
-            self._forget()
+            self._shrink()
         numbers, counts = self._pieces(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
         total = np.concatenate([[0], np.cumsum(self.size[numbers])])
         return self._gathered(numbers), np.diff(total[np.concatenate([[0], np.cumsum(counts)])])
